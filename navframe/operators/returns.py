@@ -64,10 +64,27 @@ def _keys(df: DataFrame, nav_col: str = "nav") -> list[Column]:
     return [F.col(KEY), F.col(ORDER), F.col(nav_col)]
 
 
+def _windowed(base: DataFrame, with_lags: bool = True, with_mas: bool = True) -> DataFrame:
+    """One ``Window`` node holding each distinct window expression once; the
+    30-row lag is evaluated once and exposed under both of its names."""
+    cols = [*_keys(base)]
+    if with_lags:
+        lags = lag_columns()
+        cols += [lags[n].alias(n) for n in ("prev_day_nav", "prev_week_nav", "prev_month_nav")]
+        cols += [lags["nav_90d_ago"].alias("nav_90d_ago")]
+    if with_mas:
+        cols += [c.alias(n) for n, c in moving_average_columns().items()]
+    w = base.select(*cols)
+    if not with_lags:
+        return w
+    order = [KEY, ORDER, "nav", "prev_day_nav", "prev_week_nav", "prev_month_nav", "nav_30d_ago", "nav_90d_ago"]
+    rest = [c for c in w.columns if c not in order]
+    return w.select(*order[:6], F.col("prev_month_nav").alias("nav_30d_ago"), "nav_90d_ago", *rest)
+
+
 def lag_features(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:
     """The five lag columns on the lookback series."""
-    base = lookback(nav, as_of, months)
-    return base.select(*_keys(base), *[c.alias(n) for n, c in lag_columns().items()])
+    return _windowed(lookback(nav, as_of, months), with_mas=False)
 
 
 def moving_averages(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:
@@ -89,31 +106,26 @@ def single_return(nav: DataFrame, name: str, as_of=None, months: int = P.LOOKBAC
     """P3 for one horizon: ``scheme_code, nav_date, nav, <name>``."""
     offset = _RETURN_LAGS[name]
     base = lookback(nav, as_of, months)
-    prev = F.lag("nav", offset).over(nav_window())
-    return base.select(*_keys(base), pct_change(F.col("nav"), prev).alias(name))
+    lagged = base.select(*_keys(base), F.lag("nav", offset).over(nav_window()).alias("_prev"))
+    return lagged.select(KEY, ORDER, "nav", pct_change("nav", "_prev").alias(name))
 
 
 def return_features(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:
     """The 17-column feature table (lags, moving averages, returns).
 
-    One projection over one window spec; the returns reuse the lag
-    expressions, which Catalyst de-duplicates into a single ``Window`` node.
+    The lags and moving averages are evaluated once, in one ``Window`` node;
+    the returns are a plain projection over the lag columns, so no window
+    expression is evaluated twice.
     """
-    base = lookback(nav, as_of, months)
-    lags = lag_columns()
-    mas = moving_average_columns()
-    rets = {
-        "daily_return_pct": pct_change(F.col("nav"), lags["prev_day_nav"]),
-        "weekly_return_pct": pct_change(F.col("nav"), lags["prev_week_nav"]),
-        "monthly_return_pct": pct_change(F.col("nav"), lags["prev_month_nav"]),
-        "rolling_return_30d_pct": pct_change(F.col("nav"), lags["nav_30d_ago"]),
-        "rolling_return_90d_pct": pct_change(F.col("nav"), lags["nav_90d_ago"]),
-    }
-    cols = [*_keys(base)]
-    cols += [c.alias(n) for n, c in lags.items()]
-    cols += [c.alias(n) for n, c in mas.items()]
-    cols += [c.alias(n) for n, c in rets.items()]
-    return base.select(*cols)
+    windowed = _windowed(lookback(nav, as_of, months))
+    returns = [
+        pct_change("nav", "prev_day_nav").alias("daily_return_pct"),
+        pct_change("nav", "prev_week_nav").alias("weekly_return_pct"),
+        pct_change("nav", "prev_month_nav").alias("monthly_return_pct"),
+        pct_change("nav", "nav_30d_ago").alias("rolling_return_30d_pct"),
+        pct_change("nav", "nav_90d_ago").alias("rolling_return_90d_pct"),
+    ]
+    return windowed.select(*windowed.columns, *returns)
 
 
 def daily_return_5y(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_5Y_MONTHS) -> DataFrame:

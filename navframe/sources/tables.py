@@ -54,6 +54,18 @@ def thin_nav_series(orders: DataFrame) -> DataFrame:
     )
 
 
+def mixed_nav_series(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Both stand-ins in one series with disjoint keys: suppliers keep their
+    key (long histories, all above the 30-row gate), customers get negative
+    keys (short histories, all below it), so gates are exercised both ways."""
+    thin = thin_nav_series(orders).withColumn("scheme_code", F.lit(-1) - F.col("scheme_code"))
+    return nav_series(lineitem).unionByName(thin)
+
+
+def load_mixed_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_nav_series(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "orders"))
+
+
 def load_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nav_series(read_table(spark, sf_dir, "lineitem"))
 
@@ -71,3 +83,7 @@ THIN_NAV_SERIES_SQL = (
     "SELECT o_custkey AS scheme_code, CAST(o_orderdate AS DATE) AS nav_date, "
     "MAX(o_totalprice) AS nav FROM orders GROUP BY 1, 2"
 )
+MIXED_NAV_SERIES_SQL = (
+    f"{NAV_SERIES_SQL} UNION ALL SELECT -1 - o_custkey AS scheme_code, "
+    "CAST(o_orderdate AS DATE) AS nav_date, MAX(o_totalprice) AS nav FROM orders GROUP BY 1, 2"
+)
