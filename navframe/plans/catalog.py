@@ -309,8 +309,13 @@ ENRICHED_SELECT = (
 )
 
 
-@register("nav_enriched", f"{METRICS_WITH} {ENRICHED_SELECT}", "E3/J7/P5: enriched NAV table")
+@register("nav_enriched", f"{METRICS_WITH} {ENRICHED_SELECT}", "E3/P5: enriched NAV table, single pass")
 def q_nav_enriched(spark, sf_dir):
+    return X.nav_enriched_single_pass(_mixed_daily_returns(spark, sf_dir), AS_OF)
+
+
+@register("nav_enriched_join", f"{METRICS_WITH} {ENRICHED_SELECT}", "J7: daily returns left join metrics table")
+def q_nav_enriched_join(spark, sf_dir):
     dr = _mixed_daily_returns(spark, sf_dir)
     return X.nav_enriched(dr, M.scheme_metrics(dr, AS_OF))
 
