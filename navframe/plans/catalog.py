@@ -348,3 +348,207 @@ def q_total_rows(spark, sf_dir):
     from navframe.sources.views import count_rows
 
     return count_rows(spark, _nav(spark, sf_dir), "source_table")
+
+
+# ---------------------------------------------------------------------------
+# Ingest (E4, E5) and sources (S4-S8) over landed files derived from the
+# tables, sinks (K1, K2), preview (O2), sort (O1)
+# ---------------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from navframe.operators import ingest as I  # noqa: E402
+from navframe.plans import landing as L  # noqa: E402
+from navframe.session import shared_dir  # noqa: E402
+from navframe.sinks import writers as W  # noqa: E402
+from navframe.sources import csv as CSV  # noqa: E402
+from navframe.sources import json_docs as J  # noqa: E402
+
+# Schemes already stored before the listing is ingested (fixture choice).
+STORED_SCHEME_MAX_ACCTBAL = 1000.0
+
+
+def _landing(spark, name):
+    return shared_dir(spark, "landing", name, unique=True)
+
+
+def _parsed_schemes(spark, sf_dir):
+    path = _landing(spark, "schemes")
+    L.land_scheme_pages(T.read_table(spark, sf_dir, "supplier"), path)
+    return J.parse_scheme_list(J.read_scheme_pages(spark, path))
+
+
+SCHEME_ITEMS_CTE = (
+    "items AS (SELECT s_suppkey AS scheme_code, s_name AS scheme_name, "
+    "'INF' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || 'G' AS isin_growth, "
+    "CASE WHEN s_acctbal >= 0 THEN 'INF' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') || 'R' END "
+    "AS isin_div_reinvestment, s_acctbal FROM supplier)"
+)
+SCHEME_COLS = "scheme_code, scheme_name, isin_growth, isin_div_reinvestment"
+
+
+@register(
+    "scheme_list_parse",
+    f"WITH {SCHEME_ITEMS_CTE} SELECT {SCHEME_COLS} FROM items UNION ALL "
+    f"SELECT scheme_code, lower(scheme_name) AS scheme_name, isin_growth, isin_div_reinvestment "
+    f"FROM items WHERE s_acctbal > {L.RELIST_MIN_ACCTBAL}",
+    "S5/P1: landed scheme-list pages -> snake_case rows (missing key -> NULL)",
+)
+def q_scheme_list_parse(spark, sf_dir):
+    return _parsed_schemes(spark, sf_dir).select(*SCHEME_COLS.split(", "))
+
+
+@register(
+    "new_schemes",
+    f"WITH {SCHEME_ITEMS_CTE} SELECT {SCHEME_COLS} FROM items i WHERE NOT EXISTS "
+    f"(SELECT 1 FROM supplier s WHERE s.s_acctbal < {STORED_SCHEME_MAX_ACCTBAL} AND s.s_suppkey = i.scheme_code)",
+    "E4/K3/J2: first listing wins, stored codes skipped",
+)
+def q_new_schemes(spark, sf_dir):
+    stored = (
+        T.read_table(spark, sf_dir, "supplier")
+        .filter(F.col("s_acctbal") < STORED_SCHEME_MAX_ACCTBAL)
+        .select(F.col("s_suppkey").alias("scheme_code"))
+    )
+    return I.new_schemes(_parsed_schemes(spark, sf_dir), stored)
+
+
+@register(
+    "schemes_sorted",
+    f"WITH {SCHEME_ITEMS_CTE} SELECT {SCHEME_COLS} FROM items ORDER BY scheme_code",
+    "O1: distinct schemes ordered by code",
+)
+def q_schemes_sorted(spark, sf_dir):
+    return I.distinct_schemes(_parsed_schemes(spark, sf_dir)).orderBy("scheme_code")
+
+
+def _exploded_nav(spark, sf_dir):
+    path = _landing(spark, "nav_documents")
+    L.land_nav_documents(_nav(spark, sf_dir), path)
+    return J.explode_nav_documents(J.read_nav_documents(spark, path), nav_type="double")
+
+
+NAV_DOC_COLS_SQL = (
+    "scheme_code, nav_date, nav, 'Fund House ' || CAST(scheme_code // 10 AS VARCHAR) AS fund_house, "
+    "'Scheme ' || CAST(scheme_code AS VARCHAR) AS scheme_name"
+)
+
+
+@register(
+    "nav_json_explode",
+    f"WITH {RAW_NAV_CTE} SELECT {NAV_DOC_COLS_SQL} FROM raw_nav",
+    "S6/P2: NAV documents -> one row per item with meta repeated",
+)
+def q_nav_json_explode(spark, sf_dir):
+    return _exploded_nav(spark, sf_dir).select("scheme_code", "nav_date", "nav", "fund_house", "scheme_name")
+
+
+@register(
+    "new_nav_rows",
+    f"WITH {RAW_NAV_CTE} SELECT {NAV_DOC_COLS_SQL} FROM raw_nav r WHERE NOT EXISTS ("
+    f"SELECT 1 FROM raw_nav s WHERE s.nav_date < DATE '{DELTA_CUTOFF}' "
+    f"AND s.scheme_code = r.scheme_code AND s.nav_date = r.nav_date)",
+    "E5/K4/J3: parsed NAV rows whose key is not stored",
+)
+def q_new_nav_rows(spark, sf_dir):
+    stored = _nav(spark, sf_dir).filter(F.col("nav_date") < F.lit(DELTA_CUTOFF).cast("date"))
+    return I.new_nav_rows(_exploded_nav(spark, sf_dir), stored).select(
+        "scheme_code", "nav_date", "nav", "fund_house", "scheme_name"
+    )
+
+
+@register(
+    "parse_nav_date",
+    f"WITH {RAW_NAV_CTE} SELECT scheme_code, strftime(nav_date, '%d-%m-%Y') AS padded_text, "
+    f"strftime(nav_date, '%-d-%-m-%Y') AS short_text, nav_date AS parsed_padded, nav_date AS parsed_short "
+    f"FROM raw_nav",
+    "P2: day-first text (padded and unpadded) -> date",
+)
+def q_parse_nav_date(spark, sf_dir):
+    from navframe.functions.dates import format_day_first, parse_day_first
+
+    texts = _nav(spark, sf_dir).select(
+        "scheme_code",
+        format_day_first("nav_date", "dd-MM-yyyy").alias("padded_text"),
+        format_day_first("nav_date", "d-M-yyyy").alias("short_text"),
+    )
+    return texts.select(
+        "*",
+        parse_day_first("padded_text").alias("parsed_padded"),
+        parse_day_first("short_text").alias("parsed_short"),
+    )
+
+
+@register(
+    "weather_flatten",
+    "SELECT CAST(51.5074 AS DOUBLE) AS latitude, CAST(-0.1278 AS DOUBLE) AS longitude, value AS temperature, "
+    "CAST(user_id AS DOUBLE) AS windspeed, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS winddirection, "
+    "CAST(hour(ts) AS INTEGER) AS weathercode FROM events",
+    "S7/P6: weather objects flattened, constant location added",
+)
+def q_weather_flatten(spark, sf_dir):
+    path = _landing(spark, "weather")
+    L.land_weather(T.read_table(spark, sf_dir, "events"), path)
+    return J.flatten_weather(J.read_weather(spark, path))
+
+
+@register(
+    "people_explode",
+    "SELECT c_mktsegment AS craft, c_name AS name, "
+    "c_name || ' is currently in space flying on the ' || c_mktsegment || '! Hello! :)' AS message FROM customer",
+    "S8/P7: people objects exploded into messages",
+)
+def q_people_explode(spark, sf_dir):
+    path = _landing(spark, "people")
+    L.land_people(T.read_table(spark, sf_dir, "customer"), path)
+    return J.people_messages(J.read_people(spark, path))
+
+
+@register(
+    "csv_scan",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, "
+    "o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice, "
+    "CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders",
+    "S4: header CSV read without inference (all columns strings)",
+)
+def q_csv_scan(spark, sf_dir):
+    path = _landing(spark, "orders_csv")
+    L.land_orders_csv(T.read_table(spark, sf_dir, "orders"), path)
+    return CSV.read_csv(spark, path)
+
+
+@register(
+    "preview",
+    f"{METRICS_WITH} {ENRICHED_SELECT} ORDER BY d.scheme_code, d.nav_date LIMIT 20",
+    "O2: first 20 enriched rows in key order",
+)
+def q_preview(spark, sf_dir):
+    return CSV.preview(q_nav_enriched(spark, sf_dir), ["scheme_code", "nav_date"], 20)
+
+
+@register(
+    "append_sink",
+    f"{DAILY_RETURNS_WITH} SELECT * FROM daily_returns",
+    "K1/E1 load: earlier run stored, rerun appends only new keys, third run appends none",
+)
+def q_append_sink(spark, sf_dir):
+    keys = ["scheme_code", "nav_date"]
+    feats = R.return_features(_nav(spark, sf_dir), AS_OF)
+    path = shared_dir(spark, "tables", "daily_returns", unique=True)
+    W.append(feats.filter(F.col("nav_date") < F.lit(DELTA_CUTOFF).cast("date")), path, cluster_by=keys)
+    W.append_new(spark, feats, path, keys)
+    W.append_new(spark, feats, path, keys)
+    return spark.read.parquet(path)
+
+
+@register(
+    "overwrite_sink",
+    f"{METRICS_WITH} SELECT * FROM scheme_metrics",
+    "K2/E2 load: overwrite replaces rows and column set",
+)
+def q_overwrite_sink(spark, sf_dir):
+    dr = _mixed_daily_returns(spark, sf_dir)
+    path = shared_dir(spark, "tables", "scheme_metrics", unique=True)
+    W.overwrite(M.valid_schemes(dr, AS_OF), path)
+    W.overwrite(M.scheme_metrics(dr, AS_OF), path, cluster_by=["scheme_code"])
+    return spark.read.parquet(path)
