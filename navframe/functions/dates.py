@@ -33,7 +33,7 @@ def parse_day_first(text, strict: bool = True, fmt: str = P.NAV_DATE_FORMAT) ->
     becomes NULL so the caller can route the row to quarantine.
     """
     c = F.col(text) if isinstance(text, str) else text
-    return F.to_date(c, fmt) if strict else F.try_to_date(c, F.lit(fmt))
+    return F.to_date(c, fmt) if strict else F.try_to_date(c, fmt)
 
 
 def format_day_first(date, fmt: str = "dd-MM-yyyy") -> Column:

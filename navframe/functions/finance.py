@@ -22,7 +22,7 @@ def pct_change(current, previous, digits: int = P.ROUND_DIGITS) -> Column:
     NULL or zero (never a division error)."""
     cur, prev = _c(current), _c(previous)
     return F.when(prev.isNull() | (prev == 0), F.lit(None)).otherwise(
-        F.round((cur - prev) / prev * 100.0, digits)
+        F.round((cur - prev) / prev * F.lit(100), digits)
     )
 
 

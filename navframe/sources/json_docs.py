@@ -57,31 +57,28 @@ def parse_scheme_list(pages: DataFrame, value_col: str = "value") -> DataFrame:
 
 # ---- NAV documents (S6, P2) ------------------------------------------------
 
-_NAV_DOC_WITH_CORRUPT = T.StructType(S.NAV_DOCUMENT.fields + [T.StructField(CORRUPT, T.StringType())])
+NAV_DOCUMENT_WITH_CORRUPT = T.StructType(S.NAV_DOCUMENT.fields + [T.StructField(CORRUPT, T.StringType())])
 
 
 def read_nav_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Parse JSON Lines NAV documents with a fixed schema (no inference).
+    """Landed JSON Lines NAV documents, parsed with a fixed schema.
 
-    Malformed lines keep their text in ``_corrupt_record`` (PERMISSIVE mode).
+    Lines are read as text (splittable) and parsed with ``from_json``; a line
+    that is not a valid document keeps its text in ``_corrupt_record``.
     """
-    df = (
-        spark.read.schema(_NAV_DOC_WITH_CORRUPT)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-    return df.withColumn("source", F.col("_metadata.file_path"))
+    lines = spark.read.text(path).withColumn("source", F.col("_metadata.file_path"))
+    return parse_nav_documents(lines)
 
 
 def parse_nav_documents(docs: DataFrame, value_col: str = "value") -> DataFrame:
-    """The same parse from a string column (e.g. a streaming source): text
-    that is not a JSON object is kept in ``_corrupt_record``."""
+    """``meta``, ``data`` and ``_corrupt_record`` from a JSON text column
+    (landed lines, or the value of a streaming source)."""
     others = [c for c in docs.columns if c != value_col]
-    parsed = docs.select(F.from_json(value_col, S.NAV_DOCUMENT).alias("d"), F.col(value_col).alias("_raw"), *others)
-    return parsed.select(
-        "d.meta", "d.data", F.when(F.col("d").isNull(), F.col("_raw")).alias(CORRUPT), *others
+    parsed = docs.select(
+        F.from_json(value_col, NAV_DOCUMENT_WITH_CORRUPT, {"columnNameOfCorruptRecord": CORRUPT}).alias("d"),
+        *others,
     )
+    return parsed.select("d.meta", "d.data", f"d.{CORRUPT}", *others)
 
 
 def explode_nav_documents(
