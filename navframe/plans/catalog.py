@@ -552,3 +552,147 @@ def q_overwrite_sink(spark, sf_dir):
     W.overwrite(M.valid_schemes(dr, AS_OF), path)
     W.overwrite(M.scheme_metrics(dr, AS_OF), path, cluster_by=["scheme_code"])
     return spark.read.parquet(path)
+
+
+# ---------------------------------------------------------------------------
+# Portfolio analytics (tier B1-B7; definitions ours). Portfolio = customer,
+# scheme = supplier, position value = line extended price.
+# ---------------------------------------------------------------------------
+
+from navframe.operators import portfolio as PF  # noqa: E402
+
+
+def _holdings(spark, sf_dir):
+    li = T.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    od = T.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    positions = li.join(od, li.l_orderkey == od.o_orderkey).select(
+        F.col("o_custkey").alias("portfolio_id"),
+        F.col("l_suppkey").alias("scheme_code"),
+        F.col("l_extendedprice").alias("value"),
+    )
+    return PF.holdings_from_positions(positions)
+
+
+def _scheme_names(spark, sf_dir):
+    return T.read_table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("scheme_code"), F.col("s_name").alias("scheme_name")
+    )
+
+
+PORTFOLIO_CTES = f"""
+positions AS (
+  SELECT o.o_custkey AS portfolio_id, l.l_suppkey AS scheme_code, l.l_extendedprice AS value
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+holdings AS (
+  SELECT portfolio_id, scheme_code, ROUND(SUM(value), 2) AS holding_value FROM positions GROUP BY 1, 2),
+totals AS (SELECT portfolio_id, ROUND(SUM(holding_value), 2) AS total FROM holdings GROUP BY 1),
+weights AS (
+  SELECT h.portfolio_id, h.scheme_code, h.holding_value, t.total,
+         h.holding_value / NULLIF(t.total, 0) AS weight
+  FROM holdings h JOIN totals t ON h.portfolio_id = t.portfolio_id),
+pr AS (
+  SELECT w.portfolio_id, r.nav_date, ROUND(SUM(w.weight * r.daily_return_pct), 6) AS portfolio_return_pct
+  FROM weights w JOIN daily_returns r ON w.scheme_code = r.scheme_code
+  WHERE r.nav_date >= {SINCE_3Y} AND r.daily_return_pct IS NOT NULL
+  GROUP BY 1, 2),
+pstats AS (
+  SELECT portfolio_id, COUNT(portfolio_return_pct) AS n_ret, AVG(portfolio_return_pct) AS a,
+         STDDEV_SAMP(portfolio_return_pct) AS v
+  FROM pr GROUP BY 1),
+wcagr AS (
+  SELECT w.portfolio_id, ROUND(SUM(w.weight * m.cagr_percent), 6) AS weighted_cagr_percent
+  FROM weights w JOIN scheme_metrics m ON w.scheme_code = m.scheme_code GROUP BY 1),
+pmetrics AS (
+  SELECT COALESCE(s.portfolio_id, c.portfolio_id) AS portfolio_id, c.weighted_cagr_percent,
+         CASE WHEN s.n_ret >= 30 AND s.v > 0
+              THEN ROUND(SQRT(252) * ((s.a - (6.0 / 252)) / NULLIF(s.v, 0)), 6) END AS sharpe_ratio,
+         CASE WHEN s.n_ret >= 30 THEN ROUND(s.v, 6) END AS daily_volatility,
+         CASE WHEN s.n_ret >= 30 THEN ROUND(s.v * SQRT(252), 6) END AS annualized_volatility
+  FROM pstats s FULL JOIN wcagr c ON s.portfolio_id = c.portfolio_id),
+divers AS (
+  SELECT portfolio_id, COUNT(*) AS n_holdings, ROUND(SUM(weight * weight), 6) AS hhi,
+         ROUND(1.0 / SUM(weight * weight), 6) AS effective_holdings
+  FROM weights GROUP BY 1),
+under AS (
+  SELECT h.portfolio_id, MAX(CASE WHEN m.cagr_percent < {PF.MIN_SCHEME_CAGR} THEN 1 ELSE 0 END) AS u
+  FROM holdings h JOIN scheme_metrics m ON h.scheme_code = m.scheme_code GROUP BY 1),
+flags AS (
+  SELECT d.portfolio_id, d.hhi > {PF.MAX_HHI} AS low_diversification,
+         COALESCE(p.annualized_volatility > {PF.MAX_ANNUALIZED_VOL}, FALSE) AS risk_misaligned,
+         COALESCE(u.u = 1, FALSE) AS underperforming_fund
+  FROM divers d LEFT JOIN pmetrics p ON d.portfolio_id = p.portfolio_id
+  LEFT JOIN under u ON d.portfolio_id = u.portfolio_id)
+"""
+PORTFOLIO_WITH = f"{DAILY_RETURNS_WITH}, {METRIC_CTES}, {PORTFOLIO_CTES}"
+
+
+@register(
+    "portfolio_allocation",
+    f"{PORTFOLIO_WITH} SELECT w.portfolio_id, w.scheme_code, s.s_name AS scheme_name, w.holding_value, "
+    f"ROUND(w.holding_value / NULLIF(w.total, 0) * 100.0, 6) AS allocation_pct "
+    f"FROM weights w LEFT JOIN supplier s ON w.scheme_code = s.s_suppkey",
+    "B1: holding value and allocation percent per portfolio and scheme",
+)
+def q_portfolio_allocation(spark, sf_dir):
+    return PF.portfolio_allocation(_holdings(spark, sf_dir), _scheme_names(spark, sf_dir))
+
+
+@register(
+    "portfolio_nav_history",
+    f"{PORTFOLIO_WITH} SELECT scheme_code, nav_date, nav FROM raw_nav "
+    f"WHERE nav_date >= {_since(24)} AND scheme_code IN (SELECT scheme_code FROM holdings)",
+    "B2: last 24 months of NAV for held schemes (semi join)",
+)
+def q_portfolio_nav_history(spark, sf_dir):
+    return PF.portfolio_nav_history(_nav(spark, sf_dir), _holdings(spark, sf_dir), AS_OF)
+
+
+@register(
+    "max_drawdown",
+    f"WITH {RAW_NAV_CTE}, {NAV_BASE_CTE} SELECT scheme_code, "
+    f"ROUND(MIN(nav / NULLIF(peak, 0) - 1.0) * 100.0, 6) AS max_drawdown_pct FROM ("
+    f"SELECT scheme_code, nav, MAX(nav) OVER (PARTITION BY scheme_code ORDER BY nav_date "
+    f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM nav_base WHERE nav IS NOT NULL) x "
+    f"GROUP BY scheme_code",
+    "B3: maximum drawdown per scheme inside the lookback",
+)
+def q_max_drawdown(spark, sf_dir):
+    return PF.max_drawdown(_nav(spark, sf_dir), AS_OF)
+
+
+def _pmetrics(spark, sf_dir):
+    dr = R.return_features(_nav(spark, sf_dir), AS_OF)
+    return PF.portfolio_metrics(_holdings(spark, sf_dir), dr, M.scheme_metrics(dr, AS_OF), AS_OF)
+
+
+@register("portfolio_metrics", f"{PORTFOLIO_WITH} SELECT * FROM pmetrics", "B4: weighted portfolio metrics")
+def q_portfolio_metrics(spark, sf_dir):
+    return _pmetrics(spark, sf_dir)
+
+
+@register("diversification", f"{PORTFOLIO_WITH} SELECT * FROM divers", "B5: holdings count and Herfindahl index")
+def q_diversification(spark, sf_dir):
+    return PF.diversification(_holdings(spark, sf_dir))
+
+
+def _flags(spark, sf_dir):
+    h = _holdings(spark, sf_dir)
+    dr = R.return_features(_nav(spark, sf_dir), AS_OF)
+    sm = M.scheme_metrics(dr, AS_OF)
+    pm = PF.portfolio_metrics(h, dr, sm, AS_OF)
+    return PF.portfolio_flags(h, pm, PF.diversification(h), sm)
+
+
+@register("portfolio_flags", f"{PORTFOLIO_WITH} SELECT * FROM flags", "B6: diversification / risk / fund flags")
+def q_portfolio_flags(spark, sf_dir):
+    return _flags(spark, sf_dir)
+
+
+@register(
+    "portfolio_decision",
+    f"{PORTFOLIO_WITH} SELECT portfolio_id, CASE WHEN low_diversification OR risk_misaligned "
+    f"OR underperforming_fund THEN 'REBALANCE' ELSE 'HOLD' END AS decision FROM flags",
+    "B7: HOLD / REBALANCE",
+)
+def q_portfolio_decision(spark, sf_dir):
+    return PF.portfolio_decision(_flags(spark, sf_dir))
