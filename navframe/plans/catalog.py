@@ -355,6 +355,8 @@ def q_total_rows(spark, sf_dir):
 # tables, sinks (K1, K2), preview (O2), sort (O1)
 # ---------------------------------------------------------------------------
 
+import os  # noqa: E402
+
 from pyspark.sql import functions as F  # noqa: E402
 
 from navframe.operators import ingest as I  # noqa: E402
@@ -368,13 +370,27 @@ from navframe.sources import json_docs as J  # noqa: E402
 STORED_SCHEME_MAX_ACCTBAL = 1000.0
 
 
-def _landing(spark, name):
-    return shared_dir(spark, "landing", name, unique=True)
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def _landed(spark, sf_dir, name, write) -> str:
+    """Land a payload derived from the tables once per application and table
+    folder (files in the shared folder); later calls read the same files."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # pragma: no cover - Spark Connect
+        app = "connect"
+    key = (app, sf_dir, name)
+    path = _LANDED.get(key)
+    if path is None or not os.path.exists(path):
+        path = shared_dir(spark, "landing", name, unique=True)
+        write(path)
+        _LANDED[key] = path
+    return path
 
 
 def _parsed_schemes(spark, sf_dir):
-    path = _landing(spark, "schemes")
-    L.land_scheme_pages(T.read_table(spark, sf_dir, "supplier"), path)
+    path = _landed(spark, sf_dir, "schemes", lambda p: L.land_scheme_pages(T.read_table(spark, sf_dir, "supplier"), p))
     return J.parse_scheme_list(J.read_scheme_pages(spark, path))
 
 
@@ -423,8 +439,7 @@ def q_schemes_sorted(spark, sf_dir):
 
 
 def _exploded_nav(spark, sf_dir):
-    path = _landing(spark, "nav_documents")
-    L.land_nav_documents(_nav(spark, sf_dir), path)
+    path = _landed(spark, sf_dir, "nav_documents", lambda p: L.land_nav_documents(_nav(spark, sf_dir), p))
     return J.explode_nav_documents(J.read_nav_documents(spark, path), nav_type="double")
 
 
@@ -487,8 +502,7 @@ def q_parse_nav_date(spark, sf_dir):
     "S7/P6: weather objects flattened, constant location added",
 )
 def q_weather_flatten(spark, sf_dir):
-    path = _landing(spark, "weather")
-    L.land_weather(T.read_table(spark, sf_dir, "events"), path)
+    path = _landed(spark, sf_dir, "weather", lambda p: L.land_weather(T.read_table(spark, sf_dir, "events"), p))
     return J.flatten_weather(J.read_weather(spark, path))
 
 
@@ -499,8 +513,7 @@ def q_weather_flatten(spark, sf_dir):
     "S8/P7: people objects exploded into messages",
 )
 def q_people_explode(spark, sf_dir):
-    path = _landing(spark, "people")
-    L.land_people(T.read_table(spark, sf_dir, "customer"), path)
+    path = _landed(spark, sf_dir, "people", lambda p: L.land_people(T.read_table(spark, sf_dir, "customer"), p))
     return J.people_messages(J.read_people(spark, path))
 
 
@@ -512,8 +525,7 @@ def q_people_explode(spark, sf_dir):
     "S4: header CSV read without inference (all columns strings)",
 )
 def q_csv_scan(spark, sf_dir):
-    path = _landing(spark, "orders_csv")
-    L.land_orders_csv(T.read_table(spark, sf_dir, "orders"), path)
+    path = _landed(spark, sf_dir, "orders_csv", lambda p: L.land_orders_csv(T.read_table(spark, sf_dir, "orders"), p))
     return CSV.read_csv(spark, path)
 
 

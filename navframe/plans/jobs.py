@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from navframe import params as P
 from navframe import schemas as S
+from navframe.functions.dates import lookback_start
 from navframe.operators import enrich, ingest, metrics, returns
 from navframe.sinks import writers as W
 from navframe.sources import csv as CSV
@@ -71,7 +72,10 @@ def run_daily_returns(spark: SparkSession, wh: Warehouse, as_of=None) -> DataFra
     """Features over the lookback, appended for keys not stored yet."""
     nav = _read(spark, wh.path("raw_nav")).select("scheme_code", "nav_date", "nav")
     feats = returns.return_features(nav, as_of)
-    return W.append_new(spark, feats, wh.path("daily_returns"), ["scheme_code", "nav_date"], schema=S.DAILY_RETURNS)
+    in_range = F.col("nav_date") >= lookback_start(as_of, P.LOOKBACK_MONTHS)
+    return W.append_new(
+        spark, feats, wh.path("daily_returns"), ["scheme_code", "nav_date"], schema=S.DAILY_RETURNS, stored_filter=in_range
+    )
 
 
 def run_scheme_metrics(spark: SparkSession, wh: Warehouse, as_of=None) -> None:
