@@ -23,6 +23,7 @@ from navframe import schemas as S
 from navframe.functions.dates import lookback_start
 from navframe.operators import enrich, ingest, metrics, returns
 from navframe.sinks import writers as W
+from navframe.sinks.table import Table, keyed_table
 from navframe.sources import csv as CSV
 from navframe.sources import json_docs as J
 from navframe.sources.views import count_rows
@@ -30,23 +31,38 @@ from navframe.sources.views import count_rows
 
 @dataclass(frozen=True)
 class Warehouse:
-    """Locations of the pipeline tables under one root folder."""
+    """The pipeline tables under one root folder.
+
+    With ``buckets`` set, keyed tables are catalog tables (names prefixed by
+    ``prefix``) bucketed by ``scheme_code`` with that many buckets and sorted
+    by their key, so E1-E3 run without any shuffle; otherwise they are plain
+    Parquet folders sorted by key within files.
+    """
 
     root: str
+    buckets: int | None = None
+    prefix: str = "navframe_"
 
     def path(self, table: str) -> str:
         return os.path.join(self.root, table)
 
+    def table(self, table: str) -> Table:
+        keys = S.KEYS.get(table)
+        if keys is None:
+            return Table(path=self.path(table))
+        name = f"{self.prefix}{table}" if self.buckets else None
+        return keyed_table(self.path(table), keys, name=name, buckets=self.buckets)
+
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def _read(spark: SparkSession, wh: Warehouse, table: str) -> DataFrame:
+    return wh.table(table).read(spark)
 
 
 def run_scheme_ingest(spark: SparkSession, landing: str, wh: Warehouse) -> DataFrame:
     """Landed scheme-list pages -> new rows appended to ``schemes``."""
     parsed = J.parse_scheme_list(J.read_scheme_pages(spark, landing))
     return W.append_new(
-        spark, parsed, wh.path("schemes"), ingest.SCHEME_KEYS, order=["page", "pos"], schema=S.SCHEMES
+        spark, parsed, wh.table("schemes"), ingest.SCHEME_KEYS, order=["page", "pos"], schema=S.SCHEMES
     )
 
 
@@ -64,41 +80,41 @@ def run_nav_ingest(spark: SparkSession, landing: str, wh: Warehouse, strict: boo
         W.append(bad, wh.path("raw_nav_quarantine"))
         W.append(J.corrupt_documents(docs), wh.path("nav_documents_corrupt"))
     return W.append_new(
-        spark, valid, wh.path("raw_nav"), ingest.NAV_KEYS, order=["source", "pos"], schema=S.RAW_NAV
+        spark, valid, wh.table("raw_nav"), ingest.NAV_KEYS, order=["source", "pos"], schema=S.RAW_NAV
     )
 
 
 def run_daily_returns(spark: SparkSession, wh: Warehouse, as_of=None) -> DataFrame:
     """Features over the lookback, appended for keys not stored yet."""
-    nav = _read(spark, wh.path("raw_nav")).select("scheme_code", "nav_date", "nav")
+    nav = _read(spark, wh, "raw_nav").select("scheme_code", "nav_date", "nav")
     feats = returns.return_features(nav, as_of)
     in_range = F.col("nav_date") >= lookback_start(as_of, P.LOOKBACK_MONTHS)
     return W.append_new(
-        spark, feats, wh.path("daily_returns"), ["scheme_code", "nav_date"], schema=S.DAILY_RETURNS, stored_filter=in_range
+        spark, feats, wh.table("daily_returns"), ["scheme_code", "nav_date"], schema=S.DAILY_RETURNS, stored_filter=in_range
     )
 
 
 def run_scheme_metrics(spark: SparkSession, wh: Warehouse, as_of=None) -> None:
     """Fused metrics over the stored daily returns, table overwritten."""
-    dr = _read(spark, wh.path("daily_returns"))
-    W.overwrite(metrics.scheme_metrics(dr, as_of), wh.path("scheme_metrics"), S.SCHEME_METRICS, ["scheme_code"])
+    dr = _read(spark, wh, "daily_returns")
+    W.overwrite(metrics.scheme_metrics(dr, as_of), wh.table("scheme_metrics"), S.SCHEME_METRICS)
 
 
 def run_nav_enriched(spark: SparkSession, wh: Warehouse) -> None:
     """Stored daily returns left-joined with stored metrics, overwritten."""
-    dr = _read(spark, wh.path("daily_returns"))
-    sm = _read(spark, wh.path("scheme_metrics"))
-    W.overwrite(enrich.nav_enriched(dr, sm), wh.path("nav_enriched"), S.NAV_ENRICHED, ["scheme_code", "nav_date"])
+    dr = _read(spark, wh, "daily_returns")
+    sm = _read(spark, wh, "scheme_metrics")
+    W.overwrite(enrich.nav_enriched(dr, sm), wh.table("nav_enriched"), S.NAV_ENRICHED)
 
 
 def run_daily_return_5y(spark: SparkSession, wh: Warehouse, as_of=None) -> int:
     """Five-year daily returns overwritten; returns the row count, taken
     from an observed metric of the write itself (no second pass)."""
-    raw = _read(spark, wh.path("raw_nav")).select("scheme_code", "nav_date", "nav")
+    raw = _read(spark, wh, "raw_nav").select("scheme_code", "nav_date", "nav")
     out = returns.daily_return_5y(raw, as_of)
     obs = Observation("daily_return_5y")
     out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
-    W.overwrite(out, wh.path("daily_returns_5y"), S.DAILY_RETURNS_5Y, ["scheme_code", "nav_date"])
+    W.overwrite(out, wh.table("daily_returns_5y"), S.DAILY_RETURNS_5Y)
     return int(obs.get["rows"])
 
 
@@ -111,7 +127,7 @@ def run_weather_load(spark: SparkSession, landing: str, wh: Warehouse) -> None:
 
 def run_table_count(spark: SparkSession, path: str) -> DataFrame:
     """``COUNT(*)`` of a table through a temp view and SQL."""
-    return count_rows(spark, _read(spark, path), "source_table")
+    return count_rows(spark, spark.read.parquet(path), "source_table")
 
 
 def run_csv_preview(spark: SparkSession, path: str, order_by: list[str], n: int = 100) -> tuple[str, DataFrame]:

@@ -1,9 +1,9 @@
 """Table writers: schema-checked overwrite / append, keyed append, JDBC.
 
-Tables at rest are Parquet folders (or catalog tables). Keyed NAV tables are
-written clustered by ``scheme_code`` and sorted by ``(scheme_code, nav_date)``
-inside each file, so a later window or join on the key reads runs of one key
-together and the date predicate prunes row groups.
+A target is a Parquet folder (a path) or a :class:`navframe.sinks.table.Table`
+(optionally a bucketed catalog table). Keyed NAV tables are written sorted by
+``(scheme_code, nav_date)`` inside each file (or bucketed by ``scheme_code``),
+so later windows and joins on the key read runs of one key together.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from navframe.operators.delta import dedup_new_rows, new_rows
 from navframe.schemas import conform
+from navframe.sinks.table import Table
 
 
 def _prepare(df: DataFrame, schema: T.StructType | None, cluster_by: Sequence[str] | None) -> DataFrame:
@@ -28,67 +29,64 @@ def _prepare(df: DataFrame, schema: T.StructType | None, cluster_by: Sequence[st
     return df
 
 
+def _target(target: str | Table, cluster_by: Sequence[str] | None) -> Table:
+    if isinstance(target, Table):
+        return target
+    return Table(path=target, sort_by=tuple(cluster_by or ()))
+
+
 def overwrite(
     df: DataFrame,
-    path: str,
+    target: str | Table,
     schema: T.StructType | None = None,
     cluster_by: Sequence[str] | None = None,
-    fmt: str = "parquet",
 ) -> None:
     """K2: replace the table (data and column set)."""
-    _prepare(df, schema, cluster_by).write.mode("overwrite").format(fmt).save(path)
+    _target(target, cluster_by).write(_prepare(df, schema, None), "overwrite")
 
 
 def append(
     df: DataFrame,
-    path: str,
+    target: str | Table,
     schema: T.StructType | None = None,
     cluster_by: Sequence[str] | None = None,
-    fmt: str = "parquet",
 ) -> None:
     """K1/K6: add rows; an empty input adds no rows (K7)."""
-    _prepare(df, schema, cluster_by).write.mode("append").format(fmt).save(path)
-
-
-def _exists(spark: SparkSession, path: str, fmt: str) -> bool:
-    try:
-        spark.read.format(fmt).load(path).schema
-        return True
-    except Exception:
-        return False
+    _target(target, cluster_by).write(_prepare(df, schema, None), "append")
 
 
 def append_new(
     spark: SparkSession,
     df: DataFrame,
-    path: str,
+    target: str | Table,
     keys: Sequence[str],
     order: Sequence[str] | None = None,
     schema: T.StructType | None = None,
-    fmt: str = "parquet",
     stored_filter=None,
 ) -> DataFrame:
     """K3/K4/E1 load: append only rows whose key is not stored yet.
 
+    With ``order`` given, duplicates inside the batch are resolved first by
+    payload order (first write wins). Returns the delta that was appended.
+    Stored rows are never rewritten, so a late NAV for an old date does not
+    recompute features of later rows already stored. Re-running the same
+    batch appends nothing, which makes retries and stream replays safe.
+
     ``stored_filter`` (a Column) limits the stored keys read for the
     anti-join when the incoming rows are known to lie in a range (E1 only
     produces rows inside the lookback), so the weekly delta does not scan
     every stored key; the predicate reaches the Parquet scan.
-
-    With ``order`` given, duplicates inside the batch are resolved first by
-    payload order (first write wins). Returns the delta that was appended.
-    Stored rows are never rewritten, so a late NAV for an old date does not
-    recompute features of later rows already stored.
     """
-    if _exists(spark, path, fmt):
-        stored = spark.read.format(fmt).load(path)
+    table = _target(target, keys)
+    if table.exists(spark):
+        stored = table.read(spark)
         if stored_filter is not None:
             stored = stored.filter(stored_filter)
         delta = dedup_new_rows(df, stored, keys, order) if order else new_rows(df, stored, keys)
     else:
         nothing_stored = spark.createDataFrame([], df.select(*keys).schema)
         delta = dedup_new_rows(df, nothing_stored, keys, order) if order else df
-    append(delta, path, schema=schema, cluster_by=list(keys), fmt=fmt)
+    table.write(_prepare(delta, schema, None), "append")
     return delta
 
 

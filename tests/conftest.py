@@ -24,6 +24,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="navframe-test-wh-"))
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -102,3 +102,33 @@ def test_csv_preview_job(spark, tmp_dir):
     schema, prev = jobs.run_csv_preview(spark, land, ["o_orderkey"], 100)
     assert "o_totalprice:string" in schema
     assert prev.count() == 100
+
+
+def test_bucketed_pipeline_has_no_shuffle_and_same_result(spark, tmp_dir):
+    nav = T.load_nav(spark, SF)
+    sch_land = os.path.join(tmp_dir, "schemes")
+    nav_land = os.path.join(tmp_dir, "nav")
+    landing.land_scheme_pages(T.read_table(spark, SF, "supplier"), sch_land)
+    landing.land_nav_documents(nav, nav_land)
+    plain = jobs.Warehouse(os.path.join(tmp_dir, "plain"))
+    buck = jobs.Warehouse(os.path.join(tmp_dir, "bucketed"), buckets=4, prefix="t_bucketed_")
+    jobs.run_pipeline(spark, sch_land, nav_land, plain, AS_OF)
+    jobs.run_pipeline(spark, sch_land, nav_land, buck, AS_OF)
+    cols = S.NAV_ENRICHED.fieldNames()
+    a = sorted(map(tuple, plain.table("nav_enriched").read(spark).select(*cols).collect()))
+    b = sorted(map(tuple, buck.table("nav_enriched").read(spark).select(*cols).collect()))
+    assert a == b and len(a) > 0
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    raw = buck.table("raw_nav").read(spark).select("scheme_code", "nav_date", "nav")
+    dr = buck.table("daily_returns").read(spark)
+    sm = buck.table("scheme_metrics").read(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exchanges(returns.return_features(raw, AS_OF)) == 0
+        assert exchanges(metrics.scheme_metrics(dr, AS_OF)) == 0
+        assert exchanges(enrich.nav_enriched(dr, sm)) == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
