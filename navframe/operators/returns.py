@@ -52,12 +52,46 @@ def lag_columns(nav_col: str = "nav") -> dict[str, Column]:
     }
 
 
-def moving_average_columns(nav_col: str = "nav", digits: int = P.ROUND_DIGITS) -> dict[str, Column]:
+def moving_average_columns(
+    nav_col: str = "nav", digits: int = P.ROUND_DIGITS, exact_running_sum: bool = False
+) -> dict[str, Column]:
+    """Rounded averages over the last n rows (partial frames at the start).
+
+    The frame form re-aggregates each sliding frame: O(rows x n). With
+    ``exact_running_sum`` (decimal NAVs only) the n-row sum is the difference
+    of two running sums, which is exact in decimal arithmetic, so the result
+    is identical at O(rows): the running sum and count are incremental window
+    aggregates and the n-rows-back value is a lag.
+    """
     w = nav_window()
-    return {
-        f"moving_avg_{n}d": F.round(F.avg(nav_col).over(w.rowsBetween(-(n - 1), Window.currentRow)), digits)
-        for n in P.MOVING_AVG_ROWS
-    }
+    if not exact_running_sum:
+        return {
+            f"moving_avg_{n}d": F.round(F.avg(nav_col).over(w.rowsBetween(-(n - 1), Window.currentRow)), digits)
+            for n in P.MOVING_AVG_ROWS
+        }
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = F.sum(nav_col).over(running)
+    c = F.count(nav_col).over(running)
+    out = {}
+    for n in P.MOVING_AVG_ROWS:
+        total = F.coalesce(s, F.lit(0)) - F.coalesce(F.lag(s, n).over(w), F.lit(0))
+        cnt = c - F.coalesce(F.lag(c, n).over(w), F.lit(0))
+        avg = (total / F.nullif(cnt, F.lit(0))).cast(_avg_type())
+        out[f"moving_avg_{n}d"] = F.round(avg, digits)
+    return out
+
+
+def _avg_type() -> str:
+    # Spark's avg of decimal(18,6) is decimal(22,10); casting the exact
+    # quotient to it reproduces avg's rounding before the final round(6).
+    return "decimal(22,10)"
+
+
+def _is_decimal(df: DataFrame, col: str) -> bool:
+    from pyspark.sql.types import DecimalType
+
+    dt = df.schema[col].dataType
+    return isinstance(dt, DecimalType) and dt.precision <= 18 and dt.scale == 6
 
 
 def _keys(df: DataFrame, nav_col: str = "nav") -> list[Column]:
@@ -73,7 +107,8 @@ def _windowed(base: DataFrame, with_lags: bool = True, with_mas: bool = True) ->
         cols += [lags[n].alias(n) for n in ("prev_day_nav", "prev_week_nav", "prev_month_nav")]
         cols += [lags["nav_90d_ago"].alias("nav_90d_ago")]
     if with_mas:
-        cols += [c.alias(n) for n, c in moving_average_columns().items()]
+        mas = moving_average_columns(exact_running_sum=_is_decimal(base, "nav"))
+        cols += [c.alias(n) for n, c in mas.items()]
     w = base.select(*cols)
     if not with_lags:
         return w
@@ -89,8 +124,7 @@ def lag_features(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) ->
 
 def moving_averages(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:
     """Rounded moving averages over 7/30/90/200 rows."""
-    base = lookback(nav, as_of, months)
-    return base.select(*_keys(base), *[c.alias(n) for n, c in moving_average_columns().items()])
+    return _windowed(lookback(nav, as_of, months), with_lags=False)
 
 
 _RETURN_LAGS = {

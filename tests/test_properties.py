@@ -72,3 +72,31 @@ def test_delta_partitions_the_features(spark, series_list, cut):
     delta = new_rows(feats, stored, ["scheme_code", "nav_date"])
     assert delta.count() + stored.count() == feats.count()
     assert new_rows(feats, feats, ["scheme_code", "nav_date"]).count() == 0
+
+
+dec_navs = st.lists(
+    st.one_of(st.none(), st.decimals(min_value="0.000001", max_value="99999.999999", places=6, allow_nan=False)),
+    min_size=1,
+    max_size=260,
+)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(vals=dec_navs)
+def test_running_sum_moving_average_is_exact_for_decimals(spark, vals):
+    from pyspark.sql import types as T
+
+    schema = T.StructType(
+        [
+            T.StructField("scheme_code", T.LongType()),
+            T.StructField("nav_date", T.DateType()),
+            T.StructField("nav", T.DecimalType(18, 6)),
+        ]
+    )
+    nav = spark.createDataFrame([(1, D0 + dt.timedelta(days=i), v) for i, v in enumerate(vals)], schema)
+    frame = R.moving_average_columns(exact_running_sum=False)
+    fast = R.moving_average_columns(exact_running_sum=True)
+    out = nav.select("nav_date", *[frame[k].alias("f_" + k) for k in frame], *[fast[k].alias("x_" + k) for k in fast])
+    for r in out.collect():
+        for k in frame:
+            assert r["f_" + k] == r["x_" + k], (k, r)
