@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +74,20 @@ def run_nav_ingest(spark: SparkSession, landing: str, wh: Warehouse, strict: boo
     ``raw_nav_quarantine`` table instead of failing the batch, and malformed
     documents to ``nav_documents_corrupt``.
     """
-    docs = J.read_nav_documents(spark, landing)
-    rows = J.explode_nav_documents(docs, strict=strict)
-    valid, bad = J.split_quarantine(rows)
-    if not strict:
-        W.append(bad, wh.path("raw_nav_quarantine"))
-        W.append(J.corrupt_documents(docs), wh.path("nav_documents_corrupt"))
-    return W.append_new(
-        spark, valid, wh.table("raw_nav"), ingest.NAV_KEYS, order=["source", "pos"], schema=S.RAW_NAV
-    )
+    # parsed once, used by up to three writes; lost partitions are re-read
+    # from the landed files
+    docs = J.read_nav_documents(spark, landing).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = J.explode_nav_documents(docs, strict=strict)
+        valid, bad = J.split_quarantine(rows)
+        if not strict:
+            W.append(bad, wh.path("raw_nav_quarantine"))
+            W.append(J.corrupt_documents(docs), wh.path("nav_documents_corrupt"))
+        return W.append_new(
+            spark, valid, wh.table("raw_nav"), ingest.NAV_KEYS, order=["source", "pos"], schema=S.RAW_NAV
+        )
+    finally:
+        docs.unpersist()
 
 
 def run_daily_returns(spark: SparkSession, wh: Warehouse, as_of=None) -> DataFrame:
