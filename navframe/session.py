@@ -74,3 +74,42 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     if unique:
         path = os.path.join(path, uuid.uuid4().hex)
     return path
+
+
+def local_settings(cores: int) -> dict[str, str]:
+    """Single-machine sizing (tests, bench): enough small partitions to keep
+    every core busy on small inputs. AQE's default 1 MB floor for coalesced
+    partitions and the 4 MB file open cost would otherwise leave a few-MB
+    stage on 3-4 tasks."""
+    return {
+        "spark.sql.shuffle.partitions": str(2 * cores),
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(256 * 1024),
+        "spark.sql.files.openCostInBytes": str(1024 * 1024),
+    }
+
+
+def cluster_settings(
+    shuffle_bytes: int,
+    total_cores: int,
+    target_partition_bytes: int = 256 * 1024 * 1024,
+    max_partitions: int = 100_000,
+) -> dict[str, str]:
+    """Cluster sizing from the expected bytes of the largest shuffle.
+
+    The static shuffle width is a ceiling, sized so a partition is about
+    ``target_partition_bytes`` (and at least three waves of tasks), so a task's
+    sort and window buffers fit executor memory. AQE then coalesces by bytes,
+    not for parallelism, and splits skewed join partitions above twice the
+    target. Scan splits are half the target, and broadcasts are capped at 64 MB.
+    """
+    import math
+
+    parts = min(max_partitions, max(3 * total_cores, math.ceil(shuffle_bytes / target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
