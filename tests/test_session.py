@@ -4,7 +4,8 @@ from navframe.session import cluster_settings, local_settings, shared_dir
 
 
 def test_shared_dir_uses_session_checkpoint_dir(spark):
-    base = spark.sparkContext.getCheckpointDir()
+    # the session's setting wins; the context's dir is the fallback
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert base
     p = shared_dir(spark, "landing", "x", unique=True)
     assert p.startswith(base) and p != shared_dir(spark, "landing", "x", unique=True)
