@@ -18,7 +18,7 @@ def estimated_size_bytes(df: DataFrame) -> int | None:
     """
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes().toString()))
+        return int(str(stats.sizeInBytes()))
     except Exception:
         return None
 

@@ -22,3 +22,16 @@ def test_cluster_settings_size_by_bytes():
 
 def test_local_settings():
     assert local_settings(8)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_size_estimate_and_broadcast_check(spark):
+    from conftest import SF01
+
+    from navframe.operators.joins import broadcast_if_small, estimated_size_bytes
+
+    sup = spark.read.parquet(SF01 + "/supplier.parquet")
+    size = estimated_size_bytes(sup)
+    assert size is not None and 0 < size < 1024 * 1024
+    small = broadcast_if_small(sup)
+    assert small is not sup  # hinted
+    assert broadcast_if_small(sup, max_bytes=10) is sup  # beyond the bound: unchanged
