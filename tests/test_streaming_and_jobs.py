@@ -132,3 +132,18 @@ def test_bucketed_pipeline_has_no_shuffle_and_same_result(spark, tmp_dir):
         assert exchanges(enrich.nav_enriched(dr, sm)) == 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cli_runs_jobs(spark, tmp_dir):
+    from navframe import cli
+
+    land = os.path.join(tmp_dir, "nav")
+    landing.land_nav_documents(T.load_nav(spark, SF), land)
+    wh = os.path.join(tmp_dir, "wh")
+    assert cli.main(["nav", "--nav-landing", land, "--warehouse", wh]) == 0
+    assert cli.main(["daily-returns", "--warehouse", wh, "--as-of", AS_OF.isoformat()]) == 0
+    assert cli.main(["metrics", "--warehouse", wh, "--as-of", AS_OF.isoformat()]) == 0
+    assert cli.main(["enriched", "--warehouse", wh]) == 0
+    assert spark.read.parquet(os.path.join(wh, "nav_enriched")).count() == spark.read.parquet(
+        os.path.join(wh, "daily_returns")
+    ).count()
