@@ -44,3 +44,43 @@ def test_fused_metrics_reuse_window_partitioning(spark):
     import re
 
     assert len(re.findall(r"hashpartitioning\(scheme_code#\d+L, \d+\)", p)) == 1
+
+
+def _partial_before_exchange(plan: str, fn: str) -> bool:
+    """``partial_<fn>`` appears below (after, in the text) an Exchange."""
+    i = plan.find("Exchange")
+    return i >= 0 and f"partial_{fn}" in plan[i:]
+
+
+def test_skew_safe_aggregates_combine_map_side(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from navframe.operators.delta import first_write_wins
+    from navframe.operators.portfolio import holdings_from_positions, portfolio_daily_returns
+
+    # one hot key with many duplicates: collapsed before the shuffle
+    rows = spark.range(0, 50_000).select(
+        F.lit(7).cast("bigint").alias("scheme_code"),
+        F.lit(dt.date(2024, 1, 1)).alias("nav_date"),
+        F.col("id").cast("double").alias("nav"),
+        F.col("id").alias("pos"),
+    )
+    fww = first_write_wins(rows, ["scheme_code", "nav_date"], ["pos"])
+    assert _partial_before_exchange(_plan(fww), "min_by")
+    assert [r["nav"] for r in fww.collect()] == [0.0]
+
+    pos = spark.range(0, 20_000).select(
+        F.lit(1).cast("bigint").alias("portfolio_id"),
+        (F.col("id") % 500).alias("scheme_code"),
+        F.lit(1.0).alias("value"),
+    )
+    h = holdings_from_positions(pos)
+    assert _partial_before_exchange(_plan(h), "sum")
+    dr = spark.range(0, 500).select(
+        F.col("id").alias("scheme_code"), F.lit(dt.date(2024, 1, 2)).alias("nav_date"), F.lit(1.0).alias("daily_return_pct")
+    )
+    pr = portfolio_daily_returns(h, dr, dt.date(2024, 1, 31))
+    assert _partial_before_exchange(_plan(pr), "sum")
+    assert pr.collect()[0]["portfolio_return_pct"] == 1.0
