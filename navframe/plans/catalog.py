@@ -472,6 +472,38 @@ def q_new_nav_rows(spark, sf_dir):
     )
 
 
+def _lenient_nav(spark, sf_dir):
+    path = _landed(
+        spark, sf_dir, "nav_documents_na", lambda p: L.land_nav_documents(_nav(spark, sf_dir), p, year_end_unavailable=True)
+    )
+    rows = J.explode_nav_documents(J.read_nav_documents(spark, path), nav_type="double", strict=False)
+    return J.split_quarantine(rows)
+
+
+YEAR_END_SQL = "(month(nav_date) = 12 AND day(nav_date) = 31)"
+
+
+@register(
+    "nav_valid_rows",
+    f"WITH {RAW_NAV_CTE} SELECT {NAV_DOC_COLS_SQL} FROM raw_nav WHERE NOT {YEAR_END_SQL}",
+    "S6 lenient ingest: rows whose NAV text parses",
+)
+def q_nav_valid_rows(spark, sf_dir):
+    valid, _ = _lenient_nav(spark, sf_dir)
+    return valid.select("scheme_code", "nav_date", "nav", "fund_house", "scheme_name")
+
+
+@register(
+    "nav_quarantine",
+    f"WITH {RAW_NAV_CTE} SELECT scheme_code, strftime(nav_date, '%d-%m-%Y') AS date_text, "
+    f"'N.A.' AS nav_text FROM raw_nav WHERE {YEAR_END_SQL}",
+    "S6 lenient ingest: rows routed to quarantine (NAV text not a number)",
+)
+def q_nav_quarantine(spark, sf_dir):
+    _, bad = _lenient_nav(spark, sf_dir)
+    return bad.select("scheme_code", F.col("_date_text").alias("date_text"), F.col("_nav_text").alias("nav_text"))
+
+
 @register(
     "parse_nav_date",
     f"WITH {RAW_NAV_CTE} SELECT scheme_code, strftime(nav_date, '%d-%m-%Y') AS padded_text, "

@@ -71,13 +71,22 @@ def scheme_name(code) -> F.Column:
     return F.concat(F.lit("Scheme "), code.cast("string"))
 
 
-def land_nav_documents(nav: DataFrame, path: str) -> None:
+def land_nav_documents(nav: DataFrame, path: str, year_end_unavailable: bool = False) -> None:
     """One NAV document per scheme and calendar year (JSON Lines), items
-    newest first, dates as ``dd-MM-yyyy`` text and NAVs as text."""
+    newest first, dates as ``dd-MM-yyyy`` text and NAVs as text.
+
+    With ``year_end_unavailable`` the NAV of every 31 December is published as
+    ``N.A.`` (as a source does for a non-business day), which a lenient
+    ingest must route to quarantine.
+    """
+    text = F.col("nav").cast("string")
+    if year_end_unavailable:
+        year_end = (F.month("nav_date") == 12) & (F.dayofmonth("nav_date") == 31)
+        text = F.when(year_end, F.lit("N.A.")).otherwise(text)
     item = F.struct(
         F.col("nav_date").alias("k"),
         F.date_format("nav_date", "dd-MM-yyyy").alias("date"),
-        F.col("nav").cast("string").alias("nav"),
+        text.alias("nav"),
     )
     docs = nav.groupBy("scheme_code", F.year("nav_date").alias("yr")).agg(
         F.sort_array(F.collect_list(item), asc=False).alias("xs")
