@@ -373,6 +373,14 @@ STORED_SCHEME_MAX_ACCTBAL = 1000.0
 _LANDED: dict[tuple[str, str, str], str] = {}
 
 
+def _still_there(path: str) -> bool:
+    if path.startswith("file:"):
+        path = path[len("file:") :]
+    if "://" in path:  # a cluster file system: written earlier by this application
+        return True
+    return os.path.exists(path)
+
+
 def _landed(spark, sf_dir, name, write) -> str:
     """Land a payload derived from the tables once per application and table
     folder (files in the shared folder); later calls read the same files."""
@@ -382,7 +390,7 @@ def _landed(spark, sf_dir, name, write) -> str:
         app = "connect"
     key = (app, sf_dir, name)
     path = _LANDED.get(key)
-    if path is None or not os.path.exists(path):
+    if path is None or not _still_there(path):
         path = shared_dir(spark, "landing", name, unique=True)
         write(path)
         _LANDED[key] = path
