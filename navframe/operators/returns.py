@@ -147,9 +147,11 @@ def single_return(nav: DataFrame, name: str, as_of=None, months: int = P.LOOKBAC
 def return_features(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:
     """The 17-column feature table (lags, moving averages, returns).
 
-    The lags and moving averages are evaluated once, in one ``Window`` node;
-    the returns are a plain projection over the lag columns, so no window
-    expression is evaluated twice.
+    The lags and moving averages are evaluated once, in one ``Window`` node
+    (two for decimal NAVs, where the moving averages are lags of running
+    sums; both nodes share one exchange and one sort). The returns are a plain
+    projection over the lag columns, so no window expression is evaluated
+    twice.
     """
     windowed = _windowed(lookback(nav, as_of, months))
     returns = [
