@@ -59,15 +59,16 @@ def _read(spark: SparkSession, wh: Warehouse, table: str) -> DataFrame:
     return wh.table(table).read(spark)
 
 
-def run_scheme_ingest(spark: SparkSession, landing: str, wh: Warehouse) -> DataFrame:
-    """Landed scheme-list pages -> new rows appended to ``schemes``."""
+def run_scheme_ingest(spark: SparkSession, landing: str, wh: Warehouse) -> int:
+    """Landed scheme-list pages -> new rows appended to ``schemes``;
+    returns the number appended."""
     parsed = J.parse_scheme_list(J.read_scheme_pages(spark, landing))
     return W.append_new(
         spark, parsed, wh.table("schemes"), ingest.SCHEME_KEYS, order=["page", "pos"], schema=S.SCHEMES
     )
 
 
-def run_nav_ingest(spark: SparkSession, landing: str, wh: Warehouse, strict: bool = False) -> DataFrame:
+def run_nav_ingest(spark: SparkSession, landing: str, wh: Warehouse, strict: bool = False) -> int:
     """E5: landed NAV documents -> new rows appended to ``raw_nav``.
 
     With ``strict=False`` rows whose date or NAV does not parse go to the
@@ -90,8 +91,9 @@ def run_nav_ingest(spark: SparkSession, landing: str, wh: Warehouse, strict: boo
         docs.unpersist()
 
 
-def run_daily_returns(spark: SparkSession, wh: Warehouse, as_of=None) -> DataFrame:
-    """Features over the lookback, appended for keys not stored yet."""
+def run_daily_returns(spark: SparkSession, wh: Warehouse, as_of=None) -> int:
+    """Features over the lookback, appended for keys not stored yet;
+    returns the number appended."""
     nav = _read(spark, wh, "raw_nav").select("scheme_code", "nav_date", "nav")
     feats = returns.return_features(nav, as_of)
     in_range = F.col("nav_date") >= lookback_start(as_of, P.LOOKBACK_MONTHS)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,11 +63,12 @@ def append_new(
     order: Sequence[str] | None = None,
     schema: T.StructType | None = None,
     stored_filter=None,
-) -> DataFrame:
+) -> int:
     """K3/K4/E1 load: append only rows whose key is not stored yet.
 
     With ``order`` given, duplicates inside the batch are resolved first by
-    payload order (first write wins). Returns the delta that was appended.
+    payload order (first write wins). Returns the number of rows appended,
+    observed while writing (no second pass over the data).
     Stored rows are never rewritten, so a late NAV for an old date does not
     recompute features of later rows already stored. Re-running the same
     batch appends nothing, which makes retries and stream replays safe.
@@ -86,8 +87,9 @@ def append_new(
     else:
         nothing_stored = spark.createDataFrame([], df.select(*keys).schema)
         delta = dedup_new_rows(df, nothing_stored, keys, order) if order else df
-    table.write(_prepare(delta, schema, None), "append")
-    return delta
+    obs = Observation("append_new")
+    table.write(_prepare(delta, schema, None).observe(obs, F.count(F.lit(1)).alias("rows")), "append")
+    return int(obs.get["rows"])
 
 
 # ---- JDBC ------------------------------------------------------------------

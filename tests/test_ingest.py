@@ -107,15 +107,14 @@ def test_rerun_appends_nothing_and_late_nav(spark, tmp_dir):
     nav = series(spark, [float(10 + i) for i in range(9)], dates=dates)
     as_of = dt.date(2024, 2, 1)
     path = os.path.join(tmp_dir, "daily_returns")
-    first = W.append_new(spark, R.return_features(nav, as_of), path, keys)
-    assert first.count() == 9
+    assert W.append_new(spark, R.return_features(nav, as_of), path, keys) == 9
     # rerun on the same input appends 0 rows
-    W.append_new(spark, R.return_features(nav, as_of), path, keys)
+    assert W.append_new(spark, R.return_features(nav, as_of), path, keys) == 0
     assert spark.read.parquet(path).count() == 9
     before = {r["nav_date"]: r["prev_day_nav"] for r in spark.read.parquet(path).collect()}
     # a late NAV for the missing day: one row appended, later rows unchanged
     late = nav.unionByName(series(spark, [99.0], dates=[d0 + dt.timedelta(days=3)]))
-    W.append_new(spark, R.return_features(late, as_of), path, keys)
+    assert W.append_new(spark, R.return_features(late, as_of), path, keys) == 1
     after = {r["nav_date"]: r["prev_day_nav"] for r in spark.read.parquet(path).collect()}
     assert len(after) == 10
     assert after[d0 + dt.timedelta(days=4)] == before[d0 + dt.timedelta(days=4)] == 12.0
