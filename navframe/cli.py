@@ -36,6 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("job", choices=JOBS)
     p.add_argument("--warehouse", help="root folder of the pipeline tables")
     p.add_argument("--buckets", type=int, default=None, help="bucket keyed tables by scheme_code")
+    p.add_argument("--year-partitioned", action="store_true", help="partition dated tables by year")
     p.add_argument("--scheme-landing", help="folder of landed scheme-list pages")
     p.add_argument("--nav-landing", help="folder of landed NAV documents (JSON Lines)")
     p.add_argument("--landing", help="folder of landed files for weather / people / csv jobs")
@@ -50,7 +51,7 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     spark = get_session(a.master, app_name=f"navframe-{a.job}")
-    wh = jobs.Warehouse(a.warehouse, buckets=a.buckets) if a.warehouse else None
+    wh = jobs.Warehouse(a.warehouse, buckets=a.buckets, year_partitioned=a.year_partitioned) if a.warehouse else None
     if a.job == "pipeline":
         jobs.run_pipeline(spark, a.scheme_landing, a.nav_landing, wh, a.as_of)
     elif a.job == "schemes":

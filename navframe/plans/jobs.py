@@ -42,6 +42,7 @@ class Warehouse:
 
     root: str
     buckets: int | None = None
+    year_partitioned: bool = False
     prefix: str = "navframe_"
 
     def path(self, table: str) -> str:
@@ -52,11 +53,13 @@ class Warehouse:
         if keys is None:
             return Table(path=self.path(table))
         name = f"{self.prefix}{table}" if self.buckets else None
-        return keyed_table(self.path(table), keys, name=name, buckets=self.buckets)
+        return keyed_table(
+            self.path(table), keys, name=name, buckets=self.buckets, year_partitioned=self.year_partitioned
+        )
 
 
-def _read(spark: SparkSession, wh: Warehouse, table: str) -> DataFrame:
-    return wh.table(table).read(spark)
+def _read(spark: SparkSession, wh: Warehouse, table: str, since=None) -> DataFrame:
+    return wh.table(table).read(spark, since=since)
 
 
 def run_scheme_ingest(spark: SparkSession, landing: str, wh: Warehouse) -> int:
@@ -94,17 +97,17 @@ def run_nav_ingest(spark: SparkSession, landing: str, wh: Warehouse, strict: boo
 def run_daily_returns(spark: SparkSession, wh: Warehouse, as_of=None) -> int:
     """Features over the lookback, appended for keys not stored yet;
     returns the number appended."""
-    nav = _read(spark, wh, "raw_nav").select("scheme_code", "nav_date", "nav")
+    start = lookback_start(as_of, P.LOOKBACK_MONTHS)
+    nav = _read(spark, wh, "raw_nav", since=start).select("scheme_code", "nav_date", "nav")
     feats = returns.return_features(nav, as_of)
-    in_range = F.col("nav_date") >= lookback_start(as_of, P.LOOKBACK_MONTHS)
     return W.append_new(
-        spark, feats, wh.table("daily_returns"), ["scheme_code", "nav_date"], schema=S.DAILY_RETURNS, stored_filter=in_range
+        spark, feats, wh.table("daily_returns"), ["scheme_code", "nav_date"], schema=S.DAILY_RETURNS, stored_since=start
     )
 
 
 def run_scheme_metrics(spark: SparkSession, wh: Warehouse, as_of=None) -> None:
     """Fused metrics over the stored daily returns, table overwritten."""
-    dr = _read(spark, wh, "daily_returns")
+    dr = _read(spark, wh, "daily_returns", since=lookback_start(as_of, P.LOOKBACK_MONTHS))
     W.overwrite(metrics.scheme_metrics(dr, as_of), wh.table("scheme_metrics"), S.SCHEME_METRICS)
 
 

@@ -1,10 +1,16 @@
-"""A table at rest: a Parquet folder, optionally a bucketed catalog table.
+"""A table at rest: a Parquet folder, optionally a bucketed catalog table,
+optionally partitioned by the year of its date.
 
 Bucketing the NAV tables by ``scheme_code`` (same bucket count everywhere)
 makes the scan itself hash-partitioned on the key the windows, the metric
 aggregate and the enrichment join use, so E1, E2 and E3 plan with no
-exchange at all; only a per-bucket sort remains for the windows. Without a
-bucket count the table is a plain Parquet folder, files sorted by key.
+exchange at all; only a per-bucket sort remains for the windows.
+
+Partitioning by ``nav_year`` (derived from ``nav_date`` on write, dropped on
+read) lets a reader that only needs the lookback skip whole years of history
+before any file is opened. Files are sorted by ``(scheme_code, nav_date)``,
+so Parquet row-group statistics on the date cannot do that. Readers pass
+``since=`` to get the pruning; the result never includes the helper column.
 """
 
 from __future__ import annotations
@@ -12,7 +18,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+YEAR_COL = "nav_year"
+DATE_COL = "nav_date"
 
 
 @dataclass(frozen=True)
@@ -22,6 +32,7 @@ class Table:
     bucket_by: str | None = None
     buckets: int | None = None
     sort_by: tuple[str, ...] = field(default_factory=tuple)
+    year_partitioned: bool = False
 
     @property
     def bucketed(self) -> bool:
@@ -36,13 +47,25 @@ class Table:
         except Exception:
             return False
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.table(self.name) if self.name else spark.read.parquet(self.path)
+    def read(self, spark: SparkSession, since=None) -> DataFrame:
+        """The table; with ``since`` (a date or date Column) and a
+        year-partitioned table, only the years from ``since`` on are read."""
+        df = spark.table(self.name) if self.name else spark.read.parquet(self.path)
+        if self.year_partitioned:
+            if since is not None:
+                start = since if isinstance(since, Column) else F.lit(since).cast("date")
+                df = df.filter(F.col(YEAR_COL) >= F.year(start))
+            df = df.drop(YEAR_COL)
+        return df
 
     def write(self, df: DataFrame, mode: str) -> None:
+        if self.year_partitioned:
+            df = df.withColumn(YEAR_COL, F.year(DATE_COL))
         if self.sort_by and not self.bucketed:
             df = df.sortWithinPartitions(*self.sort_by)
         w = df.write.mode(mode).format("parquet")
+        if self.year_partitioned:
+            w = w.partitionBy(YEAR_COL)
         if not self.name:
             w.save(self.path)
             return
@@ -59,6 +82,15 @@ def keyed_table(
     keys: Sequence[str],
     name: str | None = None,
     buckets: int | None = None,
+    year_partitioned: bool = False,
 ) -> Table:
-    """A NAV-keyed table: bucketed by the first key, sorted by all keys."""
-    return Table(path=path, name=name, bucket_by=keys[0] if buckets else None, buckets=buckets, sort_by=tuple(keys))
+    """A NAV-keyed table: bucketed by the first key, sorted by all keys, and
+    (for tables keyed by date) optionally partitioned by the year."""
+    return Table(
+        path=path,
+        name=name,
+        bucket_by=keys[0] if buckets else None,
+        buckets=buckets,
+        sort_by=tuple(keys),
+        year_partitioned=year_partitioned and DATE_COL in keys,
+    )

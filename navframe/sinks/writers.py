@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +63,7 @@ def append_new(
     order: Sequence[str] | None = None,
     schema: T.StructType | None = None,
     stored_filter=None,
+    stored_since=None,
 ) -> int:
     """K3/K4/E1 load: append only rows whose key is not stored yet.
 
@@ -73,14 +74,19 @@ def append_new(
     recompute features of later rows already stored. Re-running the same
     batch appends nothing, which makes retries and stream replays safe.
 
-    ``stored_filter`` (a Column) limits the stored keys read for the
-    anti-join when the incoming rows are known to lie in a range (E1 only
+    ``stored_since`` (a date or date Column) limits the stored keys read for
+    the anti-join when the incoming rows are known to start there (E1 only
     produces rows inside the lookback), so the weekly delta does not scan
-    every stored key; the predicate reaches the Parquet scan.
+    every stored key. Year-partitioned tables skip whole years, and the
+    date predicate reaches the Parquet scan. ``stored_filter`` adds any
+    other predicate.
     """
     table = _target(target, keys)
     if table.exists(spark):
-        stored = table.read(spark)
+        stored = table.read(spark, since=stored_since)
+        if stored_since is not None:
+            start = stored_since if isinstance(stored_since, Column) else F.lit(stored_since).cast("date")
+            stored = stored.filter(F.col("nav_date") >= start)
         if stored_filter is not None:
             stored = stored.filter(stored_filter)
         delta = dedup_new_rows(df, stored, keys, order) if order else new_rows(df, stored, keys)
