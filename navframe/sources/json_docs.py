@@ -215,3 +215,13 @@ def people_messages(docs: DataFrame, greeting: str = P.PEOPLE_GREETING) -> DataF
             "message"
         ),
     )
+
+
+def people_in_space(docs: DataFrame) -> DataFrame:
+    """The reported head count (sum of ``number`` over the documents) next
+    to the number of people actually listed."""
+    listed = F.size(F.coalesce(F.col("people"), F.array()))
+    return docs.agg(
+        F.sum("number").cast("bigint").alias("number_of_people"),
+        F.sum(listed).cast("bigint").alias("people_listed"),
+    )

@@ -152,6 +152,8 @@ def test_people_fallback(spark, tmp_dir):
     msgs = J.people_messages(J.read_people(spark, os.path.join(tmp_dir, "missing"))).collect()
     assert len(msgs) == 12
     assert msgs[0]["message"] == "Oleg Kononenko is currently in space flying on the ISS! Hello! :)"
+    n = J.people_in_space(J.read_people(spark, None)).collect()[0]
+    assert (n["number_of_people"], n["people_listed"]) == (12, 12)
 
 
 def test_weather_flatten(spark, tmp_dir):
