@@ -549,6 +549,16 @@ def q_people_explode(spark, sf_dir):
     return J.people_messages(J.read_people(spark, path))
 
 
+@register(
+    "people_count",
+    "SELECT CAST(COUNT(*) AS BIGINT) AS number_of_people, CAST(COUNT(*) AS BIGINT) AS people_listed FROM customer",
+    "S8: head count reported by the documents next to the people listed",
+)
+def q_people_count(spark, sf_dir):
+    path = _landed(spark, sf_dir, "people", lambda p: L.land_people(T.read_table(spark, sf_dir, "customer"), p))
+    return J.people_in_space(J.read_people(spark, path))
+
+
 @register(
     "csv_scan",
     "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, "
