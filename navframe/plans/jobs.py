@@ -23,6 +23,7 @@ from navframe import params as P
 from navframe import schemas as S
 from navframe.functions.dates import lookback_start
 from navframe.operators import enrich, ingest, metrics, returns
+from navframe.operators.joins import broadcast_if_small
 from navframe.sinks import writers as W
 from navframe.sinks.table import Table, keyed_table
 from navframe.sources import csv as CSV
@@ -71,12 +72,17 @@ def run_scheme_ingest(spark: SparkSession, landing: str, wh: Warehouse) -> int:
     )
 
 
-def run_nav_ingest(spark: SparkSession, landing: str, wh: Warehouse, strict: bool = False) -> int:
+def run_nav_ingest(
+    spark: SparkSession, landing: str, wh: Warehouse, strict: bool = False, known_schemes_only: bool = True
+) -> int:
     """E5: landed NAV documents -> new rows appended to ``raw_nav``.
 
     With ``strict=False`` rows whose date or NAV does not parse go to the
     ``raw_nav_quarantine`` table instead of failing the batch, and malformed
-    documents to ``nav_documents_corrupt``.
+    documents to ``nav_documents_corrupt``. With ``known_schemes_only`` (and
+    a stored ``schemes`` table) only NAVs of listed schemes are kept, as NAV
+    histories are fetched for listed schemes only. This is a left-semi join
+    on the key, broadcast when the scheme list passes the size check.
     """
     # parsed once, used by up to three writes; lost partitions are re-read
     # from the landed files
@@ -84,6 +90,10 @@ def run_nav_ingest(spark: SparkSession, landing: str, wh: Warehouse, strict: boo
     try:
         rows = J.explode_nav_documents(docs, strict=strict)
         valid, bad = J.split_quarantine(rows)
+        schemes = wh.table("schemes")
+        if known_schemes_only and schemes.exists(spark):
+            listed = schemes.read(spark).select("scheme_code")
+            valid = valid.join(broadcast_if_small(listed), "scheme_code", "left_semi")
         if not strict:
             W.append(bad, wh.path("raw_nav_quarantine"))
             W.append(J.corrupt_documents(docs), wh.path("nav_documents_corrupt"))

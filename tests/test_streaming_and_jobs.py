@@ -172,3 +172,14 @@ def test_year_partitioned_pipeline_prunes_history(spark, tmp_dir):
     assert "PartitionFilters: [isnotnull(nav_year" in plan
     # rerun appends nothing; the stored side is read from the lookback years only
     assert jobs.run_daily_returns(spark, part, AS_OF) == 0
+
+
+def test_nav_ingest_keeps_listed_schemes_only(spark, tmp_dir):
+    wh = jobs.Warehouse(os.path.join(tmp_dir, "wh"))
+    spark.createDataFrame([(1, "A", None, None)], "scheme_code bigint, scheme_name string, isin_growth string, isin_div_reinvestment string").write.parquet(wh.path("schemes"))
+    land = os.path.join(tmp_dir, "nav")
+    os.makedirs(land)
+    with open(os.path.join(land, "a.json"), "w") as f:
+        f.write(_doc(1, [("01-01-2024", "10")]) + "\n" + _doc(2, [("01-01-2024", "20")]) + "\n")
+    assert jobs.run_nav_ingest(spark, land, wh) == 1
+    assert [r["scheme_code"] for r in spark.read.parquet(wh.path("raw_nav")).collect()] == [1]
