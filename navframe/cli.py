@@ -80,8 +80,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.job == "stream-nav":
         from navframe.streaming.nav_ingest import start_nav_ingest
 
+        schemes = wh.path("schemes") if wh.table("schemes").exists(spark) else None
         start_nav_ingest(
-            spark, a.nav_landing, wh.path("raw_nav"), wh.path("raw_nav_quarantine")
+            spark, a.nav_landing, wh.path("raw_nav"), wh.path("raw_nav_quarantine"), schemes_path=schemes
         ).awaitTermination()
     return 0
 

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from navframe import params as P
 from navframe import schemas as S
 from navframe.operators.ingest import NAV_KEYS
+from navframe.operators.joins import broadcast_if_small
 from navframe.session import shared_dir
 from navframe.sinks.writers import append, append_new
 from navframe.sources.json_docs import explode_nav_documents, parse_nav_documents, split_quarantine
@@ -42,14 +43,21 @@ def start_nav_ingest(
     available_now: bool = True,
     processing_time: str | None = None,
     nav_type: str = P.NAV_DECIMAL,
+    schemes_path: str | None = None,
 ) -> StreamingQuery:
-    """Start the ingest stream; returns the running query."""
+    """Start the ingest stream; returns the running query.
+
+    With ``schemes_path`` (a stored scheme list) only NAVs of listed schemes
+    are appended, as in the batch ingest."""
     docs = nav_document_stream(spark, landing_path)
     rows = explode_nav_documents(docs, nav_type=nav_type, strict=False)
     checkpoint_path = checkpoint_path or shared_dir(spark, "streams", "nav_ingest", unique=True)
 
     def _batch(batch: DataFrame, epoch_id: int) -> None:
         valid, bad = split_quarantine(batch)
+        if schemes_path is not None:
+            listed = batch.sparkSession.read.parquet(schemes_path).select("scheme_code")
+            valid = valid.join(broadcast_if_small(listed), "scheme_code", "left_semi")
         append_new(batch.sparkSession, valid, raw_nav_path, NAV_KEYS, order=["source", "pos"], schema=S.RAW_NAV)
         if quarantine_path is not None:
             append(bad.withColumn("epoch_id", F.lit(epoch_id)), quarantine_path)

@@ -31,7 +31,9 @@ def test_stream_ingest_is_keyed_and_idempotent(spark, tmp_dir):
         f.write(_doc(1, [("01-01-2024", "10"), ("02-01-2024", "11"), ("02-01-2024", "12")]) + "\n")
         f.write(_doc(2, [("01-01-2024", "bad"), ("05-01-2024", "3.5")]) + "\n")
     ckpt = os.path.join(tmp_dir, "ckpt")
-    q = start_nav_ingest(spark, land, raw, quarantine, checkpoint_path=ckpt)
+    schemes = os.path.join(tmp_dir, "schemes")
+    spark.createDataFrame([(1,), (2,)], "scheme_code bigint").write.parquet(schemes)
+    q = start_nav_ingest(spark, land, raw, quarantine, checkpoint_path=ckpt, schemes_path=schemes)
     q.awaitTermination(120)
     got = {(r["scheme_code"], r["nav_date"]): r["nav"] for r in spark.read.parquet(raw).collect()}
     assert got == {
