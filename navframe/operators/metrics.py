@@ -36,7 +36,7 @@ def _in_lookback(df: DataFrame, as_of, months: int) -> DataFrame:
     return df.filter(F.col("nav_date") >= lookback_start(as_of, months))
 
 
-def filtered_nav(daily_returns: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:
+def nav_in_lookback(daily_returns: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:
     """F2 + F4: NAV rows inside the lookback with a non-NULL NAV."""
     return _in_lookback(daily_returns, as_of, months).filter(F.col("nav").isNotNull()).select(
         KEY, "nav_date", "nav"
@@ -51,7 +51,7 @@ def valid_schemes(
 ) -> DataFrame:
     """A2 + F8: schemes with at least ``min_records`` NAV rows in the lookback."""
     return (
-        filtered_nav(daily_returns, as_of, months)
+        nav_in_lookback(daily_returns, as_of, months)
         .groupBy(KEY)
         .agg(F.count(F.lit(1)).alias("total_records"))
         .filter(F.col("total_records") >= min_records)
@@ -70,7 +70,7 @@ def valid_scheme_nav(
     :func:`valid_schemes`: same rows, one exchange, and the partitioning is
     shared with the row-number windows of :func:`ranked_nav`.
     """
-    base = filtered_nav(daily_returns, as_of, months)
+    base = nav_in_lookback(daily_returns, as_of, months)
     n = F.count(F.lit(1)).over(_whole_scheme())
     return base.withColumn("_n", n).filter(F.col("_n") >= min_records).drop("_n")
 
@@ -123,7 +123,7 @@ def first_last_nav(
     so there are no ties.
     """
     return (
-        filtered_nav(daily_returns, as_of, months)
+        nav_in_lookback(daily_returns, as_of, months)
         .groupBy(KEY)
         .agg(F.count(F.lit(1)).alias("_n"), *_first_last_aggs())
         .filter(F.col("_n") >= min_records)
