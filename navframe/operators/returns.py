@@ -165,13 +165,29 @@ def return_features(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS)
 
 
 def daily_return_5y(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_5Y_MONTHS) -> DataFrame:
-    """Lag over the *whole* history, then keep the last ``months``.
-
-    Unlike :func:`lookback`, the date filter sits above the window, so the first
-    row inside the range carries the NAV of the row before it. Catalyst keeps
-    the filter above the ``Window`` because it is not on the partition key.
+    """Daily return with the lag taken over the *whole* history, rows of
+    the last ``months`` kept.
+
+    Unlike :func:`lookback`, the date filter applies after the lag, so the
+    first row inside the range carries the NAV of the row before it, however
+    old. Computing that without shuffling and sorting the entire history: the
+    window runs over the range only, and each scheme's first row in range
+    takes its previous NAV from ``max_by(nav, nav_date)`` over the older rows.
+    That is a partially aggregated scan, one row per scheme, joined on the key
+    (broadcast when it passes the size check). The result equals a lag over
+    the full history followed by the filter.
     """
-    prev = F.lag("nav", 1).over(nav_window())
-    feat = nav.select(*_keys(nav), prev.alias("prev_nav"))
-    feat = feat.withColumn("daily_return_pct", pct_change(F.col("nav"), F.col("prev_nav")))
-    return feat.filter(F.col(ORDER) >= F.add_months(as_of_col(as_of), -int(months)))
+    from navframe.operators.joins import broadcast_if_small
+
+    start = F.add_months(as_of_col(as_of), -int(months))
+    recent = nav.filter(F.col(ORDER) >= start).select(*_keys(nav))
+    carry = (
+        nav.filter(F.col(ORDER) < start)
+        .groupBy(KEY)
+        .agg(F.max_by("nav", ORDER).alias("_carry"))
+    )
+    x = recent.join(broadcast_if_small(carry), KEY, "left")
+    w = nav_window()
+    prev = F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(F.lag("nav", 1).over(w))
+    feat = x.select(*_keys(x), prev.alias("prev_nav"))
+    return feat.select(*feat.columns, pct_change(F.col("nav"), F.col("prev_nav")).alias("daily_return_pct"))
