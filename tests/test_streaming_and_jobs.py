@@ -185,3 +185,17 @@ def test_nav_ingest_keeps_listed_schemes_only(spark, tmp_dir):
         f.write(_doc(1, [("01-01-2024", "10")]) + "\n" + _doc(2, [("01-01-2024", "20")]) + "\n")
     assert jobs.run_nav_ingest(spark, land, wh) == 1
     assert [r["scheme_code"] for r in spark.read.parquet(wh.path("raw_nav")).collect()] == [1]
+
+
+def test_cli_reports(spark, tmp_dir, capsys):
+    from navframe import cli
+
+    land = os.path.join(tmp_dir, "nav")
+    landing.land_nav_documents(T.load_nav(spark, SF), land)
+    wh = os.path.join(tmp_dir, "wh")
+    assert cli.main(["nav", "--nav-landing", land, "--warehouse", wh]) == 0
+    assert cli.main(["count", "--table", os.path.join(wh, "raw_nav")]) == 0
+    assert cli.main(["people", "--landing", os.path.join(tmp_dir, "nothing-landed")]) == 0
+    out = capsys.readouterr().out
+    assert str(T.load_nav(spark, SF).count()) in out
+    assert "Ye Guangfu is currently in space flying on the Tiangong! Hello! :)" in out
