@@ -92,9 +92,12 @@ WEATHER = T.StructType(
 
 # ---- landed payloads -------------------------------------------------------
 
+# Codes are read as text: a payload may carry them as JSON numbers or as
+# strings, and Spark keeps a number's literal text for a string field. They
+# are converted with try_cast on parse.
 SCHEME_LIST_ITEM = T.StructType(
     [
-        _f("schemeCode", T.LongType()),
+        _f("schemeCode", T.StringType()),
         _f("schemeName", T.StringType()),
         _f("isinGrowth", T.StringType()),
         _f("isinDivReinvestment", T.StringType()),
@@ -108,7 +111,7 @@ NAV_DOCUMENT = T.StructType(
             "meta",
             T.StructType(
                 [
-                    _f("scheme_code", T.LongType()),
+                    _f("scheme_code", T.StringType()),
                     _f("fund_house", T.StringType()),
                     _f("scheme_name", T.StringType()),
                 ]

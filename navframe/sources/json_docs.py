@@ -27,6 +27,12 @@ from navframe.functions.dates import parse_day_first
 CORRUPT = "_corrupt_record"
 
 
+def _code(path: str):
+    """A scheme code given as a JSON number or string -> bigint (NULL if not
+    a whole number, so the row is dropped or quarantined as a NULL key)."""
+    return F.expr(f"try_cast(trim({path}) AS BIGINT)")
+
+
 # ---- scheme list (S5, P1) --------------------------------------------------
 
 
@@ -46,7 +52,7 @@ def parse_scheme_list(pages: DataFrame, value_col: str = "value") -> DataFrame:
     """
     items = pages.select("page", F.posexplode(F.from_json(value_col, S.SCHEME_LIST)).alias("pos", "item"))
     return items.select(
-        F.col("item.schemeCode").alias("scheme_code"),
+        _code("item.schemeCode").alias("scheme_code"),
         F.col("item.schemeName").alias("scheme_name"),
         F.col("item.isinGrowth").alias("isin_growth"),
         F.col("item.isinDivReinvestment").alias("isin_div_reinvestment"),
@@ -102,7 +108,7 @@ def explode_nav_documents(
         docs = docs.withColumn("source", F.lit(None).cast("string"))
     good = docs.filter(F.col(CORRUPT).isNull())
     items = good.select(
-        F.col("meta.scheme_code").alias("scheme_code"),
+        _code("meta.scheme_code").alias("scheme_code"),
         F.col("meta.fund_house").alias("fund_house"),
         F.col("meta.scheme_name").alias("scheme_name"),
         "source",

@@ -164,3 +164,15 @@ def test_weather_flatten(spark, tmp_dir):
     )
     r = J.flatten_weather(J.read_weather(spark, tmp_dir)).collect()[0]
     assert (r["latitude"], r["longitude"], r["temperature"], r["weathercode"]) == (51.5074, -0.1278, 11.5, 2)
+
+
+def test_codes_as_numbers_or_strings(spark, tmp_dir):
+    p1 = os.path.join(tmp_dir, "pages", "page=1")
+    _write_lines(p1, "x.json", ['[{"schemeCode": 5, "schemeName": "A"}, {"schemeCode": "6", "schemeName": "B"}, {"schemeCode": "x"}]'])
+    rows = J.parse_scheme_list(J.read_scheme_pages(spark, os.path.join(tmp_dir, "pages"))).collect()
+    got = sorted(((r["scheme_code"], r["scheme_name"]) for r in rows), key=lambda t: (t[0] is not None, t[0] or 0))
+    assert got == [(None, None), (5, "A"), (6, "B")]
+    docs = os.path.join(tmp_dir, "docs")
+    _write_lines(docs, "a.json", ['{"meta": {"scheme_code": "7"}, "data": [{"date": "01-01-2024", "nav": 1.5}]}'])
+    r = _read_docs(spark, docs).collect()[0]
+    assert r["scheme_code"] == 7 and str(r["nav"]) == "1.500000"
