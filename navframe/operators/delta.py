@@ -26,18 +26,25 @@ def _not_null(keys: Sequence[str]) -> Column:
     return cond
 
 
-def first_write_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """One row per key: the one with the smallest ``order`` (payload order)."""
+def first_write_wins(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], keep_order: bool = True
+) -> DataFrame:
+    """One row per key: the one with the smallest ``order`` (payload order).
+
+    With ``keep_order=False`` the ordering columns are dropped from the result
+    and are not carried in the aggregated value, so they are shuffled once
+    (in the ordering) rather than twice.
+    """
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
+    order_names = [o for o in order if isinstance(o, str)]
+    rest = [c for c in df.columns if c not in keys and (keep_order or c not in order_names)]
     if not rest:
         return df.select(*keys).distinct()
     ordering = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
     packed = F.struct(*[F.col(c) for c in rest])
     best = df.groupBy(*keys).agg(F.min_by(packed, ordering).alias("_w"))
-    return best.select(*[F.col(k) for k in keys], *[F.col(f"_w.{c}").alias(c) for c in rest]).select(
-        *df.columns
-    )
+    out_cols = [c for c in df.columns if c in keys or c in rest]
+    return best.select(*[F.col(k) for k in keys], *[F.col(f"_w.{c}").alias(c) for c in rest]).select(*out_cols)
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,7 +62,5 @@ def dedup_new_rows(
 ) -> DataFrame:
     """K3/K4 semantics: first write wins inside the batch, stored keys win
     over the batch. Ordering columns are dropped from the result."""
-    order_names = [o for o in order if isinstance(o, str)]
-    deduped = first_write_wins(incoming.filter(_not_null(keys)), keys, order)
-    out = new_rows(deduped, stored, keys)
-    return out.drop(*[c for c in order_names if c not in keys])
+    deduped = first_write_wins(incoming.filter(_not_null(keys)), keys, order, keep_order=False)
+    return new_rows(deduped, stored, keys)

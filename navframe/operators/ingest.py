@@ -16,9 +16,7 @@ NAV_KEYS = ["scheme_code", "nav_date"]
 
 def distinct_schemes(parsed: DataFrame) -> DataFrame:
     """One row per scheme code, the first in payload order (page, pos)."""
-    return first_write_wins(parsed.filter("scheme_code IS NOT NULL"), SCHEME_KEYS, ["page", "pos"]).drop(
-        "page", "pos"
-    )
+    return first_write_wins(parsed.filter("scheme_code IS NOT NULL"), SCHEME_KEYS, ["page", "pos"], keep_order=False)
 
 
 def new_schemes(parsed: DataFrame, stored: DataFrame) -> DataFrame:
@@ -32,5 +30,6 @@ def new_nav_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     ``rows`` comes from :func:`navframe.sources.json_docs.explode_nav_documents`
     (payload order = source file, then position in ``data``).
     """
-    out = dedup_new_rows(rows, stored, NAV_KEYS, ["source", "pos"])
-    return out.drop(*[c for c in ("_date_text", "_nav_text") if c in out.columns])
+    # the raw texts only matter for quarantine, which happens before
+    slim = rows.drop(*[c for c in ("_date_text", "_nav_text") if c in rows.columns])
+    return dedup_new_rows(slim, stored, NAV_KEYS, ["source", "pos"])
