@@ -12,9 +12,10 @@ DEFAULT_BROADCAST_BYTES = 10 * 1024 * 1024
 def estimated_size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df``'s optimised plan, or None.
 
-    For a file scan this is the on-disk size of the files read after pruning;
-    for derived plans it is Catalyst's upper-bound style estimate, never a
-    count of the data (no job runs).
+    For a file scan this is the on-disk (compressed) size of the files read
+    after pruning, the same basis Spark's own broadcast threshold uses. For
+    derived plans it is Catalyst's estimate, which filters and aggregates
+    never increase. It is never a count of the data (no job runs).
     """
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
@@ -23,10 +24,22 @@ def estimated_size_bytes(df: DataFrame) -> int | None:
         return None
 
 
+_UNITS = {"": 1, "b": 1, "k": 1024, "kb": 1024, "m": 1024**2, "mb": 1024**2, "g": 1024**3, "gb": 1024**3}
+
+
+def parse_bytes(text: str) -> int:
+    """Spark byte strings: ``10485760``, ``10485760b``, ``64m``, ``64MB``, ``1g``, ``-1``."""
+    t = str(text).strip().lower()
+    num = t.rstrip("kmgb")
+    return int(float(num) * _UNITS[t[len(num):]])
+
+
 def broadcast_threshold(df: DataFrame) -> int:
+    """The session's ``spark.sql.autoBroadcastJoinThreshold`` in bytes (0 when
+    broadcasts are disabled with a negative value)."""
     try:
         v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", None)
-        n = int(str(v).lower().replace("b", "")) if v is not None else DEFAULT_BROADCAST_BYTES
+        n = parse_bytes(v) if v is not None else DEFAULT_BROADCAST_BYTES
         return n if n > 0 else 0
     except Exception:
         return DEFAULT_BROADCAST_BYTES

@@ -35,3 +35,21 @@ def test_size_estimate_and_broadcast_check(spark):
     small = broadcast_if_small(sup)
     assert small is not sup  # hinted
     assert broadcast_if_small(sup, max_bytes=10) is sup  # beyond the bound: unchanged
+
+
+def test_parse_bytes_and_threshold(spark):
+    from navframe.operators.joins import broadcast_threshold, parse_bytes
+
+    assert parse_bytes("10485760b") == 10485760
+    assert parse_bytes("64MB") == 64 * 1024**2
+    assert parse_bytes("1g") == 1024**3
+    assert parse_bytes("-1") == -1
+    df = spark.range(1)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64MB")
+        assert broadcast_threshold(df) == 64 * 1024**2
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert broadcast_threshold(df) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
