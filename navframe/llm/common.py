@@ -8,6 +8,7 @@ character is at least 0x80.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -100,6 +101,29 @@ def window_hashes(words: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
     return mix((prefix[length:] - prefix[:n]) * down[:n], lane + 21)
 
 
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of each slice of a sequence of word hashes."""
+    up, down = _WORD_POWERS[lane].upto(len(words) + 1)
+    prefix = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * up[: len(words)], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * down[starts], lane + 31)
+
+
+def covered(length: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``length`` positions lie in any of the slices."""
+    steps = np.zeros(length + 1, dtype=np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, ends, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def slices(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true flags."""
+    steps = np.diff(flags.astype(np.int8), prepend=0, append=0)
+    turns = np.flatnonzero(steps)
+    return turns[::2], turns[1::2]
+
+
 # -- Arrow -------------------------------------------------------------------------
 
 
@@ -121,6 +145,16 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in schema.fields])
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from any working
+    directory; a cluster gets it with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str | T.StructType, make: Callable) -> DataFrame:
     """``mapInArrow`` over some columns only.
 
@@ -139,6 +173,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str | T.StructType, make
                     [_array(columns_[field.name], field.type) for field in out], schema=out
                 )
 
+    on_workers(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
 
 

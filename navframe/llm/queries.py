@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navframe.llm import bitplane, bpe
+from navframe.llm import bitplane, bpe, contamination, licenses, oracles, pii, quality
 from navframe.llm.common import table
 
 
@@ -22,20 +22,58 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count_kind(kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS],
+        F.sha2(pii.joined_spans(pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.joined_spans(pii.KINDS).alias("spans"),
+    )
+
+
 def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bitplane.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return bitplane.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("spans", "template_spans")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hits = F.aggregate(F.arrays_zip("hit_starts", "hit_ends"), F.lit(0).cast("bigint"), lambda n, s: n + s["hit_ends"] - s["hit_starts"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hits.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.size("hit_starts") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii_anchors": op2_pii_anchors,
     "op4_bitplane_tokens": op4_bitplane_tokens,
+    "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_line_quality": op7_line_quality,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_quality": oracles.OP7.format(max_texts=quality.MAX_TEXTS),
+    "op8_decontamination": oracles.OP8,
+}
