@@ -159,9 +159,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
 
     def make_ids():
         def run(batch: pa.RecordBatch):
-            texts = [(t or b"").decode("utf-8", "replace") for t in common.text_bytes(batch.column(1))]
+            texts = common.text_bytes(batch.column(1))
             for a, b in bpe.chunks(texts):
-                ids = [np.append(x, end_id) for x in encode_texts(texts[a:b], tokenizer_path)]
+                ids = [np.append(x, end_id) for x in encode_texts(bpe.decoded(texts[a:b]), tokenizer_path)]
                 doc_ids = batch.column(0).slice(a, b - a)
                 yield {
                     "part": np.searchsorted(bounds, [d if d is not None else -(2**63) for d in doc_ids.to_pylist()], side="right"),

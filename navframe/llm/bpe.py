@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 
 from navframe.llm import common, pretoken
 
-#: characters of text handled at once
-CHUNK_CHARS = 1 << 20
+#: characters (for the operators: bytes) of text handled at once
+CHUNK_CHARS = 1 << 18
 #: distinct slices whose ids a Python worker keeps
-CACHE_SLICES = 400_000
+CACHE_SLICES = 250_000
 #: from this length on, merging uses a heap
 HEAP_BYTES = 48
 
@@ -151,14 +151,19 @@ def encode_chunk(texts: list[str], cache: SliceCache) -> list[np.ndarray]:
     return np.split(ids, upto[:-1])
 
 
-def chunks(texts: list[str], most: int = CHUNK_CHARS) -> list[tuple[int, int]]:
-    """Row ranges of at most ``most`` characters, or of one longer text."""
+def decoded(texts: list[bytes | None]) -> list[str]:
+    return [(t or b"").decode("utf-8", "replace") for t in texts]
+
+
+def chunks(texts: list[bytes | None], most: int = CHUNK_CHARS) -> list[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes, or of one longer text."""
     out, begin, total = [], 0, 0
     for i, text in enumerate(texts):
-        if i > begin and total + len(text) > most:
+        size = len(text or b"")
+        if i > begin and total + size > most:
             out.append((begin, i))
             begin, total = i, 0
-        total += len(text)
+        total += size
     return [*out, (begin, len(texts))] if texts else []
 
 
@@ -208,9 +213,9 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         vocab = vocabulary(ranks_path)
 
         def run(batch: pa.RecordBatch):
-            texts = [(t or b"").decode("utf-8", "replace") for t in common.text_bytes(batch.column(1))]
+            texts = common.text_bytes(batch.column(1))
             for a, b in chunks(texts):
-                ids = encode_chunk(texts[a:b], vocab.cache)
+                ids = encode_chunk(decoded(texts[a:b]), vocab.cache)
                 made = {id_col: batch.column(0).slice(a, b - a), "n_tokens": [len(x) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids]}
                 if offsets:
                     made["token_ends"] = common.list_array([np.cumsum(vocab.lengths[x]) for x in ids], pa.int64())

@@ -67,3 +67,21 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(w.n, 0) AS B
        CAST(coalesce(t.n, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256, w.n IS NOT NULL AS contaminated
 FROM docs LEFT JOIN words_hit w USING (rid) LEFT JOIN items_hit t USING (rid)
 """
+
+OP9 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{SPACE_WORD}') AS words FROM documents),
+windows AS (
+  SELECT rid, doc_id, i, array_to_string(words[i:i + 49], ' ') AS w
+  FROM (SELECT rid, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM docs WHERE doc_id IS NOT NULL)),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+gone AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 50)) AS i FROM windows JOIN firsts USING (w) WHERE doc_id > first),
+cut AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM docs) ANTI JOIN gone USING (rid, i)
+  GROUP BY rid)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN cut USING (rid) LEFT JOIN kept USING (rid)
+"""

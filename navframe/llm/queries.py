@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navframe.llm import bitplane, bpe, contamination, licenses, oracles, pii, quality
+from navframe.llm import bitplane, bpe, contamination, licenses, oracles, pii, quality, repeats
 from navframe.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii_anchors": op2_pii_anchors,
     "op4_bitplane_tokens": op4_bitplane_tokens,
@@ -71,9 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_line_quality": op7_line_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_repeated_substrings": op9_repeated_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_line_quality": oracles.OP7.format(max_texts=quality.MAX_TEXTS),
     "op8_decontamination": oracles.OP8,
+    "op9_repeated_substrings": oracles.OP9,
 }
