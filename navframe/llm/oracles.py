@@ -85,3 +85,20 @@ kept AS (
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM docs LEFT JOIN cut USING (rid) LEFT JOIN kept USING (rid)
 """
+
+OP1 = rf"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{SPACE_WORD}') AS words FROM documents),
+shingles AS (
+  SELECT DISTINCT rid, array_to_string(words[i:i + 2], ' ') AS s
+  FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS i FROM docs WHERE len(words) > 0)),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+shared AS (SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.rid < b.rid GROUP BY a.rid, b.rid),
+links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.rid = a JOIN sizes y ON y.rid = b WHERE 100 * s.n >= 90 * (x.n + y.n - s.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+least AS (SELECT r.a AS rid, min(d.doc_id) AS least FROM reach r JOIN docs d ON d.rid = r.b GROUP BY r.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id
+FROM docs LEFT JOIN sizes USING (rid) LEFT JOIN least USING (rid)
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navframe.llm import bitplane, bpe, contamination, licenses, oracles, pii, quality, repeats
+from navframe.llm import bitplane, bpe, contamination, licenses, ngram_jaccard, oracles, pii, quality, repeats
 from navframe.llm.common import table
 
 
@@ -22,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     return found.select(
@@ -69,6 +73,7 @@ def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pii_anchors": op2_pii_anchors,
     "op4_bitplane_tokens": op4_bitplane_tokens,
     "op5_license_scan": op5_license_scan,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.OP1,
     "op7_line_quality": oracles.OP7.format(max_texts=quality.MAX_TEXTS),
     "op8_decontamination": oracles.OP8,
     "op9_repeated_substrings": oracles.OP9,
