@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navframe.llm import bitplane, bpe, contamination, licenses, ngram_jaccard, oracles, pii, quality, repeats
+from navframe.llm import bitplane, bpe, contamination, licenses, ngram_jaccard, oracles, pii, quality, repeats, resampling
 from navframe.llm.common import table
 
 
@@ -72,6 +72,11 @@ def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), good).drop("text_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pii_anchors": op2_pii_anchors,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_quality": op7_line_quality,
     "op8_decontamination": op8_decontamination,
     "op9_repeated_substrings": op9_repeated_substrings,
+    "op10_importance_resampling": op10_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
