@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navframe.llm import bitplane, bpe, contamination, licenses, ngram_jaccard, oracles, pii, quality, repeats, resampling
+from navframe.llm import bitplane, bpe, contamination, licenses, ngram_jaccard, oracles, pii, quality, repeats, resampling, transcripts
 from navframe.llm.common import table
 
 
@@ -36,6 +36,12 @@ def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = transcripts.raw_transcript(table(spark, sf_dir, "conversations"))
+    model = transcripts.train(raw, raw_col="raw")
+    return transcripts.parse(raw, model, text_col="raw").withColumnRenamed("conv", "conv_id")
+
+
 def op4_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = bitplane.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return bitplane.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -80,6 +86,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pii_anchors": op2_pii_anchors,
+    "op3_transcripts": op3_transcripts,
     "op4_bitplane_tokens": op4_bitplane_tokens,
     "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
