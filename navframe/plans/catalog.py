@@ -1,8 +1,8 @@
 """Query catalogue: name -> (Spark builder, DuckDB oracle SQL).
 
 Each Spark builder takes ``(spark, sf_dir)`` and returns a DataFrame over the
-whole test tables. The oracle SQL is an independent statement of the same
-result for DuckDB over the same Parquet files (tables registered as views).
+whole test tables. The oracle SQL states the operator's definition for DuckDB
+over the same Parquet files (tables registered as views).
 Column names and types are aligned on both sides (``bigint``, ``double``,
 ``date``, ``varchar``).
 """
@@ -64,48 +64,38 @@ def register(name: str, sql: str | None, doc: str = ""):
 
 RAW_NAV_CTE = f"raw_nav AS ({T.NAV_SERIES_SQL})"
 NAV_BASE_CTE = (
-    f"in_lookback AS (SELECT scheme_code, nav_date, nav FROM raw_nav "
-    f"WHERE nav_date >= {_since(P.LOOKBACK_MONTHS)})"
+    f"recent AS (SELECT * FROM raw_nav WHERE scheme_code IS NOT NULL AND nav_date >= {_since(P.LOOKBACK_MONTHS)})"
 )
-W_SQL = "(PARTITION BY scheme_code ORDER BY nav_date)"
+# one window per scheme, by date; every lag and average names it
+BY_DATE_SQL = "WINDOW by_date AS (PARTITION BY scheme_code ORDER BY nav_date)"
 
 
-def _ma_sql(n: int) -> str:
-    return (
-        f"ROUND(AVG(nav) OVER (PARTITION BY scheme_code ORDER BY nav_date "
-        f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 6) AS moving_avg_{n}d"
-    )
+def _back_sql(rows: int) -> str:
+    return f"LAG(nav, {rows}) OVER by_date"
+
+
+def _ma_sql(n: int, avg: str = "AVG(nav)") -> str:
+    return f"ROUND({avg} OVER (by_date ROWS {n - 1} PRECEDING), 6) AS moving_avg_{n}d"
 
 
 def _pct_sql(prev: str, name: str) -> str:
-    return (
-        f"CASE WHEN {prev} IS NULL OR {prev} = 0 THEN NULL "
-        f"ELSE ROUND(((nav - {prev}) / {prev}) * 100, 6) END AS {name}"
-    )
+    return f"ROUND((nav - {prev}) / NULLIF({prev}, 0) * 100, 6) AS {name}"
 
 
-LAGS_SQL = (
-    f"LAG(nav, 1) OVER {W_SQL} AS prev_day_nav, "
-    f"LAG(nav, 7) OVER {W_SQL} AS prev_week_nav, "
-    f"LAG(nav, 30) OVER {W_SQL} AS prev_month_nav, "
-    f"LAG(nav, 30) OVER {W_SQL} AS nav_30d_ago, "
-    f"LAG(nav, 90) OVER {W_SQL} AS nav_90d_ago"
-)
+LAG_ROWS = {"prev_day_nav": 1, "prev_week_nav": 7, "prev_month_nav": 30, "nav_30d_ago": 30, "nav_90d_ago": 90}
+LAGS_SQL = ", ".join(f"{_back_sql(rows)} AS {name}" for name, rows in LAG_ROWS.items())
 MAS_SQL = ", ".join(_ma_sql(n) for n in P.MOVING_AVG_ROWS)
-RETS_SQL = ", ".join(
-    [
-        _pct_sql("prev_day_nav", "daily_return_pct"),
-        _pct_sql("prev_week_nav", "weekly_return_pct"),
-        _pct_sql("prev_month_nav", "monthly_return_pct"),
-        _pct_sql("nav_30d_ago", "rolling_return_30d_pct"),
-        _pct_sql("nav_90d_ago", "rolling_return_90d_pct"),
-    ]
-)
+RETURN_OF = {
+    "daily_return_pct": "prev_day_nav",
+    "weekly_return_pct": "prev_week_nav",
+    "monthly_return_pct": "prev_month_nav",
+    "rolling_return_30d_pct": "nav_30d_ago",
+    "rolling_return_90d_pct": "nav_90d_ago",
+}
+RETS_SQL = ", ".join(_pct_sql(prev, name) for name, prev in RETURN_OF.items())
 FEATURES_CTE = (
-    f"lagged AS (SELECT scheme_code, nav_date, nav, {LAGS_SQL}, {MAS_SQL} FROM in_lookback), "
-    f"daily_returns AS (SELECT scheme_code, nav_date, nav, prev_day_nav, prev_week_nav, "
-    f"prev_month_nav, nav_30d_ago, nav_90d_ago, moving_avg_7d, moving_avg_30d, moving_avg_90d, "
-    f"moving_avg_200d, {RETS_SQL} FROM lagged)"
+    f"daily_returns AS (SELECT *, {RETS_SQL} FROM "
+    f"(SELECT scheme_code, nav_date, nav, {LAGS_SQL}, {MAS_SQL} FROM recent {BY_DATE_SQL}))"
 )
 DAILY_RETURNS_WITH = f"WITH {RAW_NAV_CTE}, {NAV_BASE_CTE}, {FEATURES_CTE}"
 
@@ -121,7 +111,7 @@ def _nav(spark, sf_dir):
 
 @register(
     "lookback_3y",
-    f"WITH {RAW_NAV_CTE}, {NAV_BASE_CTE} SELECT * FROM in_lookback",
+    f"WITH {RAW_NAV_CTE}, {NAV_BASE_CTE} SELECT * FROM recent",
     "F1: NAV rows inside the three-year lookback",
 )
 def q_lookback_3y(spark, sf_dir):
@@ -140,8 +130,8 @@ _SINGLE_RETURNS = {
 def _single_return_query(name: str, col: str, lag: int):
     sql = (
         f"WITH {RAW_NAV_CTE}, {NAV_BASE_CTE}, "
-        f"l AS (SELECT scheme_code, nav_date, nav, LAG(nav, {lag}) OVER {W_SQL} AS prev FROM in_lookback) "
-        f"SELECT scheme_code, nav_date, nav, {_pct_sql('prev', col)} FROM l"
+        f"with_base AS (SELECT *, {_back_sql(lag)} AS base FROM recent {BY_DATE_SQL}) "
+        f"SELECT scheme_code, nav_date, nav, {_pct_sql('base', col)} FROM with_base"
     )
 
     @register(name, sql, f"P3: {col} (lag {lag} rows) after the lookback")
@@ -157,7 +147,7 @@ for _n, (_c, _l) in _SINGLE_RETURNS.items():
 
 @register(
     "lag_features",
-    f"WITH {RAW_NAV_CTE}, {NAV_BASE_CTE} SELECT scheme_code, nav_date, nav, {LAGS_SQL} FROM in_lookback",
+    f"WITH {RAW_NAV_CTE}, {NAV_BASE_CTE} SELECT scheme_code, nav_date, nav, {LAGS_SQL} FROM recent {BY_DATE_SQL}",
     "W1-W4: lags of 1/7/30/30/90 rows",
 )
 def q_lag_features(spark, sf_dir):
@@ -166,7 +156,7 @@ def q_lag_features(spark, sf_dir):
 
 @register(
     "moving_averages",
-    f"WITH {RAW_NAV_CTE}, {NAV_BASE_CTE} SELECT scheme_code, nav_date, nav, {MAS_SQL} FROM in_lookback",
+    f"WITH {RAW_NAV_CTE}, {NAV_BASE_CTE} SELECT scheme_code, nav_date, nav, {MAS_SQL} FROM recent {BY_DATE_SQL}",
     "W5-W8: rounded moving averages over 7/30/90/200 rows",
 )
 def q_moving_averages(spark, sf_dir):
@@ -185,9 +175,9 @@ def q_return_features(spark, sf_dir):
 @register(
     "daily_return_5y",
     f"WITH {RAW_NAV_CTE}, "
-    f"l AS (SELECT scheme_code, nav_date, nav, LAG(nav) OVER {W_SQL} AS prev_nav FROM raw_nav) "
-    f"SELECT scheme_code, nav_date, nav, prev_nav, {_pct_sql('prev_nav', 'daily_return_pct')} "
-    f"FROM l WHERE nav_date >= {_since(P.LOOKBACK_5Y_MONTHS)}",
+    f"all_dates AS (SELECT *, {_back_sql(1)} AS prev_nav FROM raw_nav WHERE scheme_code IS NOT NULL {BY_DATE_SQL}) "
+    f"SELECT *, {_pct_sql('prev_nav', 'daily_return_pct')} "
+    f"FROM all_dates WHERE nav_date >= {_since(P.LOOKBACK_5Y_MONTHS)}",
     "E6/F3: lag over the full history, then the five-year filter",
 )
 def q_daily_return_5y(spark, sf_dir):
@@ -207,47 +197,32 @@ MIXED_DR_WITH = f"WITH {MIXED_NAV_CTE}, {NAV_BASE_CTE}, {FEATURES_CTE}"
 SINCE_3Y = _since(P.LOOKBACK_MONTHS)
 
 METRIC_CTES = f"""
-nav_lb AS (
-  SELECT scheme_code, nav_date, nav FROM daily_returns
-  WHERE nav_date >= {SINCE_3Y} AND nav IS NOT NULL),
-eligible AS (
-  SELECT scheme_code, COUNT(*) AS total_records FROM nav_lb
-  GROUP BY scheme_code HAVING COUNT(*) >= 30),
-numbered AS (
-  SELECT f.scheme_code, f.nav_date, f.nav,
-         ROW_NUMBER() OVER (PARTITION BY f.scheme_code ORDER BY f.nav_date ASC) AS rn_start,
-         ROW_NUMBER() OVER (PARTITION BY f.scheme_code ORDER BY f.nav_date DESC) AS rn_end
-  FROM nav_lb f INNER JOIN eligible v ON f.scheme_code = v.scheme_code),
-firsts AS (SELECT scheme_code, nav AS initial_nav, nav_date AS start_date FROM numbered WHERE rn_start = 1),
-lasts AS (SELECT scheme_code, nav AS final_nav, nav_date AS end_date FROM numbered WHERE rn_end = 1),
-endpoints AS (
-  SELECT s.scheme_code, s.start_date, s.initial_nav, e.end_date, e.final_nav
-  FROM firsts s INNER JOIN lasts e ON s.scheme_code = e.scheme_code),
-span AS (
-  SELECT scheme_code, datediff('day', start_date, end_date) / 365.25 AS years, initial_nav, final_nav
-  FROM endpoints),
-cagr_t AS (
-  SELECT scheme_code,
-         ROUND((POWER(final_nav / initial_nav, 1 / NULLIF(years, 0)) - 1) * 100, 6) AS cagr_percent
-  FROM span WHERE years > 0 AND initial_nav > 0 AND final_nav > 0),
-ret_stats AS (
-  SELECT scheme_code, COUNT(*) AS total_records, AVG(daily_return_pct) AS avg_daily_return,
-         STDDEV_SAMP(daily_return_pct) AS volatility
-  FROM daily_returns
-  WHERE daily_return_pct IS NOT NULL AND nav_date >= {SINCE_3Y}
-  GROUP BY scheme_code HAVING COUNT(*) >= 30),
-sharpe_t AS (
+summary AS (
   SELECT scheme_code,
-         ROUND(SQRT(252) * ((avg_daily_return - (6.0 / 252)) / NULLIF(volatility, 0)), 6) AS sharpe_ratio
-  FROM ret_stats WHERE volatility > 0),
-dvol AS (SELECT scheme_code, ROUND(volatility, 6) AS daily_volatility FROM ret_stats),
-avol AS (SELECT scheme_code, ROUND(volatility * SQRT(252), 6) AS annualized_volatility FROM ret_stats),
+         COUNT(nav) AS n_nav,
+         MIN(nav_date) FILTER (nav IS NOT NULL) AS start_date,
+         MAX(nav_date) FILTER (nav IS NOT NULL) AS end_date,
+         ARG_MIN(nav, nav_date) FILTER (nav IS NOT NULL) AS initial_nav,
+         ARG_MAX(nav, nav_date) FILTER (nav IS NOT NULL) AS final_nav,
+         COUNT(daily_return_pct) AS n_ret,
+         AVG(daily_return_pct) AS mean_ret,
+         STDDEV_SAMP(daily_return_pct) AS sd_ret
+  FROM daily_returns WHERE nav_date >= {SINCE_3Y} GROUP BY scheme_code),
+ratios AS (
+  SELECT scheme_code, n_nav, n_ret, sd_ret, mean_ret,
+         (end_date - start_date) / 365.25 AS years,
+         final_nav / initial_nav AS growth,
+         initial_nav > 0 AND final_nav > 0 AS positive,
+         (mean_ret - 6.0::DOUBLE / 252) / NULLIF(sd_ret, 0) * SQRT(252) AS sharpe,
+         sd_ret * SQRT(252) AS yearly
+  FROM summary),
 metrics_t AS (
-  SELECT c.scheme_code, c.cagr_percent, s.sharpe_ratio, d.daily_volatility, a.annualized_volatility
-  FROM cagr_t c
-  LEFT JOIN sharpe_t s ON c.scheme_code = s.scheme_code
-  LEFT JOIN dvol d ON c.scheme_code = d.scheme_code
-  LEFT JOIN avol a ON c.scheme_code = a.scheme_code)
+  SELECT scheme_code,
+         ROUND((growth ** (1 / NULLIF(years, 0)) - 1) * 100, 6) AS cagr_percent,
+         CASE WHEN n_ret >= 30 AND sd_ret > 0 THEN ROUND(sharpe, 6) END AS sharpe_ratio,
+         CASE WHEN n_ret >= 30 THEN ROUND(sd_ret, 6) END AS daily_volatility,
+         CASE WHEN n_ret >= 30 THEN ROUND(yearly, 6) END AS annualized_volatility
+  FROM ratios WHERE n_nav >= 30 AND years > 0 AND positive)
 """
 METRICS_WITH = f"{MIXED_DR_WITH}, {METRIC_CTES}"
 
@@ -264,17 +239,30 @@ def _metric_query(name: str, sql_body: str, fn, doc: str):
     return _q
 
 
-_metric_query("valid_schemes", "SELECT * FROM eligible", M.valid_schemes, "A2/F8: schemes with >= 30 NAV rows")
+_metric_query("valid_schemes", "SELECT scheme_code, n_nav AS total_records FROM summary WHERE n_nav >= 30", M.valid_schemes, "A2/F8: schemes with >= 30 NAV rows")
 _metric_query(
     "valid_scheme_nav",
-    "SELECT f.scheme_code, f.nav_date, f.nav FROM nav_lb f "
-    "INNER JOIN eligible v ON f.scheme_code = v.scheme_code",
+    f"SELECT scheme_code, nav_date, nav FROM daily_returns WHERE nav IS NOT NULL AND nav_date >= {SINCE_3Y} "
+    "QUALIFY COUNT(*) OVER (PARTITION BY scheme_code) >= 30",
     M.valid_scheme_nav,
     "J4: NAV rows of schemes passing the gate",
 )
-_metric_query("ranked_nav", "SELECT * FROM numbered", M.ranked_nav, "W9/W10: row numbers asc/desc")
-_metric_query("first_last_nav", "SELECT * FROM endpoints", M.first_last_nav, "F9/J5: first and last NAV")
-_metric_query("cagr", "SELECT * FROM cagr_t", M.cagr, "A4: CAGR percent")
+_metric_query(
+    "ranked_nav",
+    f"SELECT scheme_code, nav_date, nav, ROW_NUMBER() OVER by_date AS rn_start, "
+    f"COUNT(*) OVER whole - ROW_NUMBER() OVER by_date + 1 AS rn_end FROM daily_returns "
+    f"WHERE nav IS NOT NULL AND nav_date >= {SINCE_3Y} "
+    f"{BY_DATE_SQL}, whole AS (PARTITION BY scheme_code) QUALIFY COUNT(*) OVER whole >= 30",
+    M.ranked_nav,
+    "W9/W10: row numbers asc/desc",
+)
+_metric_query(
+    "first_last_nav",
+    "SELECT scheme_code, start_date, initial_nav, end_date, final_nav FROM summary WHERE n_nav >= 30",
+    M.first_last_nav,
+    "F9/J5: first and last NAV",
+)
+_metric_query("cagr", "SELECT scheme_code, cagr_percent FROM metrics_t", M.cagr, "A4: CAGR percent")
 
 
 def _return_stats_rounded(dr, as_of):
@@ -292,14 +280,29 @@ def _return_stats_rounded(dr, as_of):
 
 _metric_query(
     "return_stats",
-    "SELECT scheme_code, total_records, ROUND(avg_daily_return, 6) AS avg_daily_return, "
-    "ROUND(volatility, 6) AS volatility FROM ret_stats",
+    "SELECT scheme_code, n_ret AS total_records, ROUND(mean_ret, 6) AS avg_daily_return, "
+    "ROUND(sd_ret, 6) AS volatility FROM summary WHERE n_ret >= 30",
     _return_stats_rounded,
     "A3: count/avg/stddev of non-NULL daily returns",
 )
-_metric_query("sharpe_ratio", "SELECT * FROM sharpe_t", M.sharpe_ratio, "A5: Sharpe ratio")
-_metric_query("daily_volatility", "SELECT * FROM dvol", M.daily_volatility, "A6: daily volatility")
-_metric_query("annualized_volatility", "SELECT * FROM avol", M.annualized_volatility, "A7: annualised volatility")
+_metric_query(
+    "sharpe_ratio",
+    "SELECT scheme_code, ROUND(sharpe, 6) AS sharpe_ratio FROM ratios WHERE n_ret >= 30 AND sd_ret > 0",
+    M.sharpe_ratio,
+    "A5: Sharpe ratio",
+)
+_metric_query(
+    "daily_volatility",
+    "SELECT scheme_code, ROUND(sd_ret, 6) AS daily_volatility FROM ratios WHERE n_ret >= 30",
+    M.daily_volatility,
+    "A6: daily volatility",
+)
+_metric_query(
+    "annualized_volatility",
+    "SELECT scheme_code, ROUND(yearly, 6) AS annualized_volatility FROM ratios WHERE n_ret >= 30",
+    M.annualized_volatility,
+    "A7: annualised volatility",
+)
 _metric_query("scheme_metrics", "SELECT * FROM metrics_t", M.scheme_metrics, "E2: fused metrics table")
 _metric_query(
     "scheme_metrics_joined",
@@ -309,11 +312,7 @@ _metric_query(
 )
 
 ENRICHED_SELECT = (
-    "SELECT d.scheme_code, d.nav_date, d.nav, d.daily_return_pct, d.weekly_return_pct, "
-    "d.monthly_return_pct, d.rolling_return_30d_pct, d.rolling_return_90d_pct, d.moving_avg_7d, "
-    "d.moving_avg_30d, d.moving_avg_90d, d.moving_avg_200d, a.cagr_percent, a.sharpe_ratio, "
-    "a.daily_volatility, a.annualized_volatility "
-    "FROM daily_returns d LEFT JOIN metrics_t a ON d.scheme_code = a.scheme_code"
+    f"SELECT * EXCLUDE ({', '.join(LAG_ROWS)}) FROM daily_returns LEFT JOIN metrics_t USING (scheme_code)"
 )
 
 
@@ -334,9 +333,8 @@ DELTA_CUTOFF = "2001-01-01"
 
 @register(
     "delta_anti_join",
-    f"{DAILY_RETURNS_WITH} SELECT d.* FROM daily_returns d WHERE NOT EXISTS ("
-    f"SELECT 1 FROM raw_nav s WHERE s.nav_date < DATE '{DELTA_CUTOFF}' "
-    f"AND s.scheme_code = d.scheme_code AND s.nav_date = d.nav_date)",
+    f"{DAILY_RETURNS_WITH} SELECT * FROM daily_returns ANTI JOIN "
+    f"(SELECT scheme_code, nav_date FROM raw_nav WHERE nav_date < DATE '{DELTA_CUTOFF}') USING (scheme_code, nav_date)",
     "J1: feature rows whose key is not stored yet",
 )
 def q_delta_anti_join(spark, sf_dir):
@@ -573,7 +571,7 @@ def q_csv_scan(spark, sf_dir):
 
 @register(
     "preview",
-    f"{METRICS_WITH} {ENRICHED_SELECT} ORDER BY d.scheme_code, d.nav_date LIMIT 20",
+    f"{METRICS_WITH} {ENRICHED_SELECT} ORDER BY scheme_code, nav_date LIMIT 20",
     "O2: first 20 enriched rows in key order",
 )
 def q_preview(spark, sf_dir):
@@ -704,7 +702,7 @@ def q_portfolio_nav_history(spark, sf_dir):
     f"WITH {RAW_NAV_CTE}, {NAV_BASE_CTE} SELECT scheme_code, "
     f"ROUND(MIN(nav / NULLIF(peak, 0) - 1.0) * 100.0, 6) AS max_drawdown_pct FROM ("
     f"SELECT scheme_code, nav, MAX(nav) OVER (PARTITION BY scheme_code ORDER BY nav_date "
-    f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM in_lookback WHERE nav IS NOT NULL) x "
+    f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM recent WHERE nav IS NOT NULL) x "
     f"GROUP BY scheme_code",
     "B3: maximum drawdown per scheme inside the lookback",
 )
