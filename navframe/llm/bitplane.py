@@ -23,8 +23,10 @@ repeated ids are ordered by their token ids; an empty table gives no file.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,11 @@ MAGIC = b"PLANES01"
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 20
 END_ID = 2
+#: distinct slices whose ids a Python worker keeps, and bytes of text handled at once
+CACHE_SLICES = 800_000
+CHUNK_BYTES = 1 << 20
+#: slices that go to the library as one text
+JOINED = 256
 
 
 # -- one file -----------------------------------------------------------------------
@@ -118,7 +125,21 @@ def _library(path: str):
     def encode(new: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
-    return encode, bpe.SliceCache(encode)
+    def encode_slices(new: list[str]) -> list[bytes]:
+        """Slices of a space and letters are joined: the pre-tokeniser parts them
+        again, and the library says which slice an id is from."""
+        plain = [s[0] == " " and s[1:].isalpha() for s in new]
+        worded = list(itertools.compress(new, plain))
+        other = [s for s, p in zip(new, plain) if not p]
+        joined = ["".join(worded[i : i + JOINED]) for i in range(0, len(worded), JOINED)]
+        parts = []
+        for e in tokenizer.encode_batch(joined, add_special_tokens=False):
+            ids, ends = array("i", e.ids).tobytes(), (4 * np.cumsum(np.bincount(e.word_ids))).tolist()
+            parts += [ids[a:b] for a, b in zip([0, *ends], ends)]
+        from_words, from_other = iter(parts), (array("i", ids).tobytes() for ids in encode(other))
+        return [next(from_words if p else from_other) for p in plain]
+
+    return encode, bpe.SliceCache(encode_slices, CACHE_SLICES)
 
 
 def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
@@ -131,9 +152,14 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     encode, cache = _library(path)
     out: list[np.ndarray | None] = [None] * len(texts)
     unassigned = pretoken.unassigned_table()
-    odd = [i for i, t in enumerate(texts) if not t.isascii() and unassigned[np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)].any()]
-    for i, ids in zip(odd, encode([texts[i] for i in odd]) if odd else ()):
-        out[i] = np.array(ids, dtype=np.int32)
+    joined = "".join(texts)
+    if not joined.isascii():
+        odd = unassigned[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        if odd.any():
+            upto = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            whole = np.unique(np.searchsorted(upto, np.flatnonzero(odd), side="right") - 1).tolist()
+            for i, ids in zip(whole, encode([texts[i] for i in whole])):
+                out[i] = np.array(ids, dtype=np.int32)
     rest = [i for i in range(len(texts)) if out[i] is None]
     for i, ids in zip(rest, bpe.encode_chunk([texts[i] for i in rest], cache)):
         out[i] = ids
@@ -160,7 +186,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
     def make_ids():
         def run(batch: pa.RecordBatch):
             texts = common.text_bytes(batch.column(1))
-            for a, b in bpe.chunks(texts):
+            for a, b in bpe.chunks(texts, CHUNK_BYTES):
                 ids = [np.append(x, end_id) for x in encode_texts(bpe.decoded(texts[a:b]), tokenizer_path)]
                 doc_ids = batch.column(0).slice(a, b - a)
                 yield {

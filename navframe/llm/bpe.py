@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from navframe.llm import common, pretoken
 
 #: characters (for the operators: bytes) of text handled at once
-CHUNK_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 19
 #: distinct slices whose ids a Python worker keeps
-CACHE_SLICES = 250_000
+CACHE_SLICES = 300_000
 #: from this length on, merging uses a heap
 HEAP_BYTES = 48
 
@@ -93,31 +94,35 @@ def _merge_with_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class SliceCache:
-    """Ids of distinct slices, in flat arrays; emptied when it holds too many."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHE_SLICES):
-        self.encode, self.most = encode, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ends = np.zeros(1, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.int32)
-
-    def look_up(self, slices: list[str]) -> np.ndarray:
-        """The place of each slice; slices not seen before are encoded first."""
-        if len(self.place) > self.most:
-            self.clear()
-        place = self.place
-        new = [s for s in slices if s not in place]
+    """Ids of distinct slices, in two generations.
+
+    What is looked up is in the young generation or moves there; when that is
+    full it becomes the old one, and what the old one held and nobody asked for
+    is forgotten. Ids are kept as packed 32-bit integers.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = CACHE_SLICES):
+        self.encode, self.most = encode, most // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def look_up(self, slices: list[str]) -> list[bytes]:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = list(map(young.get, slices))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            s = slices[i]
+            if s in old:
+                found[i] = young[s] = old[s]
+            else:
+                new.append(i)
         if new:
-            made = self.encode(new)
-            ends = self.ends[-1] + np.cumsum([len(m) for m in made])
-            for s in new:
-                place[s] = len(place)
-            self.ends = np.concatenate([self.ends, ends])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for m in made for i in m), dtype=np.int32)])
-        return np.fromiter((place[s] for s in slices), dtype=np.int64, count=len(slices))
+            for i, ids in zip(new, self.encode([slices[i] for i in new])):
+                found[i] = young[slices[i]] = ids
+        return found
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +144,16 @@ def encode_chunk(texts: list[str], cache: SliceCache) -> list[np.ndarray]:
     text_starts = (text_ends - lengths)[lengths > 0]
     starts = pretoken.token_starts(codes, text_starts)
     ends = np.append(starts[1:], len(codes))
-    first, second = (common.span_hashes(codes, starts, ends, lane) for lane in (0, 1))
+    first, second = common.char_hashes(codes, starts, ends)
     keys, one_of, which = np.unique(first, return_index=True, return_inverse=True)
     if not np.array_equal(second[one_of][which], second):  # two slices share a 64-bit hash
         pairs = np.stack([first, second], axis=1)
         _, one_of, which = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
     slices = [joined[a:b] for a, b in zip(starts[one_of].tolist(), ends[one_of].tolist())]
-    place = cache.look_up(slices)[which]
-    ids, id_ends = _gather(cache.ids, cache.ends[place], cache.ends[place + 1] - cache.ends[place])
+    known = cache.look_up(slices)
+    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+    flat = np.frombuffer(b"".join(known), dtype=np.int32)
+    ids, id_ends = _gather(flat, (np.cumsum(sizes) - sizes)[which], sizes[which])
     upto = np.concatenate([[0], id_ends])[np.searchsorted(starts, text_ends)]
     return np.split(ids, upto[:-1])
 
@@ -179,7 +186,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Vocabulary:
     def __init__(self, path: str):
         self.ranks = read_ranks(path)
-        self.cache = SliceCache(lambda new: [merge_pairs(s.encode("utf-8", "replace"), self.ranks) for s in new])
+        self.cache = SliceCache(lambda new: [array("i", merge_pairs(s.encode("utf-8", "replace"), self.ranks)).tobytes() for s in new])
         by_id = {i: t for t, i in self.ranks.items()}
         tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)

@@ -78,15 +78,27 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
+_BYTE_VALUES = tuple(mix(np.arange(256, dtype=np.uint64), lane + 1) for lane in (0, 1))
+_CHAR_VALUES = mix(np.arange(1 << 16, dtype=np.uint64), 3)
 _BYTE_POWERS = tuple(_Powers(m) for m in _MULT)
 _WORD_POWERS = tuple(_Powers(m) for m in _WORD_MULT)
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """64-bit hash of each span of ``codes``: prefix sums of a polynomial."""
-    up, down = _BYTE_POWERS[lane].upto(len(codes) + 1)
-    prefix = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(mix(np.arange(256, dtype=np.uint64), lane + 1)[codes] * up[: len(codes)] if codes.dtype == np.uint8 else mix(codes.astype(np.uint64), lane + 1) * up[: len(codes)], out=prefix[1:])
+    """64-bit hash of each slice of a byte array: prefix sums of a polynomial."""
+    return _span_hashes(_BYTE_VALUES[lane][codes], starts, ends, lane)
+
+
+def char_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each slice of an array of code points."""
+    values = _CHAR_VALUES[codes] if codes.max(initial=0) <= 0xFFFF else mix(codes.astype(np.uint64), 3)
+    return _span_hashes(values, starts, ends, 0), _span_hashes(values, starts, ends, 1)
+
+
+def _span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int) -> np.ndarray:
+    up, down = _BYTE_POWERS[lane].upto(len(values) + 1)
+    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[: len(values)], out=prefix[1:])
     return mix((prefix[ends] - prefix[starts]) * down[starts], lane + 11)
 
 
