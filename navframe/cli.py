@@ -13,9 +13,11 @@ import datetime as dt
 import sys
 
 from navframe.plans import jobs
-from navframe.session import get_session
+from navframe.operators.joins import estimated_size_bytes
+from navframe.session import apply_cluster_settings, get_session
 
 JOBS = [
+    "create-tables",
     "pipeline",
     "schemes",
     "nav",
@@ -44,15 +46,32 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--as-of", type=dt.date.fromisoformat, default=None, help="reference date (default: today)")
     p.add_argument("--order-by", default=None, help="comma-separated preview order")
     p.add_argument("--rows", type=int, default=100, help="preview rows")
+    p.add_argument("--checkpoint", default=None, help="checkpoint folder of the stream (default: in the warehouse)")
+    p.add_argument("--input-bytes", type=int, default=None, help="size of the inputs, for the shuffle width (default: looked up)")
     p.add_argument("--master", default=None, help="only for local runs")
     return p
 
 
+def _input_bytes(spark, a, wh) -> int:
+    """Bytes of the landed files and stored tables that the job may read."""
+    total = 0
+    for path in (a.scheme_landing, a.nav_landing, a.landing):
+        if path:
+            total += estimated_size_bytes(spark.read.text(path)) or 0
+    for name in ("raw_nav", "daily_returns") if wh else ():
+        if wh.table(name).exists(spark):
+            total += estimated_size_bytes(spark.read.parquet(wh.path(name))) or 0
+    return total
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     spark = get_session(a.master, app_name=f"navframe-{a.job}")
     wh = jobs.Warehouse(a.warehouse, buckets=a.buckets, year_partitioned=a.year_partitioned) if a.warehouse else None
-    if a.job == "pipeline":
+    apply_cluster_settings(spark, a.input_bytes if a.input_bytes is not None else _input_bytes(spark, a, wh))
+    if a.job == "create-tables":
+        print(", ".join(jobs.create_tables(spark, wh)))
+    elif a.job == "pipeline":
         jobs.run_pipeline(spark, a.scheme_landing, a.nav_landing, wh, a.as_of)
     elif a.job == "schemes":
         jobs.run_scheme_ingest(spark, a.scheme_landing, wh)
@@ -80,9 +99,14 @@ def main(argv: list[str] | None = None) -> int:
     elif a.job == "stream-nav":
         from navframe.streaming.nav_ingest import start_nav_ingest
 
-        schemes = wh.path("schemes") if wh.table("schemes").exists(spark) else None
         start_nav_ingest(
-            spark, a.nav_landing, wh.path("raw_nav"), wh.path("raw_nav_quarantine"), schemes_path=schemes
+            spark,
+            a.nav_landing,
+            wh.table("raw_nav"),
+            a.checkpoint or wh.path("_streams/nav_ingest"),
+            wh.path("raw_nav_quarantine"),
+            wh.path("nav_documents_corrupt"),
+            schemes=wh.table("schemes") if wh.table("schemes").exists(spark) else None,
         ).awaitTermination()
     return 0
 

@@ -225,11 +225,8 @@ def annualized_volatility(
 
 
 def join_metrics(cagr_df: DataFrame, sharpe_df: DataFrame, dvol_df: DataFrame, avol_df: DataFrame) -> DataFrame:
-    """CAGR as the base, the other three metrics left-joined by key.
-
-    Every input has one row per scheme and is the output of an aggregate
-    hash-partitioned by ``scheme_code``, so the joins need no further shuffle.
-    """
+    """CAGR as the base, the other three metrics left-joined by key (one row
+    per scheme in each)."""
     return (
         cagr_df.join(sharpe_df, KEY, "left")
         .join(dvol_df, KEY, "left")
@@ -244,9 +241,16 @@ def scheme_metrics_joined(
     months: int = P.LOOKBACK_MONTHS,
     min_records: int = P.MIN_RECORDS_REQUIRED,
 ) -> DataFrame:
-    """The four-aggregate + three-join form of :func:`scheme_metrics`."""
-    args = (daily_returns, as_of, months, min_records)
-    return join_metrics(cagr(*args), sharpe_ratio(*args), daily_volatility(*args), annualized_volatility(*args))
+    """The joined form of :func:`scheme_metrics`: CAGR left-joined with the three
+    ratios of one :func:`return_stats`, which is computed once."""
+    stats = return_stats(daily_returns, as_of, months, min_records)
+    ratios = stats.select(
+        KEY,
+        F.when(F.col("volatility") > 0, sharpe("avg_daily_return", "volatility")).alias("sharpe_ratio"),
+        F.round("volatility", P.ROUND_DIGITS).alias("daily_volatility"),
+        annualize("volatility").alias("annualized_volatility"),
+    )
+    return cagr(daily_returns, as_of, months, min_records).join(ratios, KEY, "left")
 
 
 def scheme_metrics(

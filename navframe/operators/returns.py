@@ -34,9 +34,11 @@ def lookback(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> Dat
     """Rows with ``nav_date >= as_of - months`` (boundary day included).
 
     Applied *before* the window (the first row inside the range has NULL lags);
-    the predicate reaches the Parquet scan as a pushed filter.
+    the predicate reaches the Parquet scan as a pushed filter. A NULL key is no
+    scheme: such rows go here, below everything that reads the series, so that
+    plans which use it twice can share its exchange.
     """
-    return nav.filter(F.col(ORDER) >= lookback_start(as_of, months))
+    return nav.filter(F.col(KEY).isNotNull() & (F.col(ORDER) >= lookback_start(as_of, months)))
 
 
 def lag_columns(nav_col: str = "nav") -> dict[str, Column]:
@@ -98,10 +100,11 @@ def _keys(df: DataFrame, nav_col: str = "nav") -> list[Column]:
     return [F.col(KEY), F.col(ORDER), F.col(nav_col)]
 
 
-def _windowed(base: DataFrame, with_lags: bool = True, with_mas: bool = True) -> DataFrame:
+def _windowed(base: DataFrame, with_lags: bool = True, with_mas: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """One ``Window`` node holding each distinct window expression once; the
-    30-row lag is evaluated once and exposed under both of its names."""
-    cols = [*_keys(base)]
+    30-row lag is evaluated once and exposed under both of its names. ``carry``
+    are columns that go along."""
+    cols = [*_keys(base), *carry]
     if with_lags:
         lags = lag_columns()
         cols += [lags[n].alias(n) for n in ("prev_day_nav", "prev_week_nav", "prev_month_nav")]
@@ -147,13 +150,35 @@ def single_return(nav: DataFrame, name: str, as_of=None, months: int = P.LOOKBAC
 def return_features(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:
     """The 17-column feature table (lags, moving averages, returns).
 
+    Moving averages of a ``decimal(18,6)`` NAV, the stored type, are exact
+    differences of running sums; of a double NAV they are averages of the frame.
+
     The lags and moving averages are evaluated once, in one ``Window`` node
     (two for decimal NAVs, where the moving averages are lags of running
     sums; both nodes share one exchange and one sort). The returns are a plain
     projection over the lag columns, so no window expression is evaluated
     twice.
     """
-    windowed = _windowed(lookback(nav, as_of, months))
+    return _with_returns(_windowed(lookback(nav, as_of, months)))
+
+
+def new_return_features(nav: DataFrame, stored: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:
+    """J1 for E1: the feature rows whose ``(scheme_code, nav_date)`` isn't stored.
+
+    The stored keys are tagged on the narrow NAV rows: both go to one exchange
+    on ``scheme_code``, which serves the tagging aggregate and the window. The
+    wide rows are dropped by their tag, without another shuffle; a scheme's rows
+    are bounded by the days in the lookback.
+    """
+    rows = lookback(nav, as_of, months).select(*_keys(nav), F.lit(False).alias("_stored"), F.lit(True).alias("_here"))
+    keys = lookback(stored, as_of, months).select(KEY, ORDER, F.lit(None).cast(nav.schema["nav"].dataType).alias("nav"), F.lit(True).alias("_stored"), F.lit(False).alias("_here"))
+    both = rows.unionByName(keys).repartition(KEY)
+    tagged = both.groupBy(KEY, ORDER).agg(F.max("nav").alias("nav"), F.max("_stored").alias("_stored"), F.max("_here").alias("_here")).filter("_here")
+    fresh = _windowed(tagged.drop("_here"), carry=("_stored",)).filter(~F.col("_stored")).drop("_stored")
+    return _with_returns(fresh)
+
+
+def _with_returns(windowed: DataFrame) -> DataFrame:
     returns = [
         pct_change("nav", "prev_day_nav").alias("daily_return_pct"),
         pct_change("nav", "prev_week_nav").alias("weekly_return_pct"),
@@ -180,6 +205,7 @@ def daily_return_5y(nav: DataFrame, as_of=None, months: int = P.LOOKBACK_5Y_MONT
     from navframe.operators.joins import broadcast_if_small
 
     start = F.add_months(as_of_col(as_of), -int(months))
+    nav = nav.filter(F.col(KEY).isNotNull())
     recent = nav.filter(F.col(ORDER) >= start).select(*_keys(nav))
     carry = (
         nav.filter(F.col(ORDER) < start)

@@ -17,16 +17,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from navframe import params as P
+from navframe import schemas as S
 from navframe.functions.dates import format_day_first, parse_day_first
-from navframe.operators import delta as D
 from navframe.operators import enrich as X
 from navframe.operators import ingest as I
 from navframe.operators import metrics as M
 from navframe.operators import portfolio as PF
 from navframe.operators import returns as R
+from navframe.operators import sequences as SQ
+from navframe.plans import jobs
 from navframe.plans import landing as L
 from navframe.session import shared_dir
 from navframe.sinks import writers as W
+from navframe.sinks.table import keyed_table
 from navframe.sources import csv as CSV
 from navframe.sources import json_docs as J
 from navframe.sources import tables as T
@@ -340,7 +343,7 @@ DELTA_CUTOFF = "2001-01-01"
 def q_delta_anti_join(spark, sf_dir):
     nav = _nav(spark, sf_dir)
     stored = nav.filter(F.col("nav_date") < F.lit(DELTA_CUTOFF).cast("date"))
-    return D.new_rows(R.return_features(nav, AS_OF), stored, ["scheme_code", "nav_date"])
+    return R.new_return_features(nav, stored, AS_OF)
 
 
 @register(
@@ -352,6 +355,104 @@ def q_total_rows(spark, sf_dir):
     return count_rows(spark, _nav(spark, sf_dir), "source_table")
 
 
+# ---------------------------------------------------------------------------
+# The stored type: decimal(18,6) NAVs. The SQL works on whole millionths
+# (HUGEINT), so both sides are exact.
+# ---------------------------------------------------------------------------
+
+DECIMAL_NAV_CTE = (
+    "raw_nav AS (SELECT l_suppkey AS scheme_code, CAST(l_shipdate AS DATE) AS nav_date, "
+    "CAST(ROUND(MAX(l_extendedprice), 2) AS DECIMAL(18,6)) AS nav FROM lineitem GROUP BY 1, 2)"
+)
+
+
+def _millionths_sql(x: str) -> str:
+    return f"CAST(CAST({x} AS DECIMAL(18,0)) * CAST(0.000001 AS DECIMAL(7,6)) AS DECIMAL(18,6))"
+
+
+def _exact_ma_sql(n: int) -> str:
+    # the average to ten digits, half up, as the stored type has it; then to six
+    frame = f"(by_date ROWS {n - 1} PRECEDING)"
+    ten = f"(20000 * SUM(m) OVER {frame} + COUNT(*) OVER {frame}) // (2 * COUNT(*) OVER {frame})"
+    return f"{_millionths_sql(f'({ten} + 5000) // 10000')} AS moving_avg_{n}d"
+
+
+def _exact_pct_sql(back: int, name: str) -> str:
+    base = f"LAG(m, {back}) OVER by_date"
+    exact = f"(2 * ABS(m - {base}) * 100000000 + {base}) // NULLIF(2 * {base}, 0) * SIGN(m - {base})"
+    return f"{_millionths_sql(exact)} AS {name}"
+
+
+DECIMAL_FEATURES_CTE = (
+    "whole AS (SELECT *, CAST(nav * 1000000 AS HUGEINT) AS m FROM recent), "
+    f"daily_returns AS (SELECT scheme_code, nav_date, nav, {LAGS_SQL}, "
+    f"{', '.join(_exact_ma_sql(n) for n in P.MOVING_AVG_ROWS)}, "
+    f"{', '.join(_exact_pct_sql(LAG_ROWS[prev], name) for name, prev in RETURN_OF.items())} FROM whole {BY_DATE_SQL})"
+)
+DECIMAL_DR_WITH = f"WITH {DECIMAL_NAV_CTE}, {NAV_BASE_CTE}, {DECIMAL_FEATURES_CTE}"
+
+
+def _decimal_nav(spark, sf_dir):
+    li = T.read_table(spark, sf_dir, "lineitem")
+    keyed = li.groupBy(F.col("l_suppkey").alias("scheme_code"), F.col("l_shipdate").cast("date").alias("nav_date"))
+    return keyed.agg(F.round(F.max("l_extendedprice"), 2).cast(P.NAV_DECIMAL).alias("nav"))
+
+
+@register(
+    "return_features_decimal",
+    f"{DECIMAL_DR_WITH} SELECT * FROM daily_returns",
+    "E1/P4 on the stored type: exact running sums and returns",
+)
+def q_return_features_decimal(spark, sf_dir):
+    return S.conform(R.return_features(_decimal_nav(spark, sf_dir), AS_OF), S.DAILY_RETURNS)
+
+
+@register(
+    "scheme_metrics_decimal",
+    f"{DECIMAL_DR_WITH.replace('daily_returns AS', 'exact AS')}, daily_returns AS (SELECT scheme_code, nav_date, "
+    f"CAST(nav AS DOUBLE) AS nav, CAST(daily_return_pct AS DOUBLE) AS daily_return_pct FROM exact), {METRIC_CTES} "
+    "SELECT * FROM metrics_t",
+    "E2 on the stored type",
+)
+def q_scheme_metrics_decimal(spark, sf_dir):
+    return M.scheme_metrics(q_return_features_decimal(spark, sf_dir), AS_OF)
+
+
+@register(
+    "nav_json_explode_decimal",
+    f"WITH {DECIMAL_NAV_CTE} SELECT scheme_code, nav_date, nav FROM raw_nav",
+    "S6: NAV text -> decimal(18,6), the stored type",
+)
+def q_nav_json_explode_decimal(spark, sf_dir):
+    path = _landed(spark, sf_dir, "nav_documents_decimal", lambda p: L.land_nav_documents(_decimal_nav(spark, sf_dir), p))
+    return J.explode_nav_documents(J.read_nav_documents(spark, path)).select("scheme_code", "nav_date", "nav")
+
+
+@register(
+    "sequence_features",
+    f"{DAILY_RETURNS_WITH}, past AS (SELECT scheme_code, nav_date, daily_return_pct AS target, "
+    "LIST(daily_return_pct) OVER (PARTITION BY scheme_code ORDER BY nav_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS x "
+    "FROM daily_returns WHERE daily_return_pct IS NOT NULL) "
+    f"SELECT scheme_code, nav_date, target, {', '.join(f'x[{i}] AS x{i}' for i in range(1, 11))} FROM past WHERE len(x) = 10",
+    "B8: the ten returns before each return",
+)
+def q_sequence_features(spark, sf_dir):
+    found = SQ.sequence_features(R.return_features(_nav(spark, sf_dir), AS_OF), 10)
+    return found.select("scheme_code", "nav_date", "target", *[F.col("sequence")[i].alias(f"x{i + 1}") for i in range(10)])
+
+
+@register(
+    "document_chunks",
+    "WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents), "
+    "c AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 40, 1), 160)) AS start_word FROM d WHERE len(w) > 0) "
+    "SELECT doc_id, start_word // 160 AS chunk_no, start_word, least(len(w) - start_word, 200) AS n_words, "
+    "array_to_string(w[start_word + 1:start_word + 200], ' ') AS chunk FROM c",
+    "B10: overlapping word chunks of whole texts",
+)
+def q_document_chunks(spark, sf_dir):
+    return SQ.document_chunks(T.read_table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------------------
 # Ingest (E4, E5) and sources (S4-S8) over landed files derived from the
 # tables, sinks (K1, K2), preview (O2), sort (O1)
@@ -438,9 +539,28 @@ def q_schemes_sorted(spark, sf_dir):
     return I.distinct_schemes(_parsed_schemes(spark, sf_dir)).orderBy("scheme_code")
 
 
-def _exploded_nav(spark, sf_dir):
-    path = _landed(spark, sf_dir, "nav_documents", lambda p: L.land_nav_documents(_nav(spark, sf_dir), p))
-    return J.explode_nav_documents(J.read_nav_documents(spark, path), nav_type="double")
+@register(
+    "scheme_pages_corrupt",
+    f"SELECT DISTINCT CAST(1 AS BIGINT) AS listing, s_suppkey // {L.PAGE_SIZE} AS page FROM supplier "
+    f"WHERE s_acctbal > {L.RELIST_MIN_ACCTBAL}",
+    "S5: pages that broke off go to quarantine",
+)
+def q_scheme_pages_corrupt(spark, sf_dir):
+    path = _landed(
+        spark, sf_dir, "schemes_broken", lambda p: L.land_scheme_pages(T.read_table(spark, sf_dir, "supplier"), p, broken=True)
+    )
+    bad = J.corrupt_scheme_pages(J.read_scheme_pages(spark, path))
+    return bad.select(F.col("listing").cast("bigint").alias("listing"), F.col("page").cast("bigint").alias("page"))
+
+
+def _nav_docs(spark, sf_dir, name, **options):
+    path = _landed(spark, sf_dir, name, lambda p: L.land_nav_documents(_nav(spark, sf_dir), p, **options))
+    return J.read_nav_documents(spark, path)
+
+
+# Documents of every fifth scheme come without ``meta``, every seventh broken.
+NO_META_EVERY = 5
+CUT_EVERY = 7
 
 
 NAV_DOC_COLS_SQL = (
@@ -451,11 +571,27 @@ NAV_DOC_COLS_SQL = (
 
 @register(
     "nav_json_explode",
-    f"WITH {RAW_NAV_CTE} SELECT {NAV_DOC_COLS_SQL} FROM raw_nav",
-    "S6/P2: NAV documents -> one row per item with meta repeated",
+    f"WITH {RAW_NAV_CTE} SELECT * REPLACE (CASE WHEN scheme_code % {NO_META_EVERY} <> 0 THEN fund_house END AS fund_house, "
+    f"CASE WHEN scheme_code % {NO_META_EVERY} <> 0 THEN scheme_name END AS scheme_name) "
+    f"FROM (SELECT {NAV_DOC_COLS_SQL} FROM raw_nav)",
+    "S6/P2: NAV documents, some without meta -> one row per item with meta repeated",
 )
 def q_nav_json_explode(spark, sf_dir):
-    return _exploded_nav(spark, sf_dir).select("scheme_code", "nav_date", "nav", "fund_house", "scheme_name")
+    docs = _nav_docs(spark, sf_dir, "nav_documents", no_meta_every=NO_META_EVERY)
+    rows = J.explode_nav_documents(docs, nav_type="double")
+    return rows.select("scheme_code", "nav_date", "nav", "fund_house", "scheme_name")
+
+
+@register(
+    "nav_documents_corrupt",
+    f"WITH {RAW_NAV_CTE} SELECT scheme_code, COUNT(DISTINCT year(nav_date)) AS n_documents FROM raw_nav "
+    f"WHERE scheme_code % {CUT_EVERY} = 0 GROUP BY scheme_code",
+    "S6: documents that broke off, by the scheme they were requested for",
+)
+def q_nav_documents_corrupt(spark, sf_dir):
+    bad = J.corrupt_documents(_nav_docs(spark, sf_dir, "nav_documents_cut", cut_every=CUT_EVERY))
+    code = F.regexp_extract(J.CORRUPT, r'"requested":(\d+)', 1).cast("bigint")
+    return bad.groupBy(code.alias("scheme_code")).agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 @register(
@@ -463,21 +599,20 @@ def q_nav_json_explode(spark, sf_dir):
     f"WITH {RAW_NAV_CTE} SELECT {NAV_DOC_COLS_SQL} FROM raw_nav r WHERE NOT EXISTS ("
     f"SELECT 1 FROM raw_nav s WHERE s.nav_date < DATE '{DELTA_CUTOFF}' "
     f"AND s.scheme_code = r.scheme_code AND s.nav_date = r.nav_date)",
-    "E5/K4/J3: parsed NAV rows whose key is not stored",
+    "E5/K4/J3: parsed NAV rows whose key is not stored; first in payload order wins",
 )
 def q_new_nav_rows(spark, sf_dir):
     stored = _nav(spark, sf_dir).filter(F.col("nav_date") < F.lit(DELTA_CUTOFF).cast("date"))
-    return I.new_nav_rows(_exploded_nav(spark, sf_dir), stored).select(
+    # each document is followed by one that clashes with its oldest days
+    docs = _nav_docs(spark, sf_dir, "nav_documents_again", republish=True)
+    return I.new_nav_rows(J.explode_nav_documents(docs, nav_type="double"), stored).select(
         "scheme_code", "nav_date", "nav", "fund_house", "scheme_name"
     )
 
 
 def _lenient_nav(spark, sf_dir):
-    path = _landed(
-        spark, sf_dir, "nav_documents_na", lambda p: L.land_nav_documents(_nav(spark, sf_dir), p, year_end_unavailable=True)
-    )
-    rows = J.explode_nav_documents(J.read_nav_documents(spark, path), nav_type="double", strict=False)
-    return J.split_quarantine(rows)
+    docs = _nav_docs(spark, sf_dir, "nav_documents_na", year_end_unavailable=True)
+    return J.split_quarantine(J.explode_nav_documents(docs, nav_type="double", strict=False))
 
 
 YEAR_END_SQL = "(month(nav_date) = 12 AND day(nav_date) = 31)"
@@ -578,19 +713,52 @@ def q_preview(spark, sf_dir):
     return CSV.preview(q_nav_enriched(spark, sf_dir), ["scheme_code", "nav_date"], 20)
 
 
-@register(
-    "append_sink",
-    f"{DAILY_RETURNS_WITH} SELECT * FROM daily_returns",
-    "K1/E1 load: earlier run stored, rerun appends only new keys, third run appends none",
-)
-def q_append_sink(spark, sf_dir):
+def _append_thrice(spark, sf_dir, name: str, **layout):
+    """Earlier run stored, rerun appends only new keys, third run appends none."""
     keys = ["scheme_code", "nav_date"]
-    feats = R.return_features(_nav(spark, sf_dir), AS_OF)
-    path = shared_dir(spark, "tables", "daily_returns", unique=True)
-    W.append(feats.filter(F.col("nav_date") < F.lit(DELTA_CUTOFF).cast("date")), path, cluster_by=keys)
-    W.append_new(spark, feats, path, keys)
-    W.append_new(spark, feats, path, keys)
-    return spark.read.parquet(path)
+    root = shared_dir(spark, "tables", name, unique=True)
+    W.overwrite(R.return_features(_nav(spark, sf_dir), AS_OF), f"{root}/computed")
+    feats = spark.read.parquet(f"{root}/computed")
+    table_name = f"{name}_{os.path.basename(root)}" if layout.get("buckets") else None
+    table = keyed_table(f"{root}/stored", keys, name=table_name, **layout)
+    W.append(feats.filter(F.col("nav_date") < F.lit(DELTA_CUTOFF).cast("date")), table)
+    W.append_new(spark, feats, table, keys)
+    if table_name:  # as a process whose catalog doesn't know the table
+        spark.sql(f"DROP TABLE {table_name}")
+    W.append_new(spark, feats, table, keys)
+    return table.read(spark).select(*feats.columns)
+
+
+def _append_query(name: str, doc: str, **layout):
+    @register(name, f"{DAILY_RETURNS_WITH} SELECT * FROM daily_returns", doc)
+    def _q(spark, sf_dir):
+        return _append_thrice(spark, sf_dir, name, **layout)
+
+    return _q
+
+
+q_append_sink = _append_query("append_sink", "K1/E1 load: earlier run, rerun, rerun into plain files")
+_append_query("append_sink_bucketed", "K1/E1 load into a bucketed table that the catalog forgets", buckets=4)
+_append_query("append_sink_by_year", "K1/E1 load into a year-partitioned table", year_partitioned=True)
+
+
+@register(
+    "create_tables",
+    "SELECT 'schemes' AS table_name, COUNT(*) AS n_rows FROM supplier UNION ALL "
+    "SELECT unnest(['raw_nav', 'daily_returns', 'scheme_metrics', 'nav_enriched', 'daily_returns_5y', 'weather']), 0",
+    "K5: tables created empty where absent, then the scheme list ingested into them",
+)
+def q_create_tables(spark, sf_dir):
+    wh = jobs.Warehouse(shared_dir(spark, "tables", "warehouse", unique=True))
+    jobs.create_tables(spark, wh)
+    path = _landed(spark, sf_dir, "schemes", lambda p: L.land_scheme_pages(T.read_table(spark, sf_dir, "supplier"), p))
+    jobs.run_scheme_ingest(spark, path, wh)
+    jobs.create_tables(spark, wh)
+    counts = None
+    for name in S.TABLES:
+        one = wh.table(name).read(spark).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
 
 
 @register(
@@ -612,15 +780,18 @@ def q_overwrite_sink(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-def _holdings(spark, sf_dir):
+def _positions(spark, sf_dir):
     li = T.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
     od = T.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    positions = li.join(od, li.l_orderkey == od.o_orderkey).select(
+    return li.join(od, li.l_orderkey == od.o_orderkey).select(
         F.col("o_custkey").alias("portfolio_id"),
         F.col("l_suppkey").alias("scheme_code"),
         F.col("l_extendedprice").alias("value"),
     )
-    return PF.holdings_from_positions(positions)
+
+
+def _holdings(spark, sf_dir):
+    return PF.holdings_from_positions(_positions(spark, sf_dir))
 
 
 def _scheme_names(spark, sf_dir):
@@ -710,6 +881,37 @@ def q_max_drawdown(spark, sf_dir):
     return PF.max_drawdown(_nav(spark, sf_dir), AS_OF)
 
 
+@register(
+    "portfolio_allocation_by_name",
+    f"{PORTFOLIO_WITH}, named AS (SELECT s_name AS scheme_name, MIN(s_suppkey) AS scheme_code FROM supplier GROUP BY 1) "
+    "SELECT w.portfolio_id, w.scheme_code, w.holding_value, "
+    "ROUND(w.holding_value / NULLIF(w.total, 0) * 100.0, 6) AS allocation_pct "
+    "FROM weights w JOIN named USING (scheme_code)",
+    "B1: positions given by scheme name",
+)
+def q_portfolio_allocation_by_name(spark, sf_dir):
+    by_name = _positions(spark, sf_dir).join(_scheme_names(spark, sf_dir), "scheme_code").drop("scheme_code")
+    coded = PF.codes_from_names(by_name, _scheme_names(spark, sf_dir))
+    return PF.portfolio_allocation(PF.holdings_from_positions(coded))
+
+
+@register(
+    "portfolio_allocation_given",
+    f"{PORTFOLIO_WITH}, given AS (SELECT o_custkey AS portfolio_id, l_suppkey AS scheme_code, "
+    "ROUND(SUM(l_quantity), 6) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey IS NOT NULL GROUP BY 1, 2), "
+    "sums AS (SELECT portfolio_id, ROUND(SUM(p), 6) AS t FROM given GROUP BY 1) "
+    "SELECT portfolio_id, scheme_code, ROUND(p / NULLIF(t, 0) * 100.0, 6) AS allocation_pct FROM given JOIN sums USING (portfolio_id)",
+    "B1: allocations given as percentages, scaled to 100",
+)
+def q_portfolio_allocation_given(spark, sf_dir):
+    li = T.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    od = T.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    given = li.join(od, li.l_orderkey == od.o_orderkey).select(
+        F.col("o_custkey").alias("portfolio_id"), F.col("l_suppkey").alias("scheme_code"), F.col("l_quantity").alias("given_pct")
+    )
+    return PF.allocation_from_percentages(given).drop("holding_value")
+
+
 def _pmetrics(spark, sf_dir):
     dr = R.return_features(_nav(spark, sf_dir), AS_OF)
     return PF.portfolio_metrics(_holdings(spark, sf_dir), dr, M.scheme_metrics(dr, AS_OF), AS_OF)
@@ -725,12 +927,9 @@ def q_diversification(spark, sf_dir):
     return PF.diversification(_holdings(spark, sf_dir))
 
 
-def _flags(spark, sf_dir):
-    h = _holdings(spark, sf_dir)
+def _flags(spark, sf_dir, appetite=None):
     dr = R.return_features(_nav(spark, sf_dir), AS_OF)
-    sm = M.scheme_metrics(dr, AS_OF)
-    pm = PF.portfolio_metrics(h, dr, sm, AS_OF)
-    return PF.portfolio_flags(h, pm, PF.diversification(h), sm)
+    return PF.portfolio_flags(_holdings(spark, sf_dir), dr, M.scheme_metrics(dr, AS_OF), AS_OF, appetite)
 
 
 @register("portfolio_flags", f"{PORTFOLIO_WITH} SELECT * FROM flags", "B6: diversification / risk / fund flags")
@@ -738,6 +937,25 @@ def q_portfolio_flags(spark, sf_dir):
     return _flags(spark, sf_dir)
 
 
+# Risk appetite of a customer, by account balance (fixture choice).
+LOW_APPETITE_BELOW, HIGH_APPETITE_FROM = 0.0, 5000.0
+
+
+@register(
+    "portfolio_risk_alignment",
+    f"{PORTFOLIO_WITH} SELECT f.portfolio_id, low_diversification, "
+    f"COALESCE(p.annualized_volatility > CASE WHEN c_acctbal < {LOW_APPETITE_BELOW} THEN {PF.APPETITE_LIMITS['low']} "
+    f"WHEN c_acctbal >= {HIGH_APPETITE_FROM} THEN {PF.APPETITE_LIMITS['high']} ELSE {PF.APPETITE_LIMITS['medium']} END, FALSE) "
+    "AS risk_misaligned, underperforming_fund FROM flags f LEFT JOIN pmetrics p USING (portfolio_id) "
+    "LEFT JOIN customer ON c_custkey = f.portfolio_id",
+    "B6: risk alignment with each portfolio's own appetite",
+)
+def q_portfolio_risk_alignment(spark, sf_dir):
+    level = F.when(F.col("c_acctbal") < LOW_APPETITE_BELOW, "low").when(F.col("c_acctbal") >= HIGH_APPETITE_FROM, "high").otherwise("medium")
+    appetite = T.read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("portfolio_id"), level.alias("risk_appetite"))
+    return _flags(spark, sf_dir, appetite)
+
+
 @register(
     "portfolio_decision",
     f"{PORTFOLIO_WITH} SELECT portfolio_id, CASE WHEN low_diversification OR risk_misaligned "

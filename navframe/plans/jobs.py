@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -53,7 +54,8 @@ class Warehouse:
         keys = S.KEYS.get(table)
         if keys is None:
             return Table(path=self.path(table))
-        name = f"{self.prefix}{table}" if self.buckets else None
+        # the folder is part of the name: two warehouses never share an entry
+        name = f"{self.prefix}{table}_{crc32(self.path(table).encode()):08x}" if self.buckets else None
         return keyed_table(
             self.path(table), keys, name=name, buckets=self.buckets, year_partitioned=self.year_partitioned
         )
@@ -63,56 +65,95 @@ def _read(spark: SparkSession, wh: Warehouse, table: str, since=None) -> DataFra
     return wh.table(table).read(spark, since=since)
 
 
+def create_tables(spark: SparkSession, wh: Warehouse) -> list[str]:
+    """K5: create the pipeline tables that don't exist yet, empty and with their
+    schemas; returns the names of those created. Stored tables stay as they are."""
+    made = []
+    for name, schema in S.TABLES.items():
+        table = wh.table(name)
+        if not table.exists(spark):
+            table.write(spark.createDataFrame([], schema), "overwrite")
+            made.append(name)
+    return made
+
+
+#: quarantined rows and documents are told apart by where they stand
+QUARANTINE_KEYS = ["source", "block", "line", "pos"]
+DOCUMENT_KEYS = ["source", "block", "line"]
+PAGE_KEYS = ["listing", "page"]
+
+
 def run_scheme_ingest(spark: SparkSession, landing: str, wh: Warehouse) -> int:
     """Landed scheme-list pages -> new rows appended to ``schemes``;
-    returns the number appended."""
-    parsed = J.parse_scheme_list(J.read_scheme_pages(spark, landing))
+    returns the number appended. Pages that don't parse go to
+    ``scheme_pages_corrupt``."""
+    pages = J.read_scheme_pages(spark, landing)
+    W.append_new(spark, J.corrupt_scheme_pages(pages), wh.path("scheme_pages_corrupt"), PAGE_KEYS)
     return W.append_new(
-        spark, parsed, wh.table("schemes"), ingest.SCHEME_KEYS, order=["page", "pos"], schema=S.SCHEMES
+        spark, J.parse_scheme_list(pages), wh.table("schemes"), ingest.SCHEME_KEYS, order=ingest.SCHEME_ORDER, schema=S.SCHEMES
     )
 
 
-def run_nav_ingest(
-    spark: SparkSession, landing: str, wh: Warehouse, strict: bool = False, known_schemes_only: bool = True
+def ingest_nav_documents(
+    spark: SparkSession, docs: DataFrame, raw_nav, quarantine, corrupt, schemes: DataFrame | None, strict: bool = False
 ) -> int:
-    """E5: landed NAV documents -> new rows appended to ``raw_nav``.
-
-    With ``strict=False`` rows whose date or NAV does not parse go to the
-    ``raw_nav_quarantine`` table instead of failing the batch, and malformed
-    documents to ``nav_documents_corrupt``. With ``known_schemes_only`` (and
-    a stored ``schemes`` table) only NAVs of listed schemes are kept, as NAV
-    histories are fetched for listed schemes only. This is a left-semi join
-    on the key, broadcast when the scheme list passes the size check.
+    """Parsed NAV documents -> new rows of ``raw_nav``; returns their number.
+
+    Malformed documents go to ``corrupt`` (in strict mode they are written there,
+    then the batch fails). Rows whose date or NAV does not parse go to
+    ``quarantine``. Both are keyed by their place in the landed files, so a
+    repeated batch adds nothing twice. With ``schemes`` only NAVs of listed
+    schemes are kept (a left-semi join, broadcast when it passes the size check).
     """
     # parsed once, used by up to three writes; lost partitions are re-read
     # from the landed files
-    docs = J.read_nav_documents(spark, landing).persist(StorageLevel.MEMORY_AND_DISK)
+    docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = J.explode_nav_documents(docs, strict=strict)
-        valid, bad = J.split_quarantine(rows)
-        schemes = wh.table("schemes")
-        if known_schemes_only and schemes.exists(spark):
-            listed = schemes.read(spark).select("scheme_code")
-            valid = valid.join(broadcast_if_small(listed), "scheme_code", "left_semi")
-        if not strict:
-            W.append(bad, wh.path("raw_nav_quarantine"))
-            W.append(J.corrupt_documents(docs), wh.path("nav_documents_corrupt"))
-        return W.append_new(
-            spark, valid, wh.table("raw_nav"), ingest.NAV_KEYS, order=["source", "pos"], schema=S.RAW_NAV
-        )
+        if corrupt is not None:
+            W.append_new(spark, J.corrupt_documents(docs), corrupt, DOCUMENT_KEYS)
+        valid, bad = J.split_quarantine(J.explode_nav_documents(docs, strict=strict))
+        if schemes is not None:
+            valid = valid.join(broadcast_if_small(schemes.select("scheme_code")), "scheme_code", "left_semi")
+        if not strict and quarantine is not None:
+            W.append_new(spark, bad, quarantine, QUARANTINE_KEYS)
+        return W.append_new(spark, valid, raw_nav, ingest.NAV_KEYS, order=ingest.NAV_ORDER, schema=S.RAW_NAV)
     finally:
         docs.unpersist()
 
 
+def run_nav_ingest(
+    spark: SparkSession, landing: str, wh: Warehouse, strict: bool = False, known_schemes_only: bool = True
+) -> int:
+    """E5: landed NAV documents -> new rows appended to ``raw_nav``, see
+    :func:`ingest_nav_documents`. With ``known_schemes_only`` (and a stored
+    ``schemes`` table) only NAVs of listed schemes are kept, as NAV histories are
+    fetched for listed schemes only."""
+    table = wh.table("schemes")
+    schemes = table.read(spark) if known_schemes_only and table.exists(spark) else None
+    return ingest_nav_documents(
+        spark,
+        J.read_nav_documents(spark, landing),
+        wh.table("raw_nav"),
+        wh.path("raw_nav_quarantine"),
+        wh.path("nav_documents_corrupt"),
+        schemes,
+        strict,
+    )
+
+
 def run_daily_returns(spark: SparkSession, wh: Warehouse, as_of=None) -> int:
     """Features over the lookback, appended for keys not stored yet;
-    returns the number appended."""
+    returns the number appended. Stored keys are tagged on the narrow NAV rows
+    before the window, so the wide rows are never shuffled."""
     start = lookback_start(as_of, P.LOOKBACK_MONTHS)
     nav = _read(spark, wh, "raw_nav", since=start).select("scheme_code", "nav_date", "nav")
-    feats = returns.return_features(nav, as_of)
-    return W.append_new(
-        spark, feats, wh.table("daily_returns"), ["scheme_code", "nav_date"], schema=S.DAILY_RETURNS, stored_since=start
-    )
+    target = wh.table("daily_returns")
+    if target.exists(spark):
+        stored = target.read(spark, since=start).select("scheme_code", "nav_date")
+        feats = returns.new_return_features(nav, stored, as_of)
+    else:
+        feats = returns.return_features(nav, as_of)
+    return W.append_counted(feats, target, S.DAILY_RETURNS)
 
 
 def run_scheme_metrics(spark: SparkSession, wh: Warehouse, as_of=None) -> None:

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from navframe.sources.csv import write_csv
 
 PAGE_SIZE = 1000
-# Pages of the re-listing come after every regular page.
-RELIST_PAGE_BASE = 1_000_000
 RELIST_MIN_ACCTBAL = 9000.0
 
 
@@ -35,18 +33,21 @@ def scheme_items(supplier: DataFrame) -> DataFrame:
     )
 
 
-def land_scheme_pages(supplier: DataFrame, path: str, page_size: int = PAGE_SIZE) -> None:
-    """One JSON array per page file under ``page=<n>/``.
+def land_scheme_pages(supplier: DataFrame, path: str, page_size: int = PAGE_SIZE, broken: bool = False) -> None:
+    """One JSON array per page file under ``listing=<n>/page=<n>/``.
 
     Suppliers with a balance above ``RELIST_MIN_ACCTBAL`` are listed a second
-    time on later pages with a lower-cased name, so the batch holds duplicate
-    keys whose first listing must win.
+    time, in a later listing, with a lower-cased name, so the batch holds
+    duplicate keys whose first listing must win. With ``broken`` the pages of the
+    second listing are cut off before their last character, as a download that
+    broke off.
     """
     items = scheme_items(supplier)
     page_no = (F.col("schemeCode") / page_size).cast("bigint")
-    regular = items.select((page_no + 1).alias("page"), "*")
+    regular = items.select(F.lit(0).alias("listing"), page_no.alias("page"), "*")
     relisted = items.filter(F.col("s_acctbal") > RELIST_MIN_ACCTBAL).select(
-        (page_no + RELIST_PAGE_BASE).alias("page"),
+        F.lit(1).alias("listing"),
+        page_no.alias("page"),
         "schemeCode",
         F.lower("schemeName").alias("schemeName"),
         "isinGrowth",
@@ -56,11 +57,14 @@ def land_scheme_pages(supplier: DataFrame, path: str, page_size: int = PAGE_SIZE
     element = F.struct("schemeCode", "schemeName", "isinGrowth", "isinDivReinvestment")
     pages = (
         regular.unionByName(relisted)
-        .groupBy("page")
+        .groupBy("listing", "page")
         .agg(F.sort_array(F.collect_list(F.struct(F.col("schemeCode").alias("k"), element.alias("e")))).alias("xs"))
-        .select("page", F.to_json(F.transform("xs", lambda x: x["e"])).alias("value"))
+        .select("listing", "page", F.to_json(F.transform("xs", lambda x: x["e"])).alias("value"))
     )
-    pages.repartition("page").write.mode("overwrite").partitionBy("page").text(path)
+    if broken:
+        cut = F.expr("left(value, length(value) - 1)")
+        pages = pages.withColumn("value", F.when(F.col("listing") == 1, cut).otherwise(F.col("value")))
+    pages.repartition("listing", "page").write.mode("overwrite").partitionBy("listing", "page").text(path)
 
 
 def fund_house(code) -> F.Column:
@@ -71,13 +75,26 @@ def scheme_name(code) -> F.Column:
     return F.concat(F.lit("Scheme "), code.cast("string"))
 
 
-def land_nav_documents(nav: DataFrame, path: str, year_end_unavailable: bool = False) -> None:
+def land_nav_documents(
+    nav: DataFrame,
+    path: str,
+    year_end_unavailable: bool = False,
+    no_meta_every: int | None = None,
+    republish: bool = False,
+    cut_every: int | None = None,
+) -> None:
     """One NAV document per scheme and calendar year (JSON Lines), items
     newest first, dates as ``dd-MM-yyyy`` text and NAVs as text.
 
     With ``year_end_unavailable`` the NAV of every 31 December is published as
     ``N.A.`` (as a source does for a non-business day), which a lenient
-    ingest must route to quarantine.
+    ingest must route to quarantine. ``no_meta_every`` leaves out ``meta`` for
+    schemes whose code that number divides. ``republish`` adds, in the same file
+    and after each document, one with the scheme's two oldest days of the year at
+    other positions and other NAVs, which must lose. ``cut_every`` cuts off the
+    documents of the schemes whose code it divides.
+
+    Every document carries ``requested``, the code that was asked for.
     """
     text = F.col("nav").cast("string")
     if year_end_unavailable:
@@ -92,15 +109,24 @@ def land_nav_documents(nav: DataFrame, path: str, year_end_unavailable: bool = F
         F.sort_array(F.collect_list(item), asc=False).alias("xs")
     )
     code = F.col("scheme_code")
-    value = F.to_json(
-        F.struct(
-            F.struct(code.alias("scheme_code"), fund_house(code).alias("fund_house"), scheme_name(code).alias("scheme_name")).alias(
-                "meta"
-            ),
-            F.transform("xs", lambda x: F.struct(x["date"].alias("date"), x["nav"].alias("nav"))).alias("data"),
-        )
-    )
-    docs.select(value.alias("value")).write.mode("overwrite").text(path)
+    if republish:  # the oldest days come last in a document, here they come first
+        late = F.transform(F.reverse(F.slice("xs", -2, 2)), lambda x: x.withField("nav", F.lit("0.01")))
+        late = F.when(F.size("xs") >= 2, late).otherwise(F.lit(None))
+        docs = docs.select("scheme_code", "yr", F.posexplode(F.array("xs", late)).alias("nth", "xs")).filter("xs IS NOT NULL")
+    else:
+        docs = docs.withColumn("nth", F.lit(0))
+    meta = F.struct(code.alias("scheme_code"), fund_house(code).alias("fund_house"), scheme_name(code).alias("scheme_name"))
+    if no_meta_every:
+        meta = F.when(code % no_meta_every != 0, meta)
+    data = F.transform("xs", lambda x: F.struct(x["date"].alias("date"), x["nav"].alias("nav")))
+    value = F.to_json(F.struct(code.alias("requested"), meta.alias("meta"), data.alias("data")))
+    docs = docs.select("scheme_code", "yr", "nth", value.alias("value"))
+    if cut_every:
+        cut = F.expr("left(value, length(value) - 2)")
+        docs = docs.withColumn("value", F.when(code % cut_every == 0, cut).otherwise(F.col("value")))
+    if republish:  # a scheme's documents in one file, in order
+        docs = docs.repartition("scheme_code").sortWithinPartitions("scheme_code", "yr", "nth")
+    docs.select("value").write.mode("overwrite").text(path)
 
 
 def land_weather(events: DataFrame, path: str) -> None:

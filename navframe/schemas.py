@@ -107,6 +107,8 @@ SCHEME_LIST = T.ArrayType(SCHEME_LIST_ITEM)
 
 NAV_DOCUMENT = T.StructType(
     [
+        # the scheme code that was asked for, added when the response is landed
+        _f("requested", T.StringType()),
         _f(
             "meta",
             T.StructType(

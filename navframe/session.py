@@ -59,12 +59,17 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
 def shared_dir(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     """A folder every executor can see: the cluster's ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only when it is unset (local runs and
-    tests) is a folder created and registered as the checkpoint dir, so that
-    ``DataFrame.checkpoint()`` and written intermediate tables share it.
+    The setting is read from the session. Only when it is unset on a local
+    master (local runs and tests) is a folder created and registered as the
+    checkpoint dir, so that ``DataFrame.checkpoint()`` and written intermediate
+    tables share it. Elsewhere a missing setting is an error: executors don't
+    see the driver's temporary folders.
     """
     base = _checkpoint_dir(spark)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="navframe-shared-")
         try:
             spark.sparkContext.setCheckpointDir(base)
@@ -92,7 +97,6 @@ def cluster_settings(
     shuffle_bytes: int,
     total_cores: int,
     target_partition_bytes: int = 256 * 1024 * 1024,
-    max_partitions: int = 100_000,
 ) -> dict[str, str]:
     """Cluster sizing from the expected bytes of the largest shuffle.
 
@@ -104,7 +108,7 @@ def cluster_settings(
     """
     import math
 
-    parts = min(max_partitions, max(3 * total_cores, math.ceil(shuffle_bytes / target_partition_bytes)))
+    parts = max(3 * total_cores, math.ceil(shuffle_bytes / target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
@@ -113,3 +117,18 @@ def cluster_settings(
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
         "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     }
+
+
+#: a shuffle of NAV rows against the Parquet it is read from (measured about 3)
+SHUFFLE_PER_INPUT_BYTE = 4
+
+
+def apply_cluster_settings(spark: SparkSession, input_bytes: int) -> dict[str, str]:
+    """Size a running session for inputs of ``input_bytes``; settings that the
+    submitter chose stay. Returns what was set."""
+    sized = cluster_settings(SHUFFLE_PER_INPUT_BYTE * input_bytes, spark.sparkContext.defaultParallelism)
+    chosen = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    made = {k: v for k, v in sized.items() if k not in chosen}
+    for k, v in made.items():
+        spark.conf.set(k, v)
+    return made

@@ -55,6 +55,13 @@ def append(
     _target(target, cluster_by).write(_prepare(df, schema, None), "append")
 
 
+def append_counted(df: DataFrame, target: str | Table, schema: T.StructType | None = None) -> int:
+    """Add rows; returns their number, observed while writing."""
+    obs = Observation("append")
+    _target(target, None).write(_prepare(df, schema, None), "append", obs)
+    return int(obs.get["rows"])
+
+
 def append_new(
     spark: SparkSession,
     df: DataFrame,
@@ -62,7 +69,6 @@ def append_new(
     keys: Sequence[str],
     order: Sequence[str] | None = None,
     schema: T.StructType | None = None,
-    stored_filter=None,
     stored_since=None,
 ) -> int:
     """K3/K4/E1 load: append only rows whose key is not stored yet.
@@ -78,8 +84,7 @@ def append_new(
     the anti-join when the incoming rows are known to start there (E1 only
     produces rows inside the lookback), so the weekly delta does not scan
     every stored key. Year-partitioned tables skip whole years, and the
-    date predicate reaches the Parquet scan. ``stored_filter`` adds any
-    other predicate.
+    date predicate reaches the Parquet scan.
     """
     table = _target(target, keys)
     if table.exists(spark):
@@ -87,15 +92,11 @@ def append_new(
         if stored_since is not None:
             start = stored_since if isinstance(stored_since, Column) else F.lit(stored_since).cast("date")
             stored = stored.filter(F.col("nav_date") >= start)
-        if stored_filter is not None:
-            stored = stored.filter(stored_filter)
         delta = dedup_new_rows(df, stored, keys, order) if order else new_rows(df, stored, keys)
     else:
         nothing_stored = spark.createDataFrame([], df.select(*keys).schema)
         delta = dedup_new_rows(df, nothing_stored, keys, order) if order else df
-    obs = Observation("append_new")
-    table.write(_prepare(delta, schema, None).observe(obs, F.count(F.lit(1)).alias("rows")), "append")
-    return int(obs.get["rows"])
+    return append_counted(delta, table, schema)
 
 
 # ---- JDBC ------------------------------------------------------------------

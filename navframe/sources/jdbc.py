@@ -28,9 +28,9 @@ def column_bounds(
     (one row comes back), instead of fixed constants."""
     q = f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {table}) b"
     row = spark.read.jdbc(url, q, properties=dict(properties or {})).first()
-    if row is None or row["lo"] is None:
+    if row is None or row[0] is None:  # by position: databases fold names differently
         return None
-    return int(row["lo"]), int(row["hi"])
+    return int(row[0]), int(row[1])
 
 
 def read_partitioned(

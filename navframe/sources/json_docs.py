@@ -7,15 +7,20 @@ document is routed to quarantine instead of failing the batch.
 Landing layouts
 ---------------
 * scheme list: one JSON array per page, one page per file, in folders
-  ``page=<n>/`` (read whole-file; page number and array position give the
-  payload order used for first-write-wins).
-* NAV documents: JSON Lines, one ``{"meta": {...}, "data": [...]}`` object
-  per line (splittable).
+  ``listing=<n>/page=<n>/`` (or ``page=<n>/``), read whole-file; listing, page
+  number and array position give the payload order used for first-write-wins. A
+  page is one value in a task, so a list that a source sends as one large array
+  is landed in pages; a file above ``MAX_PAGE_BYTES`` is refused.
+* NAV documents: JSON Lines, one ``{"requested": code, "meta": {...}, "data":
+  [...]}`` object per line (splittable). ``requested`` is the scheme code that was
+  asked for, added when the response is landed; a folder ``scheme_code=<code>/``
+  says the same.
 * weather, people: JSON Lines, one object per line.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +30,8 @@ from navframe import schemas as S
 from navframe.functions.dates import parse_day_first
 
 CORRUPT = "_corrupt_record"
+#: payload order of NAV rows: file, split of the file, line, position in ``data``
+ORDER = ["source", "block", "line", "pos"]
 
 
 def _code(path: str):
@@ -36,26 +43,45 @@ def _code(path: str):
 # ---- scheme list (S5, P1) --------------------------------------------------
 
 
+MAX_PAGE_BYTES = 256 * 1024 * 1024
+
+
 def read_scheme_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One row per landed page file: ``value`` (the JSON array) and ``page``."""
+    """One row per landed page file: ``value`` (the JSON array), ``listing`` and
+    ``page``."""
     df = spark.read.text(path, wholetext=True)
     if "page" not in df.columns:
         df = df.withColumn("page", F.col("_metadata.file_path"))
-    return df.select("value", "page")
+    if "listing" not in df.columns:
+        df = df.withColumn("listing", F.lit(0))
+    large = F.raise_error(F.concat(F.lit("scheme page above the size limit, land it in smaller pages: "), F.col("_metadata.file_path")))
+    value = F.when(F.col("_metadata.file_size") > MAX_PAGE_BYTES, large).otherwise(F.col("value"))
+    return df.select(value.alias("value"), "listing", "page")
+
+
+def corrupt_scheme_pages(pages: DataFrame, value_col: str = "value") -> DataFrame:
+    """Pages that are not a JSON array of objects: ``listing``, ``page`` and the
+    text. They yield no scheme and belong in quarantine."""
+    parsed = F.from_json(value_col, S.SCHEME_LIST)
+    return pages.filter(parsed.isNull()).select("listing", "page", F.col(value_col).alias(CORRUPT))
 
 
 def parse_scheme_list(pages: DataFrame, value_col: str = "value") -> DataFrame:
     """Array pages -> one row per scheme, camelCase renamed to snake_case.
 
-    A key missing from an element becomes NULL. ``page`` and ``pos`` carry the
-    payload order.
+    A key missing from an element becomes NULL. ``listing``, ``page`` and ``pos``
+    carry the payload order. Pages that don't parse yield no row; see
+    :func:`corrupt_scheme_pages`.
     """
-    items = pages.select("page", F.posexplode(F.from_json(value_col, S.SCHEME_LIST)).alias("pos", "item"))
+    if "listing" not in pages.columns:
+        pages = pages.withColumn("listing", F.lit(0))
+    items = pages.select("listing", "page", F.posexplode(F.from_json(value_col, S.SCHEME_LIST)).alias("pos", "item"))
     return items.select(
         _code("item.schemeCode").alias("scheme_code"),
         F.col("item.schemeName").alias("scheme_name"),
         F.col("item.isinGrowth").alias("isin_growth"),
         F.col("item.isinDivReinvestment").alias("isin_div_reinvestment"),
+        "listing",
         "page",
         "pos",
     )
@@ -72,8 +98,19 @@ def read_nav_documents(spark: SparkSession, path: str) -> DataFrame:
     Lines are read as text (splittable) and parsed with ``from_json``; a line
     that is not a valid document keeps its text in ``_corrupt_record``.
     """
-    lines = spark.read.text(path).withColumn("source", F.col("_metadata.file_path"))
-    return parse_nav_documents(lines)
+    return parse_nav_documents(with_line(with_source(spark.read.text(path))))
+
+
+def with_source(lines: DataFrame) -> DataFrame:
+    """``source`` and ``block``: a line's file and the start of its file split."""
+    return lines.select("*", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def with_line(lines: DataFrame) -> DataFrame:
+    """``line``: a number that grows with the lines of a file split. With
+    ``source`` and ``block`` it orders the lines as the payload has them; it must
+    be taken before any shuffle."""
+    return lines.withColumn("line", F.monotonically_increasing_id())
 
 
 def parse_nav_documents(docs: DataFrame, value_col: str = "value") -> DataFrame:
@@ -84,7 +121,7 @@ def parse_nav_documents(docs: DataFrame, value_col: str = "value") -> DataFrame:
         F.from_json(value_col, NAV_DOCUMENT_WITH_CORRUPT, {"columnNameOfCorruptRecord": CORRUPT}).alias("d"),
         *others,
     )
-    return parsed.select("d.meta", "d.data", f"d.{CORRUPT}", *others)
+    return parsed.select("d.requested", "d.meta", "d.data", f"d.{CORRUPT}", *others)
 
 
 def explode_nav_documents(
@@ -98,20 +135,27 @@ def explode_nav_documents(
 
     A document without ``data`` yields no row; without ``meta`` the names are
     NULL. Dates are day-first text, NAVs are text cast to ``nav_type``.
-    ``strict`` raises on a bad date or number (ANSI); otherwise the value is
-    NULL and :func:`split_quarantine` separates the row. Output carries
-    ``source`` and ``pos`` for payload ordering.
+    The scheme code is the one that was requested (the landing folder's, then
+    the document's ``requested``), and ``meta.scheme_code`` only where neither
+    is there. ``strict`` raises on a malformed document, a bad date or a bad
+    number (ANSI); otherwise the document is skipped here (see
+    :func:`corrupt_documents`), or the value is NULL and
+    :func:`split_quarantine` separates the row. Output carries ``ORDER`` for
+    payload ordering.
     """
-    if CORRUPT not in docs.columns:
-        docs = docs.withColumn(CORRUPT, F.lit(None).cast("string"))
-    if "source" not in docs.columns:
-        docs = docs.withColumn("source", F.lit(None).cast("string"))
-    good = docs.filter(F.col(CORRUPT).isNull())
-    items = good.select(
-        _code("meta.scheme_code").alias("scheme_code"),
+    for name, kind in ((CORRUPT, "string"), ("source", "string"), ("block", "bigint"), ("line", "bigint"), ("requested", "string"), ("scheme_code", "string")):
+        if name not in docs.columns:
+            docs = docs.withColumn(name, F.lit(None).cast(kind))
+    if strict:
+        message = F.concat(F.lit("malformed NAV document in "), F.coalesce("source", F.lit("the input")))
+        docs = docs.withColumn("data", F.when(F.col(CORRUPT).isNotNull(), F.raise_error(message)).otherwise(F.col("data")))
+    else:
+        docs = docs.filter(F.col(CORRUPT).isNull())
+    items = docs.select(
+        F.coalesce(F.expr("try_cast(scheme_code AS BIGINT)"), _code("requested"), _code("meta.scheme_code")).alias("scheme_code"),
         F.col("meta.fund_house").alias("fund_house"),
         F.col("meta.scheme_name").alias("scheme_name"),
-        "source",
+        *ORDER[:-1],
         F.posexplode("data").alias("pos", "item"),
     )
     items = items.select(
@@ -120,8 +164,7 @@ def explode_nav_documents(
         F.col("item.nav").alias("_nav_text"),
         "fund_house",
         "scheme_name",
-        "source",
-        "pos",
+        *ORDER,
     )
     nav = F.col("_nav_text").cast(nav_type) if strict else F.expr(f"try_cast(_nav_text AS {nav_type})")
     return items.select(
@@ -130,8 +173,7 @@ def explode_nav_documents(
         nav.alias("nav"),
         "fund_house",
         "scheme_name",
-        "source",
-        "pos",
+        *ORDER,
         "_date_text",
         "_nav_text",
     )
@@ -155,7 +197,7 @@ def split_quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def corrupt_documents(docs: DataFrame) -> DataFrame:
     """Landed lines that were not valid JSON documents."""
-    return docs.filter(F.col(CORRUPT).isNotNull()).select("source", CORRUPT)
+    return docs.filter(F.col(CORRUPT).isNotNull()).select(*[c for c in ORDER[:-1] if c in docs.columns], CORRUPT)
 
 
 # ---- weather (S7, P6) ------------------------------------------------------
@@ -201,11 +243,12 @@ FALLBACK_PEOPLE = [
 
 def read_people(spark: SparkSession, path: str | None) -> DataFrame:
     """People documents, or the built-in fallback when nothing is landed."""
-    try:
-        if path:
+    if path:
+        try:
             return spark.read.schema(S.PEOPLE_DOCUMENT).json(path)
-    except Exception:  # AnalysisException: path does not exist
-        pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     people = [{"craft": c, "name": n} for c, n in FALLBACK_PEOPLE]
     return spark.createDataFrame([(len(people), people)], S.PEOPLE_DOCUMENT)
 

@@ -70,10 +70,6 @@ def load_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nav_series(read_table(spark, sf_dir, "lineitem"))
 
 
-def load_thin_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return thin_nav_series(read_table(spark, sf_dir, "orders"))
-
-
 # The SQL the oracle side uses for the same stand-ins (DuckDB dialect).
 NAV_SERIES_SQL = (
     "SELECT l_suppkey AS scheme_code, CAST(l_shipdate AS DATE) AS nav_date, "

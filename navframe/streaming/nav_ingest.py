@@ -1,68 +1,67 @@
 """Incremental NAV ingest as a Structured Streaming query.
 
-Landed NAV documents (JSON Lines) are the stream source; each micro-batch is
-parsed, bad rows are split to a quarantine table, and the rest is appended to
-``raw_nav`` with the keyed rule (first write wins in the batch, stored keys
-win over the batch). Because the append is keyed, replaying a micro-batch
-after a failure appends nothing twice, so the sink is idempotent and the
-checkpoint gives exactly-once results. ``availableNow`` processes whatever
-has landed and stops, which is the weekly batch schedule expressed as a
-stream; a processing-time trigger keeps it running.
+Landed NAV documents (JSON Lines) are the stream source. Each micro-batch runs
+the batch ingest: malformed documents and bad rows go to their quarantine
+tables, the rest is appended to ``raw_nav`` by key (first write wins in the
+batch, stored keys win over the batch). All three targets are keyed, quarantine
+by the place in the landed files, so a micro-batch that is replayed after a
+failure adds nothing twice. The checkpoint path is required and belongs to the
+landing folder: a restart goes on where the last run stopped. ``availableNow``
+processes whatever has landed and stops, which is the weekly batch schedule
+expressed as a stream; a processing-time trigger keeps it running.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from navframe import params as P
-from navframe import schemas as S
-from navframe.operators.ingest import NAV_KEYS
-from navframe.operators.joins import broadcast_if_small
-from navframe.session import shared_dir
-from navframe.sinks.writers import append, append_new
-from navframe.sources.json_docs import explode_nav_documents, parse_nav_documents, split_quarantine
+from navframe.plans.jobs import ingest_nav_documents
+from navframe.sinks.table import Table
+from navframe.sources.json_docs import parse_nav_documents, with_line, with_source
 
 
 def nav_document_stream(spark: SparkSession, landing_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Newly landed JSON Lines files as a stream of parsed NAV documents."""
+    """Newly landed JSON Lines files as a stream of lines with their file."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    lines = reader.load(landing_path).withColumn("source", F.col("_metadata.file_path"))
-    return parse_nav_documents(lines)
+    return with_source(reader.load(landing_path))
 
 
 def start_nav_ingest(
     spark: SparkSession,
     landing_path: str,
-    raw_nav_path: str,
+    raw_nav: str | Table,
+    checkpoint_path: str,
     quarantine_path: str | None = None,
-    checkpoint_path: str | None = None,
+    corrupt_path: str | None = None,
     available_now: bool = True,
     processing_time: str | None = None,
-    nav_type: str = P.NAV_DECIMAL,
-    schemes_path: str | None = None,
+    schemes: str | Table | None = None,
 ) -> StreamingQuery:
     """Start the ingest stream; returns the running query.
 
-    With ``schemes_path`` (a stored scheme list) only NAVs of listed schemes
-    are appended, as in the batch ingest."""
-    docs = nav_document_stream(spark, landing_path)
-    rows = explode_nav_documents(docs, nav_type=nav_type, strict=False)
-    checkpoint_path = checkpoint_path or shared_dir(spark, "streams", "nav_ingest", unique=True)
+    ``raw_nav`` is a folder or a :class:`Table`, whose layout is kept. With
+    ``schemes`` (a stored scheme list) only NAVs of listed schemes are appended,
+    as in the batch ingest."""
+    if not checkpoint_path:
+        raise ValueError("a checkpoint path is required: without it each start reads everything again")
+    listed = Table(path=schemes) if isinstance(schemes, str) else schemes
 
     def _batch(batch: DataFrame, epoch_id: int) -> None:
-        valid, bad = split_quarantine(batch)
-        if schemes_path is not None:
-            listed = batch.sparkSession.read.parquet(schemes_path).select("scheme_code")
-            valid = valid.join(broadcast_if_small(listed), "scheme_code", "left_semi")
-        append_new(batch.sparkSession, valid, raw_nav_path, NAV_KEYS, order=["source", "pos"], schema=S.RAW_NAV)
-        if quarantine_path is not None:
-            append(bad.withColumn("epoch_id", F.lit(epoch_id)), quarantine_path)
+        session = batch.sparkSession
+        ingest_nav_documents(
+            session,
+            parse_nav_documents(with_line(batch)),
+            raw_nav,
+            quarantine_path,
+            corrupt_path,
+            listed.read(session) if listed is not None else None,
+        )
 
-    writer = rows.writeStream.foreachBatch(_batch).option("checkpointLocation", checkpoint_path)
+    lines = nav_document_stream(spark, landing_path)
+    writer = lines.writeStream.foreachBatch(_batch).option("checkpointLocation", checkpoint_path)
     if processing_time:
         writer = writer.trigger(processingTime=processing_time)
     elif available_now:

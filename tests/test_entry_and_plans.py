@@ -62,7 +62,7 @@ def test_skew_safe_aggregates_combine_map_side(spark):
     from pyspark.sql import functions as F
 
     from navframe.operators.delta import first_write_wins
-    from navframe.operators.portfolio import holdings_from_positions, portfolio_daily_returns
+    from navframe.operators.portfolio import holdings_from_positions, portfolio_daily_returns, portfolio_weights
 
     # one hot key with many duplicates: collapsed before the shuffle
     rows = spark.range(0, 50_000).select(
@@ -85,6 +85,33 @@ def test_skew_safe_aggregates_combine_map_side(spark):
     dr = spark.range(0, 500).select(
         F.col("id").alias("scheme_code"), F.lit(dt.date(2024, 1, 2)).alias("nav_date"), F.lit(1.0).alias("daily_return_pct")
     )
-    pr = portfolio_daily_returns(h, dr, dt.date(2024, 1, 31))
+    pr = portfolio_daily_returns(portfolio_weights(h), dr, dt.date(2024, 1, 31))
     assert _partial_before_exchange(_plan(pr), "sum")
     assert pr.collect()[0]["portfolio_return_pct"] == 1.0
+
+
+def _exchanges(df) -> tuple[int, int]:
+    """Hash exchanges of a plan without broadcasts, computed and reused."""
+    import re
+
+    plan = _plan(df)
+    return len(re.findall(r"Exchange hashpartitioning", plan)), plan.count("ReusedExchange")
+
+
+def test_shared_inputs_are_shuffled_once(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # nav series (2 stand-ins), the window; the metrics branch reuses the window's exchange
+        made, reused = _exchanges(C.CATALOG["nav_enriched_join"].build(spark, SF001))
+        assert made <= 3 and reused >= 1
+        made, reused = _exchanges(C.CATALOG["scheme_metrics_joined"].build(spark, SF001))
+        assert made <= 3 and reused >= 1
+        # the wide feature rows aren't shuffled after the window
+        plan = _plan(C.CATALOG["delta_anti_join"].build(spark, SF001))
+        top = plan[: plan.index("Window")]
+        assert "Exchange" not in top and "Join" not in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

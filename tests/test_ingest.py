@@ -51,8 +51,9 @@ def test_no_meta_and_no_data(spark, tmp_dir):
         "a.json",
         [_doc(1, [("01-01-2024", "1")], meta=False), _doc(2, [], data=False), _doc(3, [("01-01-2024", "2")])],
     )
-    rows = _read_docs(spark, tmp_dir).collect()
-    # the document without data yields no row; without meta the names are NULL
+    rows = _read_docs(spark, tmp_dir, strict=True).collect()
+    # the document without data yields no row; without meta the names are NULL,
+    # and the key too, as nothing says which scheme was requested
     assert len(rows) == 2
     nometa = [r for r in rows if r["scheme_code"] is None]
     assert len(nometa) == 1 and nometa[0]["fund_house"] is None and nometa[0]["scheme_name"] is None
@@ -176,3 +177,46 @@ def test_codes_as_numbers_or_strings(spark, tmp_dir):
     _write_lines(docs, "a.json", ['{"meta": {"scheme_code": "7"}, "data": [{"date": "01-01-2024", "nav": 1.5}]}'])
     r = _read_docs(spark, docs).collect()[0]
     assert r["scheme_code"] == 7 and str(r["nav"]) == "1.500000"
+
+
+def test_code_of_the_request_before_meta(spark, tmp_dir):
+    _write_lines(os.path.join(tmp_dir, "a"), "x.json", ['{"requested": 9, "data": [{"date": "01-01-2024", "nav": "1"}]}', '{"requested": 8, "meta": {"scheme_code": 7, "scheme_name": "S"}, "data": [{"date": "01-01-2024", "nav": "2"}]}'])
+    _write_lines(os.path.join(tmp_dir, "b", "scheme_code=5"), "x.json", ['{"meta": {"scheme_code": 7}, "data": [{"date": "01-01-2024", "nav": "3"}]}'])
+    a = _read_docs(spark, os.path.join(tmp_dir, "a")).collect()
+    assert sorted((r["scheme_code"], r["scheme_name"]) for r in a) == [(8, "S"), (9, None)]
+    assert [r["scheme_code"] for r in _read_docs(spark, os.path.join(tmp_dir, "b")).collect()] == [5]
+
+
+def test_first_document_of_a_file_wins(spark, tmp_dir):
+    # the second document has the same day at an earlier position
+    _write_lines(tmp_dir, "a.json", [_doc(1, [("05-01-2024", "1"), ("02-01-2024", "10")]), _doc(1, [("02-01-2024", "99"), ("05-01-2024", "98")])])
+    empty = spark.createDataFrame([], "scheme_code bigint, nav_date date")
+    got = {r["nav_date"].day: int(r["nav"]) for r in I.new_nav_rows(_read_docs(spark, tmp_dir), empty).collect()}
+    assert got == {2: 10, 5: 1}
+
+
+def test_malformed_input_is_never_dropped_silently(spark, tmp_dir):
+    from navframe.plans import jobs
+
+    land = os.path.join(tmp_dir, "nav")
+    _write_lines(land, "a.json", [_doc(1, [("01-01-2024", "1")]), '{"meta": {"scheme_code": 2}, "data": [{"date"'])
+    with pytest.raises(PySparkException, match="malformed NAV document"):
+        _read_docs(spark, land, strict=True).collect()
+    wh = jobs.Warehouse(os.path.join(tmp_dir, "wh"))
+    with pytest.raises(PySparkException):
+        jobs.run_nav_ingest(spark, land, wh, strict=True)
+    assert spark.read.parquet(wh.path("nav_documents_corrupt")).count() == 1
+    assert jobs.run_nav_ingest(spark, land, wh) == 1
+    assert jobs.run_nav_ingest(spark, land, wh) == 0
+    assert spark.read.parquet(wh.path("nav_documents_corrupt")).count() == 1  # keyed by place
+    pages = os.path.join(tmp_dir, "pages")
+    _write_lines(os.path.join(pages, "listing=0", "page=0"), "x.json", ['[{"schemeCode": 1}, {"schemeCode": 2}]'])
+    _write_lines(os.path.join(pages, "listing=0", "page=1"), "x.json", ['[{"schemeCode": 3}, {"schemeCode": 4'])
+    assert jobs.run_scheme_ingest(spark, pages, wh) == 2
+    bad = spark.read.parquet(wh.path("scheme_pages_corrupt")).collect()
+    assert [(r["listing"], r["page"]) for r in bad] == [(0, 1)]
+
+
+def test_people_other_errors_are_raised(spark, tmp_dir):
+    with pytest.raises(PySparkException):
+        J.read_people(spark, "nosuchscheme://x/y").collect()

@@ -1,5 +1,7 @@
 """Session helpers: shared folder and partition sizing."""
 
+import pytest
+
 from navframe.session import cluster_settings, local_settings, shared_dir
 
 
@@ -17,7 +19,8 @@ def test_cluster_settings_size_by_bytes():
     assert int(s["spark.sql.shuffle.partitions"]) == 81920
     assert s["spark.sql.adaptive.coalescePartitions.parallelismFirst"] == "false"
     assert int(cluster_settings(1024, 100)["spark.sql.shuffle.partitions"]) == 300
-    assert int(cluster_settings(10**18, 10)["spark.sql.shuffle.partitions"]) == 100_000
+    # no ceiling: partitions keep their size however large the shuffle
+    assert int(cluster_settings(10**18, 10)["spark.sql.shuffle.partitions"]) == -(-(10**18) // (256 * 1024 * 1024))
 
 
 def test_local_settings():
@@ -53,3 +56,19 @@ def test_parse_bytes_and_threshold(spark):
         assert broadcast_threshold(df) == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_shared_dir_refuses_local_folder_off_local_masters():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session(), "x")

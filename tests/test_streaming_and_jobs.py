@@ -33,7 +33,7 @@ def test_stream_ingest_is_keyed_and_idempotent(spark, tmp_dir):
     ckpt = os.path.join(tmp_dir, "ckpt")
     schemes = os.path.join(tmp_dir, "schemes")
     spark.createDataFrame([(1,), (2,)], "scheme_code bigint").write.parquet(schemes)
-    q = start_nav_ingest(spark, land, raw, quarantine, checkpoint_path=ckpt, schemes_path=schemes)
+    q = start_nav_ingest(spark, land, raw, ckpt, quarantine, schemes=schemes)
     q.awaitTermination(120)
     got = {(r["scheme_code"], r["nav_date"]): r["nav"] for r in spark.read.parquet(raw).collect()}
     assert got == {
@@ -46,7 +46,7 @@ def test_stream_ingest_is_keyed_and_idempotent(spark, tmp_dir):
     # a second landing with an already-stored key and a new one
     with open(os.path.join(land, "b2.json"), "w") as f:
         f.write(_doc(1, [("02-01-2024", "99"), ("03-01-2024", "13")]) + "\n")
-    q = start_nav_ingest(spark, land, raw, quarantine, checkpoint_path=ckpt)
+    q = start_nav_ingest(spark, land, raw, ckpt, quarantine)
     q.awaitTermination(120)
     got = {(r["scheme_code"], r["nav_date"]): r["nav"] for r in spark.read.parquet(raw).collect()}
     assert len(got) == 4 and got[(1, dt.date(2024, 1, 2))] == 11
