@@ -80,7 +80,8 @@ def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), good).drop("text_key")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return resampling.resample(docs, labels, good, keep=F.col("quality") == 1).drop("text_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

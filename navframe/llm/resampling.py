@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from navframe.llm import common
 
-BUCKET_BITS = 16
+BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 MAX_TARGET = 20_000
 SMOOTHING = 1.0
@@ -134,14 +134,14 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     return float(raw.view(np.float64)[0])
 
 
-def resample(docs: DataFrame, labels: DataFrame, good: Column, share: float | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", most: int = MAX_TARGET) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, good: Column, keep: Column | None = None, share: float | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", most: int = MAX_TARGET) -> DataFrame:
     """One row a document: ``doc_id``, ``text_key``, ``n_features``,
     ``log_weight``, ``sample_key``, ``kept``. ``share`` of the documents is kept;
-    by default the share of good rows among the labels."""
+    by default the share of labels that ``keep`` (default: ``good``) holds for."""
     ratios = log_ratios(count_features(docs, target_ids(labels, good, label_id_col, most), id_col, text_col))
     keys = common.store(weigh(docs, ratios, seed, id_col, text_col), "resampling_keys")
     if share is None:
-        share = labels.agg(F.avg(F.coalesce(good, F.lit(False)).cast("double"))).first()[0]
+        share = labels.agg(F.avg(F.coalesce(good if keep is None else keep, F.lit(False)).cast("double"))).first()[0]
     k = round((1.0 if share is None else share) * keys.count())
     least = kth_largest(keys, "sample_key", k)
     return keys.withColumn("kept", F.lit(k > 0) if least is None else F.col("sample_key") >= F.lit(least))
