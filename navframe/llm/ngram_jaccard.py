@@ -5,20 +5,23 @@ one class, and classes are joined. Sizes are cut into bands whose ends differ by
 the threshold, so two similar sets lie in one band or in neighbours and differ in
 at most ``k`` elements. For a band the feature domain is cut by a hash into
 ``n1`` parts and each part into ``n2`` cells. Two sets that differ in at most
-``k`` elements differ in at most ``k2`` elements of some part, so they agree on
-``n2 - k2`` of its cells: every such subset's projection is a signature. A set
-signs for its own band and the next.
-
-Signatures travel packed (40 bits and a document number within a batch) to
-buckets whose number grows with the input. A signature that many documents of one
-batch share is emitted once with its members listed beside it, so no bucket
-gathers a large group. Equal signatures name members of a set of candidates.
-
-1. Every member is compared with its set's hub, the member that shares most
+``k`` elements differ in at most ``k2`` elements of at least ``need`` parts, so
+they agree on ``n2 - k2`` cells of each of these: every such subset's projection
+is a signature. A set signs for its own band and the next. ``need`` grows with
+``k``, at the price of some more parts, so chance agreements fall short of it.
+
+Signatures travel packed (32 bits besides the bucket, and a document number
+within a batch) to buckets whose number grows with the input. A signature that
+many documents of one batch share is emitted once with its members listed beside
+it, so no bucket gathers a large group.
+
+1. Members of a signature that up to ``ALL_PAIRS`` documents share are counted
+   pair by pair; pairs with ``need`` shared signatures are compared. Of a larger
+   set each member is compared with the set's hub, the member that shares most
    signatures: linear in the set's size. Links give components.
-2. For sets that still span components, all pairs across components are
-   compared; sets of more than ``ALL_PAIRS`` members are first split by
-   signatures under other seeds, which similar members share too.
+2. Larger sets that still span components are compared block by block: members
+   outside their largest component against all, ``BLOCK`` by ``BLOCK`` sets in a
+   task. Tasks return links alone; pairs are never rows.
 
 Comparison is exact on the shingle sets, so no link is lost or made up; links
 between documents that are in one component already aren't looked for, as the
@@ -45,11 +48,13 @@ from navframe.llm import common, graph
 
 #: a signature that more documents of one batch share travels as a list
 HOT_IN_BATCH = 32
-#: members up to which a set's pairs are all compared
-ALL_PAIRS = 48
-#: seeds tried to split larger sets
-SPLITS = 4
+#: sharers of a signature up to which their pairs are counted
+ALL_PAIRS = 32
+#: sets on either side of one task's comparison
+BLOCK = 256
 BUCKET_BYTES = 4 << 20
+#: stands for enough shared signatures, whatever the sizes
+ENOUGH = 1 << 20
 
 
 # -- sets and signatures ------------------------------------------------------------
@@ -80,13 +85,30 @@ class Bands:
 
     @functools.lru_cache(maxsize=4096)  # noqa: B019
     def shape(self, band: int) -> tuple[int, int, int, int]:
-        """(k, n1, n2, k2) for sets of the band and the one before."""
+        """(k, n1, n2, k2) for sets of the band and the one before.
+
+        ``k // group`` parts at most can differ in ``group`` elements or more, so
+        ``need`` of ``k // group + need`` differ in fewer.
+        """
         while len(self.ends) <= band:
             self.band(self.ends[-1] + 1)
         k = 2 * (self.den - self.num) * self.ends[band] // (self.den + self.num)
-        n1 = math.ceil((k + 1) / self.group)
-        k2 = math.ceil((k + 1) / n1) - 1
-        return k, n1, (self.group + 1 if k2 else 1), k2
+        group = min(self.group, k + 1)
+        return k, k // group + self.need(k), (group + 1 if group > 1 else 1), group - 1
+
+    def bytes_an_element(self) -> float:
+        """Packed signatures of an element, about: six bytes a signature."""
+        subsets = self.group + 1 if self.group > 1 else 1
+        return 2.6 * 2 * (self.den - self.num) / (self.den + self.num) * (1 / self.group + 1 / 16) * subsets * 6
+
+    @staticmethod
+    def need(k: int) -> int:
+        return 1 + k // 16
+
+    def needed(self, size: int) -> int:
+        """Signatures that a set of this size shares with a similar one that is
+        not larger."""
+        return self.need(self.shape(self.band(size))[0]) if size else 0
 
 
 def _parts(elements: np.ndarray, n1: int, n2: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +154,14 @@ def signatures(elements: np.ndarray, bands: Bands, seed: int = 0) -> np.ndarray:
 
 
 def _pack(batch_ids: np.ndarray, signs: list[np.ndarray], n_buckets: int):
-    """Rows of a batch: (bucket, signatures, document numbers, ids) for a bucket,
-    and (bucket, -, -, members, signature) for a hot signature."""
+    """Rows of a batch, each (bucket, signatures, document numbers, ids, set): of
+    a bucket (set null), and of a hot signature (set: its name, ids: its members
+    in the batch), which any bucket may take."""
     which = np.repeat(np.arange(len(signs)), [len(s) for s in signs])
     sig = np.concatenate(signs) if signs else np.zeros(0, dtype=np.uint64)
     order = np.argsort(sig, kind="stable")
     sig, which = sig[order], which[order]
+    bucket = (sig % np.uint64(n_buckets)).astype(np.int64)
     first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0) if len(sig) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(first, len(sig)))
     hot = sizes > HOT_IN_BATCH
@@ -145,102 +169,110 @@ def _pack(batch_ids: np.ndarray, signs: list[np.ndarray], n_buckets: int):
     keep[first[hot]] = True  # one member of a hot signature stays in its bucket
     flag = np.zeros(len(sig), dtype=np.uint32)
     flag[first[hot]] = 1 << 31
-    bucket = (sig % np.uint64(n_buckets)).astype(np.int64)
     rows = []
     for a, n in zip(first[hot].tolist(), sizes[hot].tolist()):
         members = batch_ids[which[a : a + n]]
-        rows.append((int(common.mix(members[:1])[0] % np.uint64(n_buckets)), b"", b"", members.tobytes(), int(sig[a : a + 1].view(np.int64)[0])))
+        name = _set_id(int(bucket[a]), int(sig[a]) >> 32)
+        rows.append((int(common.mix(members[:1])[0] % np.uint64(n_buckets)), b"", b"", members.tobytes(), name))
     sig, which, bucket, flag = sig[keep], which[keep], bucket[keep], flag[keep]
     by_bucket = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
     for part in np.split(by_bucket, cuts) if len(by_bucket) else ():
         used, number = np.unique(which[part], return_inverse=True)
-        packed = sig[part].view(np.uint8).reshape(-1, 8)[:, 3:]
-        rows.append((int(bucket[part[0]]), packed.tobytes(), (number.astype(np.uint32) | flag[part]).astype("<u4" if len(used) > 0x7FFF or flag[part].any() else "<u2").tobytes(), batch_ids[used].tobytes(), None))
+        packed = (sig[part] >> np.uint64(32)).astype("<u4")
+        wide = len(used) > 0x7FFF or flag[part].any()
+        rows.append((int(bucket[part[0]]), packed.tobytes(), (number.astype(np.uint32) | flag[part]).astype("<u4" if wide else "<u2").tobytes(), batch_ids[used].tobytes(), None))
     return rows
 
 
 def _unpack(sigs: bytes, numbers: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(sigs, dtype=np.uint8).reshape(-1, 5)
-    sig = np.zeros((len(raw), 8), dtype=np.uint8)
-    sig[:, 3:] = raw
+    raw = np.frombuffer(sigs, dtype="<u4")
     wide = len(numbers) == 4 * len(raw)
     number = np.frombuffer(numbers, dtype="<u4" if wide else "<u2").astype(np.uint32)
     hot = number >> 31 == 1 if wide else np.zeros(len(raw), dtype=bool)
-    return sig.view(np.uint64).ravel(), np.frombuffer(ids, dtype=np.uint64)[number & 0x7FFFFFFF], hot
+    return raw, np.frombuffer(ids, dtype=np.uint64)[number & 0x7FFFFFFF], hot
 
 
-def _star(members: np.ndarray, weight: dict[int, int] | None = None) -> tuple[int, np.ndarray]:
-    hub = max(members.tolist(), key=lambda m: (weight.get(m, 0), -m)) if weight else int(members.min())
-    return hub, members[members != np.uint64(hub)]
+def _set_id(bucket: int, sig: int) -> int:
+    """A set's name: its bucket and the bits of its signature that travel."""
+    return int(common.mix(np.array([bucket << 32 | sig], dtype=np.uint64), 77)[0].view(np.int64))
 
 
 def _meet(rows: pa.Table) -> dict[str, list]:
-    """One bucket: pairs to compare (set null) and members of sets (b null)."""
-    parts = [_unpack(s.as_py(), n.as_py(), i.as_py()) for s, n, i, h in zip(rows["sigs"], rows["numbers"], rows["ids"], rows["hot"]) if not h.is_valid]
-    pairs: set[tuple[int, int]] = set()
-    sets: dict[int, np.ndarray] = {}
+    """One bucket: pairs and how many signatures they share (``set`` null), and
+    members of large sets (``a`` null)."""
+    counts: dict[tuple[int, int], int] = {}
     kept: list[tuple[int, np.ndarray]] = []
-    for s, i, h in zip(rows["sigs"], rows["ids"], rows["hot"]):
-        if h.is_valid:  # members of a hot signature in one batch
-            members = np.unique(np.frombuffer(i.as_py(), dtype=np.uint64))
-            hub, others = _star(members)
-            pairs.update((hub, o) for o in others.tolist())
-            kept.append((_set_id(np.array([h.as_py()], dtype=np.int64).view(np.uint64)), members))
+
+    def star(hub: int, members: np.ndarray) -> None:
+        counts.update(((min(hub, m), max(hub, m)), ENOUGH) for m in members.tolist() if m != hub)
+
+    parts = []
+    for bucket, sigs, numbers, ids, name in zip(*(rows[c].to_pylist() for c in ("bucket", "sigs", "numbers", "ids", "set"))):
+        if name is None:
+            parts.append(_unpack(sigs, numbers, ids))
+        else:  # members of a hot signature in one batch
+            members = np.unique(np.frombuffer(ids, dtype=np.uint64))
+            star(int(members[0]), members)
+            kept.append((name, members))
     if parts:
-        sig = np.concatenate([p[0] for p in parts])
-        ids = np.concatenate([p[1] for p in parts])
-        hot = np.concatenate([p[2] for p in parts])
+        sig, ids, hot = (np.concatenate(column) for column in zip(*parts))
         order = np.lexsort((ids, sig))
         sig, ids, hot = sig[order], ids[order], hot[order]
+        marked = set(sig[hot].tolist())
         fresh = np.ones(len(sig), dtype=bool)  # copies within and across batches
         fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-        marked = set(sig[hot].tolist())
         sig, ids = sig[fresh], ids[fresh]
-        first = np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0)
+        first = np.flatnonzero(np.diff(sig.astype(np.int64), prepend=-1))
         ends = np.append(first[1:], len(sig))
-        shared = np.flatnonzero(ends - first > 1)
+        large = []
+        for a, b in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist()):
+            members = ids[a:b]
+            if b - a > ALL_PAIRS or int(sig[a]) in marked:
+                large.append((int(sig[a]), members))
+            else:
+                for pair in itertools.combinations(members.tolist(), 2):  # ids are in order
+                    counts[pair] = counts.get(pair, 0) + 1
+        lonely = marked - {name for name, _ in large}  # hot in one batch alone: still a part of its set
+        large += [(name, ids[sig == name]) for name in sorted(lonely)]
         weight: dict[int, int] = {}
-        for k in shared.tolist():
-            n = int(ends[k] - first[k])
-            for m in ids[first[k] : ends[k]].tolist():
-                weight[m] = weight.get(m, 0) + n
-        for k in shared.tolist():
-            members = ids[first[k] : ends[k]]
-            hub, others = _star(members, weight)
-            pairs.update((hub, o) for o in others.tolist())
-            if len(members) > 2 or int(sig[first[k]]) in marked:
-                if int(sig[first[k]]) in marked:
-                    kept.append((_set_id(sig[first[k] : first[k] + 1]), members))
-                else:  # equal member lists are one set
-                    sets[hash(members.tobytes())] = members
-        kept += [(int(common.sequence_hashes(m, np.array([0]), np.array([len(m)]))[0].view(np.int64)), m) for m in sets.values()]
-    signed = np.array(sorted(pairs), dtype=np.uint64).reshape(-1, 2).view(np.int64)
-    n = len(signed)
-    return {"a": [*signed[:, 0].tolist(), *(None for _ in kept)], "b": [*signed[:, 1].tolist(), *(None for _ in kept)], "set": [*(None for _ in range(n)), *(s for s, _ in kept)], "members": [*(None for _ in range(n)), *(m.view(np.int64).tolist() for _, m in kept)]}
-
-
-def _set_id(sig: np.ndarray) -> int:
-    """A set's name from the 40 bits of a signature that travel."""
-    return int(common.mix(sig & np.uint64(0xFFFFFFFFFF000000), 77)[0].view(np.int64))
+        for _, members in large:
+            for m in members.tolist():
+                weight[m] = weight.get(m, 0) + len(members)
+        for name, members in large:
+            star(max(members.tolist(), key=lambda m: (weight[m], -m)), members)
+            kept.append((_set_id(bucket_of(rows), name), members))
+    n, m = len(counts), len(kept)
+    pairs = np.array(list(counts), dtype=np.uint64).reshape(-1, 2).view(np.int64)
+    return {
+        "a": pairs[:, 0].tolist() + [None] * m,
+        "b": pairs[:, 1].tolist() + [None] * m,
+        "shared": [*counts.values()] + [None] * m,
+        "set": [None] * n + [name for name, _ in kept],
+        "members": [None] * n + [members.view(np.int64).tolist() for _, members in kept],
+    }
+
+
+def bucket_of(rows: pa.Table) -> int:
+    return rows["bucket"][0].as_py()
 
 
 # -- the join ---------------------------------------------------------------------------
 
 
-def profile(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def profile(docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands) -> DataFrame:
     """``doc_id``, ``text_key``, set size ``n_shingles``, ``k1`` and ``k2`` (128
-    bits of the set)."""
+    bits of the set), ``needed`` (signatures shared with a similar set)."""
 
     def make():
         def run(batch: pa.RecordBatch):
             sets = [shingles(data or b"", n) for data in common.text_bytes(batch.column(2))]
             keys = [_set_keys(s) for s in sets]
-            return {"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys]}
+            return {"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "needed": [bands.needed(len(s)) for s in sets]}
 
         return run
 
-    return common.map_rows(_picked(docs, id_col, text_col), ["doc_id", "text_key", "text"], "doc_id bigint, text_key bigint, n_shingles bigint, k1 bigint, k2 bigint", make)
+    return common.map_rows(_picked(docs, id_col, text_col), ["doc_id", "text_key", "text"], "doc_id bigint, text_key bigint, n_shingles bigint, k1 bigint, k2 bigint, needed int", make)
 
 
 def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -253,7 +285,8 @@ def _set_keys(elements: np.ndarray) -> tuple[int, int]:
 
 
 def _candidates(docs: DataFrame, text_col: str, n: int, bands: Bands, n_buckets: int) -> DataFrame:
-    """Pairs (``a``, ``b``) and sets (``set``, ``members``) of set keys ``k1``."""
+    """Pairs (``a``, ``b``, ``shared``) and sets (``set``, ``members``) of ``k1``."""
+    columns = ("bucket", "sigs", "numbers", "ids", "set")
 
     def make():
         def run(batch: pa.RecordBatch):
@@ -264,71 +297,106 @@ def _candidates(docs: DataFrame, text_col: str, n: int, bands: Bands, n_buckets:
                 if len(elements) and key not in seen:
                     seen[key] = signatures(elements, bands)
             rows = _pack(np.array(list(seen), dtype=np.int64).view(np.uint64), list(seen.values()), n_buckets)
-            return dict(zip(("bucket", "sigs", "numbers", "ids", "hot"), map(list, zip(*rows)))) if rows else {c: [] for c in ("bucket", "sigs", "numbers", "ids", "hot")}
+            return dict(zip(columns, map(list, zip(*rows)))) if rows else {c: [] for c in columns}
 
         return run
 
-    packed = common.map_rows(docs, [text_col], "bucket int, sigs binary, numbers binary, ids binary, hot bigint", make)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("set", pa.int64()), ("members", pa.list_(pa.int64()))])
+    packed = common.map_rows(docs, [text_col], "bucket int, sigs binary, numbers binary, ids binary, set bigint", make)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("set", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def meet(rows: pa.Table) -> pa.Table:
         return pa.table(_meet(rows), schema=schema)
 
-    return packed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, set bigint, members array<bigint>")
+    return packed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, shared bigint, set bigint, members array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs ``a`` < ``b`` of classes that reach the threshold."""
-    left = sets.select(F.col("class").alias("a"), F.col("elements").alias("ea"), F.col("n_shingles").alias("na"))
-    right = sets.select(F.col("class").alias("b"), F.col("elements").alias("eb"), F.col("n_shingles").alias("nb"))
-    sizes = sets.select("class", "n_shingles")
-    near = (
-        pairs.join(sizes.select(F.col("class").alias("a"), F.col("n_shingles").alias("sa")), "a")
-        .join(sizes.select(F.col("class").alias("b"), F.col("n_shingles").alias("sb")), "b")
-        .filter(F.least("sa", "sb") * bands.den >= F.greatest("sa", "sb") * bands.num)
-        .select("a", "b")
-    )
+    """Pairs of classes that reach the threshold, as ``u`` and ``v``."""
+    left = sets.select(F.col("class").alias("a"), F.col("elements").alias("ea"))
+    right = sets.select(F.col("class").alias("b"), F.col("elements").alias("eb"))
     common_size = F.size(F.array_intersect("ea", "eb"))
-    return near.join(left, "a").join(right, "b").filter(common_size * bands.den >= (F.col("na") + F.col("nb") - common_size) * bands.num).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def _split(members: DataFrame, sets: DataFrame, bands: Bands, seed: int) -> DataFrame:
-    """Members of sets, dealt to smaller sets by signatures under another seed."""
-
-    def make():
-        def run(batch: pa.RecordBatch):
-            for name, node, root, elements in zip(*(c.to_pylist() for c in batch.columns)):
-                made = signatures(np.array(elements, dtype=np.int64).view(np.uint64), bands, seed)
-                names = common.mix(made ^ np.uint64(name & (2**64 - 1)), 78)
-                yield {"set": names, "class": np.full(len(names), node), "root": np.full(len(names), root)}
-
-        return run
-
-    rows = members.join(sets.select("class", "elements"), "class").select("set", "class", "root", "elements")
-    return common.map_rows(rows, ["set", "class", "root", "elements"], "set bigint, class bigint, root bigint", make)
-
-
-def _spanning(members: DataFrame) -> DataFrame:
-    """Members of the sets that span components, with the set's size."""
-    spans = members.groupBy("set").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("set", "n")
-    return members.join(spans, "set")
+    near = common_size * bands.den >= (F.size("ea") + F.size("eb") - common_size) * bands.num
+    return pairs.join(left, "a").join(right, "b").filter(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _incidence(elements: list[list[int]], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column (rank of the element) of every element, by column."""
+    rows = np.repeat(np.arange(len(elements)), [len(e) for e in elements])
+    columns = np.searchsorted(order, np.concatenate([np.asarray(e, dtype=np.int64) for e in elements]))
+    by_column = np.argsort(columns, kind="stable")
+    return rows[by_column], columns[by_column]
+
+
+def shared_sizes(left: list[list[int]], right: list[list[int]], chunk: int = 4096) -> np.ndarray:
+    """Size of the intersection of every left with every right set, by products
+    of 0/1 matrices over some elements at a time."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    keep = [[np.intersect1d(e, order, assume_unique=True) for e in side] for side in (left, right)]
+    sides = [_incidence(side, order) for side in keep]
+    for begin in range(0, len(order), chunk):
+        parts = []
+        for (rows, columns), n in zip(sides, out.shape):
+            a, b = np.searchsorted(columns, [begin, begin + chunk])
+            part = np.zeros((n, chunk), dtype=np.float32)
+            part[rows[a:b], columns[a:b] - begin] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _compare_blocks(rows: pa.Table, bands: Bands) -> dict[str, list]:
+    """Links between the two blocks of a task, of different components."""
+    table = rows.to_pydict()
+    sides = [[i for i, s in enumerate(table["side"]) if s == side] for side in (0, 1)]
+    if not sides[1]:  # a block against itself
+        sides[1] = sides[0]
+    if not sides[0]:
+        return {"u": [], "v": []}
+    left, right = sides
+    inter = shared_sizes([table["elements"][i] for i in left], [table["elements"][i] for i in right])
+    size = np.array([len(e) for e in table["elements"]])
+    union = size[left][:, None] + size[right][None, :] - inter
+    root, name = np.array(table["root"]), np.array(table["class"])
+    links = (inter * bands.den >= union * bands.num) & (root[left][:, None] != root[right][None, :])
+    at = np.nonzero(links)
+    return {"u": name[left][at[0]].tolist(), "v": name[right][at[1]].tolist()}
+
+
+def _links_in_large_sets(members: DataFrame, sets: DataFrame, bands: Bands, block: int = BLOCK) -> DataFrame:
+    """Links between members (``set``, ``class``, ``root``) of one set that are in
+    different components. Sets that overlap are one cluster; its members outside
+    the largest component are compared with all of it, a block of them with a
+    block in one task."""
+    spans = members.groupBy("set").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("class").alias("u")).filter("lo < hi").select("set", "u")
+    spanning = common.store(members.join(spans, "set").select("u", F.col("class").alias("v"), "root"), "jaccard_spanning")
+    clusters = graph.components(spanning.select("u", "v"))
+    nodes = spanning.select(F.col("v").alias("class"), "root").distinct()
+    nodes = nodes.join(clusters, F.col("class") == F.col("node"), "left").select("class", nodes["root"], F.coalesce(clusters["root"], F.col("class")).alias("cluster"))
+    nodes = common.store(nodes, "jaccard_nodes")
+    by_root = nodes.groupBy("cluster", "root").count()
+    largest = by_root.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"))
+    largest = largest.select("cluster", "main", F.ceil(F.col("n_main") / block).cast("int").alias("main_blocks"), F.ceil((F.col("n") - F.col("n_main")) / block).cast("int").alias("blocks"))
+    placed = nodes.join(largest, "cluster").filter("blocks > 0").withColumn("in_main", F.col("root") == F.col("main"))
+    mine = F.pmod(F.xxhash64("class"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int")
+    placed = placed.withColumn("mine", mine)
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    task = lambda i, kind, j, side: F.struct(i.cast("int").alias("i"), F.lit(kind).alias("kind"), j.cast("int").alias("j"), side.alias("side"))
+    me = F.col("mine")
+    # a block outside the main component: against the others of its kind, each once, and all of the main one
+    outside = F.concat(
+        F.transform(others, lambda j: task(F.least(me, j), 0, F.greatest(me, j), (me > j).cast("int"))),
+        F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda j: task(me, 1, j, F.lit(0))),
+    )
+    inside = F.transform(others, lambda i: task(i, 1, me, F.lit(1)))
+    tasks = placed.withColumn("t", F.explode(F.when(F.col("in_main"), inside).otherwise(outside))).select("cluster", "t.*", "class", "root")
+    full = tasks.join(sets.select("class", "elements"), "class")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def compare(rows: pa.Table) -> pa.Table:
+        return pa.table(_compare_blocks(rows, bands), schema=schema)
 
-def _cross_pairs(members: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame | None:
-    """All pairs of sets' members that are in different components."""
-    out = None
-    for seed in range(1, SPLITS + 2):
-        members = common.store(_spanning(members), "spanning")
-        small = members if seed > SPLITS else members.filter(F.col("n") <= ALL_PAIRS)
-        a = small.select("set", F.col("class").alias("a"), F.col("root").alias("ra"))
-        b = small.select("set", F.col("class").alias("b"), F.col("root").alias("rb"))
-        pairs = a.join(b, "set").filter("a < b and ra != rb").select("a", "b")
-        out = pairs if out is None else out.union(pairs)
-        large = members.filter(F.col("n") > ALL_PAIRS)
-        if seed > SPLITS or large.isEmpty():
-            return out.distinct()
-        members = _split(large, sets, bands, seed)
-    return out
+    return full.groupBy("cluster", "i", "kind", "j").applyInArrow(compare, "u bigint, v bigint").distinct()
 
 
 def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,25 +405,26 @@ def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col:
     words and a Jaccard similarity of at least ``num / den``."""
     bands = Bands(num, den)
     spark = docs.sparkSession
-    profiles = common.store(profile(docs, id_col, text_col, n), "jaccard_profiles")
+    profiles = common.store(profile(docs, id_col, text_col, n, bands), "jaccard_profiles")
     classes = common.store(
-        profiles.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"))
-        .select("k1", "k2", "m.doc_id", "m.text_key", "least", "n_shingles").withColumn("class", F.monotonically_increasing_id()),
+        profiles.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("needed").alias("needed"))
+        .select("k1", "k2", "m.doc_id", "m.text_key", "least", "n_shingles", "needed").withColumn("class", F.monotonically_increasing_id()),
         "jaccard_classes",
     )
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
-    per_element = 2.5 * 2 * (den - num) / (den + num) * 7 * bands.group
-    n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * per_element / BUCKET_BYTES))
+    n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * bands.bytes_an_element() / BUCKET_BYTES))
     found = common.store(_candidates(docs, text_col, n, bands, n_buckets), "jaccard_candidates")
-    names = classes.select("k1", "class")
-    a, b = names.withColumnsRenamed({"k1": "a", "class": "ca"}), names.withColumnsRenamed({"k1": "b", "class": "cb"})
-    pairs = found.filter("a is not null").select("a", "b").distinct().join(a, "a").join(b, "b")
-    pairs = common.store(pairs.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "jaccard_pairs")
+    names = classes.select("k1", "class", "n_shingles", "needed")
+    a = names.withColumnsRenamed({"k1": "a", "class": "ca", "n_shingles": "na", "needed": "needed_a"})
+    b = names.withColumnsRenamed({"k1": "b", "class": "cb", "n_shingles": "nb", "needed": "needed_b"})
+    counted = found.filter("set is null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(a, "a").join(b, "b")
+    likely = counted.filter((F.col("shared") >= F.greatest("needed_a", "needed_b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
+    pairs = common.store(likely.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "jaccard_pairs")
     members = found.filter("set is not null").select("set", F.explode("members").alias("k1")).distinct()
     members = common.store(members.join(names, "k1").select("set", "class"), "jaccard_members")
     # the shingle sets of the candidates alone
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    texts = classes.join(wanted, "class").select("class", "doc_id", "text_key", "n_shingles").join(_picked(docs, id_col, text_col).withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("class")).distinct()
+    texts = classes.join(wanted, "class").select("class", "doc_id", "text_key").join(_picked(docs, id_col, text_col).withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
 
     def make_sets():
         last = [None]
@@ -365,16 +434,15 @@ def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col:
             fresh = pa.array([k != before for k, before in zip(keys, last + keys)], type=pa.bool_())
             last[:] = keys[-1:]
             batch = batch.filter(fresh)
-            return {"class": batch.column(0), "n_shingles": batch.column(1), "elements": common.list_array([shingles(t or b"", n) for t in common.text_bytes(batch.column(2))], pa.int64())}
+            return {"class": batch.column(0), "elements": common.list_array([shingles(t or b"", n) for t in common.text_bytes(batch.column(1))], pa.int64())}
 
         return run
 
-    sets = common.store(common.map_rows(texts, ["class", "n_shingles", "text"], "class bigint, n_shingles bigint, elements array<bigint>", make_sets), "jaccard_sets")
+    sets = common.store(common.map_rows(texts, ["class", "text"], "class bigint, elements array<bigint>", make_sets), "jaccard_sets")
     links = common.store(_verified(pairs, sets, bands), "jaccard_links")
     roots = graph.components(links)
     rooted = members.join(roots, F.col("class") == F.col("node"), "left").select("set", "class", F.coalesce("root", "class").alias("root"))
-    more = _cross_pairs(rooted, sets, bands).join(pairs, ["a", "b"], "left_anti")
-    later = common.store(_verified(more, sets, bands), "jaccard_links")
+    later = common.store(_links_in_large_sets(rooted, sets, bands), "jaccard_links")
     if not later.isEmpty():
         roots = graph.components(links.union(later))
     grouped = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
