@@ -139,14 +139,15 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     # level one: anchors that stand in two documents
     spread = classes.select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
-    again = _repeated(spread.select("doc_id", "anchor"), ["anchor"]).select("anchor")
+    # written, so that the join reads two plain exchanges and a hot key can be split
+    again = common.store(_repeated(spread.select("doc_id", "anchor"), ["anchor"]).select("anchor"), "repeat_anchors")
     held = spread.join(again, "anchor").groupBy("doc_id", "text_key").agg(F.collect_list("anchor").alias("anchors"))
     texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text"))
     # one row for each id and text: repeated rows share their class member's row
     candidates = common.store(held.join(texts, ["doc_id", "text_key"]), "repeat_texts").dropDuplicates(["doc_id", "text_key"])
     # level two: full windows over repeated anchors
     windows = _windows(candidates, window, length, window)
-    first = _repeated(windows.select("doc_id", "h1", "h2"), ["h1", "h2"])
+    first = common.store(_repeated(windows.select("doc_id", "h1", "h2"), ["h1", "h2"]), "repeat_windows")
     later = windows.join(first, ["h1", "h2"]).filter("doc_id > first_id")
     starts = later.groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("at"))
     return profiles, classes.drop("anchors"), starts.join(candidates.drop("anchors"), ["doc_id", "text_key"])
