@@ -193,6 +193,8 @@ def parse(chunks: DataFrame, model: Model, conv_col: str = "conv_id", order_col:
     ``chunks`` holds the transcripts' text in pieces of whole lines, placed by an
     integer ``order_col``.
     """
+    if block < 2:
+        raise ValueError("a block must hold at least two places")
     rows = chunks.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{order_col}`").cast("bigint").alias("place"), F.col(f"`{text_col}`").alias("text")).distinct()
     least = rows.agg(F.min("place")).first()[0] or 0
     # null places come before all others
