@@ -5,9 +5,10 @@ from conftest import SF01
 from oracle_compare import compare, duck_connect
 
 import __spark_entry__ as E
+from navframe.plans.catalog import CATALOG
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = {name: E.queries()[name] for name in CATALOG}
+SQL = {name: sql for name, sql in E.oracle_sql().items() if name in CATALOG}
 
 
 @pytest.fixture(scope="module")
