@@ -186,7 +186,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
     def make_ids():
         def run(batch: pa.RecordBatch):
             texts = common.text_bytes(batch.column(1))
-            for a, b in bpe.chunks(texts, CHUNK_BYTES):
+            for a, b in common.chunks(texts, CHUNK_BYTES):
                 ids = [np.append(x, end_id) for x in encode_texts(bpe.decoded(texts[a:b]), tokenizer_path)]
                 doc_ids = batch.column(0).slice(a, b - a)
                 yield {

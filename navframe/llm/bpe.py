@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 
 from navframe.llm import common, pretoken
 
-#: characters (for the operators: bytes) of text handled at once
-CHUNK_CHARS = 1 << 19
+#: bytes of text handled at once
+CHUNK_BYTES = 1 << 19
 #: distinct slices whose ids a Python worker keeps
 CACHE_SLICES = 300_000
+#: rows decoded at once
+DECODED_ROWS = 128
 #: from this length on, merging uses a heap
 HEAP_BYTES = 48
 
@@ -162,18 +164,6 @@ def decoded(texts: list[bytes | None]) -> list[str]:
     return [(t or b"").decode("utf-8", "replace") for t in texts]
 
 
-def chunks(texts: list[bytes | None], most: int = CHUNK_CHARS) -> list[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes, or of one longer text."""
-    out, begin, total = [], 0, 0
-    for i, text in enumerate(texts):
-        size = len(text or b"")
-        if i > begin and total + size > most:
-            out.append((begin, i))
-            begin, total = i, 0
-        total += size
-    return [*out, (begin, len(texts))] if texts else []
-
-
 # -- vocabulary ----------------------------------------------------------------------
 
 
@@ -221,7 +211,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
 
         def run(batch: pa.RecordBatch):
             texts = common.text_bytes(batch.column(1))
-            for a, b in chunks(texts):
+            for a, b in common.chunks(texts, CHUNK_BYTES):
                 ids = encode_chunk(decoded(texts[a:b]), vocab.cache)
                 made = {id_col: batch.column(0).slice(a, b - a), "n_tokens": [len(x) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids]}
                 if offsets:
@@ -241,11 +231,10 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
         vocab = vocabulary(ranks_path)
 
         def run(batch: pa.RecordBatch):
-            raw = [x or b"" for x in batch.column(1).to_pylist()]
-            ids = [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in raw]
-            for a in range(0, len(raw), 256):
-                part = slice(a, a + 256)
-                yield {id_col: batch.column(0).slice(a, 256), "n_tokens": [len(x) for x in ids[part]], "ids": raw[part], "decoded": [vocab.decode(x) for x in ids[part]]}
+            for a in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(a, DECODED_ROWS)
+                raw = [x or b"" for x in part.column(1).to_pylist()]
+                yield {id_col: part.column(0), "n_tokens": [len(x) // 4 for x in raw], "ids": raw, "decoded": [vocab.decode(np.frombuffer(x, dtype="<u4")) for x in raw]}
 
         return run
 

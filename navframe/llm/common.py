@@ -147,6 +147,18 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist() if not pa.types.is_null(column.type) else [None] * len(column)
 
 
+def chunks(texts: list[bytes | None], most: int) -> list[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes, or of one longer text."""
+    out, begin, total = [], 0, 0
+    for i, text in enumerate(texts):
+        size = len(text or b"")
+        if i > begin and total + size > most:
+            out.append((begin, i))
+            begin, total = i, 0
+        total += size
+    return [*out, (begin, len(texts))] if texts else []
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
