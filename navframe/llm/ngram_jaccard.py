@@ -8,17 +8,20 @@ at most ``k`` elements. For a band the feature domain is cut by a hash into
 ``k`` elements differ in at most ``k2`` elements of at least ``need`` parts, so
 they agree on ``n2 - k2`` cells of each of these: every such subset's projection
 is a signature. A set signs for its own band and the next. ``need`` grows with
-``k``, at the price of some more parts, so chance agreements fall short of it.
+``k``, at the price of some more parts, so chance agreements fall short of it;
+empty projections aren't signatures, and ``need`` is less by a set's own empty ones.
 
 Signatures travel packed (32 bits besides the bucket, and a document number
-within a batch) to buckets whose number grows with the input. A signature that
-many documents of one batch share is emitted once with its members listed beside
+within a chunk of text) to buckets whose number grows with the input. A signature that
+many documents of one chunk share is emitted once with its members listed beside
 it, so no bucket gathers a large group.
 
 1. Members of a signature that up to ``ALL_PAIRS`` documents share are counted
-   pair by pair; pairs with ``need`` shared signatures are compared. Of a larger
-   set each member is compared with the set's hub, the member that shares most
-   signatures: linear in the set's size. Links give components.
+   pair by pair; pairs that share as many as a similar pair must are compared. A
+   document in fewer larger sets than its ``need`` shares others with any similar
+   one, so larger sets matter to the rest alone: each member is compared with the
+   set's hub, the member of most large sets, linear in the set's size. Links give
+   components.
 2. Larger sets that still span components are compared block by block: members
    outside their largest component against all, ``BLOCK`` by ``BLOCK`` sets in a
    task. Tasks return links alone; pairs are never rows.
@@ -38,6 +41,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +56,9 @@ HOT_IN_BATCH = 32
 ALL_PAIRS = 32
 #: sets on either side of one task's comparison
 BLOCK = 256
-BUCKET_BYTES = 4 << 20
-#: stands for enough shared signatures, whatever the sizes
-ENOUGH = 1 << 20
+#: packed signatures of a bucket, about, and text whose signatures are packed at once
+BUCKET_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 # -- sets and signatures ------------------------------------------------------------
@@ -105,11 +109,6 @@ class Bands:
     def need(k: int) -> int:
         return 1 + k // 16
 
-    def needed(self, size: int) -> int:
-        """Signatures that a set of this size shares with a similar one that is
-        not larger."""
-        return self.need(self.shape(self.band(size))[0]) if size else 0
-
 
 def _parts(elements: np.ndarray, n1: int, n2: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the elements' hashes, and their number, in each cell."""
@@ -119,34 +118,58 @@ def _parts(elements: np.ndarray, n1: int, n2: int, seed: int) -> tuple[np.ndarra
     return sums.reshape(n1, n2), np.bincount(cells, minlength=n1 * n2).reshape(n1, n2)
 
 
-def signatures(elements: np.ndarray, bands: Bands, seed: int = 0) -> np.ndarray:
+def _instances(elements: np.ndarray, bands: Bands) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
+    """Bands that a set signs for, with their shapes; none where sets can differ
+    in no element, as equal sets are one class."""
+    band = bands.band(len(elements))
+    for b in (band, band + 1) if len(elements) else ():
+        if bands.shape(b)[0]:
+            yield b, bands.shape(b)
+
+
+def _spare(empty: np.ndarray, k: int) -> int:
+    """Signatures of a band that a similar set shares besides those of empty
+    projections, which say nothing: parts with one may all be among the ``need``."""
+    return Bands.need(k) - int(np.count_nonzero(empty.any(axis=1)))
+
+
+def _empty(counts: np.ndarray, n2: int, k2: int) -> np.ndarray:
+    """Which projections of which part are empty."""
+    return np.stack([counts[:, chosen].sum(axis=1) == 0 for chosen in itertools.combinations(range(n2), n2 - k2)], axis=1)
+
+
+def needed(elements: np.ndarray, bands: Bands) -> int:
+    """Signatures that a set shares at least with any similar one."""
+    out = []
+    for b, (k, n1, n2, k2) in _instances(elements, bands):
+        cells = (common.mix(elements, b * 64) % np.uint64(n1 * n2)).astype(np.int64)
+        out.append(_spare(_empty(np.bincount(cells, minlength=n1 * n2).reshape(n1, n2), n2, k2), k))
+    return max(1, min(out, default=1))
+
+
+def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """PartEnum signatures of a set for its band and the next.
 
-    Sets that can differ in no element have none: equal sets are one class. An
-    empty projection says little, so it is joined with each part under another
-    hash, of which similar sets share one too.
+    Empty projections are left out where enough others remain. Where they don't
+    (a few small sets), an empty projection is joined with each part under
+    another hash, of which similar sets share one too.
     """
     out = []
-    band = bands.band(len(elements))
-    for b in (band, band + 1) if len(elements) else ():
-        k, n1, n2, k2 = bands.shape(b)
-        if not k:
-            continue
-        base = (seed * 1_000_003 + b) * 64
+    for b, (k, n1, n2, k2) in _instances(elements, bands):
+        base = b * 64
         sums, counts = _parts(elements, n1, n2, base)
+        empty = _empty(counts, n2, k2)
         part = np.arange(n1, dtype=np.uint64)
         rest = None
+        if _spare(empty, k) < 1:
+            rest = _parts(elements, k + 1, 1, base + 8)[0][:, 0]
+            rest = common.mix(rest + common.mix(np.arange(k + 1, dtype=np.uint64), base + 9), base + 10)
         for c, chosen in enumerate(itertools.combinations(range(n2), n2 - k2)):
-            projection = sums[:, chosen].sum(axis=1, dtype=np.uint64)
             names = common.mix(part * np.uint64(1009) + np.uint64(c), base + 2)
-            made = common.mix(projection ^ names, base + 3)
-            empty = counts[:, chosen].sum(axis=1) == 0
-            if empty.any():
-                if rest is None:
-                    rest = _parts(elements, k + 1, 1, base + 8)[0][:, 0]
-                    rest = common.mix(rest + common.mix(np.arange(k + 1, dtype=np.uint64), base + 9), base + 10)
-                out.append(common.mix(made[empty][:, None] ^ rest[None, :], base + 4).ravel())
-            out.append(made[~empty])
+            made = common.mix(sums[:, chosen].sum(axis=1, dtype=np.uint64) ^ names, base + 3)
+            if rest is not None:
+                out.append(common.mix(made[empty[:, c]][:, None] ^ rest[None, :], base + 4).ravel())
+            out.append(made[~empty[:, c]])
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -204,17 +227,12 @@ def _meet(rows: pa.Table) -> dict[str, list]:
     counts: dict[tuple[int, int], int] = {}
     kept: list[tuple[int, np.ndarray]] = []
 
-    def star(hub: int, members: np.ndarray) -> None:
-        counts.update(((min(hub, m), max(hub, m)), ENOUGH) for m in members.tolist() if m != hub)
-
     parts = []
     for bucket, sigs, numbers, ids, name in zip(*(rows[c].to_pylist() for c in ("bucket", "sigs", "numbers", "ids", "set"))):
         if name is None:
             parts.append(_unpack(sigs, numbers, ids))
         else:  # members of a hot signature in one batch
-            members = np.unique(np.frombuffer(ids, dtype=np.uint64))
-            star(int(members[0]), members)
-            kept.append((name, members))
+            kept.append((name, np.unique(np.frombuffer(ids, dtype=np.uint64))))
     if parts:
         sig, ids, hot = (np.concatenate(column) for column in zip(*parts))
         order = np.lexsort((ids, sig))
@@ -235,13 +253,7 @@ def _meet(rows: pa.Table) -> dict[str, list]:
                     counts[pair] = counts.get(pair, 0) + 1
         lonely = marked - {name for name, _ in large}  # hot in one batch alone: still a part of its set
         large += [(name, ids[sig == name]) for name in sorted(lonely)]
-        weight: dict[int, int] = {}
-        for _, members in large:
-            for m in members.tolist():
-                weight[m] = weight.get(m, 0) + len(members)
-        for name, members in large:
-            star(max(members.tolist(), key=lambda m: (weight[m], -m)), members)
-            kept.append((_set_id(bucket_of(rows), name), members))
+        kept += [(_set_id(rows["bucket"][0].as_py(), name), members) for name, members in large]
     n, m = len(counts), len(kept)
     pairs = np.array(list(counts), dtype=np.uint64).reshape(-1, 2).view(np.int64)
     return {
@@ -253,10 +265,6 @@ def _meet(rows: pa.Table) -> dict[str, list]:
     }
 
 
-def bucket_of(rows: pa.Table) -> int:
-    return rows["bucket"][0].as_py()
-
-
 # -- the join ---------------------------------------------------------------------------
 
 
@@ -268,7 +276,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, n: int, bands: Bands) -
         def run(batch: pa.RecordBatch):
             sets = [shingles(data or b"", n) for data in common.text_bytes(batch.column(2))]
             keys = [_set_keys(s) for s in sets]
-            return {"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "needed": [bands.needed(len(s)) for s in sets]}
+            return {"doc_id": batch.column(0), "text_key": batch.column(1), "n_shingles": [len(s) for s in sets], "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "needed": [needed(s, bands) for s in sets]}
 
         return run
 
@@ -290,14 +298,17 @@ def _candidates(docs: DataFrame, text_col: str, n: int, bands: Bands, n_buckets:
 
     def make():
         def run(batch: pa.RecordBatch):
-            seen: dict[int, np.ndarray] = {}
-            for data in common.text_bytes(batch.column(0)):
-                elements = shingles(data or b"", n)
-                key = _set_keys(elements)[0]
-                if len(elements) and key not in seen:
-                    seen[key] = signatures(elements, bands)
-            rows = _pack(np.array(list(seen), dtype=np.int64).view(np.uint64), list(seen.values()), n_buckets)
-            return dict(zip(columns, map(list, zip(*rows)))) if rows else {c: [] for c in columns}
+            texts = common.text_bytes(batch.column(0))
+            for begin, end in common.chunks(texts, CHUNK_BYTES):
+                seen: dict[int, np.ndarray] = {}
+                for data in texts[begin:end]:
+                    elements = shingles(data or b"", n)
+                    key = _set_keys(elements)[0]
+                    if len(elements) and key not in seen:
+                        seen[key] = signatures(elements, bands)
+                rows = _pack(np.array(list(seen), dtype=np.int64).view(np.uint64), list(seen.values()), n_buckets)
+                if rows:
+                    yield dict(zip(columns, map(list, zip(*rows))))
 
         return run
 
@@ -319,21 +330,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _incidence(elements: list[list[int]], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column (rank of the element) of every element, by column."""
-    rows = np.repeat(np.arange(len(elements)), [len(e) for e in elements])
-    columns = np.searchsorted(order, np.concatenate([np.asarray(e, dtype=np.int64) for e in elements]))
+def _incidence(sets: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column (rank in ``order``) of the elements in ``order``, by column."""
+    rows = np.repeat(np.arange(len(sets)), [len(e) for e in sets])
+    elements = np.concatenate(sets)
+    columns = np.minimum(np.searchsorted(order, elements), max(len(order) - 1, 0))
+    inside = order[columns] == elements if len(order) else np.zeros(len(elements), dtype=bool)
+    rows, columns = rows[inside], columns[inside]
     by_column = np.argsort(columns, kind="stable")
     return rows[by_column], columns[by_column]
 
 
-def shared_sizes(left: list[list[int]], right: list[list[int]], chunk: int = 4096) -> np.ndarray:
+def shared_sizes(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
     """Size of the intersection of every left with every right set, by products
     of 0/1 matrices over some elements at a time."""
     out = np.zeros((len(left), len(right)), dtype=np.float32)
     order = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    keep = [[np.intersect1d(e, order, assume_unique=True) for e in side] for side in (left, right)]
-    sides = [_incidence(side, order) for side in keep]
+    sides = [_incidence(side, order) for side in (left, right)]
     for begin in range(0, len(order), chunk):
         parts = []
         for (rows, columns), n in zip(sides, out.shape):
@@ -347,17 +360,18 @@ def shared_sizes(left: list[list[int]], right: list[list[int]], chunk: int = 409
 
 def _compare_blocks(rows: pa.Table, bands: Bands) -> dict[str, list]:
     """Links between the two blocks of a task, of different components."""
-    table = rows.to_pydict()
-    sides = [[i for i, s in enumerate(table["side"]) if s == side] for side in (0, 1)]
-    if not sides[1]:  # a block against itself
-        sides[1] = sides[0]
-    if not sides[0]:
+    elements = rows["elements"].combine_chunks()
+    ends = elements.offsets.to_numpy()
+    sets = np.split(elements.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends[1:-1] - ends[0])
+    side, root, name = (rows[c].to_numpy() for c in ("side", "root", "class"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(right):  # a block against itself
+        right = left
+    if not len(left):
         return {"u": [], "v": []}
-    left, right = sides
-    inter = shared_sizes([table["elements"][i] for i in left], [table["elements"][i] for i in right])
-    size = np.array([len(e) for e in table["elements"]])
+    inter = shared_sizes([sets[i] for i in left], [sets[i] for i in right])
+    size = np.array([len(e) for e in sets])
     union = size[left][:, None] + size[right][None, :] - inter
-    root, name = np.array(table["root"]), np.array(table["class"])
     links = (inter * bands.den >= union * bands.num) & (root[left][:, None] != root[right][None, :])
     at = np.nonzero(links)
     return {"u": name[left][at[0]].tolist(), "v": name[right][at[1]].tolist()}
@@ -412,16 +426,25 @@ def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col:
         "jaccard_classes",
     )
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
-    n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * bands.bytes_an_element() / BUCKET_BYTES))
+    n_buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * bands.bytes_an_element() / BUCKET_BYTES))
     found = common.store(_candidates(docs, text_col, n, bands, n_buckets), "jaccard_candidates")
-    names = classes.select("k1", "class", "n_shingles", "needed")
-    a = names.withColumnsRenamed({"k1": "a", "class": "ca", "n_shingles": "na", "needed": "needed_a"})
-    b = names.withColumnsRenamed({"k1": "b", "class": "cb", "n_shingles": "nb", "needed": "needed_b"})
-    counted = found.filter("set is null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(a, "a").join(b, "b")
-    likely = counted.filter((F.col("shared") >= F.greatest("needed_a", "needed_b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    pairs = common.store(likely.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "jaccard_pairs")
     members = found.filter("set is not null").select("set", F.explode("members").alias("k1")).distinct()
-    members = common.store(members.join(names, "k1").select("set", "class"), "jaccard_members")
+    members = common.store(members.join(classes.select("k1", "class", "n_shingles", "needed"), "k1").drop("k1"), "jaccard_members")
+    # signatures that a class shares with any similar one besides those of large sets
+    in_large = members.groupBy("class").agg(F.countDistinct("set").alias("n_large"))
+    names = common.store(classes.join(in_large, "class", "left").select("k1", "class", "n_shingles", (F.col("needed") - F.coalesce("n_large", F.lit(0))).alias("spare")), "jaccard_names")
+    a = names.withColumnsRenamed({"k1": "a", "class": "ca", "n_shingles": "na", "spare": "spare_a"})
+    b = names.withColumnsRenamed({"k1": "b", "class": "cb", "n_shingles": "nb", "spare": "spare_b"})
+    sized = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    counted = found.filter("set is null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(a, "a").join(b, "b")
+    likely = counted.filter((F.col("shared") >= F.greatest("spare_a", "spare_b", F.lit(1))) & sized)
+    # large sets matter to classes that have no signature to spare: members against a hub
+    bare = names.filter("spare < 1").join(in_large, "class").select("class", "n_large")
+    members = common.store(members.join(bare, "class"), "jaccard_members")
+    hubs = members.groupBy("set").agg(F.max_by(F.struct("class", "n_shingles"), F.struct("n_large", "class")).alias("h")).select("set", F.col("h.class").alias("ca"), F.col("h.n_shingles").alias("na"))
+    stars = members.select("set", F.col("class").alias("cb"), F.col("n_shingles").alias("nb")).join(hubs, "set").filter(sized & (F.col("ca") != F.col("cb")))
+    both = likely.select("ca", "cb").union(stars.select("ca", "cb"))
+    pairs = common.store(both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "jaccard_pairs")
     # the shingle sets of the candidates alone
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("class")).distinct()
     texts = classes.join(wanted, "class").select("class", "doc_id", "text_key").join(_picked(docs, id_col, text_col).withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))

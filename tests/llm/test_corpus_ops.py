@@ -158,7 +158,7 @@ def test_blocks_find_the_links_between_components(spark):
 def test_shared_sizes():
     rng = random.Random(2)
     sides = [[sorted(rng.sample(range(-50, 50), rng.randrange(1, 40))) for _ in range(n)] for n in (7, 11)]
-    got = ngram_jaccard.shared_sizes(*sides, chunk=16)
+    got = ngram_jaccard.shared_sizes(*[[np.array(e) for e in side] for side in sides], chunk=16)
     assert got.tolist() == [[len({*a} & {*b}) for b in sides[1]] for a in sides[0]]
 
 
