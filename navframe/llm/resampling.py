@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from navframe.llm import common
 
-BUCKET_BITS = 14
+BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 MAX_TARGET = 20_000
 SMOOTHING = 1.0

@@ -330,6 +330,21 @@ def test_weights_part_held_out_documents(spark):
     assert sum(clean) / len(clean) > 0.85
 
 
+def test_query_catches_held_out_toxic_documents(spark, monkeypatch):
+    from navframe.llm import queries
+
+    read = lambda spark, sf_dir, name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    half = lambda spark, sf_dir, name: read(spark, sf_dir, name).filter("doc_id % 2 = 0") if name == "labels" else read(spark, sf_dir, name)
+    monkeypatch.setattr(queries, "table", half)
+    kept = {r["doc_id"]: r["kept"] for r in queries.op10_importance_resampling(spark, "").select("doc_id", "kept").collect()}
+    held_out = read(spark, "", "labels").filter("doc_id % 2 = 1 and quality = 1").collect()
+    caught = [not kept[r["doc_id"]] for r in held_out if r["toxic"]]
+    clean = [kept[r["doc_id"]] for r in held_out if not r["toxic"]]
+    print(f"toxic caught {sum(caught) / len(caught):.3f} of {len(caught)}, clean kept {sum(clean) / len(clean):.3f} of {len(clean)}")
+    assert sum(caught) / len(caught) > 0.25
+    assert sum(clean) / len(clean) > 0.85
+
+
 def test_resampling_of_messy_rows(spark, messy, nothing):
     labels = spark.createDataFrame([(5, 1), (4, 0), (None, 1), (4, None)], "doc_id bigint, quality int")
     good = F.col("quality") == 1
