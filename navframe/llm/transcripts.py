@@ -7,8 +7,8 @@ path gives every line its role and the turns' borders; turns are then rendered i
 a canonical form.
 
 A conversation may be longer than a task should hold. Viterbi steps are max-plus
-matrix products, which associate: rows are cut into blocks of ``BLOCK`` places in
-the conversation, each block gives one matrix, blocks of blocks are multiplied up
+matrix products, which associate: rows are numbered in the conversation and cut into
+blocks of ``BLOCK`` rows, each block gives one matrix, blocks of blocks are multiplied up
 to one matrix a conversation, and the best end state is passed down again as the
 entry and exit state of every block, which then finds its own path.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from navframe.llm import common
 
 ROLES = ("system", "user", "assistant")
 BLOCK = 64
+#: rows are dealt by ranges of conversation, place and so many characters of the text
+RANGE_CHARS = 256
 #: state 2 * role: first line of a turn, 2 * role + 1: later line, 6: before the text
 N_STATES = 7
 BEGIN = 6
@@ -80,38 +82,43 @@ class Model:
             self.steps = np.log(counts / counts.sum(axis=1, keepdims=True))
             self.symbols = np.log(emitted / emitted.sum(axis=1, keepdims=True))
         self.symbols[BEGIN] = -np.inf
+        self.lines = [self.steps + self.symbols[:, sym][None, :] for sym in range(N_SYMBOLS)]
 
     def line(self, sym: int) -> np.ndarray:
         """Max-plus matrix of one line."""
-        return self.steps + self.symbols[:, sym][None, :]
+        return self.lines[sym]
 
 
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def product(matrices: list[np.ndarray]) -> np.ndarray:
-    out = matrices[0]
-    for m in matrices[1:]:
+def product(matrices: Iterable[np.ndarray]) -> np.ndarray:
+    rest = iter(matrices)
+    out = next(rest)
+    for m in rest:
         out = multiply(out, m)
     return out
 
 
-def path(matrices: list[np.ndarray], entry: int, end: int | None) -> list[int]:
-    """Best state after each matrix, from ``entry`` to ``end`` (None: the best)."""
-    scores, back = matrices[0][entry], []
-    for m in matrices[1:]:
+def path(matrices: Iterable[np.ndarray], entry: int, end: int | None) -> list[int]:
+    """Best state after each matrix, from ``entry`` to ``end`` (None: the best).
+    Held are ``N_STATES`` bytes a matrix."""
+    rest = iter(matrices)
+    scores, back = next(rest)[entry], bytearray()
+    for m in rest:
         steps = scores[:, None] + m
-        back.append(steps.argmax(axis=0))
+        back += steps.argmax(axis=0).astype(np.uint8).tobytes()
         scores = steps.max(axis=0)
     states = [int(scores.argmax()) if end is None else end]
-    for pointers in reversed(back):
-        states.append(int(pointers[states[-1]]))
+    for k in range(len(back) - N_STATES, -1, -N_STATES):
+        states.append(back[k + states[-1]])
     return states[::-1]
 
 
 def train(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", raw_col: str | None = None) -> Model:
-    """Counts over labelled turns; a turn's successor has the next number. What
+    """Counts over labelled turns; a turn's successor has the next number. Rows of
+    one turn are counted together, and its steps are products of two counts. What
     reaches the driver is one number a pair of states and a state and symbol."""
     rows = turns.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.col(f"`{role_col}`").alias("role"), F.coalesce(F.col(f"`{raw_col or text_col}`"), F.lit("")).alias("text")).filter(F.col("role").isin(*ROLES))
     common.on_workers(turns.sparkSession)
@@ -132,12 +139,19 @@ def train(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
     role = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1
     lines = F.size(F.split("text", "\n"))
     short = rows.select("conv", "turn", role.alias("role"), lines.alias("lines"))
-    after = short.select("conv", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"), F.col("lines").alias("lines_before"))
-    joined = short.join(after, ["conv", "turn"], "left")
-    came_from = F.when(F.col("before").isNull(), BEGIN).otherwise(2 * F.col("before") + (F.col("lines_before") > 1).cast("int"))
+    none, turn = F.lit(None).cast("int"), F.col("turn").cast("bigint")
+    last = 2 * F.col("role") + (F.col("lines") > 1).cast("int")
+    sides = F.array(F.struct(turn.alias("turn"), F.col("role").alias("now"), none.alias("before")), F.struct((turn + 1).alias("turn"), none.alias("now"), last.alias("before")))
+    # turns without a conversation or a number follow none
+    met = short.select("conv", F.explode(sides).alias("x")).select("conv", "x.*").filter("before is null or (conv is not null and turn is not null)")
+    now = [F.count(F.when(F.col("now") == r, 1)).cast("double").alias(f"now_{r}") for r in range(len(ROLES))]
+    before = [F.count(F.when(F.col("before") == s, 1)).cast("double").alias(f"before_{s}") for s in range(BEGIN)]
+    first = F.when(sum(F.col(f"before_{s}") for s in range(BEGIN)) == 0, 1.0).otherwise(0.0)
+    pairs = [(s, r) for s in range(N_STATES) for r in range(len(ROLES))]
     steps = np.zeros((N_STATES, N_STATES))
-    for s, r, n in joined.groupBy(came_from.alias("s"), "role").count().collect():
-        steps[s, 2 * r] += n
+    counts = met.groupBy("conv", "turn").agg(*now, *before).withColumn(f"before_{BEGIN}", first)
+    for (s, r), n in zip(pairs, counts.agg(*[F.sum(F.col(f"before_{s}") * F.col(f"now_{r}")) for s, r in pairs]).first()):
+        steps[s, 2 * r] += n or 0
     for r, starts, later in short.groupBy("role").agg(F.count(F.when(F.col("lines") > 1, 1)), F.sum(F.greatest(F.col("lines") - 2, F.lit(0)))).collect():
         steps[2 * r, 2 * r + 1] += starts
         steps[2 * r + 1, 2 * r + 1] += later
@@ -147,7 +161,7 @@ def train(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
 # -- grouped streams -------------------------------------------------------------------
 
 
-def by_group(df: DataFrame, keys: list[str], order: list[str], schema: str | T.StructType, f: Callable[[list[dict]], Iterator[dict]]) -> DataFrame:
+def by_group(df: DataFrame, keys: list[str], order: list[str], schema: str | T.StructType, f: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
     """``f`` over the rows of each group in order; groups are bounded blocks. Rows
     are dealt by the keys, sorted, and streamed, many groups a task."""
     kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -157,10 +171,11 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], schema: str | T.S
         rows = (row for batch in batches for row in batch.to_pylist())
         held: list[dict] = []
         for _, group in itertools.groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
-            held.extend(f(list(group)))
-            if len(held) > 2000:
-                yield pa.RecordBatch.from_pylist(held, schema=out)
-                held = []
+            for row in f(group):
+                held.append(row)
+                if len(held) > 2000:
+                    yield pa.RecordBatch.from_pylist(held, schema=out)
+                    held = []
         yield pa.RecordBatch.from_pylist(held, schema=out)
 
     common.on_workers(df.sparkSession)
@@ -179,8 +194,38 @@ def _matrix(row: dict) -> np.ndarray:
     return np.array(row["matrix"]).reshape(N_STATES, N_STATES)
 
 
-def _line_matrices(rows: list[dict], model: Model) -> list[np.ndarray]:
-    return [model.line(symbol(line)) for r in rows for line in (r["text"] or "").split("\n")]
+def _line_matrices(rows: Iterable[dict], model: Model) -> Iterator[np.ndarray]:
+    return (model.line(symbol(line)) for r in rows for line in (r["text"] or "").split("\n"))
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` with ``block``: the running number of a row in its conversation, by
+    place and text, over ``block``. Rows are dealt by ranges and numbered in each;
+    of the conversations in a range only the first can go on from the ranges before."""
+    from pyspark.sql import Window
+
+    ranges = rows.repartitionByRange("conv", "place", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("conv", "place", "text")
+    kinds = T.StructType([*rows.schema.fields, *T._parse_datatype_string("part int, nth bigint").fields])
+
+    def number(batches):
+        out = common.arrow_schema(kinds)
+        last: list = []
+        n = 0
+        for batch in batches:
+            nth = []
+            for conv in batch.column(0).to_pylist():
+                n = n + 1 if last == [conv] else 0
+                last = [conv]
+                nth.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth, type=pa.int64())], schema=out)
+
+    common.on_workers(rows.sparkSession)
+    stored = common.store(ranges.withColumn("part", F.spark_partition_id()).mapInArrow(number, kinds), "transcript_rows")
+    before = F.sum("n").over(Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    ongoing = stored.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n")).select(F.col("conv").alias("o_conv"), F.col("part").alias("o_part"), before.alias("before")).filter("before > 0")
+    ongoing = F.broadcast(common.store(ongoing, "transcript_ranges"))  # one row a range at most
+    joined = stored.join(ongoing, F.col("conv").eqNullSafe(F.col("o_conv")) & (F.col("part") == F.col("o_part")), "left")
+    return joined.select(*rows.columns, F.floor((F.coalesce("before", F.lit(0)) + F.col("nth")) / block).alias("block"))
 
 
 # -- the operator ----------------------------------------------------------------------
@@ -194,19 +239,18 @@ def parse(chunks: DataFrame, model: Model, conv_col: str = "conv_id", order_col:
     integer ``order_col``.
     """
     if block < 2:
-        raise ValueError("a block must hold at least two places")
+        raise ValueError("a block must hold at least two rows")
     rows = chunks.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{order_col}`").cast("bigint").alias("place"), F.col(f"`{text_col}`").alias("text")).distinct()
-    least = rows.agg(F.min("place")).first()[0] or 0
-    # null places come before all others
-    rows = rows.withColumn("place", F.coalesce(F.col("place") - F.lit(least) + 1, F.lit(0))).withColumn("block", F.floor(F.col("place") / block))
-    rows = common.store(rows, "transcript_rows")
+    rows = _in_blocks(rows, block)
     kinds = _schema(rows, "block bigint, matrix array<double>")
 
     def leaf(group):
-        yield {"conv": group[0]["conv"], "block": group[0]["block"], "matrix": product(_line_matrices(group, model)).ravel().tolist()}
+        first = next(group)
+        yield {"conv": first["conv"], "block": first["block"], "matrix": product(_line_matrices(itertools.chain([first], group), model)).ravel().tolist()}
 
     def node(group):
-        yield {"conv": group[0]["conv"], "block": group[0]["parent"], "matrix": product([_matrix(r) for r in group]).ravel().tolist()}
+        first = next(group)
+        yield {"conv": first["conv"], "block": first["parent"], "matrix": product(map(_matrix, itertools.chain([first], group))).ravel().tolist()}
 
     levels = [common.store(by_group(rows, ["conv", "block"], ["place", "text"], kinds, leaf), "transcript_blocks")]
     while (levels[-1].agg(F.max("block")).first()[0] or 0) > 0:
@@ -221,9 +265,9 @@ def parse(chunks: DataFrame, model: Model, conv_col: str = "conv_id", order_col:
             yield pa.RecordBatch.from_pylist(found, schema=common.arrow_schema(ends))
 
     def down(group):
-        matrices = [_matrix(r) for r in group]
+        group = list(group)  # a block's children
         entry = group[0]["entry"]
-        for r, end in zip(group, path(matrices, entry, group[0]["end"])):
+        for r, end in zip(group, path(map(_matrix, group), entry, group[0]["end"])):
             yield {"conv": r["conv"], "block": r["block"], "entry": entry, "end": end}
             entry = end
 
@@ -233,16 +277,17 @@ def parse(chunks: DataFrame, model: Model, conv_col: str = "conv_id", order_col:
         children = level.withColumn("parent_", F.floor(F.col("block") / block)).join(parents, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("parent_") == F.col("parent"))).select("conv", "block", "matrix", "parent", "entry", "end")
         known = common.store(by_group(children, ["conv", "parent"], ["block"], ends, down), "transcript_ends")
 
-    lines = _schema(rows, "block bigint, place bigint, line int, role int, nth int, starts int, text string")
+    lines = _schema(rows, "block bigint, line bigint, role int, nth bigint, starts int, text string")
 
     def label(group):
+        group = list(group)  # a block's rows
         states = path(_line_matrices(group, model), group[0]["entry"], group[0]["end"])
         nth = line = 0
         for r in group:
             for text in (r["text"] or "").split("\n"):
                 starts = 1 - states[line] % 2
                 nth += starts
-                yield {"conv": r["conv"], "block": r["block"], "place": r["place"], "line": line, "role": states[line] // 2, "nth": nth, "starts": starts, "text": split_marker(text)[1] if starts else text}
+                yield {"conv": r["conv"], "block": r["block"], "line": line, "role": states[line] // 2, "nth": nth, "starts": starts, "text": split_marker(text)[1] if starts else text}
                 line += 1
 
     named = known.select(F.col("conv").alias("k_conv"), F.col("block").alias("k_block"), "entry", "end")

@@ -417,3 +417,56 @@ def test_blocks_change_nothing_and_held_out_roles_are_recovered(spark):
     for conv, _, role, n, _ in whole:
         found[conv, role] += n
     assert sum((lines & found).values()) / sum(lines.values()) > 0.9
+
+
+def test_blocks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ("what is it?", "yes", "Human: why", "AI: so", "[system] be kind", "a\nb")
+    rows = [(None, rng.choice([None, *range(20)]), f"{rng.choice(words)} {k}") for k in range(3000)] + [(1, 0, f"Q: {k}") for k in range(500)] + [(2, k, f"A: {k}") for k in range(70)]
+    docs = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
+    most = []
+    by_group = transcripts.by_group
+
+    def counted(df, keys, *args):
+        most.append(df.groupBy(*keys).count().agg(F.max("count")).first()[0])
+        return by_group(df, keys, *args)
+
+    monkeypatch.setattr(transcripts, "by_group", counted)
+    model = small_model()
+    got = as_rows(transcripts.parse(docs, model), "conv", "turn_no", "role", "n_lines", "text")
+    assert max(most) <= transcripts.BLOCK
+    want = []
+    for conv in (None, 1, 2):
+        order = sorted({(t is not None, t or 0, x) for c, t, x in rows if c == conv})
+        lines = [line for *_, x in order for line in x.split("\n")]
+        turn = -1
+        for state, line in zip(transcripts.path([model.line(transcripts.symbol(x)) for x in lines], transcripts.BEGIN, None), lines):
+            if state % 2 == 0:
+                turn += 1
+                want.append([conv, turn, transcripts.ROLES[state // 2], []])
+            want[-1][3].append(line if state % 2 else transcripts.split_marker(line)[1])
+    assert got == sorted(((c, t, r, len(x), "\n".join(x)) for c, t, r, x in want), key=repr)
+
+
+def test_steps_of_repeated_turns(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([0, 1, None]), rng.choice([0, 1, 2, None]), rng.choice(transcripts.ROLES), rng.choice(["a", "a\nb"])) for _ in range(200)]
+    steps = np.zeros((7, 7))
+    symbols = np.zeros((7, transcripts.N_SYMBOLS))
+    for c, t, role, text in rows:
+        r = transcripts.ROLES.index(role)
+        came = [2 * transcripts.ROLES.index(y[2]) + ("\n" in y[3]) for y in rows if None not in (c, t, y[1]) and (y[0], y[1] + 1) == (c, t)]
+        for s in came or [transcripts.BEGIN]:
+            steps[s, 2 * r] += 1
+        for k, line in enumerate(text.split("\n")):
+            symbols[2 * r + (k > 0), transcripts.symbol(line)] += 1
+        steps[2 * r, 2 * r + 1] += "\n" in text
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    model = transcripts.train(spark.createDataFrame(rows, schema))
+    want = transcripts.Model(steps, symbols)
+    assert np.allclose(model.steps, want.steps) and np.allclose(model.symbols, want.symbols)
+    # 10^10 pairs of neighbouring rows
+    hot = spark.range(200_000).select(F.lit(0).alias("conv_id"), (F.col("id") % 2).alias("turn"), F.lit("user").alias("role"), F.lit("a").alias("text"))
+    steps = np.zeros((7, 7))
+    steps[2, 2], steps[transcripts.BEGIN, 2] = 1e10, 1e5
+    assert np.allclose(transcripts.train(hot).steps, transcripts.Model(steps, symbols).steps)
