@@ -45,8 +45,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from navframe.llm import common, graph
 
@@ -413,16 +414,20 @@ def _links_in_large_sets(members: DataFrame, sets: DataFrame, bands: Bands, bloc
     return full.groupBy("cluster", "i", "kind", "j").applyInArrow(compare, "u bigint, v bigint").distinct()
 
 
-def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: ``doc_id``, ``text_key``, ``n_shingles`` and
-    ``component_id`` (the smallest id reachable by links), for shingles of ``n``
-    words and a Jaccard similarity of at least ``num / den``."""
+def _first_row() -> Column:
+    """The smallest id and text; null ids come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+
+
+def _grouped(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles of the documents, and classes of equal sets (``k1``, ``k2``, their
+    first ``doc_id`` and ``text_key``) with the ``root`` of their component."""
     bands = Bands(num, den)
     spark = docs.sparkSession
     profiles = common.store(profile(docs, id_col, text_col, n, bands), "jaccard_profiles")
     classes = common.store(
-        profiles.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key")).alias("m"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("needed").alias("needed"))
-        .select("k1", "k2", "m.doc_id", "m.text_key", "least", "n_shingles", "needed").withColumn("class", F.monotonically_increasing_id()),
+        profiles.filter("n_shingles > 0").groupBy("k1", "k2").agg(_first_row().alias("m"), F.first("n_shingles").alias("n_shingles"), F.first("needed").alias("needed"))
+        .select("k1", "k2", "m.doc_id", "m.text_key", "n_shingles", "needed").withColumn("class", F.monotonically_increasing_id()),
         "jaccard_classes",
     )
     total = profiles.agg(F.sum("n_shingles")).first()[0] or 0
@@ -468,16 +473,36 @@ def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col:
     later = common.store(_links_in_large_sets(rooted, sets, bands), "jaccard_links")
     if not later.isEmpty():
         roots = graph.components(links.union(later))
-    grouped = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
-    named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    return profiles, classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def similar(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: ``doc_id``, ``text_key``, ``n_shingles`` and
+    ``component_id`` (the smallest id reachable by links), for shingles of ``n``
+    words and a Jaccard similarity of at least ``num / den``."""
+    profiles, grouped = _grouped(docs, n, num, den, id_col, text_col)
+    named = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = grouped.join(named, "root").select("k1", "k2", "component_id")
     return profiles.join(by_class, ["k1", "k2"], "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the
-    group's id. Rows and columns are unchanged; of repeated rows one stays;
-    documents without words are no duplicates."""
-    found = similar(docs, n, num, den, id_col, text_col)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("g_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("g_key")), "left_anti")
+    """One row of each group of near duplicates stays: the one with the smallest id
+    (null ids last), then the smallest hash of its text; of rows alike in both, one.
+    Rows and columns are unchanged; documents without words are no duplicates."""
+    profiles, grouped = _grouped(docs, n, num, den, id_col, text_col)
+    stays = grouped.groupBy("root").agg(_first_row().alias("s")).select("root", F.col("s.doc_id").alias("s_id"), F.col("s.text_key").alias("s_key"))
+    rows = profiles.filter("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    judged = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key")), "left")
+    # rows that go, and those that stay once (with their group's root)
+    marked = common.store(judged.filter("root is null or n > 1").select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), F.col("root").alias("g_root")), "jaccard_marked")
+    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("g_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("g_key"))
+    out = docs.join(marked, same, "left_anti")
+    repeated = marked.filter("g_root is not null")
+    if repeated.isEmpty():
+        return out
+    # grouped by root, not by the join's keys: rows meet after a partial aggregate
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.join(repeated, same).groupBy("g_root").agg(F.min_by(row, order).alias("r"))
+    return out.unionByName(once.select("r.*"))

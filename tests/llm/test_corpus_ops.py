@@ -174,6 +174,27 @@ def test_join_of_messy_rows(messy, nothing):
     assert 6 not in ids and ids[5] == 1 and ids[8] >= 1 and {1, 2, 3, 4, 9, 10, None} <= set(ids)
 
 
+def test_one_row_of_each_group(spark, messy, nothing):
+    ids = Counter(r["doc_id"] for r in ngram_jaccard.one_of_each(messy).collect())
+    assert ids == Counter([None, 1, 2, 3, 4, 5, 7, 8, 8, 9, 10])
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join(base[:k]) for k in (60, 59, 58)]
+    far = " ".join(f"v{k}" for k in range(30))
+    rows = [(20, near[0], "a"), (20, near[1], "b"), (20, near[1], "b"), (21, near[2], "c")]  # copies under one id
+    rows += [(None, far, "a"), (None, far, "a"), (None, far + " v30", "b")]  # no ids at all
+    rows += [(30, "x y z u v w", "a"), (30, "x y z u v w", "b"), (30, "x y z u v w", "b")]  # one id and text, other hosts
+    rows += [(None, "p q r s t u", "a"), (40, "p q r s t u", "a"), (40, "p q r s t u", "a")]  # the id that is there
+    rows += [(50, None, "a"), (50, None, "a")]
+    docs = table(spark, rows)
+    one = ngram_jaccard.one_of_each(docs)
+    assert one.columns == docs.columns
+    left = [tuple(r) for r in one.collect()]
+    assert not Counter(left) - Counter(rows)
+    assert sorted((r[1] or "").split(" ")[0] for r in left) == ["", "", "p", "v0", "w0", "x"]
+    assert sorted((r[0] for r in left if r[0]), key=repr) == [20, 30, 40, 50, 50]
+    assert ngram_jaccard.one_of_each(nothing).count() == 0
+
+
 def test_graph_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 200 + i) for i in range(1, 30)]
