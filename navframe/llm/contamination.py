@@ -17,6 +17,7 @@ hits; items with a null id mark words but aren't listed; items that repeat are o
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,14 +76,14 @@ class Patterns:
         return starts, ends, items
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
-    """Lists of (item, text), each of about ``block_bytes`` at most."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[list[tuple]]]:
+    """The number of blocks, and their lists of (item, text), each of about
+    ``block_bytes`` at most and collected when it is asked for."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(total / block_bytes) if total <= block_bytes else 2 * math.ceil(total / block_bytes)
-    for k in range(n):
-        chosen = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in chosen.collect()]  # bounded by the block
+    n = 1 if total <= block_bytes else 2 * math.ceil(total / block_bytes)
+    chosen = (items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n))
+    return n, ([tuple(r) for r in c.collect()] for c in chosen)  # bounded by the block
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
@@ -94,12 +95,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     made = "n_words bigint, hit_starts array<bigint>, hit_ends array<bigint>, char_starts array<bigint>, char_ends array<bigint>, items array<string>"
     arrays = ["hit_starts", "hit_ends", "char_starts", "char_ends"]
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes)) or [[]]
+    n_blocks, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     results = ["n_words", *arrays, "items"]
     n = len(keep)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
     for number, items in enumerate(blocks):
-        last = number == len(blocks) - 1
+        last = number == n_blocks - 1
         shared = spark.sparkContext.broadcast(items)
 
         def make(shared=shared, first=number == 0):
@@ -117,6 +118,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         rows = common.map_rows(rows, rows.columns, kinds, make)
         if not last:
             rows = common.store(rows, "decontamination")
+            shared.destroy()  # the stored rows don't need it
     return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *results)
 
 

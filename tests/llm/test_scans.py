@@ -190,6 +190,30 @@ def test_contamination_in_any_number_of_blocks(spark, messy, nothing):
     assert {len(r["items"]) for r in contamination.scan(messy, bench.limit(0)).collect()} == {0}
 
 
+def test_one_block_at_a_time_is_held(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "x y")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, f"b c d n{k}") for k in range(8)] + [(9, "b c d")], "item_id bigint, text string")
+    events = []
+    blocks, store, broadcast = contamination._blocks, contamination.common.store, type(spark.sparkContext).broadcast
+
+    def watched(*args):
+        n, lists = blocks(*args)
+        return n, (events.append("block") or x for x in lists)
+
+    def kept(self, value):
+        made = broadcast(self, value)
+        destroy = made.destroy
+        made.destroy = lambda *a: events.append("gone") or destroy(*a)
+        return made
+
+    monkeypatch.setattr(contamination, "_blocks", watched)
+    monkeypatch.setattr(contamination.common, "store", lambda *a: events.append("stored") or store(*a))
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", kept)
+    got = contamination.scan(docs, bench, block_bytes=40)
+    assert events == ["block", "stored", "gone"] * (events.count("block") - 1) + ["block"] and len(events) > 3
+    assert {r["doc_id"]: r["items"] for r in got.collect()} == {1: ["9"], 2: []}
+
+
 def test_hits_keep_their_place_in_the_original(spark):
     bench = spark.createDataFrame([(1, "über das MEER")], "item_id bigint, text string")
     text = "Ein Schiff fährt, (Über das - Meer)! Über das Meer."
