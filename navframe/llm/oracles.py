@@ -102,3 +102,60 @@ least AS (SELECT r.a AS rid, min(d.doc_id) AS least FROM reach r JOIN docs d ON
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id
 FROM docs LEFT JOIN sizes USING (rid) LEFT JOIN least USING (rid)
 """
+
+OP11 = rf"""
+WITH docs AS (
+  SELECT doc_id, body, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(body)) AS r
+  FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS body FROM documents)),
+total AS (SELECT count(*) AS n, count(DISTINCT body) AS n_texts FROM docs),
+pairs AS (
+  SELECT a.r, a.doc_id, a.body, CAST(length(a.body) AS BIGINT) AS n_chars, b.r AS next_r, b.body AS next_body
+  FROM docs a, total JOIN docs b ON b.r = a.r % total.n + 1),
+sides AS (
+  SELECT r, 0 AS side, body FROM pairs
+  UNION ALL SELECT r, 1, left(body, n_chars - n_chars // 3) || left(next_body, n_chars // 3) FROM pairs),
+lexicon AS (
+  SELECT term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(body), '{ALNUM_WORD}'))) AS term FROM (SELECT DISTINCT body FROM docs)), total
+  GROUP BY term, n_texts HAVING count(*) * {{rare}} >= n_texts AND count(*) * {{common}} <= n_texts),
+worded AS (
+  SELECT r, side, body, words, length(bin(greatest(len(words) // {{spread}}, 1))) - 1 AS level
+  FROM (SELECT r, side, body, list_distinct(regexp_extract_all(lower(body), '{ALNUM_WORD}')) AS words FROM sides)),
+kept AS (
+  SELECT r, side, level, term, CAST('0x' || left(md5(term), 8) AS BIGINT) AS h
+  FROM (SELECT r, side, level, unnest(words) AS term FROM worded) SEMI JOIN lexicon USING (term)),
+codes AS (
+  SELECT r, side, up, level + up AS level, h % (1::BIGINT << (level + up)) AS slot, left(md5(string_agg(term, ' ' ORDER BY term)), 8) AS code
+  FROM kept, range(2) AS u(up) WHERE h % (1::BIGINT << (level + up)) < {{subsets}} GROUP BY ALL),
+slots AS (
+  SELECT r, side, level AS low, up, slot FROM worded, range(2) AS u(up), range({{subsets}}) AS s(slot) WHERE slot < 1::BIGINT << (level + up)),
+listed AS (
+  SELECT s.r, s.side, s.low, s.up, string_agg(coalesce(code, ''), '.' ORDER BY s.slot) AS codes, count(code) AS n
+  FROM slots s LEFT JOIN codes c ON s.r = c.r AND s.side = c.side AND s.up = c.up AND s.slot = c.slot GROUP BY ALL),
+prints AS (
+  SELECT l.r, l.side, l.low, l.n = 0 AS whole, sha256(w.body) AS sha,
+         CASE WHEN l.n = 0 THEN 'text:' || sha256(w.body) ELSE l.low || ':' || l.codes || ':' || h.codes END AS fingerprint
+  FROM listed l JOIN listed h ON l.r = h.r AND l.side = h.side AND l.up = 0 AND h.up = 1 JOIN worded w ON w.r = l.r AND w.side = l.side),
+compared AS (
+  SELECT r, 'edited' AS kind, r AS r2, 1 AS side2 FROM pairs UNION ALL SELECT r, 'next', next_r, 0 FROM pairs),
+shared AS (
+  SELECT c.r, c.kind, x.level, x.slot, x.code = y.code AS same
+  FROM compared c JOIN prints a ON a.r = c.r AND a.side = 0 JOIN prints b ON b.r = c.r2 AND b.side = c.side2
+  JOIN codes x ON x.r = a.r AND x.side = 0 AND x.level IN (b.low, b.low + 1)
+  LEFT JOIN codes y ON y.r = b.r AND y.side = b.side AND y.level = x.level AND y.slot = x.slot),
+others AS (
+  SELECT c.r, c.kind, count(*) AS n
+  FROM compared c JOIN prints a ON a.r = c.r AND a.side = 0 JOIN codes y ON y.r = c.r2 AND y.side = c.side2 AND y.level IN (a.low, a.low + 1)
+  WHERE NOT EXISTS (SELECT 1 FROM codes x WHERE x.r = a.r AND x.side = 0 AND x.level = y.level AND x.slot = y.slot)
+  GROUP BY ALL),
+counted AS (SELECT r, kind, count(*) AS n, coalesce(sum(same::INT), 0) AS n_same FROM shared GROUP BY ALL),
+near AS (
+  SELECT c.r, c.kind, CASE WHEN a.fingerprint = b.fingerprint THEN 1.0::DOUBLE
+         WHEN a.whole OR b.whole OR coalesce(t.n, 0) + coalesce(o.n, 0) = 0 THEN 0.0::DOUBLE
+         ELSE coalesce(t.n_same, 0)::DOUBLE / (coalesce(t.n, 0) + coalesce(o.n, 0))::DOUBLE END AS near
+  FROM compared c JOIN prints a ON a.r = c.r AND a.side = 0 JOIN prints b ON b.r = c.r2 AND b.side = c.side2
+  LEFT JOIN counted t ON t.r = c.r AND t.kind = c.kind LEFT JOIN others o ON o.r = c.r AND o.kind = c.kind)
+SELECT d.doc_id, p.n_chars, e.sha AS edited_sha256, a.fingerprint, e.fingerprint AS edited_fingerprint, ne.near AS near_edited, nn.near AS near_next
+FROM documents d JOIN pairs p ON p.doc_id IS NOT DISTINCT FROM d.doc_id AND p.body = coalesce(d.text, '')
+JOIN prints a ON a.r = p.r AND a.side = 0 JOIN prints e ON e.r = p.r AND e.side = 1
+JOIN near ne ON ne.r = p.r AND ne.kind = 'edited' JOIN near nn ON nn.r = p.r AND nn.kind = 'next'
+"""

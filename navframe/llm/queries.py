@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navframe.llm import bitplane, bpe, contamination, licenses, ngram_jaccard, oracles, pii, quality, repeats, resampling, transcripts
+from navframe.llm import bitplane, bpe, contamination, imatch, licenses, ngram_jaccard, oracles, pii, quality, repeats, resampling, transcripts
 from navframe.llm.common import table
 
 
@@ -83,6 +83,10 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), good).drop("text_key")
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pii_anchors": op2_pii_anchors,
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_repeated_substrings": op9_repeated_substrings,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_imatch": op11_imatch,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -101,4 +106,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_quality": oracles.OP7.format(max_texts=quality.MAX_TEXTS),
     "op8_decontamination": oracles.OP8,
     "op9_repeated_substrings": oracles.OP9,
+    "op11_imatch": oracles.OP11.format(rare=imatch.RARE, common=imatch.COMMON, spread=imatch.SPREAD, subsets=imatch.SUBSETS),
 }
