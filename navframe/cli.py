@@ -12,9 +12,12 @@ import argparse
 import datetime as dt
 import sys
 
-from navframe.plans import jobs
+from pyspark.errors import AnalysisException
+
 from navframe.operators.joins import estimated_size_bytes
+from navframe.plans import jobs
 from navframe.session import apply_cluster_settings, get_session
+from navframe.sinks.table import ABSENT
 
 JOBS = [
     "create-tables",
@@ -52,12 +55,22 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _landed_bytes(spark, path: str) -> int:
+    try:
+        return estimated_size_bytes(spark.read.text(path)) or 0
+    except AnalysisException as e:
+        if e.getCondition() not in ABSENT:
+            raise
+        return 0
+
+
 def _input_bytes(spark, a, wh) -> int:
-    """Bytes of the landed files and stored tables that the job may read."""
+    """Bytes of the landed files and stored tables that the job may read. What
+    is absent counts nothing; the job itself says what an absent input means."""
     total = 0
     for path in (a.scheme_landing, a.nav_landing, a.landing):
         if path:
-            total += estimated_size_bytes(spark.read.text(path)) or 0
+            total += _landed_bytes(spark, path)
     for name in ("raw_nav", "daily_returns") if wh else ():
         if wh.table(name).exists(spark):
             total += estimated_size_bytes(spark.read.parquet(wh.path(name))) or 0

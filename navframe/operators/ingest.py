@@ -34,5 +34,5 @@ def new_nav_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     (payload order = file, split of the file, line, position in ``data``).
     """
     # the raw texts only matter for quarantine, which happens before
-    slim = rows.drop(*[c for c in ("_date_text", "_nav_text") if c in rows.columns])
+    slim = rows.drop(*[c for c in ("line_key", "_date_text", "_nav_text") if c in rows.columns])
     return dedup_new_rows(slim, stored, NAV_KEYS, NAV_ORDER)

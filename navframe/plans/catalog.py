@@ -558,6 +558,30 @@ def _nav_docs(spark, sf_dir, name, **options):
     return J.read_nav_documents(spark, path)
 
 
+BAD_CODE_EVERY = 9
+
+
+@register(
+    "schemes_quarantine",
+    f"WITH listed AS (SELECT 0 AS listing, s_suppkey, s_name FROM supplier "
+    f"UNION ALL SELECT 1, s_suppkey, lower(s_name) FROM supplier WHERE s_acctbal > {L.RELIST_MIN_ACCTBAL}), "
+    f"placed AS (SELECT listing, s_suppkey // {L.PAGE_SIZE} AS page, s_suppkey, s_name, "
+    f"ROW_NUMBER() OVER (PARTITION BY listing, s_suppkey // {L.PAGE_SIZE} ORDER BY s_suppkey) - 1 AS pos FROM listed) "
+    f"SELECT CAST(listing AS INTEGER) AS listing, CAST(page AS INTEGER) AS page, CAST(pos AS INTEGER) AS pos, "
+    f"CASE WHEN s_suppkey % {2 * BAD_CODE_EVERY} <> 0 THEN 'X' || s_suppkey END AS code_text, s_name AS scheme_name "
+    f"FROM placed WHERE s_suppkey % {BAD_CODE_EVERY} = 0",
+    "S5/K3: listed items without a valid code, kept once over two loads",
+)
+def q_schemes_quarantine(spark, sf_dir):
+    supplier = T.read_table(spark, sf_dir, "supplier")
+    path = _landed(spark, sf_dir, "schemes_bad", lambda p: L.land_scheme_pages(supplier, p, bad_every=BAD_CODE_EVERY))
+    wh = jobs.Warehouse(shared_dir(spark, "tables", "schemes", unique=True))
+    jobs.run_scheme_ingest(spark, path, wh)
+    jobs.run_scheme_ingest(spark, path, wh)
+    bad = spark.read.parquet(wh.path("schemes_quarantine"))
+    return bad.select("listing", "page", "pos", "code_text", F.get_json_object("item", "$.schemeName").alias("scheme_name"))
+
+
 # Documents of every fifth scheme come without ``meta``, every seventh broken.
 NO_META_EVERY = 5
 CUT_EVERY = 7
@@ -671,6 +695,22 @@ def q_weather_flatten(spark, sf_dir):
     return J.flatten_weather(J.read_weather(spark, path))
 
 
+@register(
+    "weather_corrupt",
+    f"SELECT event_id, TRUE AS broken FROM events WHERE event_id % {CUT_EVERY} = 0",
+    "S7/K6: weather objects that broke off, kept once however often they are loaded",
+)
+def q_weather_corrupt(spark, sf_dir):
+    events = T.read_table(spark, sf_dir, "events")
+    path = _landed(spark, sf_dir, "weather_cut", lambda p: L.land_weather(events, p, cut_every=CUT_EVERY))
+    wh = jobs.Warehouse(shared_dir(spark, "tables", "weather", unique=True))
+    jobs.run_weather_load(spark, path, wh)
+    jobs.run_weather_load(spark, path, wh)
+    bad = spark.read.parquet(wh.path("weather_corrupt"))
+    code = F.regexp_extract(J.CORRUPT, r'"event":(\d+)', 1).cast("bigint")
+    return bad.select(code.alias("event_id"), (~F.endswith(J.CORRUPT, F.lit("}}"))).alias("broken"))
+
+
 @register(
     "people_explode",
     "SELECT c_mktsegment AS craft, c_name AS name, "

@@ -77,18 +77,23 @@ def create_tables(spark: SparkSession, wh: Warehouse) -> list[str]:
     return made
 
 
-#: quarantined rows and documents are told apart by where they stand
-QUARANTINE_KEYS = ["source", "block", "line", "pos"]
-DOCUMENT_KEYS = ["source", "block", "line"]
-PAGE_KEYS = ["listing", "page"]
+#: rejected pages and scheme items are told apart by where they stand and what they hold
+PAGE_KEYS = ["listing", "page", J.CORRUPT]
+SCHEME_ITEM_KEYS = ["listing", "page", "pos", "item"]
+
+
+def _keep_rejected(spark: SparkSession, rows: DataFrame, target, place: list[str]) -> int:
+    """Rejected rows, each kept once by its lasting place."""
+    return W.append_new(spark, rows, target, place, order=["block", "line"])
 
 
 def run_scheme_ingest(spark: SparkSession, landing: str, wh: Warehouse) -> int:
     """Landed scheme-list pages -> new rows appended to ``schemes``;
     returns the number appended. Pages that don't parse go to
-    ``scheme_pages_corrupt``."""
+    ``scheme_pages_corrupt``, items without a valid code to ``schemes_quarantine``."""
     pages = J.read_scheme_pages(spark, landing)
     W.append_new(spark, J.corrupt_scheme_pages(pages), wh.path("scheme_pages_corrupt"), PAGE_KEYS)
+    W.append_new(spark, J.quarantined_schemes(pages), wh.path("schemes_quarantine"), SCHEME_ITEM_KEYS)
     return W.append_new(
         spark, J.parse_scheme_list(pages), wh.table("schemes"), ingest.SCHEME_KEYS, order=ingest.SCHEME_ORDER, schema=S.SCHEMES
     )
@@ -101,8 +106,8 @@ def ingest_nav_documents(
 
     Malformed documents go to ``corrupt`` (in strict mode they are written there,
     then the batch fails). Rows whose date or NAV does not parse go to
-    ``quarantine``. Both are keyed by their place in the landed files, so a
-    repeated batch adds nothing twice. With ``schemes`` only NAVs of listed
+    ``quarantine``. Both are keyed by their lasting place in the landed files, so a
+    repeated batch, or one with more files, adds nothing twice. With ``schemes`` only NAVs of listed
     schemes are kept (a left-semi join, broadcast when it passes the size check).
     """
     # parsed once, used by up to three writes; lost partitions are re-read
@@ -110,12 +115,12 @@ def ingest_nav_documents(
     docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if corrupt is not None:
-            W.append_new(spark, J.corrupt_documents(docs), corrupt, DOCUMENT_KEYS)
+            _keep_rejected(spark, J.corrupt_documents(docs), corrupt, J.DOCUMENT_PLACE)
         valid, bad = J.split_quarantine(J.explode_nav_documents(docs, strict=strict))
         if schemes is not None:
             valid = valid.join(broadcast_if_small(schemes.select("scheme_code")), "scheme_code", "left_semi")
         if not strict and quarantine is not None:
-            W.append_new(spark, bad, quarantine, QUARANTINE_KEYS)
+            _keep_rejected(spark, bad, quarantine, J.ITEM_PLACE)
         return W.append_new(spark, valid, raw_nav, ingest.NAV_KEYS, order=ingest.NAV_ORDER, schema=S.RAW_NAV)
     finally:
         docs.unpersist()
@@ -182,8 +187,11 @@ def run_daily_return_5y(spark: SparkSession, wh: Warehouse, as_of=None) -> int:
 
 def run_weather_load(spark: SparkSession, landing: str, wh: Warehouse) -> None:
     """Weather objects appended with a load timestamp (no de-duplication:
-    every run adds its rows)."""
-    flat = J.flatten_weather(J.read_weather(spark, landing)).withColumn("timestamp", F.current_timestamp())
+    every run adds its rows). Lines that are no weather object are kept once in
+    ``weather_corrupt``."""
+    docs = J.read_weather(spark, landing)
+    _keep_rejected(spark, J.corrupt_documents(docs), wh.path("weather_corrupt"), J.DOCUMENT_PLACE)
+    flat = J.flatten_weather(docs).withColumn("timestamp", F.current_timestamp())
     W.append(flat, wh.path("weather"), S.WEATHER)
 
 
@@ -199,8 +207,9 @@ def run_csv_preview(spark: SparkSession, path: str, order_by: list[str], n: int
 
 
 def run_people_report(spark: SparkSession, landing: str | None, greeting: str = P.PEOPLE_GREETING) -> DataFrame:
-    """One message per person (built-in list when nothing is landed)."""
-    return J.people_messages(J.read_people(spark, landing), greeting)
+    """One message per person (built-in list when nothing is landed). A
+    malformed document stops the report."""
+    return J.people_messages(J.read_people(spark, landing), greeting, strict=True)
 
 
 def run_pipeline(spark: SparkSession, scheme_landing: str, nav_landing: str, wh: Warehouse, as_of=None) -> None:

@@ -33,14 +33,17 @@ def scheme_items(supplier: DataFrame) -> DataFrame:
     )
 
 
-def land_scheme_pages(supplier: DataFrame, path: str, page_size: int = PAGE_SIZE, broken: bool = False) -> None:
+def land_scheme_pages(
+    supplier: DataFrame, path: str, page_size: int = PAGE_SIZE, broken: bool = False, bad_every: int | None = None
+) -> None:
     """One JSON array per page file under ``listing=<n>/page=<n>/``.
 
     Suppliers with a balance above ``RELIST_MIN_ACCTBAL`` are listed a second
     time, in a later listing, with a lower-cased name, so the batch holds
     duplicate keys whose first listing must win. With ``broken`` the pages of the
     second listing are cut off before their last character, as a download that
-    broke off.
+    broke off. ``bad_every`` gives the suppliers that it divides a code that is no
+    number, or none if twice that number divides them.
     """
     items = scheme_items(supplier)
     page_no = (F.col("schemeCode") / page_size).cast("bigint")
@@ -55,10 +58,13 @@ def land_scheme_pages(supplier: DataFrame, path: str, page_size: int = PAGE_SIZE
         "s_acctbal",
     )
     element = F.struct("schemeCode", "schemeName", "isinGrowth", "isinDivReinvestment")
+    listed = regular.unionByName(relisted).withColumn("key", F.col("schemeCode"))
+    if bad_every:
+        bad = F.when(F.col("key") % (2 * bad_every) != 0, F.concat(F.lit("X"), F.col("key").cast("string")))
+        listed = listed.withColumn("schemeCode", F.when(F.col("key") % bad_every == 0, bad).otherwise(F.col("key").cast("string")))
     pages = (
-        regular.unionByName(relisted)
-        .groupBy("listing", "page")
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("schemeCode").alias("k"), element.alias("e")))).alias("xs"))
+        listed.groupBy("listing", "page")
+        .agg(F.sort_array(F.collect_list(F.struct("key", element.alias("e")))).alias("xs"))
         .select("listing", "page", F.to_json(F.transform("xs", lambda x: x["e"])).alias("value"))
     )
     if broken:
@@ -129,15 +135,20 @@ def land_nav_documents(
     docs.select("value").write.mode("overwrite").text(path)
 
 
-def land_weather(events: DataFrame, path: str) -> None:
-    """One weather object per event (JSON Lines)."""
+def land_weather(events: DataFrame, path: str, cut_every: int | None = None) -> None:
+    """One weather object per event (JSON Lines); ``cut_every`` cuts off the objects
+    of the events whose id it divides."""
     cw = F.struct(
         F.col("value").alias("temperature"),
         F.col("user_id").cast("double").alias("windspeed"),
         F.get_json_object("props", "$.k").cast("double").alias("winddirection"),
         F.hour("ts").cast("int").alias("weathercode"),
     )
-    events.select(F.to_json(F.struct(cw.alias("current_weather"))).alias("value")).write.mode("overwrite").text(path)
+    docs = events.select("event_id", F.to_json(F.struct(F.col("event_id").alias("event"), cw.alias("current_weather"))).alias("value"))
+    if cut_every:
+        cut = F.expr("left(value, length(value) - 1)")
+        docs = docs.withColumn("value", F.when(F.col("event_id") % cut_every == 0, cut).otherwise(F.col("value")))
+    docs.select("value").write.mode("overwrite").text(path)
 
 
 def land_people(customer: DataFrame, path: str, page_size: int = PAGE_SIZE) -> None:

@@ -16,6 +16,10 @@ Landing layouts
   asked for, added when the response is landed; a folder ``scheme_code=<code>/``
   says the same.
 * weather, people: JSON Lines, one object per line.
+
+Every landed line has a lasting place, its file and the hash of its text, by which
+what is rejected is kept once, however often and with whichever other files it is
+read again. (A line's number is that of one read: it orders the lines within it.)
 """
 
 from __future__ import annotations
@@ -32,6 +36,9 @@ from navframe.functions.dates import parse_day_first
 CORRUPT = "_corrupt_record"
 #: payload order of NAV rows: file, split of the file, line, position in ``data``
 ORDER = ["source", "block", "line", "pos"]
+#: lasting places of rejected documents and of rejected items of a document
+DOCUMENT_PLACE = ["source", "line_key"]
+ITEM_PLACE = [*DOCUMENT_PLACE, "pos"]
 
 
 def _code(path: str):
@@ -87,6 +94,14 @@ def parse_scheme_list(pages: DataFrame, value_col: str = "value") -> DataFrame:
     )
 
 
+def quarantined_schemes(pages: DataFrame, value_col: str = "value") -> DataFrame:
+    """Items of parsed pages without a code that is a whole number: their place
+    (``listing``, ``page``, ``pos``) and the item as text."""
+    items = pages.select("listing", "page", F.posexplode(F.from_json(value_col, S.SCHEME_LIST)).alias("pos", "item"))
+    bad = items.filter(_code("item.schemeCode").isNull())
+    return bad.select("listing", "page", "pos", F.col("item.schemeCode").alias("code_text"), F.coalesce(F.to_json("item"), F.lit("null")).alias("item"))
+
+
 # ---- NAV documents (S6, P2) ------------------------------------------------
 
 NAV_DOCUMENT_WITH_CORRUPT = T.StructType(S.NAV_DOCUMENT.fields + [T.StructField(CORRUPT, T.StringType())])
@@ -106,11 +121,27 @@ def with_source(lines: DataFrame) -> DataFrame:
     return lines.select("*", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def with_line(lines: DataFrame) -> DataFrame:
+def with_line(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """``line``: a number that grows with the lines of a file split. With
     ``source`` and ``block`` it orders the lines as the payload has them; it must
-    be taken before any shuffle."""
-    return lines.withColumn("line", F.monotonically_increasing_id())
+    be taken before any shuffle. ``line_key``: a hash of the line, its place in
+    the file in every read."""
+    return lines.withColumns({"line": F.monotonically_increasing_id(), "line_key": F.sha2(value_col, 256)})
+
+
+def _landed_lines(spark: SparkSession, path: str) -> DataFrame:
+    return with_line(with_source(spark.read.text(path))).filter(F.trim("value") != "")
+
+
+def _parsed_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The fields of each line's object; a line that isn't one keeps its text in
+    ``_corrupt_record``."""
+    whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = lines.withColumn("d", F.from_json("value", whole, {"columnNameOfCorruptRecord": CORRUPT}))
+    # a line such as [] or 1 parses to nothing without being called corrupt
+    held = F.coalesce(*[F.col(f"d.{f.name}").cast("string") for f in whole.fields]).isNotNull()
+    corrupt = F.when(held, F.col(f"d.{CORRUPT}")).otherwise(F.col("value"))
+    return parsed.select(*[F.col(f"d.{f.name}") for f in schema.fields], corrupt.alias(CORRUPT), *[c for c in lines.columns if c != "value"])
 
 
 def parse_nav_documents(docs: DataFrame, value_col: str = "value") -> DataFrame:
@@ -143,7 +174,7 @@ def explode_nav_documents(
     :func:`split_quarantine` separates the row. Output carries ``ORDER`` for
     payload ordering.
     """
-    for name, kind in ((CORRUPT, "string"), ("source", "string"), ("block", "bigint"), ("line", "bigint"), ("requested", "string"), ("scheme_code", "string")):
+    for name, kind in ((CORRUPT, "string"), ("source", "string"), ("block", "bigint"), ("line", "bigint"), ("line_key", "string"), ("requested", "string"), ("scheme_code", "string")):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
     if strict:
@@ -156,6 +187,7 @@ def explode_nav_documents(
         F.col("meta.fund_house").alias("fund_house"),
         F.col("meta.scheme_name").alias("scheme_name"),
         *ORDER[:-1],
+        "line_key",
         F.posexplode("data").alias("pos", "item"),
     )
     items = items.select(
@@ -165,6 +197,7 @@ def explode_nav_documents(
         "fund_house",
         "scheme_name",
         *ORDER,
+        "line_key",
     )
     nav = F.col("_nav_text").cast(nav_type) if strict else F.expr(f"try_cast(_nav_text AS {nav_type})")
     return items.select(
@@ -174,6 +207,7 @@ def explode_nav_documents(
         "fund_house",
         "scheme_name",
         *ORDER,
+        "line_key",
         "_date_text",
         "_nav_text",
     )
@@ -190,27 +224,35 @@ def split_quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         | (F.col("nav").isNull() & F.col("_nav_text").isNotNull())
     )
     flagged = rows.withColumn("_bad", bad)
-    valid = flagged.filter(~F.col("_bad")).drop("_bad", "_date_text", "_nav_text")
+    valid = flagged.filter(~F.col("_bad")).drop("_bad", "line_key", "_date_text", "_nav_text")
     quarantined = flagged.filter(F.col("_bad")).drop("_bad")
     return valid, quarantined
 
 
 def corrupt_documents(docs: DataFrame) -> DataFrame:
     """Landed lines that were not valid JSON documents."""
-    return docs.filter(F.col(CORRUPT).isNotNull()).select(*[c for c in ORDER[:-1] if c in docs.columns], CORRUPT)
+    return docs.filter(F.col(CORRUPT).isNotNull()).select(*[c for c in (*ORDER[:-1], "line_key") if c in docs.columns], CORRUPT)
 
 
 # ---- weather (S7, P6) ------------------------------------------------------
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.WEATHER_DOCUMENT).json(path)
+    """Landed weather objects. A line that isn't one, or holds no
+    ``current_weather``, keeps its text in ``_corrupt_record``."""
+    lines = _landed_lines(spark, path)
+    docs = _parsed_lines(lines.withColumn("text", F.col("value")), S.WEATHER_DOCUMENT)
+    missing = F.when(F.col("current_weather").isNull(), F.col("text"))
+    return docs.withColumn(CORRUPT, F.coalesce(CORRUPT, missing)).drop("text")
 
 
 def flatten_weather(
     docs: DataFrame, latitude: float = P.WEATHER_LATITUDE, longitude: float = P.WEATHER_LONGITUDE
 ) -> DataFrame:
-    """``current_weather`` fields plus the (constant) location as doubles."""
+    """``current_weather`` fields plus the (constant) location as doubles; corrupt
+    documents give no row (see :func:`corrupt_documents`)."""
+    if CORRUPT in docs.columns:
+        docs = docs.filter(F.col(CORRUPT).isNull())
     return docs.select(
         F.lit(float(latitude)).alias("latitude"),
         F.lit(float(longitude)).alias("longitude"),
@@ -242,10 +284,11 @@ FALLBACK_PEOPLE = [
 
 
 def read_people(spark: SparkSession, path: str | None) -> DataFrame:
-    """People documents, or the built-in fallback when nothing is landed."""
+    """People documents, or the built-in fallback when nothing is landed. A line
+    that isn't a document keeps its text in ``_corrupt_record``."""
     if path:
         try:
-            return spark.read.schema(S.PEOPLE_DOCUMENT).json(path)
+            return _parsed_lines(_landed_lines(spark, path), S.PEOPLE_DOCUMENT)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -253,9 +296,13 @@ def read_people(spark: SparkSession, path: str | None) -> DataFrame:
     return spark.createDataFrame([(len(people), people)], S.PEOPLE_DOCUMENT)
 
 
-def people_messages(docs: DataFrame, greeting: str = P.PEOPLE_GREETING) -> DataFrame:
+def people_messages(docs: DataFrame, greeting: str = P.PEOPLE_GREETING, strict: bool = False) -> DataFrame:
     """One message per person: ``<name> is currently in space flying on the
-    <craft>! <greeting>``."""
+    <craft>! <greeting>``. ``strict`` raises on a corrupt document; otherwise it
+    gives no message (see :func:`corrupt_documents`)."""
+    if strict and CORRUPT in docs.columns:
+        message = F.concat(F.lit("malformed people document in "), F.col("source"))
+        docs = docs.withColumn("people", F.when(F.col(CORRUPT).isNotNull(), F.raise_error(message)).otherwise(F.col("people")))
     p = docs.select(F.explode("people").alias("p")).select("p.craft", "p.name")
     return p.select(
         "craft",

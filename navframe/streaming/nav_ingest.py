@@ -4,7 +4,7 @@ Landed NAV documents (JSON Lines) are the stream source. Each micro-batch runs
 the batch ingest: malformed documents and bad rows go to their quarantine
 tables, the rest is appended to ``raw_nav`` by key (first write wins in the
 batch, stored keys win over the batch). All three targets are keyed, quarantine
-by the place in the landed files, so a micro-batch that is replayed after a
+by a lasting place in the landed files, so a micro-batch that is replayed after a
 failure adds nothing twice. The checkpoint path is required and belongs to the
 landing folder: a restart goes on where the last run stopped. ``availableNow``
 processes whatever has landed and stops, which is the weekly batch schedule

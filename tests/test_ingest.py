@@ -221,3 +221,51 @@ def test_malformed_input_is_never_dropped_silently(spark, tmp_dir):
 def test_people_other_errors_are_raised(spark, tmp_dir):
     with pytest.raises((PySparkException, Py4JJavaError)):
         J.read_people(spark, "nosuchscheme://x/y").collect()
+
+
+def test_rejected_rows_are_kept_once_when_files_are_added(spark, tmp_dir):
+    from navframe.plans import jobs
+
+    land, wh = os.path.join(tmp_dir, "nav"), jobs.Warehouse(os.path.join(tmp_dir, "wh"))
+    broken = '{"meta": {"scheme_code": 2}, "data": [{"date"'
+    _write_lines(land, "b.json", [_doc(1, [("01-01-2024", "N.A."), ("02-01-2024", "1")]), broken, broken])
+    stored = {}
+    for added in ("none", "a.json", "c.json", "none"):
+        if added != "none":  # files before and after, of other sizes, move every line's number
+            _write_lines(land, added, [_doc(i, [("01-01-2024", "1")]) for i in range(5, 300)])
+        jobs.run_nav_ingest(spark, land, wh)
+        rows = [sorted(map(str, spark.read.parquet(wh.path(t)).collect())) for t in ("raw_nav_quarantine", "nav_documents_corrupt")]
+        assert stored.setdefault("first", rows) == rows
+    assert [len(r) for r in stored["first"]] == [1, 1]  # the line stands there twice and is kept once
+
+
+def test_scheme_items_without_a_code_are_kept(spark, tmp_dir):
+    from navframe.plans import jobs
+
+    pages, wh = os.path.join(tmp_dir, "pages"), jobs.Warehouse(os.path.join(tmp_dir, "wh"))
+    _write_lines(os.path.join(pages, "page=1"), "x.json", ['[{"schemeCode": 1}, {"schemeCode": "ABC", "schemeName": "n"}, {"schemeName": "m"}]'])
+    assert jobs.run_scheme_ingest(spark, pages, wh) == 1
+    assert jobs.run_scheme_ingest(spark, pages, wh) == 0
+    bad = spark.read.parquet(wh.path("schemes_quarantine")).orderBy("pos").collect()
+    assert [(r["pos"], r["code_text"], json.loads(r["item"])["schemeName"]) for r in bad] == [(1, "ABC", "n"), (2, None, "m")]
+
+
+def test_malformed_weather_and_people_lines_make_no_rows(spark, tmp_dir):
+    from navframe.plans import jobs
+
+    good = json.dumps({"current_weather": {"temperature": 1.5}})
+    land, wh = os.path.join(tmp_dir, "weather"), jobs.Warehouse(os.path.join(tmp_dir, "wh"))
+    _write_lines(land, "w.json", [good, "", '{"current_weather": {"temper', "[]", '{"other": 1}', "7"])
+    jobs.run_weather_load(spark, land, wh)
+    jobs.run_weather_load(spark, land, wh)
+    assert [r["temperature"] for r in spark.read.parquet(wh.path("weather")).collect()] == [1.5, 1.5]
+    bad = [r[J.CORRUPT] for r in spark.read.parquet(wh.path("weather_corrupt")).collect()]
+    assert sorted(bad) == sorted(['{"current_weather": {"temper', "[]", '{"other": 1}', "7"])
+    people = os.path.join(tmp_dir, "people")
+    _write_lines(people, "p.json", ['{"number": 1, "people": [{"craft": "c", "name": "n"}]}', '{"number": 2, "peo'])
+    docs = J.read_people(spark, people)
+    assert [r["name"] for r in J.people_messages(docs).collect()] == ["n"]
+    assert [r[J.CORRUPT] for r in J.corrupt_documents(docs).collect()] == ['{"number": 2, "peo']
+    assert J.people_in_space(docs).collect()[0]["number_of_people"] == 1
+    with pytest.raises(PySparkException, match="malformed people document"):
+        jobs.run_people_report(spark, people).collect()
