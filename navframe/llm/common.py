@@ -89,9 +89,24 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: i
     return _span_hashes(_BYTE_VALUES[lane][codes], starts, ends, lane)
 
 
+def char_values(codes: np.ndarray) -> np.ndarray:
+    """The 64-bit value of each code point."""
+    return _CHAR_VALUES[codes] if codes.max(initial=0) <= 0xFFFF else mix(codes.astype(np.uint64), 3)
+
+
+def char_powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a lane's multiplier, and of its inverse."""
+    return _BYTE_POWERS[lane].upto(n)
+
+
+def char_hash(polynomial: np.ndarray, lane: int) -> np.ndarray:
+    """What ``char_hashes`` gives for sums of values times powers of their places."""
+    return mix(polynomial, lane + 11)
+
+
 def char_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each slice of an array of code points."""
-    values = _CHAR_VALUES[codes] if codes.max(initial=0) <= 0xFFFF else mix(codes.astype(np.uint64), 3)
+    values = char_values(codes)
     return _span_hashes(values, starts, ends, 0), _span_hashes(values, starts, ends, 1)
 
 

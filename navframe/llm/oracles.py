@@ -159,3 +159,31 @@ FROM documents d JOIN pairs p ON p.doc_id IS NOT DISTINCT FROM d.doc_id AND p.bo
 JOIN prints a ON a.r = p.r AND a.side = 0 JOIN prints e ON e.r = p.r AND e.side = 1
 JOIN near ne ON ne.r = p.r AND ne.kind = 'edited' JOIN near nn ON nn.r = p.r AND nn.kind = 'next'
 """
+
+
+def op13(k: int, rounds: int, dim: int, scale: int) -> str:
+    """Lloyd rounds as one statement: components and centroids in long form."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+assigned{r} AS (
+  SELECT rid, min({{'d': distance, 'c': c}}) AS best
+  FROM (SELECT rid, c, sum((x - y) * (x - y)) AS distance FROM parts JOIN centroids{r} USING (i) GROUP BY rid, c) GROUP BY rid)""")
+        if r < rounds:
+            steps.append(f"""
+moved{r} AS (SELECT best.c AS c, i, sum(x) AS s, count(*) AS n FROM assigned{r} JOIN parts USING (rid) GROUP BY 1, 2),
+centroids{r + 1} AS (
+  SELECT c, i, CAST(coalesce((s - ((s % n) + n) % n) // n, y) AS BIGINT) AS y FROM centroids{r} LEFT JOIN moved{r} USING (c, i))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+parts AS (SELECT rid, unnest(range({dim})) AS i, unnest(v) AS x FROM kept),
+seeds AS (
+  SELECT c, v FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL) WHERE c < {k}),
+centroids0 AS (SELECT c, unnest(range({dim})) AS i, unnest(v) AS y FROM seeds),{",".join(steps)},
+named AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM centroids{rounds} GROUP BY c)
+SELECT vec_id, CAST(best.c AS INT) AS cluster, CAST(best.d AS BIGINT) AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM assigned{rounds} JOIN kept USING (rid) JOIN named ON named.c = best.c
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from navframe.llm import bitplane, bpe, contamination, imatch, licenses, ngram_jaccard, oracles, pii, quality, repeats, resampling, transcripts
+from navframe.llm import bitplane, bpe, centroids, contamination, imatch, licenses, ngram_jaccard, oracles, pii, quality, repeats, resampling, spelling, transcripts
 from navframe.llm.common import table
 
 
@@ -87,6 +87,14 @@ def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pii_anchors": op2_pii_anchors,
@@ -99,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeated_substrings": op9_repeated_substrings,
     "op10_importance_resampling": op10_importance_resampling,
     "op11_imatch": op11_imatch,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_ptolemaic_clusters": op13_ptolemaic_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -107,4 +117,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": oracles.OP8,
     "op9_repeated_substrings": oracles.OP9,
     "op11_imatch": oracles.OP11.format(rare=imatch.RARE, common=imatch.COMMON, spread=imatch.SPREAD, subsets=imatch.SUBSETS),
+    "op13_ptolemaic_clusters": oracles.op13(centroids.N_CENTROIDS, centroids.ROUNDS, centroids.DIM, centroids.SCALE),
 }
