@@ -5,7 +5,11 @@ Each document streams through it: the current state and match length after every
 word are the matching statistics. A phrase ends where its state is reached on the
 suffix links with enough length. Maximal matches of at least ``MIN_MATCH`` words
 are chained per template (increasing in both texts) into covered spans; a
-template's label is given when its coverage reaches ``MIN_COVER``.
+template's label is given when its coverage reaches ``MIN_COVER`` and the words that
+set it apart (its marks, such as "mozilla public license v 2 0") stand in the span
+unbroken, so that a gap cannot turn one licence into another. Of two labels whose
+spans overlap, one inside the other, the one with fewer matched words is dropped: a
+three-clause text isn't a two-clause one, and a notice isn't also its first line.
 
 Words that occur in no template, and word pairs that are adjacent in none, reset
 the automaton, so numpy cuts a document into the few runs worth streaming.
@@ -18,6 +22,8 @@ from __future__ import annotations
 
 import functools
 import heapq
+import json
+import pkgutil
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +34,18 @@ from navframe.llm import common
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Public licence texts and notices, and the method's labels.
-TEMPLATES = {
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "apache-2.0-line": "licensed under the Apache License, Version 2.0",
-    "mit-line": "licensed under the MIT License",
-    "gpl-3.0-line": "licensed under the GNU General Public License, version 3",
-    "cc-by-nc-4.0-line": "licensed under CC BY-NC 4.0",
-    "gpl-2.0-line": "licensed under the GNU General Public License, version 2",
-}
+#: Public licence texts, notices and one-line notices, with the words
+#: that set each apart (marks); "~2" is another wording of a label.
+_FILE = "license_texts.json"
+
+
+def load_texts() -> dict[str, dict]:
+    return json.loads(pkgutil.get_data(__package__, _FILE))
+
+
+_TEXTS = load_texts()
+TEMPLATES = {label: t["text"] for label, t in _TEXTS.items()}
+MARKS = {label: t["marks"] for label, t in _TEXTS.items()}
 
 MIN_MATCH = 3
 MIN_COVER = 0.8
@@ -130,8 +136,27 @@ def chain(matches: list[tuple[int, int, int]]) -> tuple[int, int, int]:
     return best
 
 
+def _place(mark: list[bytes], text: list[bytes]) -> tuple[int, int]:
+    """Where the words of a mark first stand in its text."""
+    at = next(i for i in range(len(text)) if text[i : i + len(mark)] == mark)
+    return at, at + len(mark)
+
+
+def given_labels(covers: dict[str, tuple[float, int, int, int]]) -> dict[str, tuple[float, int, int, int]]:
+    """The labels of templates (coverage, first and last word, matched words) without
+    those inside another's span that match more words; wordings of a label are one."""
+    order = sorted(covers.items(), key=lambda c: (-c[1][3], c[0]))
+    kept: dict[str, tuple[float, int, int, int]] = {}
+    spans: list[tuple[int, int]] = []
+    for label, cover in order:
+        if not any(first <= cover[1] and cover[2] <= last for first, last in spans):
+            spans.append(cover[1:3])
+            kept.setdefault(label.split("~")[0], cover)
+    return kept
+
+
 class Scanner:
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
+    def __init__(self, phrases: dict[str, str], templates: dict[str, str], marks: dict[str, list[str]] | None = None):
         self.phrases, self.labels = list(phrases.values()), list(templates)
         texts = [words_of(t.encode()) for t in (*phrases, *templates.values())]
         self.sizes = [len(t) for t in texts]
@@ -144,7 +169,9 @@ class Scanner:
         self.known = hashes[order]
         number = {vocabulary[k]: i for i, k in enumerate(order.tolist())}
         sequences = [[number[w] for w in t] for t in texts]
+        self.marks = [[_place(words_of(m.encode()), words_of(t.encode())) for m in (marks or {}).get(label, [])] for label, t in templates.items()]
         self.pairs = np.unique([a * len(number) + b for s in sequences for a, b in zip(s, s[1:])])
+        self.phrase_pairs = np.unique([a * len(number) + b for s in sequences[: len(phrases)] for a, b in zip(s, s[1:])])
         self.automaton = SuffixAutomaton(sequences)
         self.phrase_at: list[list[int]] = [[] for _ in self.automaton.link]  # phrases that end a state's strings
         for state in sorted(range(1, len(self.phrase_at)), key=self.automaton.length.__getitem__):
@@ -152,8 +179,9 @@ class Scanner:
             whole = {k for k in range(len(self.phrases)) if (k, self.sizes[k]) in self.automaton.ends[state] and length[link] < self.sizes[k] <= length[state]}
             self.phrase_at[state] = sorted(whole.union(self.phrase_at[link]))
 
-    def scan(self, data: bytes) -> tuple[int, list[tuple[int, int]], dict[str, tuple[float, int, int]]]:
-        """Words, (start, phrase) of the places, and (coverage, span) of templates."""
+    def scan(self, data: bytes) -> tuple[int, list[tuple[int, int]], dict[str, tuple]]:
+        """Words, (start, phrase) of the places, and (coverage, first and last word,
+        matched words, whether all marks stand there) of templates."""
         buf = common.byte_array(data.lower())
         starts, ends = common.word_spans(buf, common.ALNUM_WORDS)
         n = len(starts)
@@ -166,13 +194,17 @@ class Scanner:
         adjacent = np.zeros(n + 1, dtype=np.int8)
         adjacent[1:-1] = inside[:-1] & inside[1:] & np.isin(pair, self.pairs)
         turns = np.flatnonzero(np.diff(adjacent))
+        begin, end = turns[::2], turns[1::2] + 1
+        worth = (end - begin >= MIN_MATCH) | np.isin(pair[begin], self.phrase_pairs)
         places, matches = [], {}
-        for a, b in zip(turns[::2].tolist(), (turns[1::2] + 1).tolist()):
+        for a, b in zip(begin[worth].tolist(), end[worth].tolist()):
             self._stream(a, number[a:b].tolist(), places, matches)
         covers = {}
         for k, found in matches.items():
             cover, first, last = chain(found)
-            covers[self.labels[k]] = (cover / self.sizes[k + len(self.phrases)], first, last)
+            inside_ = [(at, at + length) for start, at, length in found if first <= start and start + length <= last]
+            whole = all(any(a <= begin and end <= b for a, b in inside_) for begin, end in self.marks[k])
+            covers[self.labels[k]] = (cover / self.sizes[k + len(self.phrases)], first, last, cover, whole)
         return n, places, covers
 
     def _stream(self, begin: int, symbols: list[int], places: list, matches: dict) -> None:
@@ -181,15 +213,16 @@ class Scanner:
             for k in self.phrase_at[state]:
                 if length >= self.sizes[k]:
                     places.append((begin + i + 1 - self.sizes[k], k))
-            if length >= MIN_MATCH and (i + 1 == len(walked) or walked[i + 1][1] <= length):
+            if length >= MIN_MATCH:  # a match is recorded where its text goes on otherwise
+                goes_on = self.automaton.ends[walked[i + 1][0]] if i + 1 < len(walked) and walked[i + 1][1] > length else ()
                 for text, end in self.automaton.ends[state]:
-                    if text >= len(self.phrases):
+                    if text >= len(self.phrases) and (text, end + 1) not in goes_on:
                         matches.setdefault(text - len(self.phrases), []).append((begin + i + 1 - length, end - length, length))
 
 
 @functools.cache
 def scanner() -> Scanner:
-    return Scanner(PHRASES, TEMPLATES)
+    return Scanner(PHRASES, TEMPLATES, MARKS)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,7 +240,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             for data in common.text_bytes(batch.column(1)):
                 n, places, covers = scan_one.scan(data or b"")
                 base = {scan_one.phrases[k] for _, k in places}
-                given = {label: c for label, c in covers.items() if c[0] >= MIN_COVER}
+                given = given_labels({label: c[:4] for label, c in covers.items() if c[0] >= MIN_COVER and c[4]})
                 at = [start for start, _ in places]
                 row = (n, len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | given.keys())), float(max([0.0, 1.0 * bool(places), *(c[0] for c in covers.values())])), ",".join(f"{label}:{c[1]}:{c[2]}" for label, c in sorted(given.items())))
                 for column, value in zip(out.values(), row):

@@ -143,6 +143,44 @@ def test_labels_of_templates(spark, messy, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_each_text_has_its_own_label_and_no_other():
+    scan = licenses.scanner()
+
+    def labels(text):
+        covers = scan.scan(text.encode())[2]
+        return set(licenses.given_labels({k: c[:4] for k, c in covers.items() if c[0] >= licenses.MIN_COVER and c[4]}))
+
+    for label, text in licenses.TEMPLATES.items():
+        assert labels(f"(c) 2020 someone. {text} And more words after it.") == {label.split("~")[0]}, label
+    # two texts beside each other, and words changed or missing
+    both = labels(licenses.TEMPLATES["isc-text"] + " Parts are licensed under the Mozilla Public License 2.0.")
+    assert both == {"isc-text", "mpl-2.0-line"}
+    words = licenses.TEMPLATES["bsd-3-clause"].split()
+    assert labels(" ".join(w for i, w in enumerate(words) if i % 40 != 39)) == {"bsd-3-clause"}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("licensed under the Mozilla Public License Version 2.0", {"mpl-2.0-line"}),
+        ("Licensed under the MIT", set()),
+        ("licensed under the GNU Lesser General Public License, version 3", {"lgpl-3.0-line"}),
+        ("licensed under the GNU Affero General Public License, version 3", {"agpl-3.0-line"}),
+        ("licensed under the GNU General Public License, version 2", {"gpl-2.0-line"}),
+        ("licensed under CC BY 4.0", {"cc-by-4.0-line"}),
+        ("licensed under CC BY-NC-SA 4.0", {"cc-by-nc-sa-4.0-line"}),
+        ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa-4.0-line"}),
+        ("licensed under CC BY-NC 3.0", set()),
+        ("licensed under the Apache Software License, Version 1.1", set()),
+        ("not licensed under any public license, version 2.0 of the program", set()),
+        ("the general public may use this software in source and binary forms", set()),
+    ],
+)
+def test_lines_near_a_licence_get_no_false_label(text, want):
+    covers = licenses.scanner().scan(text.encode())[2]
+    assert set(licenses.given_labels({k: c[:4] for k, c in covers.items() if c[0] >= licenses.MIN_COVER and c[4]})) == want
+
+
 def test_license_query_on_whole_texts(spark):
     from conftest import SF01
 
