@@ -21,10 +21,15 @@ it, so no bucket gathers a large group.
    document in fewer larger sets than its ``need`` shares others with any similar
    one, so larger sets matter to the rest alone: each member is compared with the
    set's hub, the member of most large sets, linear in the set's size. Links give
-   components.
-2. Larger sets that still span components are compared block by block: members
-   outside their largest component against all, ``BLOCK`` by ``BLOCK`` sets in a
-   task. Tasks return links alone; pairs are never rows.
+   components. Pairs are compared in tasks of a bounded number of sets and elements:
+   candidates that pairs connect are one cluster, cut into blocks, and a set travels
+   once to each block that holds one of its partners.
+2. Two similar documents that are still apart share no small signature, so at least
+   ``need`` larger ones, which then span components. Documents in fewer spanning sets
+   are done, and again in those that still span without them; the others leave their
+   ``need - 1`` largest sets, as a similar pair shares one more. What is left is
+   compared block by block, members outside the largest component of a cluster of
+   overlapping sets against all. Tasks return links alone; pairs are never rows.
 
 Comparison is exact on the shingle sets, so no link is lost or made up; links
 between documents that are in one component already aren't looked for, as the
@@ -33,7 +38,7 @@ result holds components.
 Defined results: null, empty and wordless texts have empty sets and link with
 nothing; shorter texts than a shingle are one sequence; repeated rows and equal
 sets are one class; rows with a null id link but are never a component's name
-unless all its ids are null.
+unless all its ids are null. Ids are whole numbers (or text that casts to them).
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +60,11 @@ from navframe.llm import common, graph
 HOT_IN_BATCH = 32
 #: sharers of a signature up to which their pairs are counted
 ALL_PAIRS = 32
-#: sets on either side of one task's comparison
-BLOCK = 256
+#: sets, and elements of them about, on either side of one task's comparison
+BLOCK = 2048
+BLOCK_ELEMENTS = 1 << 19
+#: pairs counted at once in a bucket
+PAIRS_AT_ONCE = 1 << 20
 #: packed signatures of a bucket, about, and text whose signatures are packed at once
 BUCKET_BYTES = 8 << 20
 CHUNK_BYTES = 4 << 20
@@ -222,14 +230,47 @@ def _set_id(bucket: int, sig: int) -> int:
     return int(common.mix(np.array([bucket << 32 | sig], dtype=np.uint64), 77)[0].view(np.int64))
 
 
+def _counted(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs."""
+    left, right = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (a, b))
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    first = np.ones(len(left), dtype=bool)
+    first[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+    at = np.flatnonzero(first)
+    return left[at], right[at], np.diff(np.append(at, len(left)))
+
+
+def _pairs(ids: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs within each run of ``ids`` (from ``first`` on, ``sizes`` long), counted
+    ``PAIRS_AT_ONCE`` or so at a time."""
+    left, right, held = [], [], 0
+    for size in np.unique(sizes).tolist():
+        i, j = np.triu_indices(size, 1)  # ids are in order
+        runs = first[sizes == size]
+        step = max(1, PAIRS_AT_ONCE // len(i))
+        for begin in range(0, len(runs), step):
+            base = runs[begin : begin + step, None]
+            left.append(ids[base + i].ravel())
+            right.append(ids[base + j].ravel())
+            held += len(left[-1])
+            if held >= PAIRS_AT_ONCE:
+                yield _counted(left, right)
+                left, right, held = [], [], 0
+    yield _counted(left, right)
+
+
 def _meet(rows: pa.Table) -> dict[str, list]:
+    return {name: column.to_pylist() for name, column in _met(rows).items()}
+
+
+def _met(rows: pa.Table) -> dict[str, pa.Array]:
     """One bucket: pairs and how many signatures they share (``set`` null), and
-    members of large sets (``a`` null)."""
-    counts: dict[tuple[int, int], int] = {}
+    members of large sets (``a`` null). A pair may come in several rows."""
     kept: list[tuple[int, np.ndarray]] = []
-
+    counts = []
     parts = []
-    for bucket, sigs, numbers, ids, name in zip(*(rows[c].to_pylist() for c in ("bucket", "sigs", "numbers", "ids", "set"))):
+    for sigs, numbers, ids, name in zip(*(rows[c].to_pylist() for c in ("sigs", "numbers", "ids", "set"))):
         if name is None:
             parts.append(_unpack(sigs, numbers, ids))
         else:  # members of a hot signature in one batch
@@ -238,31 +279,27 @@ def _meet(rows: pa.Table) -> dict[str, list]:
         sig, ids, hot = (np.concatenate(column) for column in zip(*parts))
         order = np.lexsort((ids, sig))
         sig, ids, hot = sig[order], ids[order], hot[order]
-        marked = set(sig[hot].tolist())
+        marked = np.unique(sig[hot])
         fresh = np.ones(len(sig), dtype=bool)  # copies within and across batches
         fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
         sig, ids = sig[fresh], ids[fresh]
         first = np.flatnonzero(np.diff(sig.astype(np.int64), prepend=-1))
-        ends = np.append(first[1:], len(sig))
-        large = []
-        for a, b in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist()):
-            members = ids[a:b]
-            if b - a > ALL_PAIRS or int(sig[a]) in marked:
-                large.append((int(sig[a]), members))
-            else:
-                for pair in itertools.combinations(members.tolist(), 2):  # ids are in order
-                    counts[pair] = counts.get(pair, 0) + 1
-        lonely = marked - {name for name, _ in large}  # hot in one batch alone: still a part of its set
-        large += [(name, ids[sig == name]) for name in sorted(lonely)]
-        kept += [(_set_id(rows["bucket"][0].as_py(), name), members) for name, members in large]
-    n, m = len(counts), len(kept)
-    pairs = np.array(list(counts), dtype=np.uint64).reshape(-1, 2).view(np.int64)
+        sizes = np.diff(np.append(first, len(sig)))
+        # a set that is hot in one batch is large, even if it meets no one else here
+        large = (sizes > ALL_PAIRS) | np.isin(sig[first], marked)
+        bucket = rows["bucket"][0].as_py()
+        kept += [(_set_id(bucket, int(sig[a])), ids[a : a + n]) for a, n in zip(first[large].tolist(), sizes[large].tolist())]
+        small = ~large & (sizes > 1)
+        counts = list(_pairs(ids, first[small], sizes[small]))
+    a, b, shared = (np.concatenate(x) for x in zip(*counts)) if counts else (np.zeros(0, dtype=np.uint64),) * 3
+    n, m = len(a), len(kept)
+    nothing = pa.nulls(n, pa.list_(pa.int64()))
     return {
-        "a": pairs[:, 0].tolist() + [None] * m,
-        "b": pairs[:, 1].tolist() + [None] * m,
-        "shared": [*counts.values()] + [None] * m,
-        "set": [None] * n + [name for name, _ in kept],
-        "members": [None] * n + [members.view(np.int64).tolist() for _, members in kept],
+        "a": pa.concat_arrays([pa.array(a.view(np.int64)), pa.nulls(m, pa.int64())]),
+        "b": pa.concat_arrays([pa.array(b.view(np.int64)), pa.nulls(m, pa.int64())]),
+        "shared": pa.concat_arrays([pa.array(shared.astype(np.int64)), pa.nulls(m, pa.int64())]),
+        "set": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([name for name, _ in kept], pa.int64())]),
+        "members": pa.concat_arrays([nothing, common.list_array([members for _, members in kept], pa.int64())]),
     }
 
 
@@ -317,18 +354,85 @@ def _candidates(docs: DataFrame, text_col: str, n: int, bands: Bands, n_buckets:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("set", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     def meet(rows: pa.Table) -> pa.Table:
-        return pa.table(_meet(rows), schema=schema)
+        return pa.table(_met(rows), schema=schema)
 
     return packed.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, shared bigint, set bigint, members array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs of classes that reach the threshold, as ``u`` and ``v``."""
-    left = sets.select(F.col("class").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("class").alias("b"), F.col("elements").alias("eb"))
-    common_size = F.size(F.array_intersect("ea", "eb"))
-    near = common_size * bands.den >= (F.size("ea") + F.size("eb") - common_size) * bands.num
-    return pairs.join(left, "a").join(right, "b").filter(near).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def _sets(rows: pa.Table) -> list[np.ndarray]:
+    """The ``elements`` of each row."""
+    elements = rows["elements"].combine_chunks()
+    ends = elements.offsets.to_numpy()
+    return np.split(elements.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends[1:-1] - ends[0])
+
+
+def _compare_pairs(pairs: pa.Table, rows: pa.Table, bands: Bands) -> dict[str, np.ndarray]:
+    """Which of a task's pairs reach the threshold; ``rows`` are their sets."""
+    names = rows["class"].to_numpy()
+    order = np.argsort(names)
+    sets = _sets(rows) if len(names) else []
+    size = np.array([len(e) for e in sets], dtype=np.int64)
+    _, number = np.unique(np.concatenate(sets), return_inverse=True) if sets else (None, np.zeros(0, dtype=np.int64))
+    numbered = np.split(number, np.cumsum(size)[:-1])
+    a, b = (order[np.searchsorted(names, pairs[c].to_numpy(), sorter=order)] for c in ("a", "b"))
+    by_a = np.argsort(a, kind="stable")
+    a, b = a[by_a], b[by_a]
+    inter = np.zeros(len(a), dtype=np.int64)
+    mark = np.full(len(number) + 1, -1, dtype=np.int64)
+    for begin, end in zip(*_runs(a)):
+        mark[numbered[a[begin]]] = a[begin]
+        for low in range(begin, end, BLOCK):  # a set's partners, some at a time
+            partners = b[low : min(end, low + BLOCK)]
+            hits = mark[np.concatenate([numbered[i] for i in partners.tolist()])] == a[begin]
+            inter[low : low + len(partners)] = np.add.reduceat(hits, np.append(0, np.cumsum(size[partners])[:-1]))
+    near = inter * bands.den >= (size[a] + size[b] - inter) * bands.num
+    return {"u": names[a[near]], "v": names[b[near]]}
+
+
+def _runs(values: np.ndarray) -> tuple[list[int], list[int]]:
+    first = np.flatnonzero(np.diff(values, prepend=-1))
+    return first.tolist(), np.append(first[1:], len(values)).tolist() if len(first) else []
+
+
+def _blocks(n: Column, elements: Column, block: int) -> Column:
+    """Into how many blocks a cluster of ``n`` sets is cut."""
+    return F.greatest(F.ceil(n / block), F.ceil(elements / BLOCK_ELEMENTS), F.lit(1)).cast("int")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands, block: int = BLOCK) -> DataFrame:
+    """Pairs of classes (``a``, ``b``) that reach the threshold, as ``u`` and ``v``.
+
+    Clusters of pairs are cut into blocks; a task compares the pairs between two
+    blocks, or of some whole small clusters."""
+    clusters = graph.components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    nodes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    nodes = nodes.join(clusters, F.col("class") == F.col("node"), "left").select("class", F.coalesce("root", "class").alias("cluster"))
+    nodes = common.store(nodes.join(sets.select("class", F.size("elements").alias("size")), "class"), "jaccard_nodes")
+    counted = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).withColumn("blocks", _blocks(F.col("n"), F.col("size"), block))
+    small = counted.filter("blocks = 1").agg(F.sum("n"), F.sum("size")).first()
+    n_small = max(1, math.ceil((small[0] or 0) / block), math.ceil((small[1] or 0) / BLOCK_ELEMENTS))
+    together = F.pmod(F.xxhash64("cluster"), F.lit(n_small))
+    whole = F.col("blocks") == 1
+    placed = nodes.join(counted.select("cluster", "blocks"), "cluster").select(
+        "class",
+        F.when(whole, -1 - together).otherwise(F.col("cluster")).alias("cluster"),
+        F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64("class"), F.col("blocks"))).cast("int").alias("at"),
+    )
+    placed = common.store(placed, "jaccard_placed")
+    dealt = pairs.join(placed.select(F.col("class").alias("a"), "cluster", F.col("at").alias("i")), "a").join(placed.select(F.col("class").alias("b"), F.col("at").alias("j")), "b")
+    turned = F.col("i") > F.col("j")
+    dealt = dealt.select("cluster", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+    dealt = common.store(dealt, "jaccard_dealt")
+    keys = ["cluster", "i", "j"]
+    ends = F.explode(F.array("a", "b")).alias("class")
+    used = dealt.select(*[F.col(k).alias(f"{k}_") for k in keys], ends).distinct()
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
+        return pa.table(_compare_pairs(asked, held, bands), schema=schema)
+
+    held = used.join(sets.select("class", "elements"), "class")
+    return dealt.groupBy(*keys).cogroup(held.groupBy(*[f"{k}_" for k in keys])).applyInArrow(compare, "u bigint, v bigint")
 
 
 def _incidence(sets: list[np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,9 +465,7 @@ def shared_sizes(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 2
 
 def _compare_blocks(rows: pa.Table, bands: Bands) -> dict[str, list]:
     """Links between the two blocks of a task, of different components."""
-    elements = rows["elements"].combine_chunks()
-    ends = elements.offsets.to_numpy()
-    sets = np.split(elements.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends[1:-1] - ends[0])
+    sets = _sets(rows)
     side, root, name = (rows[c].to_numpy() for c in ("side", "root", "class"))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(right):  # a block against itself
@@ -378,21 +480,42 @@ def _compare_blocks(rows: pa.Table, bands: Bands) -> dict[str, list]:
     return {"u": name[left][at[0]].tolist(), "v": name[right][at[1]].tolist()}
 
 
+def _spanning(members: DataFrame) -> DataFrame:
+    """The members of sets that span components, of classes in as many of them as a
+    similar pair shares; each without its ``needed - 1`` largest sets."""
+    while True:
+        spans = members.groupBy("set").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("set", "n")
+        held = members.join(spans, "set")
+        enough = held.groupBy("class").agg(F.count(F.lit(1)).alias("n_sets"), F.max("needed").alias("least")).filter("n_sets >= least").select("class")
+        left = common.store(held.join(enough, "class").select("set", "class", "root", "needed", "n"), "jaccard_spanning")
+        # without the classes that went some sets span no more
+        if left.count() == members.count():
+            break
+        members = left.drop("n")
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.col("n").desc(), "set"))  # at most its signatures
+    return left.withColumn("rank", rank).filter(F.col("rank") >= F.col("needed")).select("set", "class", "root")
+
+
 def _links_in_large_sets(members: DataFrame, sets: DataFrame, bands: Bands, block: int = BLOCK) -> DataFrame:
-    """Links between members (``set``, ``class``, ``root``) of one set that are in
+    """Links between members (``set``, ``class``, ``root``, and ``needed`` if it is
+    there: how many sets a similar pair shares at least) of one set that are in
     different components. Sets that overlap are one cluster; its members outside
     the largest component are compared with all of it, a block of them with a
     block in one task."""
-    spans = members.groupBy("set").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("class").alias("u")).filter("lo < hi").select("set", "u")
-    spanning = common.store(members.join(spans, "set").select("u", F.col("class").alias("v"), "root"), "jaccard_spanning")
+    if "needed" not in members.columns:
+        members = members.withColumn("needed", F.lit(1))
+    spanning = _spanning(members)
+    heads = spanning.groupBy("set").agg(F.min("class").alias("u"))
+    spanning = common.store(spanning.join(heads, "set").select("u", F.col("class").alias("v"), "root"), "jaccard_spanning")
     clusters = graph.components(spanning.select("u", "v"))
     nodes = spanning.select(F.col("v").alias("class"), "root").distinct()
     nodes = nodes.join(clusters, F.col("class") == F.col("node"), "left").select("class", nodes["root"], F.coalesce(clusters["root"], F.col("class")).alias("cluster"))
-    nodes = common.store(nodes, "jaccard_nodes")
-    by_root = nodes.groupBy("cluster", "root").count()
-    largest = by_root.groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n"))
-    largest = largest.select("cluster", "main", F.ceil(F.col("n_main") / block).cast("int").alias("main_blocks"), F.ceil((F.col("n") - F.col("n_main")) / block).cast("int").alias("blocks"))
-    placed = nodes.join(largest, "cluster").filter("blocks > 0").withColumn("in_main", F.col("root") == F.col("main"))
+    nodes = common.store(nodes.join(sets.select("class", F.size("elements").alias("size")), "class"), "jaccard_nodes")
+    by_root = nodes.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("size"))
+    largest = by_root.groupBy("cluster").agg(F.max(F.struct("count", "root", "size")).alias("m"), F.sum("count").alias("n"), F.sum("size").alias("size"))
+    others_n, others_size = F.col("n") - F.col("m.count"), F.col("size") - F.col("m.size")
+    largest = largest.filter(others_n > 0).select("cluster", F.col("m.root").alias("main"), _blocks(F.col("m.count"), F.col("m.size"), block).alias("main_blocks"), _blocks(others_n, others_size, block).alias("blocks"))
+    placed = nodes.join(largest, "cluster").withColumn("in_main", F.col("root") == F.col("main"))
     mine = F.pmod(F.xxhash64("class"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("blocks"))).cast("int")
     placed = placed.withColumn("mine", mine)
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -469,7 +592,7 @@ def _grouped(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     sets = common.store(common.map_rows(texts, ["class", "text"], "class bigint, elements array<bigint>", make_sets), "jaccard_sets")
     links = common.store(_verified(pairs, sets, bands), "jaccard_links")
     roots = graph.components(links)
-    rooted = members.join(roots, F.col("class") == F.col("node"), "left").select("set", "class", F.coalesce("root", "class").alias("root"))
+    rooted = members.join(roots, F.col("class") == F.col("node"), "left").select("set", "class", F.coalesce("root", "class").alias("root"), "needed")
     later = common.store(_links_in_large_sets(rooted, sets, bands), "jaccard_links")
     if not later.isEmpty():
         roots = graph.components(links.union(later))
@@ -491,18 +614,19 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     (null ids last), then the smallest hash of its text; of rows alike in both, one.
     Rows and columns are unchanged; documents without words are no duplicates."""
     profiles, grouped = _grouped(docs, n, num, den, id_col, text_col)
+    g_id, g_key, g_root = (common.free_name(docs, wish) for wish in ("g_id", "g_key", "g_root"))
     stays = grouped.groupBy("root").agg(_first_row().alias("s")).select("root", F.col("s.doc_id").alias("s_id"), F.col("s.text_key").alias("s_key"))
     rows = profiles.filter("n_shingles > 0").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     judged = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key")), "left")
     # rows that go, and those that stay once (with their group's root)
-    marked = common.store(judged.filter("root is null or n > 1").select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), F.col("root").alias("g_root")), "jaccard_marked")
-    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col("g_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("g_key"))
+    marked = common.store(judged.filter("root is null or n > 1").select(F.col("doc_id").alias(g_id), F.col("text_key").alias(g_key), F.col("root").alias(g_root)), "jaccard_marked")
+    same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(g_id)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(g_key))
     out = docs.join(marked, same, "left_anti")
-    repeated = marked.filter("g_root is not null")
+    repeated = marked.filter(F.col(g_root).isNotNull())
     if repeated.isEmpty():
         return out
     # grouped by root, not by the join's keys: rows meet after a partial aggregate
     order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)])
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = docs.join(repeated, same).groupBy("g_root").agg(F.min_by(row, order).alias("r"))
+    once = docs.join(repeated, same).groupBy(g_root).agg(F.min_by(row, order).alias("r"))
     return out.unionByName(once.select("r.*"))

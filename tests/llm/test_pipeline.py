@@ -24,7 +24,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_one_query_an_operator():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and len(corpus_pipeline.STAGES) == 5
 
 
