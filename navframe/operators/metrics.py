@@ -280,6 +280,18 @@ def scheme_metrics(
             F.stddev_samp(ret).alias("vol"),
         )
     )
+    return metrics_of(agg, min_records, risk_free_pct, trading_days, days_per_year)
+
+
+def metrics_of(
+    agg: DataFrame,
+    min_records: int = P.MIN_RECORDS_REQUIRED,
+    risk_free_pct: float = P.RISK_FREE_RATE_PCT,
+    trading_days: int = P.TRADING_DAYS,
+    days_per_year: float = P.DAYS_PER_YEAR,
+) -> DataFrame:
+    """The gated metrics of one row a scheme: ``n_nav``, first and last NAV with their
+    dates, ``n_ret``, ``avg_ret`` and ``vol`` (see :func:`scheme_metrics`)."""
     years = years_between("start_date", "end_date", days_per_year)
     enough_ret = F.col("n_ret") >= min_records
     return agg.filter((F.col("n_nav") >= min_records) & _cagr_ok(years)).select(

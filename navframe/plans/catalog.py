@@ -19,16 +19,21 @@ from pyspark.sql import functions as F
 from navframe import params as P
 from navframe import schemas as S
 from navframe.functions.dates import format_day_first, parse_day_first
+from navframe.operators import asof as AJ
 from navframe.operators import enrich as X
 from navframe.operators import ingest as I
 from navframe.operators import metrics as M
+from navframe.operators import names as N
 from navframe.operators import portfolio as PF
+from navframe.operators import quantiles as QT
+from navframe.operators import retrieval as RT
 from navframe.operators import returns as R
 from navframe.operators import sequences as SQ
 from navframe.plans import jobs
 from navframe.plans import landing as L
 from navframe.session import shared_dir
 from navframe.sinks import writers as W
+from navframe.sinks.ranged import RangedTable
 from navframe.sinks.table import keyed_table
 from navframe.sources import csv as CSV
 from navframe.sources import json_docs as J
@@ -1004,3 +1009,174 @@ def q_portfolio_risk_alignment(spark, sf_dir):
 )
 def q_portfolio_decision(spark, sf_dir):
     return PF.portfolio_decision(_flags(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Incremental forms, key ranges, retrieval
+# ---------------------------------------------------------------------------
+
+#: successive weekly loads, as the first dates of the later ones (the last adds nothing)
+BATCH_DATES = ["2000-06-01", "2001-03-01", "2001-10-01"]
+
+
+def _grown_warehouse(spark, sf_dir, name: str, after_each) -> jobs.Warehouse:
+    """A warehouse whose ``raw_nav`` grows batch by batch; ``after_each`` runs after
+    every load, and once more after the last."""
+    wh = jobs.Warehouse(shared_dir(spark, "tables", name, unique=True))
+    nav = _decimal_nav(spark, sf_dir).withColumns({"fund_house": F.lit(None).cast("string"), "scheme_name": F.lit(None).cast("string")})
+    for low, high in zip([None, *BATCH_DATES], [*BATCH_DATES, None]):
+        part = nav
+        part = part.filter(F.col("nav_date") >= F.lit(low).cast("date")) if low else part
+        part = part.filter(F.col("nav_date") < F.lit(high).cast("date")) if high else part
+        W.append(part, wh.table("raw_nav"), S.RAW_NAV)
+        after_each(wh)
+    after_each(wh)
+    return wh
+
+
+@register(
+    "daily_returns_incremental",
+    f"{DECIMAL_DR_WITH} SELECT * FROM daily_returns",
+    "E1 batch by batch from the stored tails, an empty batch last",
+)
+def q_daily_returns_incremental(spark, sf_dir):
+    wh = _grown_warehouse(spark, sf_dir, "incremental", lambda w: jobs.run_daily_returns_incremental(spark, w, AS_OF))
+    return wh.table("daily_returns").read(spark)
+
+
+@register(
+    "scheme_metrics_incremental",
+    f"{DECIMAL_DR_WITH.replace('daily_returns AS', 'exact AS')}, daily_returns AS (SELECT scheme_code, nav_date, "
+    f"CAST(nav AS DOUBLE) AS nav, CAST(daily_return_pct AS DOUBLE) AS daily_return_pct FROM exact), {METRIC_CTES} "
+    "SELECT * FROM metrics_t",
+    "E2 from moments of months, after each of several loads",
+)
+def q_scheme_metrics_incremental(spark, sf_dir):
+    def weekly(w):
+        jobs.run_daily_returns_incremental(spark, w, AS_OF)
+        jobs.run_scheme_metrics_incremental(spark, w, AS_OF)
+
+    stored = _grown_warehouse(spark, sf_dir, "moments", weekly).table("scheme_metrics").read(spark)
+    return stored.select("scheme_code", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in S.METRIC_COLUMNS])
+
+
+@register(
+    "nav_point_lookup",
+    f"WITH {RAW_NAV_CTE}, ends AS (SELECT scheme_code, MAX(nav_date) AS last FROM raw_nav GROUP BY scheme_code), "
+    "wanted AS (SELECT scheme_code, last AS nav_date FROM ends UNION ALL SELECT scheme_code, last + 1 FROM ends) "
+    "SELECT w.scheme_code, CAST(w.nav_date AS DATE) AS nav_date, nav FROM wanted w "
+    "LEFT JOIN raw_nav r ON r.scheme_code = w.scheme_code AND r.nav_date = w.nav_date",
+    "K5/F10: each scheme's last day and the day after, looked up in a table indexed by key ranges",
+)
+def q_nav_point_lookup(spark, sf_dir):
+    nav = _nav(spark, sf_dir)
+    stored = RangedTable(f"{shared_dir(spark, 'tables', 'ranged', unique=True)}/raw_nav")
+    stored.append_new(nav.filter(F.col("nav_date") < F.lit(DELTA_CUTOFF).cast("date")), files=8)
+    stored.append_new(nav, files=4)
+    last = nav.groupBy("scheme_code").agg(F.max("nav_date").alias("last"))
+    days = F.explode(F.array("last", F.date_add("last", 1)))
+    return stored.lookup(last.select("scheme_code", days.alias("nav_date"))).select("scheme_code", "nav_date", "nav")
+
+
+@register("embedding_topk", None, "B9: ten nearest vectors of every twentieth, by an inverted file")
+def q_embedding_topk(spark, sf_dir):
+    vectors = T.read_table(spark, sf_dir, "embeddings")
+    return RT.embedding_topk(vectors, shared_dir(spark, "tables", "inverted_file", unique=True), k=10, every=20)
+
+
+# ---------------------------------------------------------------------------
+# Names with misspellings, carried NAVs, peers, balanced ranges
+# ---------------------------------------------------------------------------
+
+# what part keys make of their names: as it is, a character less, two others, unknown
+_MISSPELT_SQL = (
+    "CASE p_partkey % 4 WHEN 0 THEN upper(p_name) "
+    "WHEN 1 THEN left(p_name, CAST(p_partkey % length(p_name) AS INT)) || substring(p_name, CAST(p_partkey % length(p_name) AS INT) + 2) "
+    "WHEN 2 THEN 'q' || substring(p_name, 2, length(p_name) - 2) || 'q' ELSE 'no such ' || p_name END"
+)
+
+
+@register(
+    "resolved_names",
+    f"WITH given AS (SELECT DISTINCT {_MISSPELT_SQL} AS scheme_name FROM part), "
+    "listed AS (SELECT lower(trim(p_name)) AS name, MIN(p_partkey) AS scheme_code, ARG_MIN(p_name, p_partkey) AS matched_name FROM part GROUP BY 1), "
+    "near AS (SELECT scheme_name, name, listed.scheme_code, matched_name, levenshtein(lower(trim(scheme_name)), name) AS d FROM given, listed), "
+    "best AS (SELECT scheme_name, MIN(d) AS distance FROM near WHERE d <= 2 GROUP BY 1), "
+    "found AS (SELECT scheme_name, ANY_VALUE(distance) AS distance, COUNT(*) AS n, ANY_VALUE(near.scheme_code) AS scheme_code, ANY_VALUE(matched_name) AS matched_name "
+    "FROM near JOIN best USING (scheme_name) WHERE d = distance GROUP BY 1) "
+    "SELECT scheme_name, CASE WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN distance = 0 THEN 'exact' ELSE 'corrected' END AS status, "
+    "CASE WHEN n = 1 THEN scheme_code END AS scheme_code, CASE WHEN n = 1 THEN matched_name END AS matched_name, "
+    "CAST(distance AS INTEGER) AS distance, CAST(COALESCE(n, 0) AS BIGINT) AS n_candidates FROM given LEFT JOIN found USING (scheme_name)",
+    "B1: misspelt names resolved to the nearest listed one",
+)
+def q_resolved_names(spark, sf_dir):
+    part = T.read_table(spark, sf_dir, "part")
+    given = part.select(F.expr(_MISSPELT_SQL).alias("scheme_name"))
+    return N.resolve_names(given, part.select(F.col("p_partkey").alias("scheme_code"), F.col("p_name").alias("scheme_name")))
+
+
+VALUE_MONTHS = 3
+
+
+def _units(spark, sf_dir):
+    li = T.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    od = T.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    held = li.join(od, li.l_orderkey == od.o_orderkey).filter("l_suppkey IS NOT NULL")
+    return held.groupBy(F.col("o_custkey").alias("portfolio_id"), F.col("l_suppkey").alias("scheme_code")).agg(F.sum("l_quantity").alias("units"))
+
+
+@register(
+    "portfolio_value",
+    f"WITH {RAW_NAV_CTE}, units AS (SELECT o_custkey AS portfolio_id, l_suppkey AS scheme_code, SUM(l_quantity) AS units "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey IS NOT NULL GROUP BY 1, 2), "
+    f"days AS (SELECT DISTINCT nav_date FROM raw_nav WHERE nav IS NOT NULL AND nav_date BETWEEN {_since(VALUE_MONTHS)} AND {AS_OF_SQL}), "
+    "grid AS (SELECT scheme_code, nav_date FROM (SELECT DISTINCT scheme_code FROM units), days), "
+    "carried AS (SELECT g.scheme_code, g.nav_date, r.nav, r.nav_date AS known FROM grid g "
+    "ASOF JOIN (SELECT * FROM raw_nav WHERE nav IS NOT NULL) r ON g.scheme_code = r.scheme_code AND g.nav_date >= r.nav_date), "
+    f"priced AS (SELECT * FROM carried WHERE date_diff('day', known, nav_date) <= {AJ.MAX_GAP_DAYS}), "
+    "held AS (SELECT portfolio_id, COUNT(*) AS n FROM units GROUP BY 1) "
+    "SELECT u.portfolio_id, p.nav_date, ROUND(SUM(u.units * p.nav), 2) AS portfolio_value, COUNT(*) AS n_priced, "
+    "CAST(SUM(CASE WHEN known < nav_date THEN 1 ELSE 0 END) AS BIGINT) AS n_carried, ANY_VALUE(held.n) - COUNT(*) AS n_unpriced "
+    "FROM units u JOIN priced p USING (scheme_code) JOIN held ON held.portfolio_id = u.portfolio_id GROUP BY 1, 2",
+    "B4: daily portfolio values at the last known NAVs, carried a week at most",
+)
+def q_portfolio_value(spark, sf_dir):
+    return AJ.portfolio_value(_units(spark, sf_dir), _nav(spark, sf_dir), AS_OF, VALUE_MONTHS)
+
+
+@register(
+    "peer_underperformance",
+    f"{METRICS_WITH}, peers AS (SELECT scheme_code, CAST(scheme_code // 10 AS VARCHAR) AS fund_house, cagr_percent, "
+    "ROW_NUMBER() OVER (PARTITION BY scheme_code // 10 ORDER BY cagr_percent) AS rn, COUNT(*) OVER (PARTITION BY scheme_code // 10) AS n FROM metrics_t), "
+    "quartile AS (SELECT fund_house, ANY_VALUE(n) AS n_peers, MAX(cagr_percent) AS peer_quartile FROM peers WHERE rn <= GREATEST((n + 3) // 4, 1) GROUP BY 1) "
+    "SELECT scheme_code, fund_house, cagr_percent, peer_quartile, n_peers, cagr_percent < peer_quartile AS underperforming FROM peers JOIN quartile USING (fund_house)",
+    "B6: schemes below the lower quartile of their fund house",
+)
+def q_peer_underperformance(spark, sf_dir):
+    dr = R.return_features(T.load_mixed_nav(spark, sf_dir), AS_OF)
+    met = M.scheme_metrics(dr, AS_OF)
+    houses = met.select("scheme_code", F.floor(F.col("scheme_code") / 10).cast("string").alias("fund_house"))
+    return PF.peer_underperformance(met, houses)
+
+
+SCAN_RANGES = 8
+
+
+@register(
+    "scan_ranges",
+    f"WITH {RAW_NAV_CTE}, codes AS (SELECT scheme_code * scheme_code * scheme_code AS code FROM raw_nav WHERE scheme_code IS NOT NULL), "
+    "ranked AS (SELECT code, ROW_NUMBER() OVER (ORDER BY code) AS rn, COUNT(*) OVER () AS n FROM codes), "
+    f"cuts AS (SELECT DISTINCT code + 1 AS cut FROM ranked, range(1, {SCAN_RANGES}) AS t(i) WHERE rn = (i * n + {SCAN_RANGES - 1}) // {SCAN_RANGES}), "
+    "numbered AS (SELECT code, (SELECT COUNT(*) FROM cuts WHERE cut <= code) AS range_no FROM (SELECT code, COUNT(*) AS m FROM codes GROUP BY 1)), "
+    "sizes AS (SELECT code, COUNT(*) AS m FROM codes GROUP BY 1) "
+    "SELECT CAST(range_no AS INTEGER) AS range_no, MIN(code) AS first_code, MAX(code) AS last_code, CAST(SUM(m) AS BIGINT) AS n_rows "
+    "FROM numbered JOIN sizes USING (code) GROUP BY 1",
+    "S2: ranges of a skewed key with about equally many rows each, as a partitioned read uses them",
+)
+def q_scan_ranges(spark, sf_dir):
+    codes = _nav(spark, sf_dir).filter("scheme_code IS NOT NULL").select((F.col("scheme_code") * F.col("scheme_code") * F.col("scheme_code")).alias("code"))
+    ranges = QT.key_ranges(codes, "code", SCAN_RANGES)
+    number = F.coalesce(*[F.when(F.expr(p), i) for i, p in enumerate(QT.range_predicates("code", ranges))])
+    return codes.groupBy(number.cast("int").alias("range_no")).agg(
+        F.min("code").alias("first_code"), F.max("code").alias("last_code"), F.count(F.lit(1)).alias("n_rows")
+    )

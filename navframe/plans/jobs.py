@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from navframe import params as P
 from navframe import schemas as S
 from navframe.functions.dates import lookback_start
-from navframe.operators import enrich, ingest, metrics, returns
+from navframe.operators import enrich, incremental, ingest, metrics, returns
 from navframe.operators.joins import broadcast_if_small
 from navframe.sinks import writers as W
 from navframe.sinks.table import Table, keyed_table
+from navframe.sinks.versions import VersionedTable
 from navframe.sources import csv as CSV
 from navframe.sources import json_docs as J
 from navframe.sources.views import count_rows
@@ -161,6 +162,62 @@ def run_daily_returns(spark: SparkSession, wh: Warehouse, as_of=None) -> int:
     return W.append_counted(feats, target, S.DAILY_RETURNS)
 
 
+def run_daily_returns_incremental(spark: SparkSession, wh: Warehouse, as_of=None) -> int:
+    """E1 at the cost of the rows ingested since the last run; returns the number
+    appended.
+
+    The tail of each scheme is stored with the time up to which ``raw_nav`` rows are
+    in it; a run takes the rows created later (older files are skipped by their
+    statistics on ``created_at``). The first run computes the whole lookback. Rows are
+    appended by key before the new tail is named, so a run that died in between is
+    repeated without doubling rows. One ingest runs at a time.
+    """
+    state = VersionedTable(wh.path("daily_returns_tail"))
+    last = state.latest(spark)
+    raw = _read(spark, wh, "raw_nav").select("scheme_code", "nav_date", "nav", "created_at")
+    fresh = raw.filter(F.col("created_at") > F.lit(last[1])) if last else raw
+    seen = fresh.agg(F.max("created_at")).first()[0]
+    if seen is None:
+        return 0
+    if last is None:
+        appended = run_daily_returns(spark, wh, as_of)
+        state.write(incremental.tail(returns.lookback(raw, as_of)), seen)
+        return appended
+    tail = state.read(spark)
+    following, late = incremental.split_late(fresh.filter(F.col("scheme_code").isNotNull()), tail)
+    feats = incremental.following_features(following, tail, as_of)
+    if not late.isEmpty():
+        since = lookback_start(as_of, P.LOOKBACK_MONTHS)
+        nav = _read(spark, wh, "raw_nav", since=since).select("scheme_code", "nav_date", "nav")
+        feats = feats.unionByName(incremental.late_features(late, nav, as_of))
+    target = wh.table("daily_returns")
+    oldest = fresh.agg(F.min("nav_date")).first()[0]
+    appended = W.append_new(spark, feats, target, ["scheme_code", "nav_date"], schema=S.DAILY_RETURNS, stored_since=oldest)
+    state.write(incremental.next_tail(tail, fresh), seen)
+    return appended
+
+
+def run_scheme_metrics_incremental(spark: SparkSession, wh: Warehouse, as_of=None, since=None) -> None:
+    """E2 from the stored moments of months. The months from ``since`` on (a date;
+    default: the last stored month, which may have grown) are taken from the daily
+    returns anew, and the month that the lookback begins in; no other is read."""
+    path = wh.path("return_moments")
+    stored = Table(path=path)
+    if stored.exists(spark):
+        months = stored.read(spark)
+        since = since or months.agg(F.max("month")).first()[0]
+        returns_ = _read(spark, wh, "daily_returns", since=since)
+        grown = returns_.filter(F.col("nav_date") >= F.trunc(F.lit(since).cast("date"), "month"))
+    else:
+        since_all = lookback_start(as_of, P.LOOKBACK_MONTHS)
+        grown = _read(spark, wh, "daily_returns", since=since_all).filter(F.col("nav_date") >= F.trunc(since_all, "month"))
+    made = incremental.monthly_moments(grown).repartition("month")
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    months = spark.read.schema(made.schema).parquet(path)
+    edge = _read(spark, wh, "daily_returns", since=lookback_start(as_of, P.LOOKBACK_MONTHS))
+    W.overwrite(incremental.metrics_from_moments(months, edge, as_of), wh.table("scheme_metrics"), S.SCHEME_METRICS)
+
+
 def run_scheme_metrics(spark: SparkSession, wh: Warehouse, as_of=None) -> None:
     """Fused metrics over the stored daily returns, table overwritten."""
     dr = _read(spark, wh, "daily_returns", since=lookback_start(as_of, P.LOOKBACK_MONTHS))

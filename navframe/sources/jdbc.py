@@ -58,6 +58,24 @@ def read_partitioned(
     )
 
 
+def read_balanced(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    column: str,
+    num_partitions: int,
+    properties: dict[str, str] | None = None,
+    fetchsize: int = DEFAULT_FETCHSIZE,
+) -> DataFrame:
+    """S2 on unevenly spread keys: a parallel read in ranges of ``column`` with about
+    equally many rows each. The key column alone is read first, for the bounds."""
+    from navframe.operators.quantiles import key_ranges, range_predicates
+
+    ranges = key_ranges(read_keys(spark, url, table, [column], properties), column, num_partitions)
+    props = {"fetchsize": str(fetchsize), **(properties or {})}
+    return spark.read.jdbc(url, table, predicates=range_predicates(column, ranges), properties=props)
+
+
 def read_keys(
     spark: SparkSession, url: str, table: str, keys: Sequence[str], properties: dict[str, str] | None = None
 ) -> DataFrame:
