@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from llm.conftest import MESSY, as_rows
 from navframe.llm import contamination, licenses, pii
@@ -228,6 +229,36 @@ def test_contamination_in_any_number_of_blocks(spark, messy, nothing):
     assert {len(r["items"]) for r in contamination.scan(messy, bench.limit(0)).collect()} == {0}
 
 
+def test_a_large_benchmark_takes_one_scan(spark, monkeypatch, messy):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, line(300)) for i in range(2000)] + [(5000, "w1 w2 w3"), (None, "w5 w6"), (5001, None)]  # 3 MB
+    rows = [(i, line(40)) for i in range(60)]
+    rows += [(100 + i, line(7) + " " + " ".join(items[i * 7][1].split()[20:33]) + " " + line(5)) for i in range(9)]
+    rows += [(200, "x w1 w2 w3 y"), (201, "w5 w6 w7"), (202, None), (203, ""), (203, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("may", F.lit(1)).repartition(3)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    scans, passes = [], []
+    marked, scanned = contamination._marked, contamination._scanned
+    monkeypatch.setattr(contamination, "_marked", lambda df, *a: scans.append(df.count()) or marked(df, *a))
+    monkeypatch.setattr(contamination, "_scanned", lambda df, shared, *a, **k: passes.append(df.count() if shared else 0) or scanned(df, shared, *a, **k))
+    got = contamination.scan(docs, bench, block_bytes=1 << 19).collect()
+    assert scans == [len(rows)]  # all documents once; then those that may hit, a pass a block
+    assert len(passes) > contamination.FEW_BLOCKS and set(passes) == {0, 11}
+    want = {i: hits(t, [(items[(i - 100) * 7] if 100 <= i < 109 else (5000, "w1 w2 w3")), (None, "w5 w6")], 10) for i, t in rows if i >= 100}
+    for r in got:
+        found = (r["n_words"], sum(e - s for s, e in zip(r["hit_starts"], r["hit_ends"])), r["items"])
+        assert found == want.get(r["doc_id"], (40, 0, []))
+    assert len(got) == len(rows)
+    small = [(1, "two rows of different ids"), (2, "row"), (3, None)]
+    bench = spark.createDataFrame(small, "item_id bigint, text string")
+    for most in (4_000_000, 1):  # hashes sent in one part, or one by one
+        monkeypatch.setattr(contamination, "HASHES", most)
+        rows = contamination.scan(messy, bench, few_blocks=0, block_bytes=10).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["items"]) for r in rows), key=repr) == sorted(((i, n, f) for i, t in MESSY for n, _, f in [hits(t, small, 10)]), key=repr)
+
+
 def test_one_block_at_a_time_is_held(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e"), (2, "x y")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(k, f"b c d n{k}") for k in range(8)] + [(9, "b c d")], "item_id bigint, text string")
