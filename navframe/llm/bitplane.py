@@ -1,8 +1,9 @@
 """Token ids in bit-plane or byte-plane files (operator 4).
 
 Every text is encoded with the tokenizers library and gets an end id. Documents
-are dealt to ranges of ascending ``doc_id`` (bounds from the id column alone, so
-encoding runs once), sorted inside a range and packed into files of about
+are dealt to ranges of ascending ``doc_id`` of about ``PART_BYTES`` of text (bounds from the id
+column alone, so encoding runs once; an id that holds the rows of several ranges is
+dealt among them), sorted inside a range and packed into files of about
 ``file_ids`` ids that end at document borders. A file holds
 
 * fixed-size blocks of ids, each transposed into planes, each plane compressed
@@ -17,7 +18,8 @@ The start of a range follows from the sum of the ranges before it (one number
 per range), so nothing passes through one task.
 
 Defined results: a null or empty text is the end id alone; null ids come first;
-repeated ids are ordered by their token ids; an empty table gives no file.
+repeated ids are ordered by their token ids within a range; an empty table gives no
+file.
 """
 
 from __future__ import annotations
@@ -42,6 +44,9 @@ END_ID = 2
 #: distinct slices whose ids a Python worker keeps, and bytes of text handled at once
 CACHE_SLICES = 800_000
 CHUNK_BYTES = 1 << 20
+#: text of a range, about; ranges' worth of rows from which one id is split; and the
+#: place of null ids
+PART_BYTES, SPLIT, NO_ID = 64 << 20, 3, -(2**63)
 #: slices that go to the library as one text
 JOINED = 256
 
@@ -166,10 +171,27 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     return out
 
 
-def _bounds(docs: DataFrame, id_col: str, parts: int) -> list:
-    """Ids that cut the table into about equal ranges; reads the id column only."""
-    cuts = docs.select(F.col(f"`{id_col}`").cast("double").alias("i")).approxQuantile("i", [k / parts for k in range(1, parts)], 0.2 / parts)
-    return sorted({int(np.ceil(c)) for c in cuts})
+def _bounds(docs: DataFrame, id_col: str, parts: int) -> list[int]:
+    """Ids that cut the table into about equal ranges, null ids as the smallest; reads
+    the id column only. An id with the rows of several ranges comes several times."""
+    ids = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID))
+    cuts = docs.select(ids.cast("double").alias("i")).approxQuantile("i", [k / parts for k in range(1, parts)], 0.2 / parts)
+    return sorted(int(np.ceil(c)) if abs(c) < 2**62 else NO_ID for c in cuts)
+
+
+def _parts(ids: np.ndarray, rows: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """The range of each id: ranges follow each other by id. An id that ``SPLIT`` cuts
+    or more fall on has as many ranges, and its rows are dealt among them by ``rows``."""
+    first = np.searchsorted(bounds, ids, side="left")
+    last = np.searchsorted(bounds, ids, side="right")
+    again = last - first  # cuts on the id itself
+    return np.where(again < SPLIT, last, first + 1 + rows % np.maximum(again, 1)).astype(np.int32)
+
+
+def _n_parts(docs: DataFrame, text_col: str) -> int:
+    """Ranges of about ``PART_BYTES`` of text, and at least the shuffle's partitions."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_ids: int = BLOCK_IDS, file_ids: int = FILE_IDS, bits: bool = False) -> DataFrame:
@@ -179,9 +201,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
     before the file, ``n_ids``, ``n_docs`` its counts, ``doc_ids`` its documents
     and ``data`` the file.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _bounds(docs, id_col, parts)
+    bounds = _bounds(docs, id_col, parts or _n_parts(docs, text_col))
 
     def make_ids():
         def run(batch: pa.RecordBatch):
@@ -190,7 +210,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
                 ids = [np.append(x, end_id) for x in encode_texts(bpe.decoded(texts[a:b]), tokenizer_path)]
                 doc_ids = batch.column(0).slice(a, b - a)
                 yield {
-                    "part": np.searchsorted(bounds, [d if d is not None else -(2**63) for d in doc_ids.to_pylist()], side="right"),
+                    "part": _parts(np.array([d if d is not None else NO_ID for d in doc_ids.to_pylist()], dtype=np.int64), np.array(batch.column(2).slice(a, b - a)), bounds),
                     "doc_id": doc_ids,
                     "n_tokens": [len(x) for x in ids],
                     "width": [2 if x.max() < 1 << 16 else 4 for x in ids],
@@ -199,7 +219,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_
 
         return run
 
-    encoded = common.map_rows(docs, [id_col, text_col], "part int, doc_id bigint, n_tokens bigint, width int, ids binary", make_ids)
+    numbered = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    encoded = common.map_rows(numbered, ["id", "text", "row"], "part int, doc_id bigint, n_tokens bigint, width int, ids binary", make_ids)
     dealt = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "n_tokens", "ids")
 
     def make_files():

@@ -114,6 +114,26 @@ def test_token_files(messy, options):
     assert got == sorted(want, key=repr)
 
 
+def test_a_table_of_one_id_is_dealt_to_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(7, f"word {i % 3}") for i in range(900)] + [(None, "a b")] * 300 + [(i, "x") for i in (1, 2, 9, 10)]
+    files = bitplane.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), LIBRARY, parts=12)
+    sizes = [r["n"] for r in files.groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 0.25 * len(rows)
+    got = sorted(((r["start"], r["n_tokens"], r["doc_id"]) for r in bitplane.read_tokens(files).collect()), key=lambda r: r[0])
+    assert len(got) == len(rows) and got[0][0] == 0
+    assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:]))  # no gap, no overlap
+    ids = [r[2] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_ranges_of_ids():
+    bounds = [3, 7, 7, 7, 9]
+    ids = np.array([1, 3, 5, 7, 7, 7, 7, 8, 9, 20])
+    assert bitplane._parts(ids, np.arange(10), bounds).tolist() == [0, 1, 1, 2, 3, 4, 2, 4, 5, 5]
+
+
 def test_library_ids_of_odd_texts():
     from tokenizers import Tokenizer
 
