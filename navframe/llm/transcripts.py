@@ -12,6 +12,11 @@ blocks of ``BLOCK`` rows, each block gives one matrix, blocks of blocks are mult
 to one matrix a conversation, and the best end state is passed down again as the
 entry and exit state of every block, which then finds its own path.
 
+A turn may be long too: it comes in pieces of ``PIECE`` lines at most, numbered from
+0, whose ``rendered`` texts follow each other to the whole turn. Lines and turns are
+numbered by running sums over blocks in two levels, so no task reads all blocks of a
+conversation.
+
 Defined results: rows that repeat wholly count once; rows of one place are ordered
 by their text; null places come first; a null text is an empty line; null
 conversation ids are one conversation; ties take the first state in order.
@@ -33,6 +38,8 @@ from navframe.llm import common
 
 ROLES = ("system", "user", "assistant")
 BLOCK = 64
+#: lines of a turn in one row, and blocks whose sums one task runs through
+PIECE, RUN = 1024, 4096
 #: rows are dealt by ranges of conversation, place and so many characters of the text
 RANGE_CHARS = 256
 #: state 2 * role: first line of a turn, 2 * role + 1: later line, 6: before the text
@@ -231,9 +238,9 @@ def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
 # -- the operator ----------------------------------------------------------------------
 
 
-def parse(chunks: DataFrame, model: Model, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Turns of raw transcripts: ``conv``, ``turn_no``, ``role``, ``n_lines``,
-    ``text`` (markers removed) and ``rendered``.
+def parse(chunks: DataFrame, model: Model, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", block: int = BLOCK, piece: int = PIECE, run: int = RUN) -> DataFrame:
+    """Turns of raw transcripts: ``conv``, ``turn_no``, ``piece``, ``role``,
+    ``n_lines``, ``text`` (markers removed) and ``rendered``.
 
     ``chunks`` holds the transcripts' text in pieces of whole lines, placed by an
     integer ``order_col``.
@@ -277,37 +284,68 @@ def parse(chunks: DataFrame, model: Model, conv_col: str = "conv_id", order_col:
         children = level.withColumn("parent_", F.floor(F.col("block") / block)).join(parents, F.col("conv").eqNullSafe(F.col("p_conv")) & (F.col("parent_") == F.col("parent"))).select("conv", "block", "matrix", "parent", "entry", "end")
         known = common.store(by_group(children, ["conv", "parent"], ["block"], ends, down), "transcript_ends")
 
-    lines = _schema(rows, "block bigint, line bigint, role int, nth bigint, starts int, text string")
+    lines = _schema(rows, "block bigint, line bigint, role int, nth bigint, starts int, since bigint, ends int, text string")
 
     def label(group):
         group = list(group)  # a block's rows
         states = path(_line_matrices(group, model), group[0]["entry"], group[0]["end"])
         nth = line = 0
+        since = -1  # the line of the block that the turn began with
         for r in group:
             for text in (r["text"] or "").split("\n"):
                 starts = 1 - states[line] % 2
                 nth += starts
-                yield {"conv": r["conv"], "block": r["block"], "line": line, "role": states[line] // 2, "nth": nth, "starts": starts, "text": split_marker(text)[1] if starts else text}
+                since = line if starts else since
+                ends = 1 - states[line + 1] % 2 if line + 1 < len(states) else None  # the next block says
+                yield {"conv": r["conv"], "block": r["block"], "line": line, "role": states[line] // 2, "nth": nth, "starts": starts, "since": since, "ends": ends, "text": split_marker(text)[1] if starts else text}
                 line += 1
 
     named = known.select(F.col("conv").alias("k_conv"), F.col("block").alias("k_block"), "entry", "end")
     placed = rows.join(named, F.col("conv").eqNullSafe(F.col("k_conv")) & (F.col("block") == F.col("k_block"))).drop("k_conv", "k_block")
     labelled = common.store(by_group(placed, ["conv", "block"], ["place", "text"], lines, label), "transcript_lines")
-    # turns before each block: a running sum over one small row a block
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = labelled.groupBy("conv", "block").agg(F.sum("starts").alias("n")).select(F.col("conv").alias("b_conv"), F.col("block").alias("b_block"), before.alias("before"))
-    numbered = labelled.join(sums, F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block"))).withColumn("turn_no", F.col("before") + F.col("nth") - 1)
+    sums = _before_blocks(labelled, run)
+    numbered = labelled.join(sums, F.col("conv").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block")))
+    begun = F.when(F.col("since") >= 0, F.col("lines_before") + F.col("since")).otherwise(F.col("begun_before"))
+    numbered = numbered.withColumn("turn_no", F.col("turns_before") + F.col("nth") - 1).withColumn("piece", F.floor((F.col("lines_before") + F.col("line") - begun) / piece).cast("int"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "text"))), lambda x: x["text"])
-    turns = numbered.groupBy("conv", "turn_no").agg(F.min("role").alias("r"), F.count(F.lit(1)).alias("n_lines"), F.concat_ws("\n", ordered).alias("text"))
+    turns = numbered.groupBy("conv", "turn_no", "piece").agg(
+        F.min("role").alias("r"), F.count(F.lit(1)).alias("n_lines"), F.concat_ws("\n", ordered).alias("text"), F.max(F.coalesce("ends", "next_starts")).alias("closed")
+    )
     role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("r") + 1)
-    return turns.select("conv", "turn_no", role.alias("role"), "n_lines", "text").withColumn("rendered", render("role", "text"))
+    named = turns.select("conv", "turn_no", "piece", role.alias("role"), "n_lines", "text", "closed")
+    head = F.when(F.col("piece") == 0, F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))).otherwise("")
+    tail = F.when(F.col("closed") == 1, "<|end|>\n").otherwise("\n")
+    return named.withColumn("rendered", F.concat(head, "text", tail)).drop("closed")
 
 
-def render(role: str, text: str) -> Column:
-    """A turn in canonical form."""
-    return F.concat(F.lit("<|"), F.col(role), F.lit("|>\n"), F.col(text), F.lit("<|end|>\n"))
+def _before_blocks(labelled: DataFrame, run: int) -> DataFrame:
+    """Of each block (``b_conv``, ``b_block``): ``turns_before`` and ``lines_before``
+    it, the line that the last turn before it began with (``begun_before``), both
+    counted through the conversation, and whether the next block's first line begins
+    a turn (``next_starts``; the end does).
+
+    Running values are taken within ``run`` blocks, and then over the totals of these."""
+    from pyspark.sql import Window
+
+    first = F.max(F.when(F.col("line") == 0, F.col("starts")))
+    last = F.max(F.when(F.col("starts") == 1, F.col("line")))
+    blocks = labelled.groupBy("conv", "block").agg(F.sum("starts").alias("n"), F.count(F.lit(1)).alias("lines"), last.alias("last"), first.alias("first"))
+    blocks = common.store(blocks.withColumn("group", F.floor(F.col("block") / run)), "transcript_sums")
+    totals = blocks.groupBy("conv", "group").agg(F.sum("n").alias("g_n"), F.sum("lines").alias("g_lines"), F.min_by("first", "block").alias("g_first"))
+    inner, outer = Window.partitionBy("conv", "group").orderBy("block"), Window.partitionBy("t_conv").orderBy("t_group")
+    past = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(F.col("conv").alias("t_conv"), F.col("group").alias("t_group"), "g_n", "g_lines", "g_first")
+    totals = totals.select("t_conv", "t_group", past("g_n", outer).alias("g_n"), past("g_lines", outer).alias("g_lines"), F.lead("g_first").over(outer).alias("g_next"))
+    same = F.col("conv").eqNullSafe(F.col("t_conv")) & (F.col("group") == F.col("t_group"))
+    placed = blocks.withColumns({"n_in": past("n", inner), "lines_in": past("lines", inner), "next_in": F.lead("first").over(inner)}).join(totals, same)
+    lines_before = F.col("g_lines") + F.col("lines_in")
+    placed = placed.select("conv", "group", "block", (F.col("g_n") + F.col("n_in")).alias("turns_before"), lines_before.alias("lines_before"), (lines_before + F.col("last")).alias("begun"), F.coalesce("next_in", "g_next", F.lit(1)).alias("next_starts"))
+    placed = common.store(placed, "transcript_sums")
+    latest = placed.groupBy("conv", "group").agg(F.max("begun").alias("g_begun")).select(F.col("conv").alias("t_conv"), F.col("group").alias("t_group"), "g_begun")
+    upto = lambda c, w: F.max(c).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    latest = latest.withColumn("g_begun", upto("g_begun", outer))
+    begun = placed.withColumn("begun_in", upto("begun", inner)).join(latest, same)
+    return begun.select(F.col("conv").alias("b_conv"), F.col("block").alias("b_block"), "turns_before", "lines_before", F.coalesce("begun_in", "g_begun").alias("begun_before"), "next_starts")
 
 
 def raw_transcript(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

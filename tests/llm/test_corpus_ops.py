@@ -491,3 +491,28 @@ def test_steps_of_repeated_turns(spark):
     steps = np.zeros((7, 7))
     steps[2, 2], steps[transcripts.BEGIN, 2] = 1e10, 1e5
     assert np.allclose(transcripts.train(hot).steps, transcripts.Model(steps, symbols).steps)
+
+
+def test_a_long_turn_comes_in_pieces(spark):
+    """One conversation without an id, its lines mostly unmarked, beside short ones."""
+    from conftest import SF01
+
+    model = transcripts.train(transcripts.raw_transcript(spark.read.parquet(f"{SF01}/conversations.parquet")), raw_col="raw")
+    rng = random.Random(12)
+    rows = [(None, i, ("User: hello" if i in (0, 400) else " ".join(rng.choice("abcdefgh") for _ in range(9)))) for i in range(900)]
+    rows += [(c, i, t) for c in range(3) for i, t in enumerate(["User: hi there", "Assistant: yes\nand more\nof it", "User: bye"])]
+    docs = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
+    whole = {(r["conv"], r["turn_no"]): r for r in transcripts.parse(docs, model).collect()}
+    assert max(r["n_lines"] for r in whole.values()) > 60 and {r["piece"] for r in whole.values()} == {0}
+    for block, run in ((4, 2), (64, 3), (64, 4096)):
+        pieces = defaultdict(list)
+        for r in transcripts.parse(docs, model, block=block, piece=50, run=run).collect():
+            assert 0 < r["n_lines"] <= 50
+            pieces[r["conv"], r["turn_no"]].append(r)
+        assert pieces.keys() == whole.keys()
+        for key, parts in pieces.items():
+            parts.sort(key=lambda r: r["piece"])
+            assert [r["piece"] for r in parts] == list(range(len(parts)))
+            assert all(r["n_lines"] == 50 for r in parts[:-1])
+            assert "".join(r["rendered"] for r in parts) == whole[key]["rendered"]
+            assert "\n".join(r["text"] for r in parts) == whole[key]["text"]
