@@ -957,8 +957,15 @@ def q_portfolio_allocation_given(spark, sf_dir):
     return PF.allocation_from_percentages(given).drop("holding_value")
 
 
+def _stored_returns(spark, sf_dir):
+    """The daily returns as the weekly chain leaves them: a written table."""
+    path = shared_dir(spark, "tables", "daily_returns", unique=True)
+    W.overwrite(R.return_features(_nav(spark, sf_dir), AS_OF), path)
+    return spark.read.parquet(path)
+
+
 def _pmetrics(spark, sf_dir):
-    dr = R.return_features(_nav(spark, sf_dir), AS_OF)
+    dr = _stored_returns(spark, sf_dir)
     return PF.portfolio_metrics(_holdings(spark, sf_dir), dr, M.scheme_metrics(dr, AS_OF), AS_OF)
 
 
@@ -973,7 +980,7 @@ def q_diversification(spark, sf_dir):
 
 
 def _flags(spark, sf_dir, appetite=None):
-    dr = R.return_features(_nav(spark, sf_dir), AS_OF)
+    dr = _stored_returns(spark, sf_dir)
     return PF.portfolio_flags(_holdings(spark, sf_dir), dr, M.scheme_metrics(dr, AS_OF), AS_OF, appetite)
 
 

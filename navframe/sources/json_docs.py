@@ -9,8 +9,8 @@ Landing layouts
 * scheme list: one JSON array per page, one page per file, in folders
   ``listing=<n>/page=<n>/`` (or ``page=<n>/``), read whole-file; listing, page
   number and array position give the payload order used for first-write-wins. A
-  page is one value in a task, so a list that a source sends as one large array
-  is landed in pages; a file above ``MAX_PAGE_BYTES`` is refused.
+  page is one value in a task; a file above ``MAX_PAGE_BYTES`` is read in splits and
+  cut into its items, so a list may also come as one large array.
 * NAV documents: JSON Lines, one ``{"requested": code, "meta": {...}, "data":
   [...]}`` object per line (splittable). ``requested`` is the scheme code that was
   asked for, added when the response is landed; a folder ``scheme_code=<code>/``
@@ -25,7 +25,7 @@ read again. (A line's number is that of one read: it orders the lines within it.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,15 +55,58 @@ MAX_PAGE_BYTES = 256 * 1024 * 1024
 
 def read_scheme_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row per landed page file: ``value`` (the JSON array), ``listing`` and
-    ``page``."""
-    df = spark.read.text(path, wholetext=True)
+    ``page``; of a file above ``MAX_PAGE_BYTES`` one row per item, as an array of one.
+    ``first_pos`` is the place of the value's first item in the page."""
+    size = F.col("_metadata.file_size")
+    whole = _placed_pages(spark.read.text(path, wholetext=True).filter(size <= MAX_PAGE_BYTES)).select("value", "listing", "page", F.lit(0).cast("bigint").alias("first_pos"))
+    pieces = spark.read.option("lineSep", "}").text(path).filter(size > MAX_PAGE_BYTES)
+    return whole.unionByName(_array_items(_placed_pages(with_source(pieces))))
+
+
+def _placed_pages(df: DataFrame) -> DataFrame:
     if "page" not in df.columns:
         df = df.withColumn("page", F.col("_metadata.file_path"))
-    if "listing" not in df.columns:
-        df = df.withColumn("listing", F.lit(0))
-    large = F.raise_error(F.concat(F.lit("scheme page above the size limit, land it in smaller pages: "), F.col("_metadata.file_path")))
-    value = F.when(F.col("_metadata.file_size") > MAX_PAGE_BYTES, large).otherwise(F.col("value"))
-    return df.select(value.alias("value"), "listing", "page")
+    return df if "listing" in df.columns else df.withColumn("listing", F.lit(0))
+
+
+def _array_items(pieces: DataFrame) -> DataFrame:
+    """The items of JSON arrays of objects that were read up to each ``}``.
+
+    A piece ends an item where its ``}`` stands outside strings and closes the
+    outermost object. Whether it does follows from running sums over the pieces of a
+    file: of the quotes, which say whether a string is open, and of the braces. They
+    are taken within a file split and then over the splits' totals, so no task reads a
+    whole file; an item's pieces then meet in one row. Text that is no item, such as
+    the end of a file that broke off, is a value of its own and parses to nothing.
+    """
+    plain = F.regexp_replace("value", r"\\.", "")  # without escaped characters
+    rows = pieces.withColumns({"nth": F.monotonically_increasing_id(), "plain": plain}).withColumn("quotes", F.length(F.regexp_replace("plain", '[^"]', "")).cast("bigint"))
+    rows = _running(rows, "quotes", "quotes_before")
+    opened, open_ = F.col("quotes_before") % 2 == 1, (F.col("quotes_before") + F.col("quotes")) % 2 == 1
+    closed = F.concat(F.when(opened, '"').otherwise(""), F.col("plain"), F.when(open_, '"').otherwise(""))
+    braces = F.length(F.regexp_replace(F.regexp_replace(closed, '"[^"]*"', ""), "[^{]", ""))
+    rows = rows.withColumn("depth", (braces - F.when(open_, 0).otherwise(1)).cast("bigint"))
+    rows = _running(rows, "depth", "depth_before")
+    ends = (~open_ & (F.col("depth_before") + F.col("depth") == 0)).cast("bigint")
+    rows = _running(rows.withColumn("ends", ends), "ends", "item")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "nth", "value"))), lambda x: x["value"])
+    items = rows.groupBy("source", "listing", "page", "item").agg(F.concat_ws("}", parts).alias("text"), F.max("ends").alias("whole"))
+    text = F.regexp_replace("text", r"^[\s,]*(\[\s*)?", "")  # what stands before an item
+    items = items.select("listing", "page", F.col("item").alias("first_pos"), "whole", text.alias("text"))
+    rest = (F.col("whole") == 0) & F.regexp_replace("text", r"[\s\]}]", "").eqNullSafe("")  # the end of the array
+    value = F.when(F.col("whole") == 1, F.concat(F.lit("["), "text", F.lit("}]"))).otherwise(F.col("text"))
+    return items.filter(~rest).select(value.alias("value"), "listing", "page", "first_pos")
+
+
+def _running(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``name``: the sum of ``column`` over the pieces of the file before."""
+    inner = Window.partitionBy("source", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy("f_source").orderBy("f_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col("source").alias("f_source"), F.col("block").alias("f_block")).agg(F.sum(column).alias("t"))
+    totals = totals.select("f_source", "f_block", F.coalesce(F.sum("t").over(outer), F.lit(0)).alias("past"))
+    placed = rows.withColumn("inside", F.coalesce(F.sum(column).over(inner), F.lit(0)))
+    same = (F.col("source") == F.col("f_source")) & (F.col("block") == F.col("f_block"))
+    return placed.join(totals, same).withColumn(name, F.col("past") + F.col("inside")).drop("inside", "past", "f_source", "f_block")
 
 
 def corrupt_scheme_pages(pages: DataFrame, value_col: str = "value") -> DataFrame:
@@ -80,9 +123,7 @@ def parse_scheme_list(pages: DataFrame, value_col: str = "value") -> DataFrame:
     carry the payload order. Pages that don't parse yield no row; see
     :func:`corrupt_scheme_pages`.
     """
-    if "listing" not in pages.columns:
-        pages = pages.withColumn("listing", F.lit(0))
-    items = pages.select("listing", "page", F.posexplode(F.from_json(value_col, S.SCHEME_LIST)).alias("pos", "item"))
+    items = _page_items(pages, value_col)
     return items.select(
         _code("item.schemeCode").alias("scheme_code"),
         F.col("item.schemeName").alias("scheme_name"),
@@ -94,10 +135,18 @@ def parse_scheme_list(pages: DataFrame, value_col: str = "value") -> DataFrame:
     )
 
 
+def _page_items(pages: DataFrame, value_col: str) -> DataFrame:
+    for name, default in (("listing", F.lit(0)), ("first_pos", F.lit(0).cast("bigint"))):
+        if name not in pages.columns:
+            pages = pages.withColumn(name, default)
+    items = pages.select("listing", "page", "first_pos", F.posexplode(F.from_json(value_col, S.SCHEME_LIST)).alias("pos", "item"))
+    return items.withColumn("pos", (F.col("first_pos") + F.col("pos")).cast("int")).drop("first_pos")
+
+
 def quarantined_schemes(pages: DataFrame, value_col: str = "value") -> DataFrame:
     """Items of parsed pages without a code that is a whole number: their place
     (``listing``, ``page``, ``pos``) and the item as text."""
-    items = pages.select("listing", "page", F.posexplode(F.from_json(value_col, S.SCHEME_LIST)).alias("pos", "item"))
+    items = _page_items(pages, value_col)
     bad = items.filter(_code("item.schemeCode").isNull())
     return bad.select("listing", "page", "pos", F.col("item.schemeCode").alias("code_text"), F.coalesce(F.to_json("item"), F.lit("null")).alias("item"))
 

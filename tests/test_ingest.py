@@ -269,3 +269,25 @@ def test_malformed_weather_and_people_lines_make_no_rows(spark, tmp_dir):
     assert J.people_in_space(docs).collect()[0]["number_of_people"] == 1
     with pytest.raises(PySparkException, match="malformed people document"):
         jobs.run_people_report(spark, people).collect()
+
+
+def test_one_large_array_is_read_in_splits(spark, tmp_dir, monkeypatch):
+    items = [{"schemeCode": i, "schemeName": n, "isinGrowth": f"G{i}", "more": {"a": {"b": "}"}}} for i, n in enumerate(['a}b"{', "x\\", '"}],[{', "{{", "ü}", "plain"] * 300)]
+    page = os.path.join(tmp_dir, "listing=0", "page=3")
+    _write_lines(page, "x.json", [json.dumps(items, indent=1)])
+    _write_lines(os.path.join(tmp_dir, "listing=1", "page=0"), "x.json", [json.dumps(items[:2])])
+    rows = lambda: sorted(map(str, J.parse_scheme_list(J.read_scheme_pages(spark, tmp_dir)).collect()))
+    whole = rows()
+    assert len(whole) == len(items) + 2
+    monkeypatch.setattr(J, "MAX_PAGE_BYTES", 10_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert J.read_scheme_pages(spark, tmp_dir).rdd.getNumPartitions() > 1 and rows() == whole
+        assert J.corrupt_scheme_pages(J.read_scheme_pages(spark, tmp_dir)).count() == 0
+        _write_lines(page, "x.json", [json.dumps(items)[:-30]])  # broke off in the last item
+        assert len(rows()) == len(items) + 1
+        assert J.corrupt_scheme_pages(J.read_scheme_pages(spark, tmp_dir)).count() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
