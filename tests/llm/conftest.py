@@ -23,7 +23,7 @@ MESSY = [
 def messy(spark):
     docs = spark.createDataFrame(MESSY, "doc_id bigint, text string")
     # names that the operators use themselves
-    return docs.select("*", F.lit("h").alias("source"), F.lit(1).alias("text_key"), F.lit(2).alias("uid"), F.lit("c").alias("class"), F.lit(0).alias("kept"), F.lit(None).cast("int").alias("n_words"), F.lit(1).alias("row"))
+    return docs.select("*", F.lit("h").alias("source"), F.lit(1).alias("text_key"), F.lit(2).alias("uid"), F.lit("c").alias("class"), F.lit(0).alias("kept"), F.lit(None).cast("int").alias("n_words"), F.lit(1).alias("row"), *[F.lit(0).alias(c) for c in ("r_id", "r_key", "r_kept", "r_lines", "g_id", "g_key", "g_root", "body", "level", "word", "n", "part")])
 
 
 @pytest.fixture()
