@@ -59,17 +59,18 @@ def portfolio_value(
     ``n_priced`` holdings have a NAV that day, ``n_carried`` of them an earlier one;
     ``n_unpriced`` have none within the gap and count for nothing. As in the returns,
     a scheme's days travel as one array, repeated for each ``holders_per_task`` holders.
+    Decimal units and NAVs, the stored types, are multiplied and summed exactly.
     """
     units = units.filter(F.col(KEY).isNotNull())
     carried = F.col("nav_date_known") < F.col("nav_date")
-    day = F.struct("nav_date", F.col("nav").cast("double").alias("nav"), carried.cast("int").alias("carried"))
+    day = F.struct("nav_date", "nav", carried.cast("int").alias("carried"))
     series = carried_nav(nav, units, as_of, months, max_gap_days).groupBy(KEY).agg(F.collect_list(day).alias("_days"))
     salts = units.groupBy(KEY).agg(F.ceil(F.count(F.lit(1)) / holders_per_task).cast("int").alias("_salts"))
     salted = series.join(salts, KEY).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     held = units.join(broadcast_if_small(salts), KEY).withColumn("_salt", F.pmod(F.xxhash64(PID), F.col("_salts")).cast("int"))
     days = held.join(broadcast_if_small(salted), [KEY, "_salt"]).select(PID, "units", F.explode("_days").alias("d"))
     valued = days.groupBy(PID, F.col("d.nav_date").alias("nav_date")).agg(
-        F.round(F.sum(F.col("units") * F.col("d.nav")), 2).alias("portfolio_value"),
+        F.round(F.sum(F.col("units") * F.col("d.nav")), 2).cast("double").alias("portfolio_value"),
         F.count(F.lit(1)).alias("n_priced"),
         F.sum("d.carried").alias("n_carried"),
     )

@@ -1129,12 +1129,12 @@ def _units(spark, sf_dir):
     li = T.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     od = T.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     held = li.join(od, li.l_orderkey == od.o_orderkey).filter("l_suppkey IS NOT NULL")
-    return held.groupBy(F.col("o_custkey").alias("portfolio_id"), F.col("l_suppkey").alias("scheme_code")).agg(F.sum("l_quantity").alias("units"))
+    return held.groupBy(F.col("o_custkey").alias("portfolio_id"), F.col("l_suppkey").alias("scheme_code")).agg(F.sum("l_quantity").cast("decimal(12,0)").alias("units"))
 
 
 @register(
     "portfolio_value",
-    f"WITH {RAW_NAV_CTE}, units AS (SELECT o_custkey AS portfolio_id, l_suppkey AS scheme_code, SUM(l_quantity) AS units "
+    f"WITH {DECIMAL_NAV_CTE}, units AS (SELECT o_custkey AS portfolio_id, l_suppkey AS scheme_code, CAST(SUM(l_quantity) AS DECIMAL(12,0)) AS units "
     "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey IS NOT NULL GROUP BY 1, 2), "
     f"days AS (SELECT DISTINCT nav_date FROM raw_nav WHERE nav IS NOT NULL AND nav_date BETWEEN {_since(VALUE_MONTHS)} AND {AS_OF_SQL}), "
     "grid AS (SELECT scheme_code, nav_date FROM (SELECT DISTINCT scheme_code FROM units), days), "
@@ -1142,13 +1142,13 @@ def _units(spark, sf_dir):
     "ASOF JOIN (SELECT * FROM raw_nav WHERE nav IS NOT NULL) r ON g.scheme_code = r.scheme_code AND g.nav_date >= r.nav_date), "
     f"priced AS (SELECT * FROM carried WHERE date_diff('day', known, nav_date) <= {AJ.MAX_GAP_DAYS}), "
     "held AS (SELECT portfolio_id, COUNT(*) AS n FROM units GROUP BY 1) "
-    "SELECT u.portfolio_id, p.nav_date, ROUND(SUM(u.units * p.nav), 2) AS portfolio_value, COUNT(*) AS n_priced, "
+    "SELECT u.portfolio_id, p.nav_date, CAST(ROUND(SUM(u.units * p.nav), 2) AS DOUBLE) AS portfolio_value, COUNT(*) AS n_priced, "
     "CAST(SUM(CASE WHEN known < nav_date THEN 1 ELSE 0 END) AS BIGINT) AS n_carried, ANY_VALUE(held.n) - COUNT(*) AS n_unpriced "
     "FROM units u JOIN priced p USING (scheme_code) JOIN held ON held.portfolio_id = u.portfolio_id GROUP BY 1, 2",
     "B4: daily portfolio values at the last known NAVs, carried a week at most",
 )
 def q_portfolio_value(spark, sf_dir):
-    return AJ.portfolio_value(_units(spark, sf_dir), _nav(spark, sf_dir), AS_OF, VALUE_MONTHS)
+    return AJ.portfolio_value(_units(spark, sf_dir), _decimal_nav(spark, sf_dir), AS_OF, VALUE_MONTHS)
 
 
 @register(
