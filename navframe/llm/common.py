@@ -184,9 +184,17 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in schema.fields])
 
 
+#: Spark's setting for the bytes of an Arrow batch, and what the text operators take
+#: where it isn't set: a worker holds a batch several times over
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def on_workers(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from any working
-    directory; a cluster gets it with ``--py-files``."""
+    directory (a cluster gets it with ``--py-files``), and read batches of a
+    bounded size."""
+    if BATCH_SETTING not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
