@@ -59,12 +59,12 @@ from navframe.llm import common, graph
 #: a signature that more documents of one batch share travels as a list
 HOT_IN_BATCH = 32
 #: sharers of a signature up to which their pairs are counted
-ALL_PAIRS = 32
+ALL_PAIRS = 8
 #: sets, and elements of them about, on either side of one task's comparison
-BLOCK = 2048
-BLOCK_ELEMENTS = 1 << 19
+BLOCK = 1024
+BLOCK_ELEMENTS = 1 << 18
 #: pairs counted at once in a bucket
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 #: packed signatures of a bucket, about, and text whose signatures are packed at once
 BUCKET_BYTES = 8 << 20
 CHUNK_BYTES = 4 << 20
@@ -575,7 +575,8 @@ def _grouped(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     pairs = common.store(both.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "jaccard_pairs")
     # the shingle sets of the candidates alone
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(members.select("class")).distinct()
-    texts = classes.join(wanted, "class").select("class", "doc_id", "text_key").join(_picked(docs, id_col, text_col).withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
+    # a shuffle at any size: the plan, and what it costs, doesn't change with the table
+    texts = classes.join(wanted, "class").select("class", "doc_id", "text_key").hint("merge").join(_picked(docs, id_col, text_col).withColumnsRenamed({"doc_id": "d", "text_key": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")))
 
     def make_sets():
         last = [None]
@@ -621,7 +622,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     # rows that go, and those that stay once (with their group's root)
     marked = common.store(judged.filter("root is null or n > 1").select(F.col("doc_id").alias(g_id), F.col("text_key").alias(g_key), F.col("root").alias(g_root)), "jaccard_marked")
     same = F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(g_id)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(g_key))
-    out = docs.join(marked, same, "left_anti")
+    out = docs.join(marked.hint("merge"), same, "left_anti")
     repeated = marked.filter(F.col(g_root).isNotNull())
     if repeated.isEmpty():
         return out
