@@ -158,7 +158,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     changes = changes.groupBy(F.col("doc_id").alias(names["r_id"]), F.col("text_key").alias(names["r_key"])).agg(
         F.min("kept").alias(names["r_kept"]), F.array_distinct(F.flatten(F.collect_set("lines"))).alias(names["r_lines"])
     )
-    joined = docs.join(common.store(changes, "quality_changes"), _same_row(docs, id_col, text_col, names["r_id"], names["r_key"]), "left")
+    # a shuffle at any size: the plan, and what it costs, doesn't change with the table
+    joined = docs.join(common.store(changes, "quality_changes").hint("merge"), _same_row(docs, id_col, text_col, names["r_id"], names["r_key"]), "left")
     left = joined.filter(F.coalesce(F.col(names["r_kept"]), F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(names["r_lines"]))
     return _without_lines(left, docs.schema, text_col, size_col)
 

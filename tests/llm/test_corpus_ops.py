@@ -258,6 +258,39 @@ def test_quality_rules(spark, messy, nothing):
     assert Counter(r["doc_id"] for r in kept.collect()) == good
 
 
+def test_texts_without_frequent_lines(spark, messy, nothing):
+    rng = random.Random(15)
+    common_lines = ["Subscribe to OUR letter", "all  rights reserved é"]
+    rows = []
+    for i in range(40):
+        own = [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(8, 14))) for _ in range(2)]
+        lines = [own[0], *rng.sample([*common_lines, common_lines[0].lower(), "", "  "], 3), own[1]]
+        rows.append((i, "\n".join(lines), "a" if i % 4 else "b", len("\n".join(lines))))
+    rows += [rows[5], (50, None, "a", 0), (None, rows[7][1], "a", rows[7][3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int")
+    got = quality.clean(docs, max_texts=4)
+    assert got.schema == docs.schema
+    norm = lambda x: " ".join(re.findall(SPACE, lower(x)))
+    held, first = defaultdict(set), {}
+    for i, t, host, _ in rows:
+        for x in (t or "").split("\n"):
+            if norm(x):
+                held[host, norm(x)].add(t)
+                first[host, norm(x)] = min(i, first.get((host, norm(x)), i)) if i is not None else first.get((host, norm(x)))
+    good = Counter(r[0] for r in judged([r[:3] for r in rows], 4, quality.MIN_LEFT) if r[-1])
+    want = []
+    for i, t, host, _ in rows:
+        if i in good:
+            gone = lambda x: norm(x) and len(held[host, norm(x)]) > 4 and first[host, norm(x)] != i  # noqa: B023, E731
+            kept = "\n".join(x for x in t.split("\n") if not gone(x))
+            want.append((i, kept, host, len(kept)))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert any(len(w[1]) < r[3] for w, r in zip(want, rows))
+    left = quality.clean(messy)
+    assert left.schema == messy.schema and as_rows(left, "doc_id", "text") == as_rows(quality.keep_good(messy), "doc_id", "text")
+    assert quality.clean(nothing).count() == 0
+
+
 # -- 9: repeated substrings -------------------------------------------------------------
 
 
