@@ -12,7 +12,7 @@ alone. As in the full form a late NAV adds its own row; stored rows stay as they
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from navframe import params as P
@@ -79,6 +79,17 @@ def monthly_moments(daily_returns: DataFrame) -> DataFrame:
     )
 
 
+def total_moments(parts: str) -> Column:
+    """``n``, ``mean`` and ``m2`` of an array of such parts, merged one after the other."""
+    nothing = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a, b):
+        n, d = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.struct(n.alias("n"), (a["mean"] + d * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"))
+
+    return F.aggregate(parts, nothing, add)
+
+
 def merged_moments(moments: DataFrame) -> DataFrame:
     """One row a scheme: the moments of its months, merged one after the other. A
     scheme has at most one row a month of the lookback."""
@@ -89,14 +100,7 @@ def merged_moments(moments: DataFrame) -> DataFrame:
         F.max("last").alias("last"),
         F.sort_array(F.collect_list(F.when(F.col("n") > 0, part))).alias("parts"),
     )
-    nothing = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
-
-    def add(a, b):
-        n, d = a["n"] + b["n"], b["mean"] - a["mean"]
-        return F.struct(n.alias("n"), (a["mean"] + d * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"))
-
-    total = F.aggregate("parts", nothing, add)
-    rows = merged.withColumn("t", total)
+    rows = merged.withColumn("t", total_moments("parts"))
     return rows.select(
         R.KEY,
         "n_nav",
