@@ -106,6 +106,20 @@ def test_values_carry_navs_up_to_the_gap(spark):
         assert (got[1, 9].portfolio_value, got[1, 9].n_carried) == (121.0, 0)
         assert {d for p, d in got if p == 2} == {*range(8), 9, 10, 11} and not [p for p, _ in got if p == 3]
 
+def test_values_are_summed_where_the_portfolios_are(spark, monkeypatch):
+    """Each block of days is summed without an exchange; the result is the written blocks."""
+    plans = []
+    real = AJ.stored_blocks
+    seen = lambda blocks: (plans.append(b._jdf.queryExecution().executedPlan().toString()) or b for b in blocks)
+    monkeypatch.setattr(AJ, "stored_blocks", lambda blocks, schema, held: real(seen(blocks), schema, held))
+    nav = spark.createDataFrame([(10, D0 + dt.timedelta(days=i), 10.0 + i) for i in range(5)], "scheme_code bigint, nav_date date, nav double")
+    units = spark.createDataFrame([(p, 10, float(p)) for p in range(1, 4)], "portfolio_id bigint, scheme_code bigint, units double")
+    out = AJ.portfolio_value(units, nav, D0 + dt.timedelta(days=4), 1, 7, 2)
+    assert len(plans) == 3 and all("hashpartitioning(portfolio_id" not in p for p in plans)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.portfolio_id, (r.nav_date - D0).days): r.portfolio_value for r in out.collect()} == {(p, i): p * (10.0 + i) for p in range(1, 4) for i in range(5)}
+
+
 
 # -- quantiles and ranges --------------------------------------------------------------------
 
