@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from navframe.sources.csv import write_csv
 
 PAGE_SIZE = 1000
+#: documents of one packed file, which is read in one task
+DOCUMENTS_A_FILE = 10_000
 RELIST_MIN_ACCTBAL = 9000.0
 
 
@@ -90,7 +92,8 @@ def land_nav_documents(
     cut_every: int | None = None,
 ) -> None:
     """One NAV document per scheme and calendar year (JSON Lines), items
-    newest first, dates as ``dd-MM-yyyy`` text and NAVs as text.
+    newest first, dates as ``dd-MM-yyyy`` text and NAVs as text. The files are
+    gzipped, with ``DOCUMENTS_A_FILE`` documents at most.
 
     With ``year_end_unavailable`` the NAV of every 31 December is published as
     ``N.A.`` (as a source does for a non-business day), which a lenient
@@ -102,18 +105,22 @@ def land_nav_documents(
 
     Every document carries ``requested``, the code that was asked for.
     """
-    text = F.col("nav").cast("string")
-    if year_end_unavailable:
-        year_end = (F.month("nav_date") == 12) & (F.dayofmonth("nav_date") == 31)
-        text = F.when(year_end, F.lit("N.A.")).otherwise(text)
-    item = F.struct(
-        F.col("nav_date").alias("k"),
-        F.date_format("nav_date", "dd-MM-yyyy").alias("date"),
-        text.alias("nav"),
-    )
-    docs = nav.groupBy("scheme_code", F.year("nav_date").alias("yr")).agg(
-        F.sort_array(F.collect_list(item), asc=False).alias("xs")
-    )
+    # days travel as dates and numbers; their text is made where the document is. The
+    # number of tasks is given: adaptive execution sizes them by packed bytes, of
+    # which a few fill a task's memory once they are lists
+    spark = nav.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dated = nav.select("scheme_code", F.year("nav_date").alias("yr"), "nav_date", "nav").repartition(tasks, "scheme_code", "yr")
+    docs = dated.groupBy("scheme_code", "yr").agg(F.sort_array(F.collect_list(F.struct("nav_date", "nav")), asc=False).alias("xs"))
+
+    def item(x):
+        text = x["nav"].cast("string")
+        if year_end_unavailable:
+            year_end = (F.month(x["nav_date"]) == 12) & (F.dayofmonth(x["nav_date"]) == 31)
+            text = F.when(year_end, F.lit("N.A.")).otherwise(text)
+        return F.struct(F.date_format(x["nav_date"], "dd-MM-yyyy").alias("date"), text.alias("nav"))
+
+    docs = docs.withColumn("xs", F.transform("xs", item))
     code = F.col("scheme_code")
     if republish:  # the oldest days come last in a document, here they come first
         late = F.transform(F.reverse(F.slice("xs", -2, 2)), lambda x: x.withField("nav", F.lit("0.01")))
@@ -124,15 +131,14 @@ def land_nav_documents(
     meta = F.struct(code.alias("scheme_code"), fund_house(code).alias("fund_house"), scheme_name(code).alias("scheme_name"))
     if no_meta_every:
         meta = F.when(code % no_meta_every != 0, meta)
-    data = F.transform("xs", lambda x: F.struct(x["date"].alias("date"), x["nav"].alias("nav")))
-    value = F.to_json(F.struct(code.alias("requested"), meta.alias("meta"), data.alias("data")))
+    value = F.to_json(F.struct(code.alias("requested"), meta.alias("meta"), F.col("xs").alias("data")))
     docs = docs.select("scheme_code", "yr", "nth", value.alias("value"))
     if cut_every:
         cut = F.expr("left(value, length(value) - 2)")
         docs = docs.withColumn("value", F.when(code % cut_every == 0, cut).otherwise(F.col("value")))
     if republish:  # a scheme's documents in one file, in order
         docs = docs.repartition("scheme_code").sortWithinPartitions("scheme_code", "yr", "nth")
-    docs.select("value").write.mode("overwrite").text(path)
+    docs.select("value").write.mode("overwrite").option("maxRecordsPerFile", DOCUMENTS_A_FILE).text(path, compression="gzip")
 
 
 def land_weather(events: DataFrame, path: str, cut_every: int | None = None) -> None:

@@ -291,3 +291,19 @@ def test_one_large_array_is_read_in_splits(spark, tmp_dir, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_landed_documents_are_packed_and_bounded(spark, tmp_dir, monkeypatch):
+    from navframe.plans import landing
+
+    monkeypatch.setattr(landing, "DOCUMENTS_A_FILE", 2)
+    rows = [(c, dt.date(2000 + y, m, 31), 10.0 * c + m) for c in range(3) for y in range(2) for m in (1, 12)]
+    nav = spark.createDataFrame(rows, "scheme_code bigint, nav_date date, nav double")
+    path = os.path.join(tmp_dir, "landed")
+    landing.land_nav_documents(nav, path, year_end_unavailable=True)
+    files = [f for f in os.listdir(path) if not f.startswith((".", "_"))]
+    assert files and all(f.endswith(".gz") for f in files)
+    lines = spark.read.text(path).groupBy(F.input_file_name().alias("f")).agg(F.count("value").alias("n"), F.collect_list("value").alias("v")).collect()
+    assert sum(r.n for r in lines) == 6 and max(r.n for r in lines) <= 2
+    one = next(v for r in lines for v in r.v if v.startswith('{"requested":1,') and "2001" in v)
+    assert '"data":[{"date":"31-12-2001","nav":"N.A."},{"date":"31-01-2001","nav":"11.0"}]' in one
