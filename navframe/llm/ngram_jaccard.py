@@ -187,7 +187,7 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
 
 def _pack(batch_ids: np.ndarray, signs: list[np.ndarray], n_buckets: int):
     """Rows of a batch, each (bucket, signatures, document numbers, ids, set): of
-    a bucket (set null), and of a hot signature (set: its name, ids: its members
+    a bucket (set null; without numbers, an id for each signature), and of a hot signature (set: its name, ids: its members
     in the batch), which any bucket may take."""
     which = np.repeat(np.arange(len(signs)), [len(s) for s in signs])
     sig = np.concatenate(signs) if signs else np.zeros(0, dtype=np.uint64)
@@ -212,6 +212,10 @@ def _pack(batch_ids: np.ndarray, signs: list[np.ndarray], n_buckets: int):
     for part in np.split(by_bucket, cuts) if len(by_bucket) else ():
         used, number = np.unique(which[part], return_inverse=True)
         packed = (sig[part] >> np.uint64(32)).astype("<u4")
+        if len(used) * 8 + len(part) * 2 > len(part) * 8 and not flag[part].any():
+            # many buckets: few documents come twice, so each signature has its id
+            rows.append((int(bucket[part[0]]), packed.tobytes(), b"", batch_ids[which[part]].tobytes(), None))
+            continue
         wide = len(used) > 0x7FFF or flag[part].any()
         rows.append((int(bucket[part[0]]), packed.tobytes(), (number.astype(np.uint32) | flag[part]).astype("<u4" if wide else "<u2").tobytes(), batch_ids[used].tobytes(), None))
     return rows
@@ -219,6 +223,8 @@ def _pack(batch_ids: np.ndarray, signs: list[np.ndarray], n_buckets: int):
 
 def _unpack(sigs: bytes, numbers: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(sigs, dtype="<u4")
+    if not numbers:
+        return raw, np.frombuffer(ids, dtype=np.uint64), np.zeros(len(raw), dtype=bool)
     wide = len(numbers) == 4 * len(raw)
     number = np.frombuffer(numbers, dtype="<u4" if wide else "<u2").astype(np.uint32)
     hot = number >> 31 == 1 if wide else np.zeros(len(raw), dtype=bool)

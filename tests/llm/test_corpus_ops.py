@@ -549,3 +549,21 @@ def test_a_long_turn_comes_in_pieces(spark):
             assert all(r["n_lines"] == 50 for r in parts[:-1])
             assert "".join(r["rendered"] for r in parts) == whole[key]["rendered"]
             assert "\n".join(r["text"] for r in parts) == whole[key]["text"]
+
+
+def test_signatures_of_many_buckets_carry_no_dictionary():
+    """With more buckets than a document has signatures, an id and the signature travel."""
+    rng = np.random.default_rng(5)
+    ids = np.arange(1, 301, dtype=np.uint64)
+    signs = [rng.integers(0, 1 << 63, 200).astype(np.uint64) for _ in ids]
+    for n_buckets in (4, 3000):
+        got = set()
+        size = 0
+        for bucket, sigs, numbers, members, name in ngram_jaccard._pack(ids, signs, n_buckets):
+            assert name is None
+            size += len(sigs) + len(numbers) + len(members)
+            raw, found, hot = ngram_jaccard._unpack(sigs, numbers, members)
+            assert not hot.any()
+            got |= {(bucket, int(x), int(i)) for x, i in zip(raw, found)}
+        assert got == {(int(x) % n_buckets, int(x) >> 32, int(i)) for i, xs in zip(ids, signs) for x in xs}
+        assert size <= 12 * 300 * 200
