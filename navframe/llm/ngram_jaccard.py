@@ -21,7 +21,9 @@ it, so no bucket gathers a large group.
    document in fewer larger sets than its ``need`` shares others with any similar
    one, so larger sets matter to the rest alone: each member is compared with the
    set's hub, the member of most large sets, linear in the set's size. Links give
-   components. Pairs are compared in tasks of a bounded number of sets and elements:
+   components. Pairs whose sketches, a sixtieth of the sets at most, differ in more
+   bits than a similar pair may in elements are out, so that chance candidates don't
+   make sets travel. Pairs are compared in tasks of a bounded number of sets and elements:
    candidates that pairs connect are one cluster, cut into blocks, and a set travels
    once to each block that holds one of its partners.
 2. Two similar documents that are still apart share no small signature, so at least
@@ -182,6 +184,35 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
+# -- sketches ----------------------------------------------------------------------------
+
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """The parity of the number of elements in each cell, of as many cells as elements
+    or more, a power of two. Two sets differ in as many elements as their sketches in
+    bits, at least; a sketch's halves xor-ed are the sketch of half the cells."""
+    cells = max(64, 1 << (len(elements) - 1).bit_length())
+    counts = np.bincount((common.mix(elements, 6) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Bits in which each left sketch differs from its right one; the longer is folded."""
+    out = np.zeros(len(left), dtype=np.int64)
+    lengths = np.array([(len(a), len(b)) for a, b in zip(left, right)], dtype=np.int64).reshape(-1, 2)
+    for pair in np.unique(lengths, axis=0):
+        at = np.flatnonzero((lengths == pair).all(axis=1))
+        sides = [np.frombuffer(b"".join([side[i] for i in at.tolist()]), dtype=np.uint8).reshape(len(at), -1) for side in (left, right)]
+        while sides[0].shape[1] != sides[1].shape[1]:
+            long = int(sides[1].shape[1] > sides[0].shape[1])
+            half = sides[long].shape[1] // 2
+            sides[long] = sides[long][:, :half] ^ sides[long][:, half:]
+        out[at] = _BITS[sides[0] ^ sides[1]].sum(axis=1)
+    return out
+
+
 # -- packed signatures -----------------------------------------------------------------
 
 
@@ -372,6 +403,25 @@ def _sets(rows: pa.Table) -> list[np.ndarray]:
     return np.split(elements.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends[1:-1] - ends[0])
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs of classes (``a``, ``b``) that their sets' ``size`` and ``sketch`` don't rule
+    out: those of all pairs that reach the threshold, and of few others."""
+    seen = pairs
+    for side in ("a", "b"):
+        seen = seen.join(sets.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+
+    def make():
+        def run(batch: pa.RecordBatch):
+            sizes = sum(batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            bits = _differing(*(batch.column(i).to_pylist() for i in (4, 5)))
+            near = pa.array((sizes - bits) * bands.den >= (sizes + bits) * bands.num)
+            return {"a": batch.column(0).filter(near), "b": batch.column(1).filter(near)}
+
+        return run
+
+    return common.map_rows(seen, ["a", "b", "size_a", "size_b", "sketch_a", "sketch_b"], "a bigint, b bigint", make).distinct()
+
+
 def _compare_pairs(pairs: pa.Table, rows: pa.Table, bands: Bands) -> dict[str, np.ndarray]:
     """Which of a task's pairs reach the threshold; ``rows`` are their sets."""
     names = rows["class"].to_numpy()
@@ -592,11 +642,13 @@ def _grouped(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
             fresh = pa.array([k != before for k, before in zip(keys, last + keys)], type=pa.bool_())
             last[:] = keys[-1:]
             batch = batch.filter(fresh)
-            return {"class": batch.column(0), "elements": common.list_array([shingles(t or b"", n) for t in common.text_bytes(batch.column(1))], pa.int64())}
+            made = [shingles(t or b"", n) for t in common.text_bytes(batch.column(1))]
+            return {"class": batch.column(0), "size": [len(s) for s in made], "sketch": [sketch(s) for s in made], "elements": common.list_array(made, pa.int64())}
 
         return run
 
-    sets = common.store(common.map_rows(texts, ["class", "text"], "class bigint, elements array<bigint>", make_sets), "jaccard_sets")
+    sets = common.store(common.map_rows(texts, ["class", "text"], "class bigint, size int, sketch binary, elements array<bigint>", make_sets), "jaccard_sets")
+    pairs = common.store(_possible(pairs, sets, bands), "jaccard_pairs")
     links = common.store(_verified(pairs, sets, bands), "jaccard_links")
     roots = graph.components(links)
     rooted = members.join(roots, F.col("class") == F.col("node"), "left").select("set", "class", F.coalesce("root", "class").alias("root"), "needed")

@@ -567,3 +567,35 @@ def test_signatures_of_many_buckets_carry_no_dictionary():
             got |= {(bucket, int(x), int(i)) for x, i in zip(raw, found)}
         assert got == {(int(x) % n_buckets, int(x) >> 32, int(i)) for i, xs in zip(ids, signs) for x in xs}
         assert size <= 12 * 300 * 200
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100)])
+def test_sketches_rule_no_link_out(num, den):
+    rng = np.random.default_rng(num)
+    ruled_out = 0
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 700))).astype(np.uint64))
+        kept = a[rng.random(len(a)) < rng.choice([0.5, 0.9, 1.0])]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 2**63, int(rng.integers(1, len(a) + 1))).astype(np.uint64)]))
+        apart, both = len(np.setxor1d(a, b)), len(a) + len(b)
+        bits = ngram_jaccard._differing([ngram_jaccard.sketch(a), ngram_jaccard.sketch(a)], [ngram_jaccard.sketch(b), ngram_jaccard.sketch(a)])
+        assert bits[0] <= apart and bits[1] == 0
+        ruled_out += (both - bits[0]) * den < (both + bits[0]) * num
+    assert ruled_out > 150
+
+
+def test_sets_of_unlike_texts_do_not_travel(spark, monkeypatch):
+    rng = random.Random(4)
+    phrases = [" ".join(f"p{i}_{j}" for j in range(12)) for i in range(30)]
+    texts = [" ".join([*rng.sample(phrases, 6), *(f"t{t}_{j}" for j in range(8))]) for t in range(150)]
+    texts += [f"{t} more" for t in texts[:10]]
+    compared, verified = [], ngram_jaccard._verified
+
+    def spied(pairs, sets, bands, *rest):
+        compared.extend(pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("elements").alias("y")), "b").select(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).collect())
+        return verified(pairs, sets, bands, *rest)
+
+    monkeypatch.setattr(ngram_jaccard, "_verified", spied)
+    got = as_rows(ngram_jaccard.similar(table(spark, [(i, t, "h") for i, t in enumerate(texts)]), 5, 80, 100), "doc_id", "component_id")
+    assert got == sorted(((i, i if i < 150 else i - 150) for i in range(160)), key=repr)
+    assert len(compared) >= 10 and all(r[0] > 0.6 for r in compared)
