@@ -45,13 +45,24 @@ def split_late(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFram
     return batch.join(late, R.KEY, "left_anti"), batch.join(late, R.KEY, "left_semi")
 
 
-def following_features(batch: DataFrame, stored: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:
-    """The feature rows of a batch that follows the stored tail."""
-    columns = [R.KEY, R.ORDER, "nav"]
+def following_features(batch: DataFrame, stored: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS, done: DataFrame | None = None) -> DataFrame:
+    """The feature rows of a batch that follows the stored tail, but for those whose
+    key is in ``done``: they are tagged on the narrow rows, in the windows' exchange, and
+    the wide rows are never shuffled."""
     start = lookback_start(as_of, months)
-    known = stored.select(*columns, F.lit(False).alias("_new"))
-    both = known.unionByName(batch.select(*columns, F.lit(True).alias("_new"))).filter(F.col(R.KEY).isNotNull() & (F.col(R.ORDER) >= start))
-    return R._with_returns(R._windowed(both, carry=("_new",)).filter("_new").drop("_new"))
+
+    def rows(df: DataFrame, new: bool, here: bool) -> DataFrame:
+        nav = F.col("nav") if here else F.lit(None).cast(batch.schema["nav"].dataType).alias("nav")
+        return df.select(R.KEY, R.ORDER, nav, F.lit(new).alias("_new"), F.lit(here).alias("_here"))
+
+    both = rows(stored, False, True).unionByName(rows(batch, True, True))
+    if done is not None:
+        both = both.unionByName(rows(done, False, False))
+    both = both.filter(F.col(R.KEY).isNotNull() & (F.col(R.ORDER) >= start))
+    if done is not None:
+        fresh = F.min("_here") & F.max("_new")
+        both = both.repartition(R.KEY).groupBy(R.KEY, R.ORDER).agg(F.max("nav").alias("nav"), fresh.alias("_new"), F.max("_here").alias("_here")).filter("_here")
+    return R._with_returns(R._windowed(both.drop("_here"), carry=("_new",)).filter("_new").drop("_new"))
 
 
 def late_features(late: DataFrame, nav: DataFrame, as_of=None, months: int = P.LOOKBACK_MONTHS) -> DataFrame:

@@ -24,6 +24,7 @@ from navframe import params as P
 from navframe import schemas as S
 from navframe.functions.dates import lookback_start
 from navframe.operators import enrich, incremental, ingest, metrics, returns
+from navframe.operators.delta import new_rows
 from navframe.operators.joins import broadcast_if_small
 from navframe.sinks import writers as W
 from navframe.sinks.table import Table, keyed_table
@@ -176,7 +177,7 @@ def run_daily_returns_incremental(spark: SparkSession, wh: Warehouse, as_of=None
     last = state.latest(spark)
     raw = _read(spark, wh, "raw_nav").select("scheme_code", "nav_date", "nav", "created_at")
     fresh = raw.filter(F.col("created_at") > F.lit(last[1])) if last else raw
-    seen = fresh.agg(F.max("created_at")).first()[0]
+    seen, oldest = fresh.agg(F.max("created_at"), F.min("nav_date")).first()
     if seen is None:
         return 0
     if last is None:
@@ -185,14 +186,17 @@ def run_daily_returns_incremental(spark: SparkSession, wh: Warehouse, as_of=None
         return appended
     tail = state.read(spark)
     following, late = incremental.split_late(fresh.filter(F.col("scheme_code").isNotNull()), tail)
-    feats = incremental.following_features(following, tail, as_of)
+    target = wh.table("daily_returns")
+    done = None
+    if target.exists(spark):
+        done = target.read(spark, since=oldest).select("scheme_code", "nav_date").filter(F.col("nav_date") >= F.lit(oldest).cast("date"))
+    feats = incremental.following_features(following, tail, as_of, done=done)
     if not late.isEmpty():
         since = lookback_start(as_of, P.LOOKBACK_MONTHS)
         nav = _read(spark, wh, "raw_nav", since=since).select("scheme_code", "nav_date", "nav")
+        late = late if done is None else new_rows(late, done, ["scheme_code", "nav_date"])
         feats = feats.unionByName(incremental.late_features(late, nav, as_of))
-    target = wh.table("daily_returns")
-    oldest = fresh.agg(F.min("nav_date")).first()[0]
-    appended = W.append_new(spark, feats, target, ["scheme_code", "nav_date"], schema=S.DAILY_RETURNS, stored_since=oldest)
+    appended = W.append_counted(feats, target, S.DAILY_RETURNS)
     state.write(incremental.next_tail(tail, fresh), seen)
     return appended
 

@@ -93,6 +93,26 @@ def test_a_late_row_gets_its_own_features(spark, tmp_dir):
     assert all(r == whole[r[:2]] for r in now - before)
 
 
+def test_stored_keys_meet_narrow_rows(spark, tmp_dir, monkeypatch):
+    rows = nav_rows(6, 3)
+    cut = dt.date(2024, 5, 1)
+    wh = jobs.Warehouse(os.path.join(tmp_dir, "wh"))
+    W.append(raw(spark, [r for r in rows if r[1] < cut]), wh.table("raw_nav"), S.RAW_NAV)
+    jobs.run_daily_returns_incremental(spark, wh, AS_OF)
+    W.append(raw(spark, [r for r in rows if r[1] >= cut]), wh.table("raw_nav"), S.RAW_NAV)
+    plans, append = [], W.append_counted
+
+    def spied(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return append(df, *rest)
+
+    monkeypatch.setattr(W, "append_counted", spied)
+    assert jobs.run_daily_returns_incremental(spark, wh, AS_OF) == len([r for r in rows if r[1] >= cut])
+    above = plans[0].split("Window")[0]  # the wide rows go straight to their files
+    assert len(plans) == 1 and "Window" in plans[0] and "Join" not in above and "Exchange" not in above
+    assert stored(spark, wh) == full(spark, rows)
+
+
 def test_a_driver_that_dies_before_the_tail_is_named(spark, tmp_dir, monkeypatch):
     from navframe.sinks.versions import VersionedTable
 
