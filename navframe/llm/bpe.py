@@ -14,7 +14,6 @@ one, so repeated rows give repeated results.
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 from array import array
 from collections.abc import Callable
@@ -175,8 +174,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class Vocabulary:
     def __init__(self, path: str):
-        self.ranks = read_ranks(path)
-        self.cache = SliceCache(lambda new: [array("i", merge_pairs(s.encode("utf-8", "replace"), self.ranks)).tobytes() for s in new])
+        self.ranks = ranks = read_ranks(path)  # the cache doesn't refer to its vocabulary, so both go at once
+        self.cache = SliceCache(lambda new: [array("i", merge_pairs(s.encode("utf-8", "replace"), ranks)).tobytes() for s in new])
         by_id = {i: t for t, i in self.ranks.items()}
         tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
@@ -187,10 +186,9 @@ class Vocabulary:
         return _gather(self.bytes, self.starts[ids], self.lengths[ids])[0].tobytes()
 
 
-@functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    """One per Python worker."""
-    return Vocabulary(path)
+    """One per Python worker, while its tasks encode or decode."""
+    return common.kept(("vocabulary", path), lambda: Vocabulary(path))
 
 
 # -- operators -------------------------------------------------------------------------

@@ -61,3 +61,13 @@ def test_pipeline_stage_by_stage(spark):
         want[i] = (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
     assert {r["doc_id"]: tuple(r)[1:] for r in run("token_ids", fourth).collect()} == want
     assert {r["doc_id"]: tuple(r)[1:] for r in corpus_pipeline.run(spark, SF001).collect()} == want
+
+
+def test_token_ids_take_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id bigint, text string")
+    out = corpus_pipeline.token_ids(spark, docs, SF001)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    empty = hashlib.sha256(b"").hexdigest()
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1]["decoded_sha256"] == hashlib.sha256(b"one two").hexdigest()
+    assert tuple(got[2])[1:] == (0, empty, empty)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import regex
 import tiktoken
 
 from llm.conftest import MESSY, as_rows
-from navframe.llm import bitplane, bpe, pretoken
+from navframe.llm import bitplane, bpe, common, pretoken
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -169,3 +170,10 @@ def test_queries_against_the_libraries(spark, encoding):
         ids = library.encode(d["text"] or "", add_special_tokens=False).ids + [2]
         assert (got[d["doc_id"]]["start"], got[d["doc_id"]]["n_tokens"], got[d["doc_id"]]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
         at += len(ids)
+
+
+def test_a_worker_keeps_the_vocabulary_for_tasks_that_use_it():
+    first = weakref.ref(common.begun(lambda: bpe.vocabulary(RANKS)))
+    assert first() is not None and common.begun(lambda: bpe.vocabulary(RANKS)) is first()
+    common.begun(lambda: None)  # a task of another operator
+    assert first() is None
