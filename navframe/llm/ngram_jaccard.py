@@ -583,8 +583,10 @@ def _links_in_large_sets(members: DataFrame, sets: DataFrame, bands: Bands, bloc
         F.transform(F.sequence(F.lit(0), F.col("main_blocks") - 1), lambda j: task(me, 1, j, F.lit(0))),
     )
     inside = F.transform(others, lambda i: task(i, 1, me, F.lit(1)))
-    tasks = placed.withColumn("t", F.explode(F.when(F.col("in_main"), inside).otherwise(outside))).select("cluster", "t.*", "class", "root")
-    full = tasks.join(sets.select("class", "elements"), "class")
+    # sets join before a class is dealt to its tasks, whose number is in no size estimate:
+    # the dealt rows would pass for a small table and be broadcast. A shuffle at any size
+    held = placed.join(sets.select("class", "elements").hint("merge"), "class")
+    full = held.withColumn("t", F.explode(F.when(F.col("in_main"), inside).otherwise(outside))).select("cluster", "t.*", "class", "root", "elements")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(rows: pa.Table) -> pa.Table:

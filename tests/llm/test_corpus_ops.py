@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm.conftest import MESSY, as_rows
-from navframe.llm import graph, ngram_jaccard, quality, repeats, resampling, transcripts
+from navframe.llm import common, graph, ngram_jaccard, quality, repeats, resampling, transcripts
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -155,6 +155,17 @@ def test_blocks_find_the_links_between_components(spark):
         assert got == want
 
 
+def test_dealt_rows_of_large_sets_are_never_broadcast(spark):
+    """A class is dealt to its tasks after its set has joined, above a shuffle join."""
+    sets = common.store(spark.range(40).select(F.col("id").alias("class"), F.array("id", F.lit(-1)).alias("elements")), "test_sets")
+    members = spark.range(40).select(F.lit(1).cast("bigint").alias("set"), F.col("id").alias("class"), F.col("id").alias("root"))
+    links = ngram_jaccard._links_in_large_sets(members, sets, ngram_jaccard.Bands(80, 100), 4)
+    plan = links._jdf.queryExecution().sparkPlan().toString().splitlines()
+    dealt = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    joins = [i for i, line in enumerate(plan) if "Join " in line]
+    assert min(joins) > dealt and "SortMergeJoin [class#" in plan[min(joins)]
+
+
 def test_shared_sizes():
     rng = random.Random(2)
     sides = [[sorted(rng.sample(range(-50, 50), rng.randrange(1, 40))) for _ in range(n)] for n in (7, 11)]
